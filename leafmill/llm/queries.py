@@ -55,3 +55,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.urlfilter import Rule, filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), [Rule(*r) for r in URL_RULES], BLOCKED_HOSTS).drop("url")
+
+
+@query("op6_simhash_golay")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.neardup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
