@@ -63,3 +63,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def public_vocabulary(file: str = "byte_bpe_multi_50k.tiktoken"):
+    import public_tokenizers
+
+    from leafmill.llm.bpe import Vocabulary, load_ranks
+
+    return Vocabulary(load_ranks(public_tokenizers.path(file)), public_tokenizers.PATTERN)
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.bpe import decode, digests, encode
+
+    vocabulary = public_vocabulary()
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select("doc_id", *digests(coded))
