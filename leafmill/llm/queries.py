@@ -80,3 +80,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_vocabulary()
     coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
     return coded.select("doc_id", *digests(coded))
+
+
+@query("op3_benchmark_suffix_arrays")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.decontam import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items, "contaminated")

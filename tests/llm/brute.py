@@ -54,3 +54,22 @@ def quality_base(text):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+BW = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def contamination(text, items, window=13):
+    w = BW.findall(lower(text or ""))
+    hit, ids = set(), set()
+    for i, t in items:
+        b = BW.findall(lower(t or ""))
+        n = min(window, len(b))
+        if not n:
+            continue
+        wins = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
+        for p in range(len(w) - n + 1):
+            if tuple(w[p : p + n]) in wins:
+                hit |= set(range(p, p + n))
+                ids.add("" if i is None else str(i))
+    return len(w), len(hit), len(ids), sha(",".join(sorted(ids))), len(hit) > 0 and 20 * len(hit) >= len(w)
