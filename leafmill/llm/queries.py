@@ -89,3 +89,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items, "contaminated")
+
+
+@query("op4_secret_grammars")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.common import spans_text
+    from leafmill.llm.credentials import BASE_KINDS, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
