@@ -131,3 +131,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op9_pii_information_content")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.common import spans_text
+    from leafmill.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    base, terms = spans_text(F.col("base")), spans_text(F.col("terms"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(terms, F.lit(""))).alias("spans"))
