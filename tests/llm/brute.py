@@ -90,3 +90,17 @@ def pii_base(text):
         if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append(("phone", m.start(), m.end()))
     return out
+
+
+def repeats(texts, length=200):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        hit = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                hit[i : i + length] = b"\1" * length
+        runs = sum(1 for i, x in enumerate(hit) if x and (i == 0 or not hit[i - 1]))
+        out.append((len(b), sum(hit), runs, sha(bytes(c for c, x in zip(b, hit) if not x))))
+    return out
