@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +22,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of a batch that goes to Python, so that a worker's memory does not depend on how long texts are.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session where it is larger.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.match(r"-?\d+", str(spark.conf.get(key)))[0])
+    if now <= 0 or now > size:
+        spark.conf.set(key, str(size))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's ``spark.checkpoint.dir``, or where none is named,
+    as in tests, one below the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+class Scratch:
+    """Tables between the steps of one operator, written to the shared folder and dropped when done with.
+
+    A written table cuts the lineage as a checkpoint does, takes a fraction of its room and can be
+    dropped at once.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/leafmill_{uuid.uuid4().hex}"
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Drop tables, and let the driver forget the plans of finished steps: Spark then removes their shuffle files."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that all executors share and cut its lineage there.
 
-    The folder comes from the session (``spark.checkpoint.dir``); only a session that names none,
-    as in tests, gets one below the warehouse.
+    See ``shared_folder``; rows are few here, for many there is ``Scratch``.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -12,9 +12,9 @@ Two suffixes agree on that many bytes exactly if they stay in one bucket while b
 4. Blocks that share the former but not the latter are refined once more, window by window.
 
 Where a bucket splits into equal and unequal members, one of the equal ones goes on as their witness, so
-the work that was done is reused and not repeated.  Identifiers are 128-bit contents' names (two
-independent rolling hashes) instead of ranks: they need no global order, so every step is a count with
-map-side aggregation, however large a bucket is, and nothing collects a bucket.
+the work that was done is reused and not repeated.  Identifiers name contents (64 bits of a rolling hash inside
+a bucket of 64 bits, and two hashes for windows) instead of being ranks: they need no global order, so every
+step is a count with map-side aggregation, however large a bucket is, and nothing collects a bucket.
 
 Defined results: a null or empty text has no bytes; texts below ``length`` lose nothing; repeated rows
 are copies and repeat each other; an empty table gives an empty result; columns of the input named like
@@ -31,10 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import Scratch, bounded_batches
 
 U = np.uint64
-ANCHOR = "place long, lo int, hi int, off int, h long, c1 long, c2 long"
+ANCHOR = "place long, lo int, hi int, off int, h long, c long"
 SPAN = "array<struct<start:long,end:long>>"
 RESULT = f"n_bytes long, spans {SPAN}, kept binary"
 
@@ -107,7 +107,7 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, p: RepeatParams) -> list[tuple]:
-    """Arrays (lo, hi, off, h, c1, c2) of a text: window starts lo to hi have their q-gram at lo + off."""
+    """Arrays (lo, hi, off, h, c) of a text: window starts lo to hi have their q-gram at lo + off; c names all their bytes."""
     out = []
     for at in range(0, len(data) - p.length + 1, PIECE):
         b = data[at : at + PIECE + p.length - 1]
@@ -118,7 +118,7 @@ def anchors(data: np.ndarray, p: RepeatParams) -> list[tuple]:
         place = (least & low).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         hi = np.append(lo[1:], len(place)) - 1
-        out.append((lo + at, hi + at, place[lo] - lo, grams[place[lo]], one.of(lo, hi + p.length), Names(b, 1).of(lo, hi + p.length)))
+        out.append((lo + at, hi + at, place[lo] - lo, grams[place[lo]], one.of(lo, hi + p.length)))
     return out
 
 
@@ -147,15 +147,18 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
 
-def find_repeats(placed: DataFrame, p: RepeatParams = RepeatParams(), text_col: str = "text") -> DataFrame:
-    """(place, lo, hi): the window starts lo to hi of row ``place`` whose windows start elsewhere too."""
+def find_repeats(placed: DataFrame, tmp: Scratch, p: RepeatParams = RepeatParams(), text_col: str = "text") -> DataFrame:
+    """(place, lo, hi): the window starts lo to hi of row ``place`` whose windows start elsewhere too.
+
+    The result reads tables of ``tmp``.
+    """
 
     def all_anchors(batches):
         for batch in batches:
             parts = [(np.full(len(a[0]), place), *a) for place, text in zip(batch["place"], batch["text"]) for a in anchors(_bytes(text), p)]
             if parts:
-                place, lo, hi, off, h, c1, c2 = (np.concatenate(x) for x in zip(*parts))
-                yield pd.DataFrame({"place": place, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "off": off.astype(np.int32), "h": _signed(h), "c1": _signed(c1), "c2": _signed(c2)})
+                place, lo, hi, off, h, c = (np.concatenate(x) for x in zip(*parts))
+                yield pd.DataFrame({"place": place, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "off": off.astype(np.int32), "h": _signed(h), "c": _signed(c)})
 
     def contexts(batches):
         for batch in batches:
@@ -175,10 +178,10 @@ def find_repeats(placed: DataFrame, p: RepeatParams = RepeatParams(), text_col:
                 most = np.minimum(b * p.block + p.block - 1, off[row])
                 least = np.maximum(b * p.block, (off - (hi - lo))[row])
                 begin = start[row] + off[row]
-                names = [Names(data, i) for i in (0, 1)]
+                names = Names(data, 0)
                 s, e, c = begin - most, begin - least + p.length, begin - b * p.block
-                key = _mix(names[0].of(c, c + core) + _mix(some["h"].to_numpy(np.int64)[row].view(U)) + b.astype(U))
-                yield pd.DataFrame({"place": some["place"].to_numpy()[row], "lo": (lo + off)[row] - most, "hi": (lo + off)[row] - least, "open": some["open"].to_numpy()[row], "key": _signed(key), "c1": _signed(names[0].of(s, e)), "c2": _signed(names[1].of(s, e))}).astype({"lo": np.int32, "hi": np.int32})
+                key = _mix(names.of(c, c + core) + _mix(some["h"].to_numpy(np.int64)[row].view(U)) + b.astype(U))
+                yield pd.DataFrame({"place": some["place"].to_numpy()[row], "lo": (lo + off)[row] - most, "hi": (lo + off)[row] - least, "open": some["open"].to_numpy()[row], "key": _signed(key), "c": _signed(names.of(s, e))}).astype({"lo": np.int32, "hi": np.int32})
 
     def windows(batches):
         for batch in batches:
@@ -191,30 +194,38 @@ def find_repeats(placed: DataFrame, p: RepeatParams = RepeatParams(), text_col:
 
     docs = placed.select("place", F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.length)
     every = docs.mapInPandas(all_anchors, ANCHOR)
-    shared = cut(every.join(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h"))
+    shared = tmp.table("shared", every.join(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h"))
+    del every
 
     # 2. What an anchor covers, as a whole.
     member = F.struct("place", "lo", "hi", "off", "h").alias("m")
-    whole = cut(shared.groupBy(F.xxhash64("h", "c1", "c2").alias("k"), "c1", "c2").agg(F.count("*").alias("n"), F.min(member).alias("m")).select("n", "m.*"))
+    whole = tmp.table("whole", shared.groupBy(F.xxhash64("h", "c").alias("k"), "c").agg(F.count("*").alias("n"), F.min(member).alias("m")).select("n", "m.*"))
     alone = whole.filter("n = 1").drop("n")
-    repeated = shared.join(alone.select("place", "lo"), ["place", "lo"], "left_anti").select("place", "lo", "hi")
+    repeated = tmp.table("repeated", shared.join(alone.select("place", "lo"), ["place", "lo"], "left_anti").select("place", "lo", "hi"))
     witness = whole.filter("n > 1").drop("n").join(alone.select("h").distinct(), "h", "left_semi")
     wanted = alone.withColumn("open", F.lit(True)).unionByName(witness.withColumn("open", F.lit(False)))
+    tmp.drop("shared")
 
     # 3. Blocks of offsets. From here on the bytes that the windows cover travel with the anchors.
     lists = wanted.groupBy("place").agg(F.collect_list(F.struct("lo", "hi", "off", "h", "open")).alias("wanted"))
-    spread = cut(docs.join(lists, "place").mapInPandas(contexts, "place long, lo int, hi int, off int, h long, open boolean, data binary"))
-    cutup = cut(spread.mapInPandas(blocks, "place long, lo int, hi int, open boolean, key long, c1 long, c2 long"))
-    classes = cutup.groupBy(F.xxhash64("key", "c1", "c2").alias("k"), "key", "c1", "c2").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("place", "lo", "hi", "open")).alias("m"))
-    classes = cut(classes.select("key", "c1", "c2", "n", "open", "m"))
-    same = cutup.filter("open").join(classes.filter("n > 1 and open").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("place", "lo", "hi")
+    spread = tmp.table("spread", docs.join(lists, "place").mapInPandas(contexts, "place long, lo int, hi int, off int, h long, open boolean, data binary"))
+    del shared, alone, witness, wanted, lists
+    tmp.drop("whole")
+    cutup = tmp.table("cutup", spread.mapInPandas(blocks, "place long, lo int, hi int, open boolean, key long, c long"))
+    classes = cutup.groupBy(F.xxhash64("key", "c").alias("k"), "key", "c").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("place", "lo", "hi", "open")).alias("m"))
+    classes = tmp.table("classes", classes.select("key", "c", "n", "open", "m"))
+    same = tmp.table("same", cutup.filter("open").join(classes.filter("n > 1 and open").select("key", "c"), ["key", "c"]).select("place", "lo", "hi"))
+    del cutup
+    tmp.drop("cutup")
     split = classes.groupBy("key").agg(F.count("*").alias("n_classes"), F.max(F.expr("n = 1 and open")).alias("unsure")).filter("n_classes > 1 and unsure").select("key")
     ones = classes.join(split, "key", "left_semi").select("m.place", "m.lo", "m.hi", F.expr("n = 1 and open").alias("open"))
 
     # 4. Window by window.
     of_anchor = spread.select("place", F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     owned = ones.join(of_anchor, "place").filter("lo >= a_lo and hi <= a_hi").groupBy("place", "a_lo").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("wanted")).withColumnRenamed("a_lo", "lo")
-    single = cut(spread.select("place", "lo", "data").join(owned, ["place", "lo"]).mapInPandas(windows, "place long, lo int, open boolean, w1 long, w2 long"))
+    single = tmp.table("single", spread.select("place", "lo", "data").join(owned, ["place", "lo"]).mapInPandas(windows, "place long, lo int, open boolean, w1 long, w2 long"))
+    del spread, classes, split, ones, of_anchor, owned
+    tmp.drop("spread", "classes")
     twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     last = single.filter("open").join(twice, ["w1", "w2"]).select("place", "lo", F.col("lo").alias("hi"))
     return repeated.unionByName(same).unionByName(last)
@@ -236,7 +247,12 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), text_col:
     results = ("n_bytes", "spans", "kept")
     names = [c for c in docs.columns if c not in results]
     placed = docs.withColumn("place", F.monotonically_increasing_id())
-    found = find_repeats(placed.select("place", F.col(text_col).alias("text")), p).groupBy("place").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    bounded_batches(docs.sparkSession)
+    tmp = Scratch(docs.sparkSession)
+    ranges = find_repeats(placed.select("place", F.col(text_col).alias("text")), tmp, p)
+    found = tmp.table("found", ranges.groupBy("place").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    del ranges
+    tmp.drop("repeated", "same", "single")
 
     @F.pandas_udf(RESULT)
     def remove(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
