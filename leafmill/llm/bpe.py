@@ -14,11 +14,11 @@ table gives an empty result; columns of the input named like a result column are
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENCODED = "ids array<int>"
+from leafmill.llm.common import bounded_batches
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -136,7 +136,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _chunks(texts, size: int = 1 << 20) -> Iterator[list]:
+def _chunks(texts, size: int = 1 << 19) -> Iterator[list]:
     """Texts in lists of about ``size`` characters; a longer text is a list of its own."""
     out, n = [], 0
     for t in texts:
@@ -167,53 +167,61 @@ class Vocabulary:
         if self._ready is None:
             ids = [i for i, t in enumerate(self.tokens) if t is not None]
             keys = [self.tokens[i] for i in ids]
-            self._ready = PerfectHash(keys, ids), dict(zip(keys, ids)), regex.compile(self.pattern)
+            self._ready = PerfectHash(keys, ids), dict(zip(keys, ids)), regex.compile(self.pattern), {}
         return self._ready
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
-        perfect, ranks, pattern = self.ready()
-        known: dict[str, list[int]] = {}
+    def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Tokens of each text, packed as little-endian unsigned 32-bit integers."""
+        perfect, ranks, pattern, known = self.ready()
         for some in _chunks(texts):
             cut = [pattern.findall(t) if isinstance(t, str) else [] for t in some]
             new = [p for p in {}.fromkeys(chain.from_iterable(cut)) if p not in known]
             raw = [p.encode() for p in new]
             for p, b, i in zip(new, raw, perfect.lookup(raw).tolist()):
-                known[p] = [i] if i >= 0 else merge_bytes(b, ranks)
+                ids = (i,) if i >= 0 else merge_bytes(b, ranks)
+                known[p] = pack(f"<{len(ids)}I", *ids)
             get = known.__getitem__
             for pieces in cut:
-                yield list(chain.from_iterable(map(get, pieces)))
-            if len(known) > 400_000:  # memory only; a later text looks its pre-tokens up again
+                yield b"".join(map(get, pieces))
+            if len(known) > 100_000:  # memory only; a later text looks its pre-tokens up again
                 known.clear()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, packed: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the tokens of each text."""
+    """``docs`` with ``tokens``, the ids of each text packed as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(x, np.int32) for x in vocabulary.encode_batch(texts)], dtype=object)
+    bounded_batches(docs.sparkSession)
 
-    return docs.withColumn("ids", ids(F.col(text_col)))
+    @F.pandas_udf("binary")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(vocabulary.encode_batch(texts)), dtype=object)
 
+    # Nondeterministic for the optimizer only: else it would encode again for every use of the tokens.
+    return docs.withColumn("tokens", tokens.asNondeterministic()(F.col(text_col)))
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
-    """``df`` with ``bytes``, what the tokens stand for."""
 
-    @F.pandas_udf("binary")
-    def back(ids: pd.Series) -> pd.Series:
-        return pd.Series([vocabulary.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
+def unpack(tokens: Column) -> Column:
+    """array<long> of packed ids."""
+    digits = F.hex(tokens)
+    pair = lambda i, k: F.substring(digits, 8 * i + 2 * k + 1, F.lit(2))
+    one = lambda i: F.conv(F.concat(*[pair(i, k) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
+    count = (F.octet_length(tokens) / 4).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<long>"))
 
-    return df.withColumn("bytes", back(F.col(ids_col)))
 
+def decode(df: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens") -> DataFrame:
+    """``df`` with ``bytes``, what the tokens stand for."""
+
+    @F.pandas_udf("binary")
+    def back(tokens: pd.Series) -> pd.Series:
+        return pd.Series([vocabulary.decode(x or b"") for x in tokens], dtype=object)
 
-def digests(df: DataFrame, ids_col: str = "ids", bytes_col: str = "bytes") -> list[Column]:
-    """n_tokens, ids_sha256 (little-endian unsigned 32-bit integers) and decoded_sha256."""
+    return df.withColumn("bytes", back(F.col(tokens_col)))
 
-    @F.pandas_udf("string")
-    def sha(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray([] if x is None else x).astype("<u4").tobytes()).hexdigest() for x in ids], dtype=object)
 
-    return [F.size(ids_col).cast("long").alias("n_tokens"), sha(F.col(ids_col)).alias("ids_sha256"), F.sha2(F.col(bytes_col), 256).alias("decoded_sha256")]
+def digests(tokens_col: str = "tokens", bytes_col: str = "bytes") -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256."""
+    return [(F.octet_length(tokens_col) / 4).cast("long").alias("n_tokens"), F.sha2(F.col(tokens_col), 256).alias("ids_sha256"), F.sha2(F.col(bytes_col), 256).alias("decoded_sha256")]

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import bounded_batches
+
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 #: Kinds of the fixed patterns, in their order; learned kinds follow by name.
 BASE_KINDS = ("assign", "access", "hex")
@@ -229,6 +231,7 @@ def find_spans(text: str | None, grammars: Grammars) -> list[tuple[str, int, int
 def scan_secrets(docs: DataFrame, grammars: Grammars | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``spans``."""
     grammars = grammars or learn_grammars()
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
@@ -253,6 +256,7 @@ def redact(text: str | None, grammars: Grammars, mark: str = "<secret>") -> str
 def redact_secrets(docs: DataFrame, grammars: Grammars | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced in the text, and the length column brought up to date."""
     grammars = grammars or learn_grammars()
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, lower_ascii
+from leafmill.llm.common import bounded_batches, cut, lower_ascii
 
 #: Letters a-z, digits and everything beyond ASCII, after A-Z are lower-cased.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -172,6 +172,7 @@ def _covered(matches: Column) -> Column:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, params: DecontamParams = DecontamParams(), text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, item_ids, matches and contaminated."""
+    bounded_batches(docs.sparkSession)
     blocks = benchmark_blocks(benchmark, params)
     first, second = next(blocks), next(blocks, None)
     results = ("n_words", "n_hit", "item_ids", "matches", "contaminated")

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import bounded_batches
+
 # Fixed values of HTML.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -357,6 +359,7 @@ def train(spark: SparkSession, params: HtmlParams = HtmlParams()) -> Forest:
 def extract_text(pages: DataFrame, forest: Forest | None = None, html_col: str = "html") -> DataFrame:
     """``pages`` with ``blocks``, the texts of the main blocks, and ``text``, those joined by line feeds."""
     forest = forest or train(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("array<string>")
     def blocks(htmls: pd.Series) -> pd.Series:

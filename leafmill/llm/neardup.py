@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE_WORD, cut, lower_ascii
+from leafmill.llm.common import SPACE_WORD, bounded_batches, cut, lower_ascii
 
 #: Low bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -175,6 +175,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), dense: int = 64) -> DataFrame:
     """One row per document: its id, ``extra`` columns, the fingerprint ``fp`` and its component's smallest id."""
+    bounded_batches(docs.sparkSession)
     d = cut(docs.select(F.col(id_col).alias("id"), *extra, fingerprint(F.col(text_col)).alias("fp")))
     firsts = d.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(links(firsts.select("fp"), dense))

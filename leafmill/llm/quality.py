@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE_WORD
+from leafmill.llm.common import SPACE_WORD, bounded_batches
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control", "other")
 SYMBOLS = "#*$%&|<>"
@@ -85,6 +85,7 @@ def js_distance(p: dict, q: dict) -> float:
 
 def language_reference(docs: DataFrame, params: QualityParams = QualityParams(), text_col: str = "text", lang_col: str = "lang") -> Reference:
     """Statistics of all documents.  What reaches the driver is bounded by the two minimum shares."""
+    bounded_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     word = F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"))
