@@ -155,27 +155,35 @@ class Vocabulary:
 
     tokens: list[bytes]
     pattern: str
+    #: Pre-tokens of which a worker remembers the tokens, in each of two generations.
+    remembered: int = 130_000
 
     def __post_init__(self) -> None:
         self._ready = None
 
     def __getstate__(self) -> dict:
-        return {"tokens": self.tokens, "pattern": self.pattern, "_ready": None}
+        return {"tokens": self.tokens, "pattern": self.pattern, "remembered": self.remembered, "_ready": None}
 
     def ready(self) -> tuple:
         """Built once in each Python worker."""
         if self._ready is None:
             ids = [i for i, t in enumerate(self.tokens) if t is not None]
             keys = [self.tokens[i] for i in ids]
-            self._ready = PerfectHash(keys, ids), dict(zip(keys, ids)), regex.compile(self.pattern), {}
+            self._ready = PerfectHash(keys, ids), dict(zip(keys, ids)), regex.compile(self.pattern), {"young": {}, "old": {}}
         return self._ready
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Tokens of each text, packed as little-endian unsigned 32-bit integers."""
-        perfect, ranks, pattern, known = self.ready()
+        perfect, ranks, pattern, memo = self.ready()
         for some in _chunks(texts):
             cut = [pattern.findall(t) if isinstance(t, str) else [] for t in some]
-            new = [p for p in {}.fromkeys(chain.from_iterable(cut)) if p not in known]
+            known, older, new = memo["young"], memo["old"], []
+            for p in {}.fromkeys(chain.from_iterable(cut)):
+                if p not in known:
+                    if p in older:
+                        known[p] = older[p]
+                    else:
+                        new.append(p)
             raw = [p.encode() for p in new]
             for p, b, i in zip(new, raw, perfect.lookup(raw).tolist()):
                 ids = (i,) if i >= 0 else merge_bytes(b, ranks)
@@ -183,8 +191,8 @@ class Vocabulary:
             get = known.__getitem__
             for pieces in cut:
                 yield b"".join(map(get, pieces))
-            if len(known) > 100_000:  # memory only; a later text looks its pre-tokens up again
-                known.clear()
+            if len(known) > self.remembered:  # bounds the memory; what is not used again goes
+                memo["young"], memo["old"] = {}, known
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
