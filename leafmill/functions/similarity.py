@@ -76,5 +76,5 @@ def vector_top1(queries: DataFrame, vectors: DataFrame, threshold: float = COSIN
     q = queries.select("workspace_id", "query_id", F.col("embedding").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = vectors.select("workspace_id", "vendor_id", F.col("embedding").alias("v")).withColumn("block", F.pmod(F.xxhash64("vendor_id"), F.lit(blocks)).cast("int"))
     scored = q.join(v, ["workspace_id", "block"]).select("workspace_id", "query_id", "vendor_id", cosine(F.col("q"), F.col("v")).alias("score"))
-    best = scored.groupBy("workspace_id", "query_id").agg(F.max(F.struct("score", F.negative("vendor_id").alias("o"), "vendor_id")).alias("b"))
+    best = scored.filter("score is not null").groupBy("workspace_id", "query_id").agg(F.min(F.struct((-F.col("score")).alias("o"), "vendor_id", "score")).alias("b"))
     return best.select("workspace_id", "query_id", "b.vendor_id", "b.score").filter(F.col("score") >= threshold)

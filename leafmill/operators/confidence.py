@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.amounts import parse_amount
+from leafmill.functions.plan import once
 from leafmill.functions.text import blank, ground_key, is_known_currency, parse_date
 from leafmill.operators.schemas import FIELDS, LOW_CONFIDENCE
 
@@ -65,7 +66,7 @@ def ground(records: DataFrame, with_boxes: bool = True) -> DataFrame:
     e = F.col("extracted")
     for name in FIELDS:
         e = e.withField(name, one(name))
-    return records.withColumn("_hay", hay).withColumn("extracted", F.when(F.col("_hay") == "", F.col("extracted")).otherwise(e)).drop("_hay")
+    return once(records, {"_hay": hay}).withColumn("extracted", F.when(F.col("_hay") == "", F.col("extracted")).otherwise(e)).drop("_hay")
 
 
 def math_checks_out(get: Callable[[str], Column]) -> Column:
@@ -149,7 +150,7 @@ def score(records: DataFrame, signals: dict[str, tuple[float, Signal]] | None =
     each = [F.struct(F.lit(n).alias("name"), f().cast("double").alias("score"), F.lit(w).alias("weight")) for n, (w, f) in signals.items()]
     total = lambda k: F.aggregate(F.col("signals"), F.lit(0.0), k)
     weighted, weights = total(lambda a, s: a + s["score"] * s["weight"]), total(lambda a, s: a + s["weight"])
-    out = records.withColumn("signals", F.array(*each)).withColumn("overall", F.when(weights > 0, weighted / weights).otherwise(0.0))
+    out = once(records, {"signals": F.array(*each)}).withColumn("overall", F.when(weights > 0, weighted / weights).otherwise(0.0))
     return out.withColumn("low_confidence", F.col("overall") < LOW_CONFIDENCE).drop("_passed", "_judged")
 
 

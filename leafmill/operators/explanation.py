@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.plan import once
 from leafmill.functions.text import ground_key, is_known_currency, parse_date
 from leafmill.operators.confidence import GROUNDING_CAP, KEY_FIELDS, math_checks_out
 from leafmill.operators.schemas import FIELDS
@@ -73,12 +74,13 @@ def explain_field(name: str, original: Column, final: Column, haystack: Column,
 def explain(records: DataFrame, original_col: str = "original", final_col: str = "extracted", history: bool = False) -> DataFrame:
     """Adds ``explanation``: fields, math_check, math_delta, grounding_applied, overall_score and summary."""
     get = lambda n: F.col(f"{original_col}.{n}.value")
-    placed = records.withColumns({"_hay": ground_key(F.coalesce(F.col("raw_text"), F.lit(""))), "_math": math_checks_out(get)})
-    fields = F.array(*[explain_field(n, F.col(f"{original_col}.{n}"), F.col(f"{final_col}.{n}"), F.col("_hay"), F.col("_math"), F.col("vendor_matched"), history) for n in FIELDS])
-    out = placed.withColumn("_fields", fields)
+    placed = once(records, {"_hay": ground_key(F.coalesce(F.col("raw_text"), F.lit(""))), "_math": math_checks_out(get)})
+    fields = F.array(*[F.col(f"_x_{n}") for n in FIELDS])
+    each = {f"_x_{n}": explain_field(n, F.col(f"{original_col}.{n}"), F.col(f"{final_col}.{n}"), F.col("_hay"), F.col("_math"), F.col("vendor_matched"), history) for n in FIELDS}
+    out = once(once(placed, each), {"_fields": fields}).drop(*each)
     keyed = F.filter("_fields", lambda f: f["field_name"].isin(*KEY_FIELDS))
     overall = F.round(F.aggregate(keyed, F.lit(0.0), lambda a, f: a + f["final_confidence"]) / len(KEY_FIELDS), 4)
-    out = out.withColumn("_overall", overall).withColumn("_lost", F.exists("_fields", lambda f: F.exists(f["signals"], lambda s: s["label"] == "not_grounded_in_source")))
+    out = once(out, {"_overall": overall, "_lost": F.exists("_fields", lambda f: F.exists(f["signals"], lambda s: s["label"] == "not_grounded_in_source"))})
     percent = F.format_string("%.0f%%", F.col("_overall") * 100)
     summary = F.concat(
         F.when(F.col("_overall") >= HIGH, _said("Extraction quality is high (overall ", percent, ")."))

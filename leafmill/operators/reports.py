@@ -44,7 +44,7 @@ def search(
     """
     d = documents.select(F.col("id").alias("document_id"), "filename", "batch_id", F.col("status").alias("document_status"))
     v = vendors.select("vendor_id", "canonical_name")
-    df = tenant(invoices, workspace).join(d, "document_id").join(v, "vendor_id", "left")
+    df = tenant(invoices.drop("filename", "batch_id", "document_status", "canonical_name"), workspace).join(d, "document_id").join(v, "vendor_id", "left")
     like = lambda c, x: F.col(c).ilike(f"%{x}%")
     if q:
         df = df.filter(like("invoice_number", q) | like("canonical_name", q) | like("filename", q))
@@ -70,10 +70,11 @@ def search(
     return page.select("id", "document_id", "invoice_number", F.col("canonical_name").alias("vendor_name"), "invoice_date", shown_amount(F.col("total_amount")).alias("total_amount"), "currency", "needs_review", "filename", "document_status", "total")
 
 
-def review_queue(invoices: DataFrame, documents: DataFrame, vendors: DataFrame, workspace: str | None = None, limit: int = 100) -> DataFrame:
-    """The newest invoices that need review."""
+def review_queue(invoices: DataFrame, documents: DataFrame, vendors: DataFrame, workspace: str | None = None, limit: int | None = 100) -> DataFrame:
+    """The newest invoices that need review; all without a limit."""
     d = documents.select(F.col("id").alias("document_id"), "filename", F.col("status").alias("document_status"))
-    top = tenant(invoices, workspace).filter("needs_review").orderBy(F.desc("created_at"), "id").limit(limit)
+    top = tenant(invoices.drop("filename", "document_status", "vendor_name"), workspace).filter("needs_review")
+    top = top if limit is None else top.orderBy(F.desc("created_at"), "id").limit(limit)
     df = top.join(d, "document_id", "left").join(vendors.select("vendor_id", F.col("canonical_name").alias("vendor_name")), "vendor_id", "left")
     return df.select("id", "document_id", "filename", "document_status", "vendor_id", "vendor_name", "invoice_number", "invoice_date", "due_date", "buyer_name", shown_amount(F.col("total_amount")).alias("total_amount"), "currency", "payment_terms", "needs_review")
 
@@ -143,7 +144,7 @@ def export_invoices(invoices: DataFrame, documents: DataFrame, vendors: DataFram
     r = F.col("validation_report")
     n = lambda k: F.coalesce(F.get_json_object(r, f"$.{k}"), F.lit("0"))
     checks = F.when(r.isNull(), "—").otherwise(F.concat(n("passed"), F.lit("P / "), n("failed"), F.lit("F / "), n("warnings"), F.lit("W")))
-    df = invoices.join(d, "document_id", "left").join(v, "vendor_id", "left")
+    df = invoices.drop("filename", "batch_id", "vendor", "vendor_tax_id", "vendor_address").join(d, "document_id", "left").join(v, "vendor_id", "left")
     return df.select(
         "invoice_number", "vendor", "vendor_tax_id", "vendor_address", "buyer_name", "invoice_date", "due_date", "payment_terms", "purchase_order", "currency", "subtotal", "tax_amount", "total_amount",
         F.round(overall_score(F.col("confidence_breakdown")), 4).alias("confidence"), checks.alias("validation_status"), F.when(F.col("needs_review"), "Needs Review").otherwise("Approved").alias("review_status"), "batch_id", "document_id", "filename",
@@ -158,7 +159,7 @@ def export_lines(invoices: DataFrame, vendors: DataFrame, lines: DataFrame) -> D
 
 def export_pdf_rows(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
     """The nine columns of the printed table; missing values show as a dash."""
-    df = invoices.join(vendors.select("vendor_id", F.col("canonical_name").alias("vendor")), "vendor_id", "left")
+    df = invoices.drop("vendor").join(vendors.select("vendor_id", F.col("canonical_name").alias("vendor")), "vendor_id", "left")
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—")).alias(c)
     amount = lambda c: F.coalesce(F.col(c).cast("decimal(18,2)").cast("string"), F.lit("—")).alias(c)
     return df.select("id", dash("invoice_number"), dash("vendor"), dash("invoice_date"), dash("due_date"), dash("currency"), amount("subtotal"), amount("tax_amount"), amount("total_amount"), F.when(F.col("needs_review"), "Review").otherwise("OK").alias("status"))

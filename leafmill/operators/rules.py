@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.amounts import AMOUNT, parse_amount
+from leafmill.functions.plan import once
 from leafmill.functions.text import blank, is_iso_4217, is_payment_terms, parse_date
 from leafmill.operators.schemas import MANDATORY, RESULT
 
@@ -193,7 +194,7 @@ def report(results: Column) -> Column:
 def validate(records: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """Adds ``validation_report`` to records with ``extracted`` and ``duplicate_of``."""
     get = lambda f: F.col(f) if f == "duplicate_of" else F.col(f"extracted.{f}.value")
-    return records.withColumn("validation_report", report(rule_results(get, rules)))
+    return once(records, {"_results": rule_results(get, rules)}).withColumn("validation_report", report(F.col("_results"))).drop("_results")
 
 
 def find_duplicates(invoices: DataFrame, by_tenant: bool = True) -> DataFrame:

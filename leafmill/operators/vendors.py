@@ -31,11 +31,11 @@ def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = F
     """
     names = records.filter(~blank(F.col("name"))).groupBy("workspace_id", "name").agg(F.min("arrival").alias("arrival"))
     fuzzy = fuzzy_matches(names, candidates(vendors), threshold)
-    found = fuzzy.select("workspace_id", "name", "vendor_id", F.lit("fuzzy").alias("how"), "score")
+    found = fuzzy.select("workspace_id", "name", F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("fuzzy").alias("how"), "score")
     rest = names.join(fuzzy.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
     if embed is not None and vectors is not None:
         near = vector_top1(rest.select("workspace_id", F.col("name").alias("query_id"), embed(F.col("name")).alias("embedding")), vectors, cosine_threshold)
-        near = near.select("workspace_id", F.col("query_id").alias("name"), "vendor_id", F.lit("vector").alias("how"), (F.col("score") * 100).alias("score"))
+        near = near.select("workspace_id", F.col("query_id").alias("name"), F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("vector").alias("how"), (F.col("score") * 100).alias("score"))
         found = found.unionByName(near)
         rest = rest.join(near.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
     return found.unionByName(lead_new_names(rest, threshold))
@@ -75,9 +75,14 @@ def _append(values: Column, x: Column, keep: int | None = None) -> Column:
     return F.slice(out, F.greatest(F.lit(1), F.size(out) - keep + 1), F.lit(keep)) if keep else out
 
 
+def _three(x: Column) -> Column:
+    """Rounded to three places, half up, of the decimal that the double stands for."""
+    return F.round(x.cast("decimal(18,9)"), 3).cast("double")
+
+
 def _rate(rate: Column, n: Column, b: Column) -> Column:
     x = F.when(b, 1.0).otherwise(0.0)
-    return F.round(F.when(n <= 1, x).otherwise((rate * (n - 1) + x) / n), 3)
+    return _three(F.when(n <= 1, x).otherwise((rate * (n - 1) + x) / n))
 
 
 MEMORY = "struct<invoice_count:int,avg_confidence:double,historical_invoice_numbers:array<string>,tax_ids:array<string>,tax_id:string,preferred_currency:string,preferred_payment_terms:string,rate_line_items:double,rate_purchase_order:double>"
@@ -97,7 +102,7 @@ def fold_memory(events: Column, start: Column | None = None) -> Column:
         prior = F.when(F.coalesce(m["avg_confidence"], F.lit(0.0)) == 0, e["confidence"]).otherwise(m["avg_confidence"])
         return F.struct(
             n.alias("invoice_count"),
-            F.round(ALPHA * e["confidence"] + (1 - ALPHA) * prior, 3).alias("avg_confidence"),
+            _three(ALPHA * e["confidence"] + (1 - ALPHA) * prior).alias("avg_confidence"),
             _append(m["historical_invoice_numbers"], e["number"], MAX_NUMBERS).alias("historical_invoice_numbers"),
             _append(m["tax_ids"], e["tax_id"]).alias("tax_ids"),
             F.coalesce(m["tax_id"], e["tax_id"]).alias("tax_id"),
