@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE_WORD, bounded_batches, cut, lower_ascii
+from leafmill.llm.common import SPACE_WORD, bounded_batches, cut, lower_ascii, with_place
 
 #: Low bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code (23, 12, 7); a fixed value.
 GENERATOR = 0xC75
 MAX_DISTANCE = 2
+#: Fingerprints that may be called hot.
+MAX_HOT = 1000
 
 
 @lru_cache(1)
@@ -148,8 +150,10 @@ def links(fps: DataFrame, dense: int = 64) -> DataFrame:
         return pd.Series([_forest(np.asarray(g)) for g in groups])
 
     keys = fps.mapInPandas(keyed, "key long, fp long")
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2"), "key")
-    # Grouped by a hash of the key, so that Spark may split a large key's rows in the join above.
+    # Counted apart, so that Spark may split a large key's rows in the join.
+    counted = cut(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2"))
+    shared = keys.join(counted, "key")
+    # And grouped by a hash of the key, for the same reason.
     buckets = shared.filter(F.col("n") <= dense).groupBy(F.xxhash64("key").alias("k")).agg(F.collect_list("fp").alias("fps"))
     few = buckets.select(F.explode(forest("fps")).alias("l")).select("l.u", "l.v")
     many = shared.filter(F.col("n") > dense).select("fp").distinct().mapInPandas(midpoints, "key long, fp long")
@@ -177,13 +181,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: its id, ``extra`` columns, the fingerprint ``fp`` and its component's smallest id."""
     bounded_batches(docs.sparkSession)
     d = cut(docs.select(F.col(id_col).alias("id"), *extra, fingerprint(F.col(text_col)).alias("fp")))
-    firsts = d.groupBy("fp").agg(F.min("id").alias("first"))
+    firsts = cut(d.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    copies = d.count() / MAX_HOT
     roots = components(links(firsts.select("fp"), dense))
     linked = roots.join(firsts, roots["node"] == firsts["fp"]).select("fp", "root", "first")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_linked = linked.join(smallest, "root").select("fp", "component_id")
-    of_fp = firsts.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return d.join(of_fp, "fp").select(F.col("id").alias(id_col), *extra, "fp", "component_id")
+    of_fp = firsts.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    # Fingerprints with a thousandth of all rows or more are a thousand at most: they are broadcast, so that
+    # the copies of one text need not meet in one task.
+    hot = F.broadcast(of_fp.filter(F.col("n") >= copies).select("fp", F.lit(True).alias("is_hot"), F.col("component_id").alias("hot_id")))
+    marked = d.join(hot, "fp", "left")
+    rare = marked.filter("is_hot is null").select(*d.columns).join(of_fp.filter(F.col("n") < copies).select("fp", "component_id"), "fp")
+    names = ("id", *extra, "fp", "component_id")
+    found = marked.filter("is_hot").withColumn("component_id", F.col("hot_id")).select(*names).unionByName(rare.select(*names))
+    return found.withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -191,7 +203,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by their place in the scan, as ids may repeat.
     """
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    placed = with_place(docs)
     found = near_duplicates(placed, extra=("_place",))
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("_place").alias("_place"))
     nameless = found.filter("component_id is null").groupBy("fp").agg(F.min("_place").alias("_place"))
