@@ -62,6 +62,17 @@ class Scratch:
         jvm.System.gc()
 
 
+def with_place(df: DataFrame, name: str = "_place") -> DataFrame:
+    """``df`` with a number for each row that stays the same whenever the plan runs again.
+
+    Rows of a scan have one by their place in it.  A plan with a shuffle may deal its rows otherwise the
+    next time, so its result is written to the shared folder first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = Scratch(df.sparkSession).table("placed", df)
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that all executors share and cut its lineage there.
 

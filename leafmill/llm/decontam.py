@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bounded_batches, cut, lower_ascii
+from leafmill.llm.common import bounded_batches, cut, lower_ascii, with_place
 
 #: Letters a-z, digits and everything beyond ASCII, after A-Z are lower-cased.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -181,7 +181,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: DecontamPa
     if second is None:
         out = docs.select(*kept, _searcher(first, params)(text).alias("_f")).select(*kept, "_f.*")
     else:
-        placed, parts = docs.withColumn("_place", F.monotonically_increasing_id()), []
+        placed, parts = with_place(docs), []
         for block in _chain(first, second, blocks):
             parts.append(cut(placed.select("_place", _searcher(block, params)(text).alias("_f")).select("_place", "_f.n_words", "_f.matches")))
         united = parts[0]

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, with_place
 
 SPAN = "struct<kind:string,start:long,end:long>"
 #: Kinds of the fixed patterns, in their order; ``term`` follows.
@@ -132,18 +132,18 @@ def _small(df: DataFrame, params: PiiParams) -> DataFrame:
 def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``terms``: spans of the patterns, and of the terms that give them away with their disclosure."""
     kept = [c for c in docs.columns if c not in ("base", "terms")]
-    placed = docs.withColumns({"_place": F.monotonically_increasing_id(), "_text": F.coalesce(F.col(text_col), F.lit(""))})
+    placed = with_place(docs.select(*kept)).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     spans = cut(placed.select("_place", F.xxhash64("_text").alias("hash"), base_spans(F.col("_text")).alias("base"), "_text").withColumn("around", F.transform("base", lambda s: F.concat_ws(" ", F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] - params.context + 1).cast("int"), F.least(s["start"], F.lit(params.context)).cast("int")), F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(params.context))))).drop("_text").filter(F.size("base") > 0))
     found = spans.select(F.col("_place").alias("place"), "hash", F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", "hash", F.concat_ws(":", "s.base.kind", "s.base.value").alias("entity"), F.col("s.around").alias("near"))
     words = placed.select("_place", F.explode(_words(F.col("_text"), params.min_length)).alias("term"))
     flagged = cut(disclosing_terms(found, words, docs.agg(F.count("*").alias("n_docs")), params))
-    holding = cut(words.join(_small(flagged, params), "term").groupBy("_place").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("scores")))
+    holding = cut(words.join(_small(flagged, params), "term").groupBy("_place").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_scores")))
     # Base spans and terms of a document, by its place.
-    extra = spans.select("_place", "base").join(holding, "_place", "full")
-    pattern = F.concat(F.lit(rf"(?<!{LETTER})(?:"), F.array_join(F.map_keys("scores"), "|"), F.lit(rf")(?!{LETTER})"))
-    base = F.coalesce(F.col("base"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>"))
+    extra = spans.select("_place", F.col("base").alias("_base")).join(holding, "_place", "full")
+    pattern = F.concat(F.lit(rf"(?<!{LETTER})(?:"), F.array_join(F.map_keys("_scores"), "|"), F.lit(rf")(?!{LETTER})"))
+    base = F.coalesce(F.col("_base"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>"))
     hits = F.filter(matches(F.col("_text"), pattern, F.lit("term")), lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    terms = F.when(F.col("scores").isNotNull(), F.transform(hits, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.element_at(F.col("scores"), m["value"]).alias("disclosure")))).otherwise(F.array())
+    terms = F.when(F.col("_scores").isNotNull(), F.transform(hits, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.element_at(F.col("_scores"), m["value"]).alias("disclosure")))).otherwise(F.array())
     joined = placed.join(_small(extra, params), "_place", "left")
     return joined.select(*kept, base.alias("base"), terms.alias("terms"))
 

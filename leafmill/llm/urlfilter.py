@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, with_place
 
 
 @dataclass(frozen=True)
@@ -147,10 +147,9 @@ def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Colum
 def _first_listed(df: DataFrame, keys: str, cascade: Cascade | None, listed: DataFrame, out: str) -> DataFrame:
     """Adds ``out``: the first of the array column ``keys`` that is listed."""
     if cascade is None:  # a list beyond the bound: the same by a shuffled semi join
-        rid = df.withColumn("_rid", F.monotonically_increasing_id())
-        hits = rid.select("_rid", F.posexplode(keys).alias("_i", "key")).join(listed.select("key").hint("shuffle_hash"), "key", "left_semi")
-        first = hits.groupBy("_rid").agg(F.min_by("key", "_i").alias(out))
-        return rid.join(first, "_rid", "left").drop("_rid")
+        hits = df.select("_place", F.posexplode(keys).alias("_i", "key")).join(listed.select("key").hint("shuffle_hash"), "key", "left_semi")
+        first = hits.groupBy("_place").agg(F.min_by("key", "_i").alias(out))
+        return df.join(first, "_place", "left")
 
     @F.pandas_udf("int")
     def first(h1: pd.Series, h2: pd.Series) -> pd.Series:
@@ -177,7 +176,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], blocked: DataFrame | list[s
     of_rules = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = url_parts(F.col(url_col).cast("string"))
-    base = pages.withColumns({"_url_host": host, "_url_path": path}).select(*kept, F.col("_url_host").alias("host"), F.col("_url_path").alias("path"))
+    base = with_place(pages).withColumns({"_url_host": host, "_url_path": path}).select("_place", *kept, F.col("_url_host").alias("host"), F.col("_url_path").alias("path"))
     # A blocked host counts as "host/", whatever the path.
     asked = base.withColumns({"_r": candidate_keys(F.col("host"), F.col("path"), sorted({len(r.path) for r in rules} or {1})), "_h": candidate_keys(F.col("host"), F.lit("/"), [1])})
     parts = asked.select("host", "path").distinct().withColumns({"_r": candidate_keys(F.col("host"), F.col("path"), sorted({len(r.path) for r in rules} or {1})), "_h": candidate_keys(F.col("host"), F.lit("/"), [1])})
