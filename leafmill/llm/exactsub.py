@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Scratch, bounded_batches
+from leafmill.llm.common import Scratch, bounded_batches, with_place
 
 U = np.uint64
 ANCHOR = "place long, lo int, hi int, off int, h long, c long"
@@ -194,7 +194,9 @@ def find_repeats(placed: DataFrame, tmp: Scratch, p: RepeatParams = RepeatParams
 
     docs = placed.select("place", F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.length)
     every = docs.mapInPandas(all_anchors, ANCHOR)
-    shared = tmp.table("shared", every.join(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "h"))
+    # Counts are tables of their own, so that Spark may split a large bucket's rows in the joins.
+    twins = tmp.table("twins", every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    shared = tmp.table("shared", every.join(twins, "h"))
     del every
 
     # 2. What an anchor covers, as a whole.
@@ -202,22 +204,23 @@ def find_repeats(placed: DataFrame, tmp: Scratch, p: RepeatParams = RepeatParams
     whole = tmp.table("whole", shared.groupBy(F.xxhash64("h", "c").alias("k"), "c").agg(F.count("*").alias("n"), F.min(member).alias("m")).select("n", "m.*"))
     alone = whole.filter("n = 1").drop("n")
     repeated = tmp.table("repeated", shared.join(alone.select("place", "lo"), ["place", "lo"], "left_anti").select("place", "lo", "hi"))
-    witness = whole.filter("n > 1").drop("n").join(alone.select("h").distinct(), "h", "left_semi")
+    unsure = tmp.table("unsure", alone.select("h").distinct())
+    witness = whole.filter("n > 1").drop("n").join(unsure, "h", "left_semi")
     wanted = alone.withColumn("open", F.lit(True)).unionByName(witness.withColumn("open", F.lit(False)))
-    tmp.drop("shared")
+    tmp.drop("shared", "twins")
 
     # 3. Blocks of offsets. From here on the bytes that the windows cover travel with the anchors.
     lists = wanted.groupBy("place").agg(F.collect_list(F.struct("lo", "hi", "off", "h", "open")).alias("wanted"))
     spread = tmp.table("spread", docs.join(lists, "place").mapInPandas(contexts, "place long, lo int, hi int, off int, h long, open boolean, data binary"))
-    del shared, alone, witness, wanted, lists
-    tmp.drop("whole")
+    del shared, twins, unsure, alone, witness, wanted, lists
+    tmp.drop("whole", "unsure")
     cutup = tmp.table("cutup", spread.mapInPandas(blocks, "place long, lo int, hi int, open boolean, key long, c long"))
     classes = cutup.groupBy(F.xxhash64("key", "c").alias("k"), "key", "c").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(F.struct("place", "lo", "hi", "open")).alias("m"))
     classes = tmp.table("classes", classes.select("key", "c", "n", "open", "m"))
     same = tmp.table("same", cutup.filter("open").join(classes.filter("n > 1 and open").select("key", "c"), ["key", "c"]).select("place", "lo", "hi"))
     del cutup
     tmp.drop("cutup")
-    split = classes.groupBy("key").agg(F.count("*").alias("n_classes"), F.max(F.expr("n = 1 and open")).alias("unsure")).filter("n_classes > 1 and unsure").select("key")
+    split = tmp.table("split", classes.groupBy("key").agg(F.count("*").alias("n_classes"), F.max(F.expr("n = 1 and open")).alias("unsure")).filter("n_classes > 1 and unsure").select("key"))
     ones = classes.join(split, "key", "left_semi").select("m.place", "m.lo", "m.hi", F.expr("n = 1 and open").alias("open"))
 
     # 4. Window by window.
@@ -225,8 +228,8 @@ def find_repeats(placed: DataFrame, tmp: Scratch, p: RepeatParams = RepeatParams
     owned = ones.join(of_anchor, "place").filter("lo >= a_lo and hi <= a_hi").groupBy("place", "a_lo").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("wanted")).withColumnRenamed("a_lo", "lo")
     single = tmp.table("single", spread.select("place", "lo", "data").join(owned, ["place", "lo"]).mapInPandas(windows, "place long, lo int, open boolean, w1 long, w2 long"))
     del spread, classes, split, ones, of_anchor, owned
-    tmp.drop("spread", "classes")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    tmp.drop("spread", "classes", "split")
+    twice = tmp.table("twice", single.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
     last = single.filter("open").join(twice, ["w1", "w2"]).select("place", "lo", F.col("lo").alias("hi"))
     return repeated.unionByName(same).unionByName(last)
 
@@ -246,13 +249,13 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), text_col:
     """``docs`` with n_bytes, the removed ``spans`` (bytes) and the ``kept`` bytes."""
     results = ("n_bytes", "spans", "kept")
     names = [c for c in docs.columns if c not in results]
-    placed = docs.withColumn("place", F.monotonically_increasing_id())
+    placed = with_place(docs, "place")
     bounded_batches(docs.sparkSession)
     tmp = Scratch(docs.sparkSession)
     ranges = find_repeats(placed.select("place", F.col(text_col).alias("text")), tmp, p)
     found = tmp.table("found", ranges.groupBy("place").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     del ranges
-    tmp.drop("repeated", "same", "single")
+    tmp.drop("repeated", "same", "single", "twice")
 
     @F.pandas_udf(RESULT)
     def remove(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
