@@ -13,7 +13,7 @@ from leafmill.plans.registry import query
 from leafmill.plans.sql import with_views
 from leafmill.sources import domain as D
 from leafmill.sources.domain import table
-from leafmill.sources.seeds import seed_vendors, synthetic_invoices
+from leafmill.sources.seeds import SYNTHETIC, seed_vendors, synthetic_invoices
 from leafmill.sources.sinks import notices
 
 
@@ -67,9 +67,12 @@ def q_seed_vendors(spark, sf):
     return seed_vendors(spark, "w", known).select("canonical_name", F.size("aliases").alias("n_aliases"))
 
 
-@query("q_synthetic_invoices", "SELECT * FROM (VALUES ('ACM-2024-001', 8100.00::DECIMAL(18,2), 648.00::DECIMAL(18,2), 8748.00::DECIMAL(18,2)), ('ACM-2024-002', 4300.00, 344.00, 4644.00), ('BETA-2024-0042', 4500.00, 0.00, 4500.00)) t(invoice_number, subtotal, tax_amount, total_amount)")
+_SYNTHETIC_SQL = " UNION ALL ".join(f"SELECT '{v}' AS vendor_name, '{n}' AS invoice_number, CAST({' + '.join(f'{q} * {p!r}' for q, p in li)} AS DECIMAL(18,2)) AS subtotal, {r!r} AS rate" for v, n, _, r, li in SYNTHETIC)
+
+
+@query("q_synthetic_invoices", f"SELECT vendor_name, invoice_number, subtotal, CAST(subtotal * rate AS DECIMAL(18,2)) AS tax_amount, CAST(subtotal + CAST(subtotal * rate AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS total_amount FROM ({_SYNTHETIC_SQL})")
 def q_synthetic_invoices(spark, sf):
-    return synthetic_invoices(spark).select("invoice_number", "subtotal", "tax_amount", "total_amount")
+    return synthetic_invoices(spark).select("vendor_name", "invoice_number", "subtotal", "tax_amount", "total_amount")
 
 
 @query("q_products_fold")

@@ -27,6 +27,15 @@ SYNTHETIC = (
     ("Acme Corp", "ACM-2024-001", "USD", 0.08, ((40, 150.0), (8, 200.0), (5, 100.0))),
     ("ACME Corporation", "ACM-2024-002", "USD", 0.08, ((20, 175.0), (1, 800.0))),
     ("Beta Inc", "BETA-2024-0042", "USD", 0.0, ((1, 4500.0),)),
+    ("Beta Incorporated", "BETA-2024-0043", "USD", 0.0, ((1, 4500.0), (1, 500.0), (3, 200.0))),
+    ("Gamma Services LLC", "GS-INV-2024-0123", "USD", 0.0, ((720, 0.12), (500, 0.023), (120, 0.09), (1, 65.0))),
+    ("Delta Solutions", "DS-2024-INV-789", "USD", 0.10, ((4, 3200.0), (16, 180.0), (8, 220.0), (1, 1500.0))),
+    ("Epsilon Technology", "EPS-2024-UK-0056", "EUR", 0.20, ((1, 8500.0), (1, 1200.0), (10, 150.0))),
+    ("XYZ Consulting", "", "USD", 0.0, ((1, 2500.0),)),
+    ("Zeta Analytics Partners", "ZAP-2024-001", "USD", 0.08, ((1, 3200.0), (40, 125.0))),
+    ("Delta Solutions Inc", "DS-2024-INV-999", "USD", 0.10, ((25, 899.0), (25, 450.0), (25, 99.0), (25, 79.0), (25, 149.0), (25, 129.0), (25, 45.0))),
+    ("Acme Corp", "ACM-2024-UK-011", "GBP", 0.0, ((1, 2800.0), (15, 220.0))),
+    ("Gamma LLC", "GS-2024-ANNUAL-001", "USD", 0.08, ((1, 15000.0), (1, 3600.0), (1, 2500.0), (10, 200.0))),
 )
 
 
