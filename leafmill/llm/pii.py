@@ -8,8 +8,8 @@ Terms at ``generalise`` or above are found wherever they occur and replaced by t
 or above by nothing.  Only pairs in at least ``min_support`` distinct texts count, as a pair seen once
 tells nothing.
 
-Counts cover all documents.  Terms that disclose are broadcast while they are few (``max_broadcast``
-rows) and shuffled beyond that; so are the documents that hold one.
+Counts cover all documents.  Terms that disclose are broadcast while they are few
+(``max_broadcast``) and shuffled beyond that; so are the documents' spans.
 
 Defined results: a null or empty text has no spans; spans of different kinds may overlap, a term's span
 does not overlap a pattern's; copies count as one text in the support, and every row is judged by
@@ -50,6 +50,7 @@ class PiiParams:
     min_support: int = 3
     generalise: float = 0.90
     remove: float = 0.98
+    #: Terms, or spans and terms of documents, that may be broadcast: a few megabytes.
     max_broadcast: int = 100_000
 
 
@@ -124,9 +125,10 @@ def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: DataFrame, para
     return scored.select("term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= params.generalise)
 
 
-def _small(df: DataFrame, params: PiiParams) -> DataFrame:
-    """``df``, to be broadcast if it is small."""
-    return F.broadcast(df) if df.limit(params.max_broadcast + 1).count() <= params.max_broadcast else df
+def _small(df: DataFrame, params: PiiParams, elements: Column | None = None) -> DataFrame:
+    """``df``, to be broadcast if it is small; ``elements`` counts what a row holds."""
+    total = df.agg(F.sum(F.lit(1) if elements is None else elements)).first()[0] or 0
+    return F.broadcast(df) if total <= params.max_broadcast else df
 
 
 def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "text") -> DataFrame:
@@ -144,7 +146,8 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_co
     base = F.coalesce(F.col("_base"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>"))
     hits = F.filter(matches(F.col("_text"), pattern, F.lit("term")), lambda m: ~F.exists(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
     terms = F.when(F.col("_scores").isNotNull(), F.transform(hits, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.element_at(F.col("_scores"), m["value"]).alias("disclosure")))).otherwise(F.array())
-    joined = placed.join(_small(extra, params), "_place", "left")
+    held = F.lit(1) + F.coalesce(F.size("_base"), F.lit(0)) + F.coalesce(F.size("_scores"), F.lit(0))
+    joined = placed.join(_small(extra, params, held), "_place", "left")
     return joined.select(*kept, base.alias("base"), terms.alias("terms"))
 
 
