@@ -112,16 +112,16 @@ def _words(text: Column, min_length: int) -> Column:
     return F.array_distinct(F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}]+"), lambda w: (F.length(w) >= min_length) & ~w.rlike("^[0-9]+$")))
 
 
-def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: DataFrame, params: PiiParams) -> DataFrame:
+def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: int, params: PiiParams) -> DataFrame:
     """(term, disclosure) above the lower threshold.  ``found``: place, hash, entity and the text near it."""
     near = found.select("entity", "place", "hash", F.explode(_words(F.col("near"), params.min_length)).alias("term"))
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("n_both"), F.countDistinct("hash").alias("support")).filter(F.col("support") >= params.min_support)
     entities = found.groupBy("entity").agg(F.countDistinct("place").alias("n_entity"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.col("n_docs").cast("double")
+    n = F.lit(float(n_docs))
     ic = F.log2(n / F.col("n_entity"))
     pmi = F.log2(n * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
-    scored = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(n_docs))
+    scored = pairs.join(entities, "entity").join(terms, "term")
     return scored.select("term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= params.generalise)
 
 
@@ -138,7 +138,7 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_co
     spans = cut(placed.select("_place", F.xxhash64("_text").alias("hash"), base_spans(F.col("_text")).alias("base"), "_text").withColumn("around", F.transform("base", lambda s: F.concat_ws(" ", F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] - params.context + 1).cast("int"), F.least(s["start"], F.lit(params.context)).cast("int")), F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(params.context))))).drop("_text").filter(F.size("base") > 0))
     found = spans.select(F.col("_place").alias("place"), "hash", F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", "hash", F.concat_ws(":", "s.base.kind", "s.base.value").alias("entity"), F.col("s.around").alias("near"))
     words = placed.select("_place", F.explode(_words(F.col("_text"), params.min_length)).alias("term"))
-    flagged = cut(disclosing_terms(found, words, docs.agg(F.count("*").alias("n_docs")), params))
+    flagged = cut(disclosing_terms(found, words, docs.count(), params))
     holding = cut(words.join(_small(flagged, params), "term").groupBy("_place").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_scores")))
     # Base spans and terms of a document, by its place.
     extra = spans.select("_place", F.col("base").alias("_base")).join(holding, "_place", "full")

@@ -36,7 +36,7 @@ class QualityParams:
     max_repeat_percent: int = 50
     #: A word is common if it makes up this share of its language's words: 1 / min_share words at most.
     min_share: float = 0.002
-    #: A language needs this share of all words to be a reference: 1 / min_language_share languages at most.
+    #: A language needs this share of all documents to be a reference: 1 / min_language_share languages at most.
     min_language_share: float = 0.001
     min_language_words: int = 2_000
     #: Minimum-length guards, in code points and in words.
@@ -88,12 +88,13 @@ def language_reference(docs: DataFrame, params: QualityParams = QualityParams(),
     bounded_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    some = docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).filter(F.col("n") >= params.min_language_share * docs.count())
+    languages = [r["lang"] for r in some.collect()]
     word = F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"))
-    counts = docs.select(lang.alias("lang"), word.alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = totals.agg(F.sum("total").alias("everything"))
-    big = totals.crossJoin(F.broadcast(everything)).filter((F.col("total") >= params.min_language_words) & (F.col("total") >= params.min_language_share * F.col("everything")))
-    common = counts.join(F.broadcast(big.select("lang", "total")), "lang").filter(F.col("n") >= params.min_share * F.col("total"))
+    counts = docs.filter(lang.isin(languages)).select(lang.alias("lang"), word.alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # As many rows as languages at most, whose number their minimum share bounds.
+    big = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= params.min_language_words)
+    common = counts.join(F.broadcast(big), "lang").filter(F.col("n") >= params.min_share * F.col("total"))
     words: dict = {}
     for r in common.collect():
         words.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["total"]
