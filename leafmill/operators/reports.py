@@ -64,10 +64,10 @@ def search(
         df = df.filter(F.col("document_status") == "failed")
     if min_confidence is not None:
         df = df.filter(overall_score(F.col("confidence_breakdown")) >= min_confidence)
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*")).scalar()
     page = df.orderBy(F.desc("created_at"), "id").offset(offset)
-    page = (page if limit is None else page.limit(limit)).crossJoin(F.broadcast(total))
-    return page.select("id", "document_id", "invoice_number", F.col("canonical_name").alias("vendor_name"), "invoice_date", shown_amount(F.col("total_amount")).alias("total_amount"), "currency", "needs_review", "filename", "document_status", "total")
+    page = page if limit is None else page.limit(limit)
+    return page.select("id", "document_id", "invoice_number", F.col("canonical_name").alias("vendor_name"), "invoice_date", shown_amount(F.col("total_amount")).alias("total_amount"), "currency", "needs_review", "filename", "document_status", total.alias("total"))
 
 
 def review_queue(invoices: DataFrame, documents: DataFrame, vendors: DataFrame, workspace: str | None = None, limit: int | None = 100) -> DataFrame:
