@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below the session's ``spark.checkpoint.dir``, or where none is
+    named, as in tests, below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are computed once for each row, however often later expressions use them.
 

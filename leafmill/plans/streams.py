@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from leafmill.functions.plan import shared_folder
 from leafmill.plans.registry import query
 from leafmill.plans.records import _EVENTS, memory_events
 from leafmill.plans.sql import VIEWS
@@ -40,6 +41,15 @@ def q_stream_dedup(spark, sf):
     return S.run_once(S.first_seen(keyed, "h"), f"d_{uuid.uuid4().hex}", "append").select("user_id", "event_type")
 
 
+@query("q_stream_memory", f"WITH {VIEWS}, {_EVENTS} SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) AS preferred_currency, CAST(least(500, count(DISTINCT number)) AS INTEGER) AS n_numbers FROM ev GROUP BY 1, 2")
+def q_stream_memory(spark, sf):
+    folder = shared_folder(spark, "memory_events")
+    events = memory_events(spark, sf).select("workspace_id", "vendor_id", "ord", "number", "currency", "confidence")
+    events.write.parquet(folder)
+    out = S.run_once(S.memory_stream(S.event_stream(spark, folder, events.schema, 10_000)), f"m_{uuid.uuid4().hex}")
+    return out.select("workspace_id", "vendor_id", "invoice_count", "preferred_currency", "n_numbers")
+
+
 @query("q_memory_batch_counts", f"WITH {VIEWS}, {_EVENTS} SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) AS preferred_currency FROM ev GROUP BY 1, 2")
 def q_memory_batch_counts(spark, sf):
     e = memory_events(spark, sf)

@@ -23,6 +23,21 @@ def write_json(df: DataFrame, path: str, json_col: str = "json") -> None:
     df.select(F.col(json_col).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_bundle(tables: dict[str, DataFrame], path: str, workspace: str) -> dict[str, DataFrame]:
+    """A tenant's invoices as JSON, its sheets as CSV, each in a folder of the bundle; then the tables without the tenant.
+
+    ``tables`` holds at least invoices, documents, vendors and line_items.
+    """
+    from leafmill.operators.reports import export_invoices, export_json, export_lines, tenant
+    from leafmill.operators.state import purge
+
+    own = tenant(tables["invoices"], workspace)
+    write_json(export_json(own, tables["line_items"]), f"{path}/json")
+    write_csv(export_invoices(own, tables["documents"], tables["vendors"]), f"{path}/invoices")
+    write_csv(export_lines(own, tables["vendors"], tables["line_items"]), f"{path}/lines")
+    return purge(tables, own.sparkSession.createDataFrame([(workspace,)], "workspace_id string"))
+
+
 def notices(documents: DataFrame) -> DataFrame:
     """What a webhook says about documents that are complete or need review."""
     body = F.to_json(F.struct(F.col("id").alias("document_id"), "status", "needs_review", "review_reasons"))

@@ -130,3 +130,16 @@ def test_metrics(spark):
     df = spark.createDataFrame(list(zip([True, True, False, False, True], [True, False, True, False, True])), "truth boolean, predicted boolean")
     r = precision_recall(df).first()
     assert round(r["precision"], 6) == round(r["recall"], 6) == round(2 / 3, 6) and r["support"] == 3
+
+
+def test_bundle_and_purge(spark, tmp_path):
+    from leafmill.plans.reading import positioned
+    from leafmill.sources import domain as D
+    from leafmill.sources.sinks import write_bundle
+
+    sf = "/root/testdata/sf0.001"
+    tables = {"invoices": D.invoices(spark, sf).withColumn("validation_report", F.lit(None).cast("string")), "documents": D.documents(spark, sf), "vendors": D.vendors(spark, sf), "line_items": positioned(D.lines(spark, sf))}
+    n = tables["invoices"].filter("workspace_id = 'ws1'").count()
+    left = write_bundle(tables, str(tmp_path / "bundle"), "ws1")
+    assert spark.read.json(str(tmp_path / "bundle/json")).count() == n and left["invoices"].filter("workspace_id = 'ws1'").count() == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "bundle/invoices")).count() == n and len(left["line_items"].columns) == len(tables["line_items"].columns)
