@@ -35,6 +35,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
 SILENT = set("head select option button svg math object datalist canvas audio video".split())
 ENDS_P = BLOCK - {"html", "body"}
+P_SCOPE = ENDS_P - {"p"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}}
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -138,11 +139,11 @@ def parse(html: str) -> Node:
                 silent.clear()
             if shut:
                 flush()
-                close({tag}, set() if tag != "p" else ENDS_P - {"p"})
+                close({tag}, set() if tag != "p" else P_SCOPE)
             else:
                 flush()
                 if tag in ENDS_P:
-                    close({"p"}, ENDS_P - {"p"})
+                    close({"p"}, P_SCOPE)
                 if tag in ENDS:
                     close(ENDS[tag], SCOPE[tag])
                 if tag != "hr":
