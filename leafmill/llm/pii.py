@@ -39,7 +39,8 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-_BYTE = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+# Zeros alone, or any zeros before a number from 1 to 255.
+_BYTE = "(?:0++(?![0-9])|0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
 LETTER = r"[\p{L}\p{N}]"
 
 

@@ -260,6 +260,18 @@ def test_personal_data(spark, docs, rows):
     assert find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    from leafmill.llm.pii import find_personal_data, sanitise
+
+    texts = ["at 10.0.0.1.", "192.168.0.1", "0.0.0.0", "000.1.2.3", "1.2.3.00", "010.020.0030.255", "0.0.0.256", "0256.0.0.1", "00.0.0000000300.1", "0" * 4000 + "1.0.0.0", "8.8.8.8 and 100.200.099.9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: [tuple(s)[:3] for s in r["base"] if s["kind"] == "ip"] for r in find_personal_data(df).collect()}
+    assert got == {i: [s for s in brute.pii_base(t) if s[0] == "ip"] for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(11)] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 1, 2]
+    clean = {r["doc_id"]: r["text"] for r in sanitise(df).collect()}
+    assert clean[0] == "at <ip>." and clean[3] == "<ip>" and clean[6] == texts[6]
+
+
 def test_terms_that_give_a_person_away(spark):
     from leafmill.llm.pii import PiiParams, find_personal_data, sanitise
 
