@@ -2,10 +2,12 @@
 
 Labelled credentials of one format make a prefix tree over character classes and literal separators.
 States whose outgoing frequencies are statistically compatible (Hoeffding bound, recursively) are merged
-into a probabilistic automaton (ALERGIA).  A candidate, any long run of credential characters that holds
-a digit and a letter, is scored by every automaton: its log-likelihood a character over that of a
-background model of ordinary text.  Above ``min_score`` it is a secret of the best format.  Fixed
-patterns for assignments, access keys and hexadecimal runs find their spans besides.
+into a probabilistic automaton (ALERGIA).  In every long run of credential characters the automata start
+wherever they accept the four characters of a mark; a substring that ends
+before a separator or with the run is scored by its log-likelihood a character over that of a background
+model of ordinary text.  Above ``min_score`` it may be a secret; of those that overlap, the ones whose
+likelihoods over the background's have the greatest sum are taken.  A run without one is scored whole.
+Fixed patterns for assignments, access keys and hexadecimal runs find their spans besides.
 
 The labelled rows are bounded: ``max_labelled`` a format are used, chosen by hash; the automata are small
 and travel with the tasks.  Everything that is scanned is scanned whole.
@@ -36,7 +38,8 @@ BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{16,}")  # the runs of 16 and more among the longest runs [0-9a-f]+
-_CANDIDATE = re.compile("[A-Za-z0-9+/_.=-]{16,}")
+MIN_LENGTH, SEPARATORS, MARK = 16, "+/_.=-", 4
+_CANDIDATE = re.compile("[A-Za-z0-9+/_.=-]{%d,}" % MIN_LENGTH)
 
 
 @dataclass(frozen=True)
@@ -152,10 +155,55 @@ class Grammars:
                 best = (name, total)
         return best[0], (best[1] - ordinary) / (len(text) + 1)
 
+    def _from(self, run: str, syms: list[str], ordinary: list[float], at: int) -> list[tuple[str, int, float]]:
+        """Format, end and log-likelihood over the background's of every credential that can start at ``at`` of a run."""
+        floor, out = math.log(self.params.floor), []
+        first = self.background.get(("", syms[at]), floor)
+        for name, table in self.tables.items():
+            q, total, missed, ends = 0, 0.0, False, []
+            for i in range(at, len(run)):
+                c = "=" + run[i] if i < at + MARK else syms[i]
+                if i < at + MARK and c not in table[q]:
+                    break
+                missed |= c not in table[q]
+                q, p = table[q].get(c, (q, floor))
+                total += p - (first if i == at else ordinary[i])
+                # Two symbols unheard of, and nothing to make up for them.
+                if total < 2 * floor:
+                    break
+                n = i + 1 - at
+                if n >= MIN_LENGTH and (i + 1 == len(run) or run[i + 1] in SEPARATORS):
+                    whole = total + table[q].get("", (q, floor))[1] - self.background.get((syms[i], ""), floor)
+                    if whole >= self.params.min_score * (n + 1):
+                        # A separator that the format can hold does not end it: no tail may stay in the text.
+                        ends = [*(ends if missed else ()), (name, i + 1, whole)]
+            out += ends
+        return out
+
+    def find(self, run: str) -> list[tuple[str, int, int]]:
+        """(format, start, end) of the credentials in a run of their characters: those apart from each other whose sum is greatest."""
+        floor, syms = math.log(self.params.floor), [symbol(c) for c in run]
+        ordinary = [self.background.get(p, floor) for p in zip(["", *syms], syms)]
+        best, taken = [0.0] * (len(run) + 1), {}
+        for at in range(len(run) - MIN_LENGTH, -1, -1):
+            best[at] = best[at + 1]
+            for name, end, gain in self._from(run, syms, ordinary, at):
+                if gain + best[end] > best[at]:
+                    best[at], taken[at] = gain + best[end], (name, end)
+        out, at = [], 0
+        while at < len(run):
+            if at in taken:
+                out.append((taken[at][0], at, taken[at][1]))
+            at = taken[at][1] if at in taken else at + 1
+        if not out:
+            name, score = self.score(run)
+            out = [(name, 0, len(run))] if score >= self.params.min_score else []
+        return out
+
 
 def _path(text: str) -> list[str]:
     """Symbols of a credential; its first four characters, where formats have their mark, stand for themselves."""
-    return [("=" + c) if i < 4 else symbol(c) for i, c in enumerate(text)]
+    return [("=" + c) if i < MARK else symbol(c) for i, c in enumerate(text)]
 
 
 #: Publicly documented credential formats: mark, alphabet of the rest, its lengths. Fixed values.
@@ -219,11 +267,7 @@ def find_spans(text: str | None, grammars: Grammars) -> list[tuple[str, int, int
         return []
     out = base_spans(text)
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not s.isalpha() and any(map(str.isdigit, s)) and any(map(str.isalpha, s)):
-            name, score = grammars.score(s)
-            if score >= grammars.params.min_score:
-                out.append((f"format_{name}", m.start(), m.end()))
+        out += [(f"format_{name}", m.start() + a, m.start() + z) for name, a, z in grammars.find(m[0])]
     order = {k: i for i, k in enumerate(BASE_KINDS)}
     return sorted(out, key=lambda x: (x[1], order.get(x[0], len(order)), x[0], x[2]))
 
