@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import SPACE_WORD, bounded_batches
@@ -36,8 +36,8 @@ class QualityParams:
     max_repeat_percent: int = 50
     #: A word is common if it makes up this share of its language's words: 1 / min_share words at most.
     min_share: float = 0.002
-    #: A language needs this share of all documents to be a reference: 1 / min_language_share languages at most.
-    min_language_share: float = 0.001
+    #: References of languages with this share of all documents travel with the tasks, 1 / hot_language_share at most; others are joined.
+    hot_language_share: float = 0.001
     min_language_words: int = 2_000
     #: Minimum-length guards, in code points and in words.
     min_chars_compared: int = 200
@@ -48,10 +48,18 @@ class QualityParams:
 
 @dataclass(frozen=True)
 class Reference:
-    """Per language: shares of the character classes, and of the common words."""
+    """Per language: shares of the character classes, and of the common words.
+
+    ``rest`` has those of the languages that are not ``hot`` as rows of _lang and ``REST``.
+    """
 
     chars: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
+    hot: tuple = ()
+    rest: DataFrame | None = None
+
+
+REST = ("_words", "_shares", "_chars")
 
 
 def _class_table() -> np.ndarray:
@@ -84,32 +92,73 @@ def js_distance(p: dict, q: dict) -> float:
 
 
 def language_reference(docs: DataFrame, params: QualityParams = QualityParams(), text_col: str = "text", lang_col: str = "lang") -> Reference:
-    """Statistics of all documents.  What reaches the driver is bounded by the two minimum shares."""
+    """Statistics of all documents.  What reaches the driver is bounded by the shares of hot languages and common words."""
     bounded_batches(docs.sparkSession)
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    lang = _language(lang_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).filter(F.col("n") >= params.min_language_share * docs.count())
-    languages = [r["lang"] for r in some.collect()]
-    word = F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"))
-    counts = docs.filter(lang.isin(languages)).select(lang.alias("lang"), word.alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # As many rows as languages at most, whose number their minimum share bounds.
-    big = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= params.min_language_words)
-    common = counts.join(F.broadcast(big), "lang").filter(F.col("n") >= params.min_share * F.col("total"))
-    words: dict = {}
-    for r in common.collect():
-        words.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["total"]
-    for shares in words.values():
-        shares[None] = max(0.0, 1.0 - sum(shares.values()))
+    n_docs = docs.count()
+    some = docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).filter(F.col("n") >= params.hot_language_share * n_docs).collect()
+    hot = [r["lang"] for r in some]
 
     @F.pandas_udf("array<long>")
     def histogram(texts: pd.Series) -> pd.Series:
         return pd.Series([char_histogram(t).tolist() for t in texts])
 
-    h = docs.filter(lang.isin(list(words))).select(lang.alias("lang"), histogram(text).alias("h"))
-    chars = {r["lang"]: {i: r[f"c{i}"] / max(1, sum(r[f"c{j}"] for j in range(8))) for i in range(8)} for r in h.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"c{i}") for i in range(8)]).collect()} if words else {}
+    def common_words(rows: DataFrame, hint) -> DataFrame:
+        word = F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"))
+        counts = rows.select(lang.alias("lang"), word.alias("word")).filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+        big = counts.groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= params.min_language_words)
+        return counts.join(hint(big), "lang").filter(F.col("n") >= params.min_share * F.col("total"))
+
+    def classes(rows: DataFrame) -> DataFrame:
+        h = rows.select(lang.alias("lang"), histogram(text).alias("h"))
+        return h.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"c{i}") for i in range(8)])
+
+    words: dict = {}
+    # As many rows as hot languages at most.
+    for r in common_words(docs.filter(lang.isin(hot)), F.broadcast).collect():
+        words.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["total"]
+    for shares in words.values():
+        shares[None] = max(0.0, 1.0 - sum(shares.values()))
+    chars = {r["lang"]: {i: r[f"c{i}"] / max(1, sum(r[f"c{j}"] for j in range(8))) for i in range(8)} for r in classes(docs.filter(lang.isin(list(words)))).collect()} if words else {}
+    if sum(r["n"] for r in some) == n_docs:
+        return Reference(chars, words, tuple(hot))
+    others = docs.filter(~lang.isin(hot))
+    of_words = common_words(others, lambda df: df).groupBy("lang").agg(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))).alias("w"))
+    total = F.greatest(F.lit(1), sum((F.col(f"c{i}") for i in range(1, 8)), F.col("c0")))
+    of_chars = classes(others).select("lang", F.array(*[F.col(f"c{i}") / total for i in range(8)]).alias("_chars"))
+    rest = of_words.join(of_chars, "lang").select(F.col("lang").alias("_lang"), F.col("w.word").alias("_words"), F.col("w.share").alias("_shares"), "_chars")
+    return Reference(chars, words, tuple(hot), rest)
+
+
+def _language(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+
+
+def _of_rows(langs: pd.Series, rest: tuple[pd.Series, ...], ref: Reference) -> Reference:
+    """The reference of a batch: ``ref``, or what was joined to the rows."""
+    if not rest:
+        return ref
+    chars: dict = {}
+    words: dict = {}
+    for lang, names, shares, classes in zip(langs, *rest):
+        key = lang if isinstance(lang, str) else ""
+        if names is not None and key not in words:
+            words[key] = dict(zip(names, map(float, shares)))
+            words[key][None] = max(0.0, 1.0 - sum(words[key].values()))
+            chars[key] = dict(enumerate(map(float, classes)))
     return Reference(chars, words)
 
 
+def _apply(docs: DataFrame, ref: Reference, lang_col: str, f: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """``f`` of the rows of hot languages, and of the others beside their languages' references (named ``REST``)."""
+    if ref.rest is None:
+        return f(docs, ())
+    hot = _language(lang_col).isin(list(ref.hot))
+    others = docs.filter(~hot).withColumn("_lang", _language(lang_col)).join(ref.rest, "_lang", "left")
+    return f(docs.filter(hot), ()).unionByName(f(others, REST))
+
+
 def repeat_words(words: list[str]) -> int:
     """Words inside 3-word windows that occur twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -153,21 +202,28 @@ def quality_scores(docs: DataFrame, params: QualityParams = QualityParams(), tex
     names = [x.split()[0] for x in SCORE_SCHEMA.split(", ")]
 
     @F.pandas_udf(SCORE_SCHEMA)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, langs in batches:
-            rows = [judge(t, g, ref, params) for t, g in zip(texts, langs)]
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, langs, *rest in batches:
+            of_rows = _of_rows(langs, tuple(rest), ref_here)
+            rows = [judge(t, g, of_rows, params) for t, g in zip(texts, langs)]
             yield pd.DataFrame(rows, columns=names).astype({"js_chars": "float64", "js_words": "float64", "base_failed": bool, "kept": bool})
 
+    ref_here = Reference(ref.chars, ref.words)
     kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, score(F.col(text_col), F.col(lang_col).cast("string")).alias("_q")).select(*kept, "_q.*")
+    scored = lambda rows, rest: rows.select(*kept, score(F.col(text_col), F.col(lang_col).cast("string"), *rest).alias("_q"))
+    return _apply(docs, ref, lang_col, scored).select(*kept, "_q.*")
 
 
 def quality_filter(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     ref = language_reference(docs, params)
+    ref_here = Reference(ref.chars, ref.words)
 
     @F.pandas_udf("boolean")
-    def keep(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([judge(t, g, ref, params)[6] for t, g in zip(texts, langs)], dtype=bool)
+    def keep(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for texts, langs, *rest in batches:
+            of_rows = _of_rows(langs, tuple(rest), ref_here)
+            yield pd.Series([judge(t, g, of_rows, params)[6] for t, g in zip(texts, langs)], dtype=bool)
 
-    return docs.filter(keep(F.col("text"), F.col("lang").cast("string")))
+    passing = lambda rows, rest: rows.filter(keep(F.col("text"), F.col("lang").cast("string"), *rest)).select(*docs.columns)
+    return _apply(docs, ref, "lang", passing)

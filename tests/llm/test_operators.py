@@ -68,6 +68,23 @@ def test_quality_finds_what_diverges(spark):
 URLS = ["http://a.com/en/7", "https://EXAMPLE.com/en/71?x", "http://example.com/en/8", "x://sub.example.net/de/81#f", "x://example.net/de/9", "http://notexample.com/en/", "ftp://b.org/es", "http://b.org/es/1", None, "", "nourl", "://", "http://spam-farm.example.com", "http://spam-farm.example.com.evil.io/en/", "http://m.free-bets.example.org/fr/1?://q", "http://com/en/x", "HTTP://u@x.net:80/de/"]
 
 
+def test_quality_compares_languages_with_a_small_share(spark):
+    from leafmill.llm.quality import quality_filter, quality_scores
+
+    rng = random.Random(5)
+    small = [(i, words(rng, 150, tuple(f"tok{j}" for j in range(40))), "xx") for i in range(30)] + [(30, " ".join(f"zq{i}" for i in range(150)), "xx"), (31, "zz " + words(rng, 80), "yy")]
+    hot = [(100 + i, "short one", "en") for i in range(40_000)]
+    few = {r["doc_id"]: r for r in quality_scores(spark.createDataFrame(small, "doc_id int, text string, lang string")).collect()}
+    df = spark.createDataFrame(small + hot, "doc_id int, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r for r in quality_scores(df).filter("doc_id < 100").collect()}
+    assert len(got) == 32 and got[31]["js_words"] is None and got[31]["js_chars"] is None
+    for i in range(31):
+        assert got[i]["kept"] == few[i]["kept"] and abs(got[i]["js_words"] - few[i]["js_words"]) < 1e-9 and abs(got[i]["js_chars"] - few[i]["js_chars"]) < 1e-9
+    assert not got[30]["kept"] and any(got[i]["kept"] for i in range(30))
+    assert sorted(r["doc_id"] for r in quality_filter(df).collect()) == sorted(i for i in got if got[i]["kept"])
+    assert quality_scores(df).count() == 40_032
+
+
 def test_urls(spark):
     from leafmill.llm.queries import BLOCKED_HOSTS, URL_RULES
     from leafmill.llm.urlfilter import CascadeParams, Rule, filter_urls
