@@ -11,7 +11,7 @@ Scale: copies collapse into one fingerprint before anything is compared.  A key
 ``dense`` fingerprints is not compared pair by pair: its fingerprints are linked through the points at
 distance one (65 each; two fingerprints share such a point exactly if they differ in two bits or
 fewer), so no group ever grows with the square of its size and none is cut short.  Components are
-found by minimum labels with pointer jumping, on bounded-degree links, each round cut by a checkpoint.
+found by randomised contraction in a logarithmic number of rounds, each cut by a checkpoint.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a null id is
 never the smallest unless all ids of the component are null; repeated rows are copies of each other;
@@ -161,20 +161,31 @@ def links(fps: DataFrame, dense: int = 64) -> DataFrame:
     return few.union(stars.select("u", F.explode("fps").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v): the smallest node that it is connected to."""
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("m"))
-        hooked = labels.join(seen, labels["node"] == seen["u"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        # Pointer jumping: the root's own root.
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(hooked.join(jump, "root").select("node", "was", F.least("root", "next").alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("was <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v): the smallest node that it is connected to.
+
+    Randomised contraction: in each round every node goes to that of its neighbours and itself which has the
+    smallest hash of the round, and links between nodes that went to the same place disappear.  A constant
+    share of the nodes goes in each round whatever the graph's shape, so that the rounds grow with the
+    logarithm of the number of nodes.
+    """
+    left, steps = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), []
+    while not left.isEmpty():
+        rank = lambda c, k=len(steps): F.struct(F.xxhash64(F.lit(k), c).alias("h"), c.alias("x"))
+        nearest = left.union(left.select("v", "u")).groupBy("u").agg(F.min(rank(F.col("v"))).alias("m"))
+        step = cut(nearest.select(F.col("u").alias("node"), F.least(rank(F.col("u")), "m")["x"].alias("to")))
+        of = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        moved = left.join(of("u"), "u").join(of("v"), "v").filter("u_to <> v_to")
+        left = cut(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct())
+        steps.append(step)
+    if not steps:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    # Back through the rounds, each with more nodes than the one after it.
+    ends = steps.pop()
+    for step in reversed(steps):
+        ends = cut(step.join(ends.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+    smallest = ends.groupBy("to").agg(F.min("node").alias("root"))
+    return cut(ends.join(smallest, "to").select("node", "root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), dense: int = 64) -> DataFrame:

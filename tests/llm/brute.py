@@ -104,3 +104,29 @@ def repeats(texts, length=200):
         runs = sum(1 for i, x in enumerate(hit) if x and (i == 0 or not hit[i - 1]))
         out.append((len(b), sum(hit), runs, sha(bytes(c for c, x in zip(b, hit) if not x))))
     return out
+
+
+def shingle_set(text, n=5):
+    w = W.findall(lower(text or ""))
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {" ".join(w)} if w else set()
+
+
+def jaccard(a, b):
+    return 1.0 if a == b else len(a & b) / max(1, len(a | b))
+
+
+def joined(n, linked):
+    """The smallest member of each member's group."""
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(n)]
