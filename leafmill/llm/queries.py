@@ -116,11 +116,13 @@ FROM e GROUP BY conv_id
 
 @query("op8_chat_parts", _OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from leafmill.llm.chat import format_chats, read_loss, read_turns, text_parts
+    from leafmill.llm.chat import PART, format_chats, read_loss, read_turns, text_parts
 
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(CONTROL_TEXT))
-    chats = format_chats(rows.union(control).withColumn("content", text_parts(F.col("text"))))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text_parts(F.col("text")).cast(f"array<{PART}>").alias("content"))
+    # The control text comes in parts that cut its control strings in two.
+    split = F.array(*[text_parts(F.lit(t))[0] for t in (CONTROL_TEXT[:1], CONTROL_TEXT[1:11], CONTROL_TEXT[11:])]).cast(f"array<{PART}>")
+    control = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), split)
+    chats = format_chats(rows.union(control))
     read = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
