@@ -17,6 +17,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import chain
 from struct import pack
 
@@ -149,28 +150,33 @@ def _chunks(texts, size: int = 1 << 19) -> Iterator[list]:
         yield out
 
 
+#: Built lookups by the digest of their vocabulary: a Python worker keeps them for all its tasks.
+_BUILT: dict[bytes, tuple] = {}
+
+
 @dataclass
 class Vocabulary:
     """Token bytes by id, and the pattern that cuts a text into pre-tokens."""
 
     tokens: list[bytes]
     pattern: str
-    #: Pre-tokens of which a worker remembers the tokens, in each of two generations.
+    #: Pre-tokens of which a worker remembers the tokens, in each of two generations, and the characters of the longest.
     remembered: int = 130_000
+    longest: int = 64
 
     def __post_init__(self) -> None:
-        self._ready = None
-
-    def __getstate__(self) -> dict:
-        return {"tokens": self.tokens, "pattern": self.pattern, "remembered": self.remembered, "_ready": None}
+        parts = sha256(self.pattern.encode())
+        for t in self.tokens:
+            parts.update(b"-" if t is None else pack("<I", len(t)) + t)
+        self.digest = parts.digest()
 
     def ready(self) -> tuple:
-        """Built once in each Python worker."""
-        if self._ready is None:
+        """Built once in each Python worker, as all its tasks unpickle vocabularies of one digest."""
+        if self.digest not in _BUILT:
             ids = [i for i, t in enumerate(self.tokens) if t is not None]
             keys = [self.tokens[i] for i in ids]
-            self._ready = PerfectHash(keys, ids), dict(zip(keys, ids)), regex.compile(self.pattern), {"young": {}, "old": {}}
-        return self._ready
+            _BUILT[self.digest] = PerfectHash(keys, ids), dict(zip(keys, ids)), regex.compile(self.pattern), {"young": {}, "old": {}}
+        return _BUILT[self.digest]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Tokens of each text, packed as little-endian unsigned 32-bit integers."""
@@ -189,10 +195,14 @@ class Vocabulary:
                 ids = (i,) if i >= 0 else merge_bytes(b, ranks)
                 known[p] = pack(f"<{len(ids)}I", *ids)
             get = known.__getitem__
-            for pieces in cut:
-                yield b"".join(map(get, pieces))
-            if len(known) > self.remembered:  # bounds the memory; what is not used again goes
+            packed = [b"".join(map(get, pieces)) for pieces in cut]
+            # Bounds the memory: long pre-tokens are forgotten at once, others when not used again.
+            for p in new:
+                if len(p) > self.longest:
+                    del known[p]
+            if len(known) > self.remembered:
                 memo["young"], memo["old"] = {}, known
+            yield from packed
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))

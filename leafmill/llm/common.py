@@ -47,9 +47,10 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/leafmill_{uuid.uuid4().hex}"
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/leafmill_{uuid.uuid4().hex}", set()
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
+        self.names.add(name)
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
@@ -57,10 +58,15 @@ class Scratch:
         """Drop tables, and let the driver forget the plans of finished steps: Spark then removes their shuffle files."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
+            self.names.discard(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         jvm.System.gc()
 
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these."""
+        self.drop(*sorted(self.names - set(names)))
+
 
 def with_place(df: DataFrame, name: str = "_place") -> DataFrame:
     """``df`` with a number for each row that stays the same whenever the plan runs again.

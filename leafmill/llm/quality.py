@@ -1,7 +1,7 @@
 """Quality rules: how far a document's character classes and common words lie from its language.
 
-For every language the corpus itself gives a reference: the shares of eight character classes and
-of the words that make up at least ``min_share`` of the language's words.  A document is rejected
+For every language the corpus itself gives a reference: the shares of the character classes (Unicode
+categories, letters by script) and of the words that make up at least ``min_share`` of the language's words.  A document is rejected
 when the Jensen-Shannon distance of either histogram to the reference exceeds a threshold.  Guards:
 a histogram is compared only from a minimum length on, and a language is a reference only if it has
 a minimum of words; a document of any other language is compared with nothing.
@@ -14,9 +14,11 @@ Columns of the input named like a result column are replaced.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,20 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import SPACE_WORD, bounded_batches
 
-CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control", "other")
+#: Letters are classed by script, Latin ones by case; the other classes are Unicode categories.
+SCRIPTS = {
+    "latin": ((0x80, 0x24F), (0x300, 0x36F), (0x1E00, 0x1EFF)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F),),
+    "hebrew": ((0x590, 0x5FF),),
+    "arabic": ((0x600, 0x77F), (0x8A0, 0x8FF)),
+    "indic": ((0x900, 0xDFF),),
+    "thai": ((0xE00, 0xEFF),),
+    "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+    "kana": ((0x3040, 0x30FF),),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+}
+CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "control", "sign", *list(SCRIPTS)[1:], "letter")
 SYMBOLS = "#*$%&|<>"
 SCORE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double"
 
@@ -62,21 +77,33 @@ class Reference:
 REST = ("_words", "_shares", "_chars")
 
 
-def _class_table() -> np.ndarray:
-    """Class of each byte of UTF-8; continuation bytes get 8 and are not counted."""
-    t = np.full(256, 6, np.uint8)
-    for c in range(128):
+def class_of(c: int) -> int:
+    """Number of a code point's class in ``CLASSES``."""
+    if c < 128:
         s = chr(c)
-        t[c] = 0 if s.islower() else 1 if s.isupper() else 2 if s.isdigit() else 3 if s in "\t\n\v\f\r " else 4 if s in ".,;:!?'\"()-" else 5 if 32 < c < 127 else 6
-    t[128:192], t[192:] = 8, 7
-    return t
+        return 0 if s.islower() else 1 if s.isupper() else 2 if s.isdigit() else 3 if s in "\t\n\v\f\r " else 4 if s in ".,;:!?'\"()-" else 5 if 32 < c < 127 else 6
+    kind = unicodedata.category(chr(c))
+    if kind[0] in "LM":
+        script = next((name for name, ranges in SCRIPTS.items() if any(a <= c <= z for a, z in ranges)), "letter")
+        return CLASSES.index(script) if script != "latin" else 1 if kind == "Lu" else 0
+    return CLASSES.index({"N": "digit", "Z": "space", "P": "stop", "S": "sign"}.get(kind[0], "control"))
 
 
-_TABLE = _class_table()
+@lru_cache(1)
+def _table() -> np.ndarray:
+    """Class of every code point; categories are looked up block by block as texts need them."""
+    return np.full(0x110000, 255, np.uint8)
 
 
 def char_histogram(text: str) -> np.ndarray:
-    return np.bincount(_TABLE[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=9)[:8]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = _table()
+    classes = table[points]
+    if (classes == 255).any():
+        for block in np.unique(points[classes == 255] >> 8).tolist():
+            table[block << 8 : (block + 1) << 8] = [class_of(c) for c in range(block << 8, (block + 1) << 8)]
+        classes = table[points]
+    return np.bincount(classes, minlength=len(CLASSES))
 
 
 def js_distance(p: dict, q: dict) -> float:
@@ -94,7 +121,7 @@ def js_distance(p: dict, q: dict) -> float:
 def language_reference(docs: DataFrame, params: QualityParams = QualityParams(), text_col: str = "text", lang_col: str = "lang") -> Reference:
     """Statistics of all documents.  What reaches the driver is bounded by the shares of hot languages and common words."""
     bounded_batches(docs.sparkSession)
-    lang = _language(lang_col)
+    lang, all_classes = _language(lang_col), range(len(CLASSES))
     text = F.coalesce(F.col(text_col), F.lit(""))
     n_docs = docs.count()
     some = docs.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).filter(F.col("n") >= params.hot_language_share * n_docs).collect()
@@ -112,7 +139,7 @@ def language_reference(docs: DataFrame, params: QualityParams = QualityParams(),
 
     def classes(rows: DataFrame) -> DataFrame:
         h = rows.select(lang.alias("lang"), histogram(text).alias("h"))
-        return h.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"c{i}") for i in range(8)])
+        return h.groupBy("lang").agg(*[F.sum(F.col("h")[i]).alias(f"c{i}") for i in all_classes])
 
     words: dict = {}
     # As many rows as hot languages at most.
@@ -120,13 +147,13 @@ def language_reference(docs: DataFrame, params: QualityParams = QualityParams(),
         words.setdefault(r["lang"], {})[r["word"]] = r["n"] / r["total"]
     for shares in words.values():
         shares[None] = max(0.0, 1.0 - sum(shares.values()))
-    chars = {r["lang"]: {i: r[f"c{i}"] / max(1, sum(r[f"c{j}"] for j in range(8))) for i in range(8)} for r in classes(docs.filter(lang.isin(list(words)))).collect()} if words else {}
+    chars = {r["lang"]: {i: r[f"c{i}"] / max(1, sum(r[f"c{j}"] for j in all_classes)) for i in all_classes} for r in classes(docs.filter(lang.isin(list(words)))).collect()} if words else {}
     if sum(r["n"] for r in some) == n_docs:
         return Reference(chars, words, tuple(hot))
     others = docs.filter(~lang.isin(hot))
     of_words = common_words(others, lambda df: df).groupBy("lang").agg(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share"))).alias("w"))
-    total = F.greatest(F.lit(1), sum((F.col(f"c{i}") for i in range(1, 8)), F.col("c0")))
-    of_chars = classes(others).select("lang", F.array(*[F.col(f"c{i}") / total for i in range(8)]).alias("_chars"))
+    total = F.greatest(F.lit(1), sum((F.col(f"c{i}") for i in all_classes[1:]), F.col("c0")))
+    of_chars = classes(others).select("lang", F.array(*[F.col(f"c{i}") / total for i in all_classes]).alias("_chars"))
     rest = of_words.join(of_chars, "lang").select(F.col("lang").alias("_lang"), F.col("w.word").alias("_words"), F.col("w.share").alias("_shares"), "_chars")
     return Reference(chars, words, tuple(hot), rest)
 
@@ -188,7 +215,7 @@ def judge(text: str | None, lang: str | None, ref: Reference, params: QualityPar
         js_chars = js_distance(dict(enumerate((h / max(1, h.sum())).tolist())), ref.chars[key])
     if n >= params.min_words_compared and key in ref.words:
         shares, p = ref.words[key], Counter()
-        for w, k in Counter(text.lower().split()).items():
+        for w, k in Counter(SPACE_WORD.findall(text.lower())).items():
             p[w if w in shares else None] += k
         total = sum(p.values())
         js_words = js_distance({w: k / total for w, k in p.items()}, shares)

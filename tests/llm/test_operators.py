@@ -68,6 +68,22 @@ def test_quality_finds_what_diverges(spark):
 URLS = ["http://a.com/en/7", "https://EXAMPLE.com/en/71?x", "http://example.com/en/8", "x://sub.example.net/de/81#f", "x://example.net/de/9", "http://notexample.com/en/", "ftp://b.org/es", "http://b.org/es/1", None, "", "nourl", "://", "http://spam-farm.example.com", "http://spam-farm.example.com.evil.io/en/", "http://m.free-bets.example.org/fr/1?://q", "http://com/en/x", "HTTP://u@x.net:80/de/"]
 
 
+def test_quality_classes_and_words(spark):
+    import numpy as np
+
+    from leafmill.llm.quality import CLASSES, char_histogram, class_of, quality_scores
+
+    assert [CLASSES[class_of(ord(c))] for c in "aZ5 .#\x01é\u00c9ß\u4e2d\u3042\u0416\u03b1\U0001f600\ufffd\u00a0\u2014\u0660\ue000"] == ["lower", "upper", "digit", "space", "stop", "symbol", "control", "lower", "upper", "lower", "han", "kana", "cyrillic", "greek", "sign", "sign", "space", "stop", "digit", "control"]
+    rng = random.Random(2)
+    for _ in range(30):
+        t = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x3000), rng.randrange(0x110000)])) for _ in range(50))
+        assert char_histogram(t).tolist() == np.bincount([class_of(ord(c)) for c in t], minlength=len(CLASSES)).tolist()
+    # One rule cuts words on both sides: the words of these texts hold other white space, and the distance to themselves is zero.
+    same = " ".join(f"No\u00a0break{i % 5} \u0130x\u2028{i % 3} \u03a3\u03a3" for i in range(300))
+    got = quality_scores(spark.createDataFrame([(i, same, "el") for i in range(20)], "doc_id int, text string, lang string")).collect()
+    assert all(r["js_words"] < 1e-6 and r["js_chars"] < 1e-6 for r in got)
+
+
 def test_quality_compares_languages_with_a_small_share(spark):
     from leafmill.llm.quality import quality_filter, quality_scores
 
@@ -356,6 +372,24 @@ def test_bpe(spark, docs, rows):
     assert all(r["ids"] == np.frombuffer(r["tokens"], "<u4").tolist() for r in got)
 
 
+def test_bpe_remembers_within_bounds():
+    import pickle
+
+    from leafmill.llm import bpe
+    from leafmill.llm.queries import public_vocabulary
+
+    v = public_vocabulary()
+    v.remembered = 50
+    w = pickle.loads(pickle.dumps(v))
+    assert w.ready() is v.ready() and len(pickle.dumps(v)) < 2_000_000
+    memo = v.ready()[3]
+    for k in range(5):
+        texts = [f"{'q' * 5000}{k} " + " ".join(f"w{k}x{i}" for i in range(200))] * 3
+        assert [v.decode(x).decode() for x in v.encode_batch(texts)] == texts
+        assert len(memo["young"]) <= 50 and all(len(p) <= v.longest for m in memo.values() for p in m)
+    bpe._BUILT.clear()
+
+
 def test_perfect_hash():
     from leafmill.llm.bpe import PerfectHash
 
