@@ -68,6 +68,14 @@ class Scratch:
         self.drop(*sorted(self.names - set(names)))
 
 
+def hidden(df: DataFrame, *without: str) -> tuple[DataFrame, list[Column], dict[str, str]]:
+    """``df`` with its columns under names that clash with none of an operator's own, the columns as they
+    were, and the new name of each.  Columns named in ``without``, the operator's results, go."""
+    df = df.drop(*without)
+    names = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), [F.col(new).alias(old) for old, new in names.items()], names
+
+
 def with_place(df: DataFrame, name: str = "_place") -> DataFrame:
     """``df`` with a number for each row that stays the same whenever the plan runs again.
 

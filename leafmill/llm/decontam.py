@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bounded_batches, cut, lower_ascii, with_place
+from leafmill.llm.common import bounded_batches, cut, hidden, lower_ascii, with_place
 
 #: Letters a-z, digits and everything beyond ASCII, after A-Z are lower-cased.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -176,20 +176,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, params: DecontamPa
     blocks = benchmark_blocks(benchmark, params)
     first, second = next(blocks), next(blocks, None)
     results = ("n_words", "n_hit", "item_ids", "matches", "contaminated")
-    kept = [c for c in docs.columns if c not in results]
-    text = F.col(text_col)
+    inside, back, names = hidden(docs, *results)
     if second is None:
-        out = docs.select(*kept, _searcher(first, params)(text).alias("_f")).select(*kept, "_f.*")
+        out = inside.withColumn("_f", _searcher(first, params)(F.col(names[text_col]))).select(*back, "_f.*")
     else:
-        placed, parts = with_place(docs), []
+        placed, parts = with_place(inside), []
         for block in _chain(first, second, blocks):
-            parts.append(cut(placed.select("_place", _searcher(block, params)(text).alias("_f")).select("_place", "_f.n_words", "_f.matches")))
+            parts.append(cut(placed.select("_place", _searcher(block, params)(F.col(names[text_col])).alias("_f")).select("_place", "_f.n_words", "_f.matches")))
         united = parts[0]
         for p in parts[1:]:
             united = united.unionByName(p)
         merged = united.groupBy("_place").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
         merged = merged.select("_place", "n_words", _covered(F.col("matches")).alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("item_ids"), "matches")
-        out = placed.select("_place", *kept).join(merged, "_place").drop("_place")
+        out = placed.join(merged, "_place").select(*back, "n_words", "n_hit", "item_ids", "matches")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (params.part * F.col("n_hit") >= F.col("n_words")))
 
 

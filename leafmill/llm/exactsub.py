@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Scratch, bounded_batches, with_place
+from leafmill.llm.common import Scratch, bounded_batches, hidden, with_place
 
 U = np.uint64
 ANCHOR = "place long, lo int, hi int, off int, h long, c long"
@@ -247,12 +247,11 @@ def covered(ranges: list, length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), text_col: str = "text") -> DataFrame:
     """``docs`` with n_bytes, the removed ``spans`` (bytes) and the ``kept`` bytes."""
-    results = ("n_bytes", "spans", "kept")
-    names = [c for c in docs.columns if c not in results]
-    placed = with_place(docs, "place")
+    inside, back, names = hidden(docs, "n_bytes", "spans", "kept")
+    placed = with_place(inside, "place")
     bounded_batches(docs.sparkSession)
     tmp = Scratch(docs.sparkSession)
-    ranges = find_repeats(placed.select("place", F.col(text_col).alias("text")), tmp, p)
+    ranges = find_repeats(placed.select("place", F.col(names[text_col]).alias("text")), tmp, p)
     found = tmp.table("found", ranges.groupBy("place").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     del ranges
     tmp.drop("repeated", "same", "single", "twice")
@@ -267,6 +266,5 @@ def remove_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), text_col:
             rows.append((len(data), [{"start": a, "end": z} for a, z in spans], b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2]))))
         return pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
 
-    joined = placed.select("place", *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)]).join(found, "place", "left")
-    out = joined.withColumn("_r", remove(F.col(f"_{names.index(text_col)}"), F.col("ranges")))
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "_r.*")
+    out = placed.join(found, "place", "left").withColumn("r", remove(F.col(names[text_col]), F.col("ranges")))
+    return out.select(*back, "r.*")

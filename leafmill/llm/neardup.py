@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE_WORD, bounded_batches, cut, lower_ascii, with_place
+from leafmill.llm.common import SPACE_WORD, bounded_batches, cut, hidden, lower_ascii, with_place
 
 #: Low bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -214,9 +214,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by their place in the scan, as ids may repeat.
     """
-    placed = with_place(docs)
-    found = near_duplicates(placed, extra=("_place",))
+    inside, back, names = hidden(docs)
+    placed = with_place(inside)
+    found = near_duplicates(placed, names["doc_id"], names["text"], extra=("_place",)).withColumnRenamed(names["doc_id"], "doc_id")
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("_place").alias("_place"))
     nameless = found.filter("component_id is null").groupBy("fp").agg(F.min("_place").alias("_place"))
     places = chosen.filter("component_id is not null").select("_place").union(nameless.select("_place"))
-    return placed.join(places, "_place", "left_semi").drop("_place").select(*docs.columns)
+    return placed.join(places, "_place", "left_semi").select(*back)

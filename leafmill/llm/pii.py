@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, with_place
+from leafmill.llm.common import cut, hidden, with_place
 
 SPAN = "struct<kind:string,start:long,end:long>"
 #: Kinds of the fixed patterns, in their order; ``term`` follows.
@@ -134,8 +134,8 @@ def _small(df: DataFrame, params: PiiParams, elements: Column | None = None) ->
 
 def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``terms``: spans of the patterns, and of the terms that give them away with their disclosure."""
-    kept = [c for c in docs.columns if c not in ("base", "terms")]
-    placed = with_place(docs.select(*kept)).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    inside, kept, names = hidden(docs, "base", "terms")
+    placed = with_place(inside).withColumn("_text", F.coalesce(F.col(names[text_col]), F.lit("")))
     spans = cut(placed.select("_place", F.xxhash64("_text").alias("hash"), base_spans(F.col("_text")).alias("base"), "_text").withColumn("around", F.transform("base", lambda s: F.concat_ws(" ", F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] - params.context + 1).cast("int"), F.least(s["start"], F.lit(params.context)).cast("int")), F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(params.context))))).drop("_text").filter(F.size("base") > 0))
     found = spans.select(F.col("_place").alias("place"), "hash", F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", "hash", F.concat_ws(":", "s.base.kind", "s.base.value").alias("entity"), F.col("s.around").alias("near"))
     words = placed.select("_place", F.explode(_words(F.col("_text"), params.min_length)).alias("term"))
@@ -154,7 +154,8 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_co
 
 def sanitise(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind, and disclosing terms generalised or removed."""
-    found = find_personal_data(docs, params, text_col)
+    inside, back, names = hidden(docs)
+    found, text_col = find_personal_data(inside, params, names[text_col]), names[text_col]
     mark = lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))
     general = lambda s: F.when(s["disclosure"] >= params.remove, "").when(s["value"].rlike(r"[\p{N}]"), "<code>").when(s["value"].rlike(r"^\p{Lu}"), "<name>").otherwise("<word>")
     cuts = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mark(s).alias("put"))), F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), general(s).alias("put")))))
@@ -162,4 +163,4 @@ def sanitise(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "
     upto = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
     step = lambda s, c: F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.concat(s["out"], upto(s["at"], c["start"]), F.when(c["start"] >= s["at"], c["put"]).otherwise("")).alias("out"))
     clean = F.aggregate(cuts, start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
-    return found.withColumn(text_col, F.when(text.isNotNull(), clean)).drop("base", "terms").select(*docs.columns)
+    return found.withColumn(text_col, F.when(text.isNotNull(), clean)).select(*back)

@@ -7,8 +7,10 @@ makes no mistake.  As the levels were built over every key that the corpus can a
 universe), the answer for each of them is exact, and no join is needed to look one up.
 
 The filters are built by Spark: keys are hashed by ``xxhash64`` in the JVM, bits are or-ed per 64-bit
-word.  What is sent to the executors is bounded by ``max_filter_bytes``; a longer list of keys takes a
-shuffled semi join instead, with the same result.
+word.  Level 0 has the more bits for each listed key the larger the universe is against the list, so that its
+mistakes are no more than the listed keys: every level grows with the list, and level 0 besides with the
+logarithm of the universe.  What is sent to the executors is bounded by ``max_filter_bytes``; a longer list
+of keys takes a shuffled semi join instead, with the same result.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and is allowed; ties
 between rules of equal length go to the longer host; repeated rows are judged row by row; an empty
@@ -17,6 +19,7 @@ table gives an empty result; columns of the input named like a result column are
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, with_place
+from leafmill.llm.common import cut, hidden, with_place
 
 
 @dataclass(frozen=True)
@@ -40,26 +43,24 @@ class Rule:
 
 @dataclass(frozen=True)
 class CascadeParams:
-    #: Bits for each key of a level, and hash functions: 0.8 % of other keys pass a level.
-    bits_per_key: int = 10
-    hashes: int = 7
+    #: Share of other keys that may pass a level; level 0 lets pass no more than the list has keys.
+    mistakes: float = 0.01
     max_filter_bytes: int = 32 << 20
     max_levels: int = 40
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """Levels of (bits, seed); an even level speaks for the list, an odd one against it."""
+    """Levels of (bits, seed, hash functions); an even level speaks for the list, an odd one against it."""
 
-    levels: tuple[tuple[np.ndarray, int], ...]
-    hashes: int
+    levels: tuple[tuple[np.ndarray, int, int], ...]
 
     def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Whether keys of the universe are listed: the first level that does not hold a key decides."""
         out, left = np.full(len(h1), len(self.levels) % 2 == 1), np.ones(len(h1), bool)
-        for i, (bits, seed) in enumerate(self.levels):
+        for i, (bits, seed, hashes) in enumerate(self.levels):
             held = left.copy()
-            for k in range(self.hashes):
+            for k in range(hashes):
                 p = _position(h1, h2, k, seed, len(bits) * 64)
                 held &= (bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             out[left & ~held] = i % 2 == 1
@@ -78,9 +79,9 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.reverse(key), F.lit(1)).alias("h2")]
 
 
-def _level(keys: DataFrame, n: int, seed: int, params: CascadeParams) -> np.ndarray:
+def _level(keys: DataFrame, bits_in_all: int, seed: int, hashes: int) -> np.ndarray:
     """The filter of ``keys`` (h1, h2); each task sets its keys' bits, Spark ors them word by word."""
-    words, hashes = max(1, -(-n * params.bits_per_key // 64)), params.hashes
+    words = max(1, -(-bits_in_all // 64))
 
     def set_bits(batches):
         bits = np.zeros(words, np.uint64)
@@ -106,17 +107,20 @@ def build_cascade(listed: DataFrame, universe: DataFrame, params: CascadeParams
         side = (i + 1) % 2
         n = sides[side].count()
         if n == 0:
-            return Cascade(tuple(levels), params.hashes)
-        if n * params.bits_per_key > 8 * params.max_filter_bytes:
+            return Cascade(tuple(levels))
+        mistakes = params.mistakes if i else min(params.mistakes, n / max(1, sides[0].count()))
+        size = math.ceil(n * math.log2(1 / mistakes) / math.log(2))
+        if size > 8 * params.max_filter_bytes:
             return None
-        levels.append((_level(sides[side], n, i, params), i))
+        hashes = max(1, round(math.log2(1 / mistakes)))
+        levels.append((_level(sides[side], size, i, hashes), i, hashes))
         # What the other side has left are the keys that this level holds by mistake.
-        sides[1 - side] = sides[1 - side].filter(_held(levels[-1], params.hashes)(F.col("h1"), F.col("h2")))
+        sides[1 - side] = sides[1 - side].filter(_held(levels[-1])(F.col("h1"), F.col("h2")))
     return None
 
 
-def _held(level: tuple[np.ndarray, int], hashes: int):
-    one = Cascade((level,), hashes)
+def _held(level: tuple[np.ndarray, int, int]):
+    one = Cascade((level,))
 
     @F.pandas_udf("boolean")
     def held(h1: pd.Series, h2: pd.Series) -> pd.Series:
@@ -174,16 +178,15 @@ def filter_urls(pages: DataFrame, rules: list[Rule], blocked: DataFrame | list[s
     spark = pages.sparkSession
     hosts = spark.createDataFrame([(h + "/",) for h in blocked], "key string") if isinstance(blocked, list) else blocked.select(F.concat(F.col(blocked.columns[0]), F.lit("/")).alias("key"))
     of_rules = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = url_parts(F.col(url_col).cast("string"))
-    base = with_place(pages).withColumns({"_url_host": host, "_url_path": path}).select("_place", *kept, F.col("_url_host").alias("host"), F.col("_url_path").alias("path"))
+    inside, kept, names = hidden(pages, "host", "path", "rule", "verdict")
+    host, path = url_parts(F.col(names[url_col]).cast("string"))
+    base = with_place(inside).withColumns({"host": host, "path": path})
     # A blocked host counts as "host/", whatever the path.
     asked = base.withColumns({"_r": candidate_keys(F.col("host"), F.col("path"), sorted({len(r.path) for r in rules} or {1})), "_h": candidate_keys(F.col("host"), F.lit("/"), [1])})
-    parts = asked.select("host", "path").distinct().withColumns({"_r": candidate_keys(F.col("host"), F.col("path"), sorted({len(r.path) for r in rules} or {1})), "_h": candidate_keys(F.col("host"), F.lit("/"), [1])})
-    by_rule = build_cascade(of_rules, parts.select(F.explode("_r").alias("key")), params)
+    by_rule = build_cascade(of_rules, asked.select(F.explode("_r").alias("key")), params)
     # Which listed rules block: a cascade whose universe is the list itself.
     to_block = build_cascade(of_rules.filter("verdict = 'block'"), of_rules, params)
-    by_host = build_cascade(hosts, parts.select(F.explode("_h").alias("key")), params)
+    by_host = build_cascade(hosts, asked.select(F.explode("_h").alias("key")), params)
     out = _first_listed(asked, "_r", by_rule, of_rules, "rule")
     out = _first_listed(out, "_h", by_host, hosts, "_blocked")
     out = _first_listed(out.withColumn("_b", F.when(F.col("rule").isNull(), F.array().cast("array<string>")).otherwise(F.array("rule"))), "_b", to_block, of_rules.filter("verdict = 'block'"), "_block")

@@ -117,12 +117,12 @@ def test_urls(spark):
             return host, path, rule, verdict
         return host, path, None, "block" if any(host == b or host.endswith("." + b) for b in BLOCKED_HOSTS) else "allow"
 
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 3)], "page_id int, url string, rule string")
+    pages = spark.createDataFrame([(i, u, "clash", "x", 1) for i, u in enumerate(URLS * 3)], "page_id int, url string, rule string, _place string, `_in.0` int")
     rules = [Rule(*r) for r in URL_RULES]
     want = key((i, *plain(u)) for i, u in enumerate(URLS * 3))
     take = lambda p: key(tuple(r) for r in filter_urls(pages, rules, BLOCKED_HOSTS, p).select("page_id", "host", "path", "rule", "verdict").collect())
     assert take(CascadeParams()) == want
-    assert take(CascadeParams(bits_per_key=2, hashes=1)) == want  # many levels
+    assert take(CascadeParams(mistakes=0.4)) == want  # many levels
     assert take(CascadeParams(max_filter_bytes=1)) == want  # a list beyond the bound
     assert filter_urls(pages.limit(0), rules, BLOCKED_HOSTS).count() == 0
 
@@ -133,7 +133,7 @@ def test_contamination(spark, docs, rows):
     bench = spark.createDataFrame(BENCH, "item_id int, text string")
     want = key((r[0], *brute.contamination(r[1], BENCH)) for r in rows)
     for p in (DecontamParams(), DecontamParams(block_words=10), DecontamParams(shard_words=50)):
-        got = find_contamination(docs.withColumn("n_hit", F.lit("clash")), bench, p).collect()
+        got = find_contamination(docs.withColumns({"n_hit": F.lit("clash"), "_f": F.lit("clash"), "_place": F.lit("clash")}), bench, p).collect()
         assert key((r["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"]), brute.sha(",".join(r["item_ids"])), r["contaminated"]) for r in got) == want
     assert decontaminate(docs, bench).count() == sum(not brute.contamination(r[1], BENCH)[4] for r in rows)
     assert find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
@@ -246,7 +246,8 @@ def test_near_duplicates(spark, docs, rows):
     comps = brute.components([r[0] for r in rows], fps)
     got = near_duplicates(docs.withColumn("fp", F.lit("clash"))).collect()
     assert key((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == key((r[0], f, c) for r, f, c in zip(rows, fps, comps))
-    assert keep_one(docs).count() == len(set(comps) | set()) and keep_one(docs).columns == docs.columns
+    clash = docs.withColumns({"_place": F.lit("x"), "component_id": F.lit("y")})
+    assert keep_one(clash).count() == len(set(comps)) and keep_one(clash).columns == clash.columns
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -270,6 +271,8 @@ def test_repeats(spark, docs, rows):
         have = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), brute.sha(bytes(r["kept"]))) for r in got]
         assert key(have) == key((r[0], *b) for r, b in zip(rows, brute.repeats([r[1] for r in rows], length)))
     assert remove_repeats(docs.limit(0)).count() == 0
+    clash = remove_repeats(docs.withColumns({"place": F.lit("Berlin"), "ranges": F.lit("r"), "_in0": F.lit(5)}))
+    assert {(r["place"], r["ranges"], r["_in0"]) for r in clash.collect()} == {("Berlin", "r", 5)}
 
 
 def test_repeats_in_shifted_passages(spark):
@@ -322,13 +325,15 @@ def test_no_split_of_a_text_forges_a_turn(spark):
 
 
 def test_personal_data(spark, docs, rows):
-    from leafmill.llm.pii import find_personal_data
+    from leafmill.llm.pii import find_personal_data, sanitise
 
     odd = ["a@b.c@d.e", "x.y@z..w", "1.2.3.4.5.6.7.8", "4111-1111-1111-1111 4111  1111", "+1234567 +12345678(", "++1 23456789 ", "1" * 40, "a@b.co%x@y.zz", "é@a.b 1.2.3.4é", "0" * 16]
     more = docs.unionByName(spark.createDataFrame([(1000 + i, t, None, None, 0) for i, t in enumerate(odd)], SCHEMA))
     got = find_personal_data(more.withColumn("base", F.lit(1))).collect()
     assert key((r["doc_id"], [tuple(s)[:3] for s in r["base"]]) for r in got) == key([*((r[0], brute.pii_base(r[1])) for r in rows), *((1000 + i, brute.pii_base(t)) for i, t in enumerate(odd))])
     assert find_personal_data(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"base": F.lit("x"), "_place": F.lit("y"), "_text": F.lit(2)})
+    assert sanitise(clash).columns == clash.columns and {r["_place"] + r["base"] for r in sanitise(clash).collect()} == {"yx"}
 
 
 def test_addresses_with_zero_parts(spark):
