@@ -6,7 +6,7 @@ into a probabilistic automaton (ALERGIA).  In every long run of credential chara
 wherever they accept the four characters of a mark; a substring that ends
 before a separator or with the run is scored by its log-likelihood a character over that of a background
 model of ordinary text.  Above ``min_score`` it may be a secret; of those that overlap, the ones whose
-likelihoods over the background's have the greatest sum are taken.  A run without one is scored whole.
+likelihoods over the background's have the greatest sum are taken.
 Fixed patterns for assignments, access keys and hexadecimal runs find their spans besides.
 
 The labelled rows are bounded: ``max_labelled`` a format are used, chosen by hash; the automata are small
@@ -48,7 +48,7 @@ class GrammarParams:
     alpha: float = 0.05
     max_labelled: int = 400
     #: Nats a character above the background.
-    min_score: float = 0.8
+    min_score: float = 0.35
     #: Probability that stands for a transition never seen.
     floor: float = 1e-4
 
@@ -195,9 +195,6 @@ class Grammars:
             if at in taken:
                 out.append((taken[at][0], at, taken[at][1]))
             at = taken[at][1] if at in taken else at + 1
-        if not out:
-            name, score = self.score(run)
-            out = [(name, 0, len(run))] if score >= self.params.min_score else []
         return out
 
 
@@ -206,31 +203,50 @@ def _path(text: str) -> list[str]:
     return [("=" + c) if i < MARK else symbol(c) for i, c in enumerate(text)]
 
 
-#: Publicly documented credential formats: mark, alphabet of the rest, its lengths. Fixed values.
+_ALNUM, _URL, _DIGITS, _HEXES = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "_-", string.digits, "0123456789abcdef"
+#: Publicly documented credential formats: marks, then the alphabets of the parts with their lengths; a lone string stands for itself. Fixed values.
 FORMATS = {
-    "github": ("ghp_ gho_ ghs_", string.ascii_letters + string.digits, (36,)),
-    "gitlab": ("glpat-", string.ascii_letters + string.digits + "_-", (20,)),
-    "google": ("AIza", string.ascii_letters + string.digits + "_-", (35,)),
-    "slack": ("xoxb- xoxp-", string.digits + "-" + string.ascii_letters, (44, 48, 52)),
-    "stripe": ("sk_live_ rk_live_", string.ascii_letters + string.digits, (24, 32)),
-    "npm": ("npm_", string.ascii_letters + string.digits, (36,)),
-    "jwt": ("eyJhb", string.ascii_letters + string.digits + "_-.", (60, 90, 120)),
-    "access": ("AKIA ASIA", string.ascii_uppercase + "234567", (16,)),
+    "github": ("ghp_ gho_ ghs_", (_ALNUM, (36,))),
+    "gitlab": ("glpat-", (_URL, (20,))),
+    "google": ("AIza", (_URL, (35,))),
+    "slack": ("xoxb- xoxp-", (_DIGITS, (10, 11, 12, 13)), "-", (_DIGITS, (10, 11, 12, 13)), "-", (_ALNUM, (24, 32))),
+    "stripe": ("sk_live_ rk_live_", (_ALNUM, (24, 32))),
+    "npm": ("npm_", (_ALNUM, (36,))),
+    "jwt": ("eyJhb eyJ0e", (_URL, (15, 31, 60)), ".eyJ", (_URL, (30, 60, 120)), ".", (_URL, (43,))),
+    "access": ("AKIA ASIA", (string.ascii_uppercase + "234567", (16,))),
 }
 
 
+def ordinary_text(rng: random.Random) -> str:
+    """A string of credential characters that is none: names, paths, numbers, digests, identifiers, dates."""
+    syllables = [a + b for a in "bcdfghklmnprstvw" for b in "aeiou"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 5)))
+    some = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    kind = rng.random()
+    if kind < 0.10:
+        return some(_HEXES, rng.choice([32, 40, 64]))
+    if kind < 0.16:
+        return "-".join(some(_HEXES, n) for n in (8, 4, 4, 4, 12))
+    if kind < 0.20:
+        return some(_DIGITS, rng.randint(16, 30))
+    if kind < 0.25:
+        return rng.choice("_-").join(word().upper() for _ in range(rng.randint(2, 5)))
+    if kind < 0.30:
+        return "".join(word().title() for _ in range(rng.randint(3, 6)))
+    if kind < 0.34:
+        return f"20{some(_DIGITS, 2)}-{some(_DIGITS, 2)}-{some(_DIGITS, 2)}T{some(_DIGITS, 2)}.{some(_DIGITS, 6)}Z"
+    parts = [rng.choice([word(), word().title(), str(rng.randint(0, 99999)), word() + str(rng.randint(0, 99))]) for _ in range(rng.randint(2, 5))]
+    return rng.choice("/_.-=").join(parts)
+
+
 def labelled_credentials(seed: int = 7, each: int = 200) -> list[tuple[str, str]]:
     """(format, credential) rows made from the public formats, and (``""``, string) rows of ordinary text."""
     rng, out = random.Random(seed), []
-    for name, (marks, alphabet, lengths) in FORMATS.items():
+    for name, (marks, *parts) in FORMATS.items():
         for _ in range(each):
-            out.append((name, rng.choice(marks.split()) + "".join(rng.choices(alphabet, k=rng.choice(lengths)))))
-    syllables = [a + b for a in "bcdfghklmnprstvw" for b in "aeiou"]
-    for _ in range(20 * each):
-        word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 5)))
-        parts = [rng.choice([word(), word().title(), str(rng.randint(0, 99999)), word() + str(rng.randint(0, 99))]) for _ in range(rng.randint(2, 5))]
-        out.append(("", rng.choice("/_.-=").join(parts)))
-    return out
+            out.append((name, rng.choice(marks.split()) + "".join(p if isinstance(p, str) else "".join(rng.choices(p[0], k=rng.choice(p[1]))) for p in parts)))
+    # Ordinary runs end in a separator now and then, as a sentence does.
+    return out + [("", ordinary_text(rng) + (rng.choice(SEPARATORS) if rng.random() < 0.2 else "")) for _ in range(20 * each)]
 
 
 def learn_grammars(labelled: list[tuple[str, str]] | DataFrame | None = None, params: GrammarParams = GrammarParams()) -> Grammars:
