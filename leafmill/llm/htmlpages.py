@@ -112,19 +112,32 @@ def footer(rng: random.Random) -> str:
     return f"<{t}{some_class(rng, 'footer foot copyright legal', 0.95 if t == 'div' else 0.2)}>{rng.choice(['&copy; ', '', '<p>'])}{words(rng, 2, 30)}</{t}>"
 
 
-def page(rng: random.Random) -> str:
-    """A page; the runs of its main text start with U+0001."""
-    wrap, names = rng.choice([("article", "post entry story"), ("article", "post entry story"), ("main", "content main"), ("div", "content article post entry story text main-content"), ("section", "content article post"), ("div", "content")])
+#: Elements and class names around the main text: those of the pages to train on, and others to test on.
+WRAPS = (("article", "post entry story"), ("article", "post entry story"), ("main", "content main"), ("div", "content article post entry story text main-content"), ("section", "content article post"), ("div", "content"))
+HELD_OUT_WRAPS = (("div", "story-body prose article-text"), ("article", "hentry item"), ("main", "wrapper page"), ("section", "body entry-content"))
+
+
+def head(rng: random.Random) -> str:
+    code = rng.choice(["a < b && c > d", "document.write('<p>x</p>')", "f({k: 1})", "s = \"</div>\""])
+    parts = [f"<title>{words(rng, 2, 8)}</title>", "<meta charset=utf-8>", "<link rel=stylesheet href=/s.css>", f"<style>.c{rng.randint(1, 9)} > li {{margin: 0}}</style>", f"<script>{code}</script>"]
+    return "".join(x for x in parts if rng.random() < 0.7)
+
+
+def page(rng: random.Random, held_out: bool = False) -> str:
+    """A page; the runs of its main text start with U+0001.  ``held_out`` pages have layouts that the others lack."""
+    wrap, names = rng.choice(HELD_OUT_WRAPS if held_out else WRAPS)
     title = "" if wrap == "div" and rng.random() < 0.1 else some_class(rng, names, 1 if wrap == "div" else 0.3 if rng.random() < 0.6 else 0)
     body = f"<{wrap}{title}>{main_part(rng)}{comments(rng) if rng.random() < 0.1 else ''}</{wrap}>"
-    if rng.random() < 0.25:
+    if held_out and rng.random() < 0.5:  # deeper, with a list of links beside and between
+        body = f"<div><div><div>{navigation(rng)}</div>{body}</div><div>{related(rng)}{share(rng)}</div></div>"
+    elif rng.random() < 0.25:
         body = f"<div{some_class(rng, 'container row wrapper page layout')}>{body}{sidebar(rng) if rng.random() < 0.6 else ''}</div>"
     if rng.random() < 0.1:
         body = f"<table><tr><td>{links(rng)}</td><td>{body}</td></tr></table>"
-    if rng.random() < 0.35:  # the plainest layout: menu, advert, article, footer
-        before, after = f"<nav>{links(rng)}</nav><!-- ad --><div class=\"ad\">{words(rng, 3, 20)}</div>", f"<footer>&copy; {words(rng, 3, 25)}</footer>"
-    else:
-        before = "".join(f(rng) for f in (header, navigation, notice, advert, newsletter, sidebar) if rng.random() < 0.45)
-        after = "".join(f(rng) for f in (comments, related, advert, sidebar, newsletter, notice, share, footer) if rng.random() < 0.4)
+    before = [f for f in (header, navigation, notice, advert, newsletter, sidebar) if rng.random() < 0.45]
+    if rng.random() < 0.3:
+        rng.shuffle(before)
+    after = [f for f in (comments, related, advert, sidebar, newsletter, notice, share, footer) if rng.random() < 0.4]
+    remark = f"<!-- {words(rng, 1, 4)} -->" if rng.random() < 0.3 else ""
     tail = "</body></html>" if rng.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html><head><title>{words(rng, 2, 8)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>{before}{body}{after}{tail}"
+    return f"<!DOCTYPE html><html><head>{head(rng)}</head><body>{''.join(f(rng) for f in before)}{remark}{body}{''.join(f(rng) for f in after)}{tail}"

@@ -7,7 +7,8 @@ decoder picks the likeliest labelling in which nothing is kept below a node that
 
 The model is trained here by Spark's ``GBTClassifier`` on pages that a seeded generator lays out and
 labels (``n_pages`` of them, a fixed bound), once in a session; its trees are small and travel with the
-tasks.  Scripts, styles, the head, form controls and comments in the markup are never text.
+tasks.  Scripts, styles, the head, form controls, pictures and comments in the markup are never text; a
+control without an end is passed over, and what follows it stays.
 
 Defined results: null or empty html gives an empty text; broken markup is closed where a browser would
 close it, roughly; repeated rows are extracted again; an empty table gives an empty result; columns of
@@ -33,7 +34,8 @@ from leafmill.llm.common import bounded_batches
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
-SILENT = set("head select option button svg math object datalist canvas audio video".split())
+SILENT = set("select option button svg object datalist canvas audio video".split())
+NESTING = {"svg", "object"}
 ENDS_P = BLOCK - {"html", "body"}
 P_SCOPE = ENDS_P - {"p"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}}
@@ -61,8 +63,9 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of block elements; text runs are ``#run`` leaves, with the characters inside links counted."""
     root = Node("body", None)
-    at, size, now, buffer, silent = 0, len(html), root, [], []
+    at, size, now, buffer, in_head = 0, len(html), root, [], False
     in_link, link_chars = None, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal link_chars
@@ -77,7 +80,7 @@ def parse(html: str) -> Node:
 
     def say(text: str) -> None:
         nonlocal link_chars
-        if text and not silent:
+        if text and not in_head:
             buffer.append(text)
             if in_link is now:
                 link_chars += len(text.strip())
@@ -94,6 +97,21 @@ def parse(html: str) -> Node:
             flush()
             now = n.parent
 
+    def end_of(tag: str, at: int) -> int:
+        """Where an element of this kind that opens before ``at`` ends; ``at`` if it has no end of its own."""
+        depth, here = 1, at
+        if tag in unclosed:
+            return at
+        for m in re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).finditer(html, at):
+            depth += -1 if m[1] else 1
+            if depth == 0:
+                stop = html.find(">", m.end())
+                return size if stop < 0 else stop + 1
+            if not m[1] and tag not in NESTING:
+                return here
+        unclosed.add(tag)
+        return here
+
     while at < size:
         lt = html.find("<", at)
         if lt < 0:
@@ -127,16 +145,15 @@ def parse(html: str) -> Node:
             at = stop + 1 if stop >= 0 else size
         elif tag in SILENT:
             if not shut and not m[3].endswith("/"):
-                silent.append(tag)
-            elif shut and tag in silent:
-                del silent[silent.index(tag) :]
+                at = end_of(tag, at)
+        elif tag == "head":
+            in_head = not shut
         elif tag in ("html", "body"):
             if not shut:
-                silent.clear()
+                in_head = False
                 flush()
         elif tag in BLOCK:
-            if silent and silent[0] == "head":
-                silent.clear()
+            in_head = False
             if shut:
                 flush()
                 close({tag}, set() if tag != "p" else P_SCOPE)
@@ -318,12 +335,12 @@ class HtmlParams:
     step: float = 0.3
 
 
-def labelled_pages(n: int, seed: int) -> list[str]:
+def labelled_pages(n: int, seed: int, held_out: bool = False) -> list[str]:
     """Pages of many layouts; main text is marked by U+0001 at the start of each of its runs."""
     from leafmill.llm.htmlpages import page
 
     rng = random.Random(seed)
-    return [page(rng) for _ in range(n)]
+    return [page(rng, held_out) for _ in range(n)]
 
 
 def labelled_nodes(html: str) -> tuple[np.ndarray, list[int]]:

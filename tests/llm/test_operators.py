@@ -401,3 +401,48 @@ def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(5000)] + [b"", b"\x00"]
     h = PerfectHash(keys, list(range(len(keys))))
     assert h.lookup(keys).tolist() == list(range(len(keys))) and h.lookup([b"k5001", b"\x01"]).tolist() == [-1, -1] and None not in h.keys
+
+
+def test_what_looks_like_a_credential():
+    from leafmill.llm.credentials import BASE_KINDS, find_spans, labelled_credentials, learn_grammars
+
+    g = learn_grammars()
+    learned = lambda t: [(k, t[a:z]) for k, a, z in find_spans(t, g) if k not in BASE_KINDS]
+    for text in ("id 21636369-8b52-9b4a-97b7-50923ceb3ffd", 'token = "' + "59a10d43f7d7a2ad8ba1c940d7bebe6c7ee123f6" + '"', "/usr/local/lib/python3.13/site-packages/pyspark", "dGhpcyBpcyBhIGJhc2U2NCBzdHJpbmcgb2YgdGV4dA==", "ABCDEFGHIJKLMNOPQRSTUVWX", "ONANLYSHBLEONND.!!", "2024-01-02T03.678901Z-build-1234567890"):
+        assert learned(text) == []
+    found = named = wrong = n = 0
+    for name, text in labelled_credentials(seed=31, each=50):
+        for before, after in (("GH_PAT=", ""), ("https://host/", "?x=1"), ("see.", " "), ("/", "/tail")):
+            spans = learned(f"a {before}{text}{after} z")
+            if name:
+                n += 1
+                found += any(s.startswith(text) for _, s in spans)
+                named += any(k == f"format_{name}" and s.startswith(text) for k, s in spans)
+            else:
+                wrong += bool(spans)
+    assert found >= 0.99 * n and named >= 0.99 * n and wrong == 0
+
+
+def test_html_keeps_what_follows_an_unclosed_control():
+    from leafmill.llm.htmltext import flatten, parse
+
+    runs = lambda h: [n.text for n in flatten(parse(h)) if n.tag == "#run"]
+    for tag in ("button", "svg", "select", "video", "audio", "canvas", "object", "datalist", "option"):
+        assert runs(f"<p>a</p><{tag}>x<p>b</p><p>c</p>")[-2:] == ["b", "c"]
+        assert runs(f"<p>a</p><{tag} class=y>x</{tag}><p>b</p>") == ["a", "b"]
+        assert runs(f"<p>a</p><{tag}/><p>b</p>") == ["a", "b"]
+    assert runs("<p>a<button>x<p>b</p><button>y</button><p>c</p>")[1:] == ["b", "c"]
+    assert runs("<svg><svg>x</svg>y</svg><p>b</p>") == ["b"]
+    assert runs("<p>E = <math><mi>m</mi><msup>c<mn>2</mn></msup></math> end</p>") == ["E = mc2 end"]
+    assert runs("<head><meta x>gone<p>a") == ["a"] and runs("<head>gone</head>b") == ["b"]
+
+
+def test_html_on_layouts_held_out(spark):
+    from leafmill.llm.htmltext import flatten, labelled_pages, main_blocks, parse, train
+
+    pages = labelled_pages(200, 77, held_out=True)
+    right = found = gold = 0
+    for html, got in zip(pages, main_blocks([p.replace("\x01", "") for p in pages], train(spark))):
+        want = [n.text[1:].lstrip() for n in flatten(parse(html)) if n.text.startswith("\x01")]
+        right, found, gold = right + len(set(want) & set(got)), found + len(set(got)), gold + len(set(want))
+    assert right >= 0.97 * found and right >= 0.97 * gold
