@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Fixed patterns find e-mail addresses, IP addresses, card and telephone numbers: the protected entities.
-The corpus then tells which other terms give an entity c away.  A term t near c (``context`` code points
+An entity is what its spellings have in common: digits of a number, an address without leading zeros, an
+e-mail in lower case.  The corpus then tells which other terms give an entity c away.  A term t near c (``context`` code points
 to either side) discloses PMI(c; t) / IC(c) of it, where IC(c) = log N / n(c) and PMI(c; t) =
 log N n(c, t) / (n(c) n(t)): 1 for a term that never occurs without the entity, 0 for an independent one.
 Terms at ``generalise`` or above are found wherever they occur and replaced by their class, at ``remove``
 or above by nothing.  Only pairs in at least ``min_support`` distinct texts count, as a pair seen once
-tells nothing.
+tells nothing, and only those whose log-likelihood ratio (G) is significant at ``alpha`` when all pairs of the
+corpus are tested (Bonferroni), so that chance companions do not count, however many pairs there are.
 
 Counts cover all documents.  Terms that disclose are broadcast while they are few
 (``max_broadcast``) and shuffled beyond that; so are the documents' spans.
@@ -20,6 +22,7 @@ replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +51,8 @@ LETTER = r"[\p{L}\p{N}]"
 class PiiParams:
     context: int = 60
     min_length: int = 3
-    min_support: int = 3
+    min_support: int = 2
+    alpha: float = 0.01
     generalise: float = 0.90
     remove: float = 0.98
     #: Terms, or spans and terms of documents, that may be broadcast: a few megabytes.
@@ -113,16 +117,31 @@ def _words(text: Column, min_length: int) -> Column:
     return F.array_distinct(F.filter(F.split(text, rf"[^\p{{L}}\p{{N}}]+"), lambda w: (F.length(w) >= min_length) & ~w.rlike("^[0-9]+$")))
 
 
+def entity_of(kind: Column, value: Column) -> Column:
+    """The entity that a match names, whatever its spelling."""
+    number = F.regexp_replace(value, "[^0-9]", "")
+    plain = F.when(kind == "email", F.lower(value)).when(kind == "ip", F.regexp_replace(value, r"(^|\.)0+(?=[0-9])", "$1")).otherwise(number)
+    return F.concat_ws(":", kind, plain)
+
+
+def _g(both: Column, a: Column, b: Column, n: Column) -> Column:
+    """Log-likelihood ratio of two events being independent."""
+    f = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    return 2 * (f(both) + f(a - both) + f(b - both) + f(n - a - b + both) - f(a) - f(n - a) - f(b) - f(n - b) + f(n))
+
+
 def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: int, params: PiiParams) -> DataFrame:
     """(term, disclosure) above the lower threshold.  ``found``: place, hash, entity and the text near it."""
     near = found.select("entity", "place", "hash", F.explode(_words(F.col("near"), params.min_length)).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("place").alias("n_both"), F.countDistinct("hash").alias("support")).filter(F.col("support") >= params.min_support)
+    every = cut(near.groupBy("entity", "term").agg(F.countDistinct("place").alias("n_both"), F.countDistinct("hash").alias("support")))
+    pairs = every.filter(F.col("support") >= params.min_support)
+    critical = NormalDist().inv_cdf(1 - params.alpha / max(1, every.count()) / 2) ** 2
     entities = found.groupBy("entity").agg(F.countDistinct("place").alias("n_entity"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(n_docs))
+    n, real = F.lit(float(n_docs)), lambda c: F.col(c).cast("double")
     ic = F.log2(n / F.col("n_entity"))
     pmi = F.log2(n * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
-    scored = pairs.join(entities, "entity").join(terms, "term")
+    scored = pairs.join(entities, "entity").join(terms, "term").filter(_g(real("n_both"), real("n_entity"), real("n_term"), n) >= critical)
     return scored.select("term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= params.generalise)
 
 
@@ -137,7 +156,7 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_co
     inside, kept, names = hidden(docs, "base", "terms")
     placed = with_place(inside).withColumn("_text", F.coalesce(F.col(names[text_col]), F.lit("")))
     spans = cut(placed.select("_place", F.xxhash64("_text").alias("hash"), base_spans(F.col("_text")).alias("base"), "_text").withColumn("around", F.transform("base", lambda s: F.concat_ws(" ", F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] - params.context + 1).cast("int"), F.least(s["start"], F.lit(params.context)).cast("int")), F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(params.context))))).drop("_text").filter(F.size("base") > 0))
-    found = spans.select(F.col("_place").alias("place"), "hash", F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", "hash", F.concat_ws(":", "s.base.kind", "s.base.value").alias("entity"), F.col("s.around").alias("near"))
+    found = spans.select(F.col("_place").alias("place"), "hash", F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", "hash", entity_of(F.col("s.base.kind"), F.col("s.base.value")).alias("entity"), F.col("s.around").alias("near"))
     words = placed.select("_place", F.explode(_words(F.col("_text"), params.min_length)).alias("term"))
     flagged = cut(disclosing_terms(found, words, docs.count(), params))
     holding = cut(words.join(_small(flagged, params), "term").groupBy("_place").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_scores")))
