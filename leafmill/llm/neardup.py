@@ -67,6 +67,13 @@ def decode(x: np.ndarray) -> np.ndarray:
     return (x ^ error[low[x & 0xFFF] ^ high[x >> 12]]) >> 11
 
 
+def codewords() -> np.ndarray:
+    """The 4096 codewords, by index."""
+    low, high, _ = _syndromes()
+    x = np.arange(1 << 12, dtype=np.uint32) << 11
+    return x ^ low[x & 0xFFF] ^ high[x >> 12]
+
+
 def golay_keys(segment: np.ndarray) -> np.ndarray:
     """For each 23-bit word the indices of the codewords nearest to it and its neighbours, sorted; repeats are -1."""
     flips = np.concatenate([[0], 1 << np.arange(23)]).astype(np.uint32)
