@@ -15,6 +15,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the folder that all executors share, and cut its lineage there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are computed once for each row, however often later expressions use them.
 

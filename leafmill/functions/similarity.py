@@ -47,27 +47,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
+#: White space as Python's ``split`` knows it.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def _measured(names: DataFrame, name: str, threshold: float) -> DataFrame:
+    """Distinct (workspace_id, ``name``) with its sorted words' length ``n``, distinct pairs of neighbouring
+    characters, and how many of these a name of a sufficient score may lack (``lack``)."""
+    ratio = threshold / (200.0 - threshold)
+    words = F.array_join(F.array_sort(F.filter(F.split(name, _SPACE), lambda w: w != "")), " ")
+    n = F.length("_s")
+    grams = F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring("_s", i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    # Insertions and deletions make up this share of both lengths at most, and each of them spoils two pairs at most.
+    lack = 2 * F.floor((1 - threshold / 100) * n * (1 + 1 / ratio) + 1e-9)
+    return names.select("workspace_id", name).filter(F.col(name).isNotNull()).distinct().withColumn("_s", words).select("workspace_id", name, n.alias("n"), grams.alias("grams"), lack.cast("int").alias("lack"))
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(workspace_id, name, other, score) for all names of ``left`` and others of ``right`` (workspace_id, other)
+    whose score reaches ``threshold``.
+
+    Names of such a score share all but a few pairs of neighbouring characters, so they share one among
+    their rarest few, by which they meet: nothing is lost.  Names too short or too uniform for that meet the
+    others by length band.
+    """
+    ratio = threshold / (200.0 - threshold)
+    a, b = _measured(left, "name", threshold), _measured(right, "other", threshold)
+    held = a.select(F.explode("grams").alias("gram")).union(b.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("held"))
+
+    def rarest(df: DataFrame, name: str, size: str) -> DataFrame:
+        spread = df.select("workspace_id", name, "n", "lack", F.explode("grams").alias("gram")).join(held, "gram")
+        few = F.slice(F.array_sort(F.collect_list(F.struct("held", "gram"))), F.lit(1), F.first("lack") + 1)
+        listed = spread.groupBy("workspace_id", name, F.col("n").alias(size)).agg(few.alias("few"))
+        return listed.select("workspace_id", name, size, F.explode("few.gram").alias("gram"))
+
+    fits = F.least("n", "m") >= ratio * F.greatest("n", "m")
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1 / ratio))).cast("int")
+    near = lambda df: df.withColumn("band", F.explode(F.array(*[band + d for d in (-1, 0, 1)])))
+    odd = F.size("grams") <= F.col("lack")
+    names = ["workspace_id", "name", "other"]
+    met = rarest(a, "name", "n").join(rarest(b, "other", "m"), ["workspace_id", "gram"]).filter(fits).select(*names)
+    for x, y in ((a.filter(odd), b), (a, b.filter(odd))):
+        others = y.withColumn("band", band).select("workspace_id", "other", F.col("n").alias("m"), "band")
+        met = met.union(near(x).join(others, ["workspace_id", "band"]).filter(fits).select(*names))
+    return met.distinct().withColumn("score", token_sort_ratio(F.col("name"), F.col("other"))).filter(F.col("score") >= threshold)
+
+
 def fuzzy_matches(names: DataFrame, candidates: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Best candidate of each (workspace_id, name): columns vendor_id, matched and score.
 
-    ``candidates``: workspace_id, vendor_id, display, position.  A score of t needs lengths whose ratio is
-    at least t / (200 - t), so pairs meet only in equal or neighbouring length bands: nothing is lost.
-    Bands are powers of that ratio, and only distinct names are compared.
+    ``candidates``: workspace_id, vendor_id, display, position (of any type with an order).  Of equal scores
+    the candidate with the first position wins; of one display the vendor with the last.
     """
-    ratio = threshold / (200.0 - threshold)
-    length = lambda c: F.length(F.array_join(F.filter(F.split(c, r"\s+"), lambda w: w != ""), " "))
-    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1 / ratio))).cast("int")
-    left = names.select("workspace_id", "name").distinct().withColumn("n", length(F.col("name"))).withColumn("band", F.explode(F.array(*[band(F.col("n")) + d for d in (-1, 0, 1)])))
-    first = candidates.groupBy("workspace_id", "display").agg(F.min("position").alias("at"), F.max_by("vendor_id", "position").alias("vendor_id"))
-    right = first.withColumn("m", length(F.col("display"))).withColumn("band", band(F.col("m")))
-    pairs = left.join(right, ["workspace_id", "band"]).filter((F.least("n", "m") >= ratio * F.greatest("n", "m")) & (F.col("n") > 0))
-    scored = pairs.withColumn("score", token_sort_ratio(F.col("name"), F.col("display"))).filter(F.col("score") >= threshold)
-    best = F.max_by(F.struct("vendor_id", F.col("display").alias("matched"), "score"), F.struct("score", -F.col("at")))
+    first = candidates.groupBy("workspace_id", F.col("display").alias("other")).agg(F.min("position").alias("at"), F.max_by("vendor_id", "position").alias("vendor_id"))
+    scored = similar_names(names, first, threshold).filter(F.regexp_replace("name", _SPACE, "") != "").join(first, ["workspace_id", "other"])
+    best = F.min_by(F.struct("vendor_id", F.col("other").alias("matched"), "score"), F.struct(-F.col("score"), "at"))
     return scored.groupBy("workspace_id", "name").agg(best.alias("b")).select("workspace_id", "name", "b.*")
 
 
-def vector_top1(queries: DataFrame, vectors: DataFrame, threshold: float = COSINE_THRESHOLD, blocks: int = 16) -> DataFrame:
-    """Nearest vector of the same workspace for each query, if its cosine reaches ``threshold``.
+def vector_top1(queries: DataFrame, vectors: DataFrame, threshold: float = COSINE_THRESHOLD, blocks: int = 16, but_itself: bool = False) -> DataFrame:
+    """Nearest vector of the same workspace for each query, if its cosine reaches ``threshold``; ``but_itself``
+    passes over the vector with the query's own id.
 
     ``queries``: workspace_id, query_id, embedding.  ``vectors``: workspace_id, vendor_id, embedding.
     The stated queries meet the vectors of their workspace in blocks; the best of each block is found
@@ -76,5 +116,7 @@ def vector_top1(queries: DataFrame, vectors: DataFrame, threshold: float = COSIN
     q = queries.select("workspace_id", "query_id", F.col("embedding").alias("q")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = vectors.select("workspace_id", "vendor_id", F.col("embedding").alias("v")).withColumn("block", F.pmod(F.xxhash64("vendor_id"), F.lit(blocks)).cast("int"))
     scored = q.join(v, ["workspace_id", "block"]).select("workspace_id", "query_id", "vendor_id", cosine(F.col("q"), F.col("v")).alias("score"))
+    if but_itself:
+        scored = scored.filter("query_id <> vendor_id")
     best = scored.filter("score is not null").groupBy("workspace_id", "query_id").agg(F.min(F.struct((-F.col("score")).alias("o"), "vendor_id", "score")).alias("b"))
     return best.select("workspace_id", "query_id", "b.vendor_id", "b.score").filter(F.col("score") >= threshold)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html as html_lib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,11 +98,14 @@ def quoted(value: Column) -> Column:
 
 
 def strip_tags(html: Column) -> Column:
-    """Tags become spaces and the five basic character references characters."""
+    """Tags become spaces and character references, named or numeric, the characters of HTML 5."""
+
+    @F.pandas_udf("string")
+    def unescaped(texts: pd.Series) -> pd.Series:
+        return texts.map(html_lib.unescape, na_action="ignore")
+
     text = F.regexp_replace(html, "<[^>]+>", " ")
-    for ref, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&copy;", "\xa9"), ("&middot;", "\xb7"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(c))
-    return text
+    return F.when(F.contains(text, F.lit("&")), unescaped(text)).otherwise(text)
 
 
 def fenced_json(answer: Column) -> Column:

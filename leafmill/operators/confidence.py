@@ -32,12 +32,16 @@ def grounding_box(value: Column, pages: Column) -> Column:
     """struct<page,bbox> of the words that hold the value: on the first page with it, from the first start
     with a window of up to 14 words that contains it."""
     needle = ground_key(value)
-    keys = lambda p: F.transform(p["words"], lambda w: ground_key(w["text"]))
 
     def boxes(p: Column) -> Column:
+        # The keys are bound to a variable, so that they are made once a page.
+        every = F.array(F.transform(p["words"], lambda w: ground_key(w["text"])))
+        return F.get(F.transform(every, lambda keys: with_keys(p, keys)), F.lit(0))
+
+    def with_keys(p: Column, keys: Column) -> Column:
         def from_start(i: Column) -> Column:
             ends = F.sequence(i + 1, F.least(i + WINDOW, F.size(p["words"])))
-            hit = F.filter(ends, lambda j: F.contains(F.array_join(F.slice(keys(p), i + 1, j - i), ""), needle))
+            hit = F.filter(ends, lambda j: F.contains(F.array_join(F.slice(keys, i + 1, j - i), ""), needle))
             words = F.filter(F.slice(p["words"], i + 1, F.get(hit, F.lit(0)) - i), lambda w: w["bbox"].isNotNull())
             side = lambda k, f: f(F.transform(words, lambda w: w["bbox"][k]))
             box = F.array(side(0, F.array_min), side(1, F.array_min), side(2, F.array_max), side(3, F.array_max))
@@ -45,7 +49,7 @@ def grounding_box(value: Column, pages: Column) -> Column:
 
         starts = F.sequence(F.lit(0), F.size(p["words"]) - 1)
         found = F.filter(F.transform(starts, from_start), lambda b: b.isNotNull())
-        there = (F.size(p["words"]) > 0) & F.contains(F.array_join(keys(p), ""), needle)
+        there = (F.size(p["words"]) > 0) & F.contains(F.array_join(keys, ""), needle)
         return F.when(there, F.struct(p["page_num"].alias("page"), F.get(found, F.lit(0)).alias("bbox")))
 
     found = F.filter(F.transform(pages, boxes), lambda b: b.isNotNull() & b["bbox"].isNotNull())

@@ -38,6 +38,23 @@ def replace_rows(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return table.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
+def upsert_vectors(vectors: DataFrame, incoming: DataFrame) -> DataFrame:
+    """One vector for each (workspace_id, vendor_id): the incoming one where there is one, of several the last by ``ord``."""
+    key = ["workspace_id", "vendor_id"]
+    last = incoming.filter("embedding is not null").groupBy(*key).agg(F.max_by("embedding", "ord").alias("embedding"))
+    return vectors.select(*key, "embedding").join(last.select(*key), key, "left_anti").unionByName(last)
+
+
+def export_entries(exported: DataFrame, filters: dict[str, str | None] | None = None) -> DataFrame:
+    """Entries of the export history for ``exported`` (export_id, workspace_id, created_at, one row an invoice):
+    kind, filters, number of invoices and name of the file of each export."""
+    used = {k: v for k, v in (filters or {}).items() if v is not None}
+    params = F.to_json(F.create_map(*[F.lit(x) for kv in sorted(used.items()) for x in kv])) if used else F.lit("{}")
+    counted = exported.groupBy("export_id", "workspace_id", "created_at").agg(F.count("*").alias("record_count"))
+    name = F.concat(F.lit("invoices_export_"), F.date_format("created_at", "yyyyMMdd_HHmmss"), F.lit(".xlsx"))
+    return counted.select("export_id", "workspace_id", F.lit("filtered" if used else "all").alias("export_type"), params.alias("filter_params"), "record_count", name.alias("filename"), "created_at")
+
+
 def unpivot_fields(invoices: DataFrame) -> DataFrame:
     """The stored fields of ``extracted`` in long form."""
     each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"extracted.{f}").alias("f")) for f in STORED_FIELDS])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.similarity import COSINE_THRESHOLD, FUZZY_THRESHOLD, fuzzy_matches, token_sort_score, vector_top1
+from leafmill.functions.plan import cut
+from leafmill.functions.similarity import COSINE_THRESHOLD, FUZZY_THRESHOLD, fuzzy_matches, similar_names, vector_top1
 from leafmill.functions.text import blank, normalize_terms, quoted
 
 # Fixed values.
@@ -17,10 +20,10 @@ ALPHA, MAX_NUMBERS, MAX_PRODUCTS = 0.2, 500, 20
 
 
 def candidates(vendors: DataFrame) -> DataFrame:
-    """(workspace_id, vendor_id, display, position): every name and alias, in order."""
-    w = Window.partitionBy("workspace_id").orderBy("vendor_id")
+    """(workspace_id, vendor_id, display, position): every name and alias; positions follow vendor and place."""
     names = F.concat(F.array("canonical_name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>")))
-    return vendors.select("workspace_id", "vendor_id", F.posexplode(names).alias("_k", "display")).filter("display is not null").select("workspace_id", "vendor_id", "display", F.row_number().over(w.orderBy("vendor_id", "_k")).alias("position"))
+    each = vendors.select("workspace_id", "vendor_id", F.posexplode(names).alias("_k", "display")).filter("display is not null")
+    return each.select("workspace_id", "vendor_id", "display", F.struct("vendor_id", "_k").alias("position"))
 
 
 def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = FUZZY_THRESHOLD, embed: Callable[[Column], Column] | None = None, vectors: DataFrame | None = None, cosine_threshold: float = COSINE_THRESHOLD) -> DataFrame:
@@ -44,82 +47,85 @@ def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = F
 def lead_new_names(names: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """New vendors: each name joins the earliest one it matches that leads itself, else it leads.
 
-    The names of a tenant that match none of the known vendors form a group by the first letter of their
-    first word in sorted order, and each group keeps its leaders in arrival order.  Names that differ in
-    that letter lead apart.
+    All matching names of a tenant meet by ``similar_names``.  Then in rounds: a name with no earlier match
+    that leads or is open leads, one with an earlier match that leads follows, and the others stay open.
     """
-    ratio = threshold / (200.0 - threshold)
-
-    def lead(pdf):
-        pdf = pdf.sort_values(["arrival", "name"])
-        leaders: list[str] = []
-        out = []
-        for name in pdf["name"]:
-            own = next((x for x in leaders if min(len(x), len(name)) >= ratio * max(len(x), len(name)) and token_sort_score(x, name) >= threshold), None)
-            if own is None:
-                leaders.append(name)
-            out.append(own or name)
-        return pdf.assign(leader=out)[["workspace_id", "name", "leader"]]
-
-    first = F.lower(F.element_at(F.array_sort(F.split("name", r"\s+")), 1))
-    led = names.withColumn("_block", F.substring(first, 1, 1)).groupBy("workspace_id", "_block").applyInPandas(lead, "workspace_id string, name string, leader string")
+    at = F.struct("arrival", "name")
+    known = names.withColumn("at", at)
+    pairs = similar_names(names.select("workspace_id", "name"), names.select("workspace_id", F.col("name").alias("other")), threshold).filter("name <> other")
+    both = pairs.join(known.select("workspace_id", "name", "at"), ["workspace_id", "name"]).join(known.select("workspace_id", F.col("name").alias("other"), F.col("at").alias("other_at")), ["workspace_id", "other"])
+    earlier = cut(both.filter("other_at < at").select("workspace_id", "name", "other", "other_at"))
+    key, state = ["workspace_id", "name"], cut(known.select("workspace_id", "name", F.lit(None).cast("boolean").alias("leads")))
+    while True:
+        ahead = earlier.join(state.select("workspace_id", F.col("name").alias("other"), F.col("leads").alias("other_leads")), ["workspace_id", "other"])
+        seen = ahead.groupBy(*key).agg(F.max(F.coalesce("other_leads", F.lit(False))).alias("led"), F.max(F.col("other_leads").isNull()).alias("waits"))
+        turn = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.col("waits"), None).otherwise(True)
+        state = cut(state.join(seen, key, "left").select(*key, turn.alias("leads")))
+        if state.filter("leads is null").isEmpty():
+            break
+    leaders = state.filter("leads").select("workspace_id", F.col("name").alias("other"))
+    own = earlier.join(leaders, ["workspace_id", "other"]).groupBy(*key).agg(F.min_by("other", "other_at").alias("leader"))
+    led = state.join(own, key, "left").select(*key, F.when(F.col("leads"), F.col("name")).otherwise(F.col("leader")).alias("leader"))
     return led.select("workspace_id", "name", F.substring(F.sha2(F.concat_ws("|", "workspace_id", "leader"), 256), 1, 32).alias("vendor_id"), F.lit("new").alias("how"), F.lit(None).cast("double").alias("score"))
 
 
 # Memory.
 
 
-def _append(values: Column, x: Column, keep: int | None = None) -> Column:
-    """``x`` at the end if it is new, of which the last ``keep`` stay."""
-    out = F.when(x.isNull() | F.array_contains(values, x), values).otherwise(F.array_append(values, x))
-    return F.slice(out, F.greatest(F.lit(1), F.size(out) - keep + 1), F.lit(keep)) if keep else out
-
-
-def _three(x: Column) -> Column:
+def three(x: float) -> float:
     """Rounded to three places, half up, of the decimal that the double stands for."""
-    return F.round(x.cast("decimal(18,9)"), 3).cast("double")
-
-
-def _rate(rate: Column, n: Column, b: Column) -> Column:
-    x = F.when(b, 1.0).otherwise(0.0)
-    return _three(F.when(n <= 1, x).otherwise((rate * (n - 1) + x) / n))
+    return float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP).quantize(Decimal("1e-3"), ROUND_HALF_UP))
 
 
-MEMORY = "struct<invoice_count:int,avg_confidence:double,historical_invoice_numbers:array<string>,tax_ids:array<string>,tax_id:string,preferred_currency:string,preferred_payment_terms:string,rate_line_items:double,rate_purchase_order:double>"
+MEMORY = "invoice_count int, avg_confidence double, historical_invoice_numbers array<string>, tax_ids array<string>, tax_id string, preferred_currency string, preferred_payment_terms string, rate_line_items double, rate_purchase_order double"
+MEMORY_NAMES = [c.split()[0] for c in MEMORY.split(", ")]
+EVENT = ("number", "tax_id", "currency", "terms", "confidence", "has_lines", "has_order")
+#: A vendor of which nothing is known.
+NO_MEMORY = (0, None, [], [], None, None, None, 0.0, 0.0)
 
 
-def fold_memory(events: Column, start: Column | None = None) -> Column:
-    """Vendor memory after ``events``, an array in arrival order of structs (number, tax_id, currency, terms,
-    confidence, has_lines, has_order); every step rounds to three places."""
-    none = lambda t: F.lit(None).cast(t)
-    empty = F.struct(
-        F.lit(0).alias("invoice_count"), none("double").alias("avg_confidence"), F.array().cast("array<string>").alias("historical_invoice_numbers"), F.array().cast("array<string>").alias("tax_ids"),
-        none("string").alias("tax_id"), none("string").alias("preferred_currency"), none("string").alias("preferred_payment_terms"), F.lit(0.0).alias("rate_line_items"), F.lit(0.0).alias("rate_purchase_order"),
-    ).cast(MEMORY)
-
-    def step(m: Column, e: Column) -> Column:
-        n = m["invoice_count"] + 1
-        prior = F.when(F.coalesce(m["avg_confidence"], F.lit(0.0)) == 0, e["confidence"]).otherwise(m["avg_confidence"])
-        return F.struct(
-            n.alias("invoice_count"),
-            _three(ALPHA * e["confidence"] + (1 - ALPHA) * prior).alias("avg_confidence"),
-            _append(m["historical_invoice_numbers"], e["number"], MAX_NUMBERS).alias("historical_invoice_numbers"),
-            _append(m["tax_ids"], e["tax_id"]).alias("tax_ids"),
-            F.coalesce(m["tax_id"], e["tax_id"]).alias("tax_id"),
-            F.coalesce(m["preferred_currency"], e["currency"]).alias("preferred_currency"),
-            F.coalesce(m["preferred_payment_terms"], e["terms"]).alias("preferred_payment_terms"),
-            _rate(m["rate_line_items"], n, e["has_lines"]).alias("rate_line_items"),
-            _rate(m["rate_purchase_order"], n, e["has_order"]).alias("rate_purchase_order"),
-        ).cast(MEMORY)
-
-    return F.aggregate(events, empty if start is None else start, step)
+def remember(memory: tuple, event: tuple) -> tuple:
+    """A vendor's memory after one more invoice; every step rounds to three places, so that the order of the invoices counts."""
+    n, average, numbers, tax_ids, tax_id, currency, terms, lines, orders = memory
+    number, its_tax, its_currency, its_terms, confidence, has_lines, has_order = (None if x is None or x != x else x for x in event)
+    n += 1
+    rate = lambda r, b: three(float(bool(b)) if n <= 1 else (r * (n - 1) + float(bool(b))) / n)
+    if confidence is not None:
+        average = three(ALPHA * confidence + (1 - ALPHA) * (average or confidence))
+    if number is not None and number not in numbers:
+        numbers = [*numbers, number][-MAX_NUMBERS:]
+    if its_tax is not None and its_tax not in tax_ids:
+        tax_ids = [*tax_ids, its_tax]
+    first = lambda old, new: new if old is None else old
+    return n, average, numbers, tax_ids, first(tax_id, its_tax), first(currency, its_currency), first(terms, its_terms), rate(lines, has_lines), rate(orders, has_order)
 
 
 def vendor_memory(events: DataFrame) -> DataFrame:
-    """Memory of each (workspace_id, vendor_id) from its invoices, ordered by ``ord``."""
-    e = F.struct("ord", "number", "tax_id", "currency", "terms", "confidence", "has_lines", "has_order")
-    ordered = events.groupBy("workspace_id", "vendor_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
-    return ordered.select("workspace_id", "vendor_id", fold_memory(F.col("events")).alias("memory"))
+    """Memory of each (workspace_id, vendor_id) from its invoices, ordered by ``ord`` and then by what they hold.
+
+    The steps depend on one another, so a vendor's invoices pass through one task; they come sorted from the
+    shuffle and only the memory of the present vendor is held.
+    """
+    schema = events.select("workspace_id", "vendor_id").schema
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+
+    def fold(batches):
+        owner, memory = None, NO_MEMORY
+        for b in batches:
+            out = []
+            for workspace, vendor, *event in b.itertuples(index=False):
+                if (workspace, vendor) != owner:
+                    if owner is not None:
+                        out.append((*owner, *memory))
+                    owner, memory = (workspace, vendor), NO_MEMORY
+                memory = remember(memory, event)
+            yield pd.DataFrame(out, columns=["workspace_id", "vendor_id", *MEMORY_NAMES])
+        if owner is not None:
+            yield pd.DataFrame([(*owner, *memory)], columns=["workspace_id", "vendor_id", *MEMORY_NAMES])
+
+    dealt = events.filter("workspace_id is not null and vendor_id is not null").repartition("workspace_id", "vendor_id").sortWithinPartitions("workspace_id", "vendor_id", "ord", *EVENT)
+    folded = dealt.select("workspace_id", "vendor_id", *EVENT).mapInPandas(fold, f"{types}, {MEMORY}")
+    return folded.select("workspace_id", "vendor_id", F.struct(*MEMORY_NAMES).alias("memory"))
 
 
 def top_products(lines: DataFrame, n: int = MAX_PRODUCTS) -> DataFrame:
@@ -190,15 +196,14 @@ def latest_templates(templates: DataFrame) -> DataFrame:
     return templates.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def match_templates(docs: DataFrame, templates: DataFrame, max_templates: int = 10_000) -> DataFrame:
+def match_templates(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """Adds ``template_id`` and ``fingerprint``: the active template with the smallest id whose fingerprint the text holds.
 
-    A tenant's templates are few and form one array for each tenant, joined on the tenant; beyond
-    ``max_templates`` of a tenant they go in several arrays.
+    The active templates of a tenant travel with each of its documents as one array, so their sizes must
+    fit a row: they are a few lines of a vendor each.
     """
     active = templates.filter("is_active and fingerprint is not null")
-    n = F.row_number().over(Window.partitionBy("workspace_id").orderBy("template_id"))
-    lists = active.withColumn("_b", F.floor(n / max_templates)).groupBy("workspace_id", "_b").agg(F.array_sort(F.collect_list(F.struct("template_id", "fingerprint"))).alias("_t")).groupBy("workspace_id").agg(F.flatten(F.array_sort(F.collect_list("_t"))).alias("_t"))
+    lists = active.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("template_id", "fingerprint"))).alias("_t"))
     low = F.lower(F.col("raw_text"))
     hit = F.get(F.filter("_t", lambda t: F.contains(F.col("_low"), F.lower(t["fingerprint"]))), F.lit(0))
     return docs.withColumn("_low", low).join(lists, "workspace_id", "left").withColumn("_h", hit).withColumns({"template_id": F.col("_h.template_id"), "fingerprint": F.col("_h.fingerprint")}).drop("_low", "_t", "_h")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.operators import reports as R
 from leafmill.operators import state as S
 from leafmill.plans import sql as Q
 from leafmill.plans.registry import query
 from leafmill.plans.sql import with_views
 from leafmill.sources import domain as D
+from leafmill.sources.domain import table
 
 _STORED = [(k, f, v) for k, (f, v) in Q.FIELD_VALUES if f in ("invoice_number", "invoice_date", "due_date", "buyer_name", "subtotal", "tax_amount", "total_amount", "currency", "payment_terms", "purchase_order")]
 
@@ -149,3 +151,27 @@ def q_projects(spark, sf):
     d = D.documents(spark, sf).filter("workspace_id = 'ws1'")
     b = S.set_archived(S.duplicate_batch(S.rename_batch(b, 2, "Renamed"), 4, 1000), [3], True)
     return S.delete_batches(b, d, [0, 1])[0].select("batch_id", "name", "is_archived")
+
+
+_EXPORTED = "x AS (SELECT 1 AS export_id, 'ws1' AS workspace_id, TIMESTAMP '2024-05-01 10:00:00' AS created_at FROM inv WHERE workspace_id = 'ws1' UNION ALL SELECT 2, workspace_id, TIMESTAMP '2024-05-02 11:30:05' FROM inv WHERE workspace_id = 'ws1' AND needs_review UNION ALL SELECT 3, workspace_id, TIMESTAMP '2024-05-03 00:00:09' FROM inv WHERE workspace_id = 'ws2')"
+
+
+@query("q_export_history", f"WITH {Q.VIEWS}, {_EXPORTED} SELECT export_id, CASE WHEN export_id = 2 THEN 'filtered' ELSE 'all' END AS export_type, CASE WHEN export_id = 2 THEN '{{\"review_status\":\"needs_review\"}}' ELSE '{{}}' END AS filter_params, count(*) AS record_count, 'invoices_export_' || strftime(created_at, '%Y%m%d_%H%M%S') || '.xlsx' AS filename FROM x WHERE workspace_id = 'ws1' GROUP BY export_id, created_at ORDER BY created_at DESC LIMIT 200")
+def q_export_history(spark, sf):
+    i = D.invoices(spark, sf)
+    made = lambda df, n, at: df.select(F.lit(n).alias("export_id"), "workspace_id", F.lit(at).cast("timestamp").alias("created_at"))
+    history = S.export_entries(made(i.filter("workspace_id = 'ws1'"), 1, "2024-05-01 10:00:00")).unionByName(S.export_entries(made(i.filter("workspace_id = 'ws2'"), 3, "2024-05-03 00:00:09")))
+    history = history.unionByName(S.export_entries(made(i.filter("workspace_id = 'ws1' and needs_review"), 2, "2024-05-02 11:30:05"), {"review_status": "needs_review", "batch_id": None}))
+    recent = R.page(R.tenant(history, "ws1"), [F.desc("created_at"), "export_id"], limit=200)
+    return recent.select("export_id", "export_type", "filter_params", "record_count", "filename")
+
+
+@query("q_vector_upsert", "SELECT vec_id AS vendor_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS version, round(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings UNION ALL SELECT 1000000 + vec_id, 'new', round(2 * embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id % 10 = 0")
+def q_vector_upsert(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.lit("w").alias("workspace_id"), F.col("vec_id").cast("long").alias("vendor_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    twice = lambda df, by: df.withColumns({"embedding": F.transform("embedding", lambda x: by * x), "ord": F.lit(by)})
+    again = e.filter("vendor_id % 3 = 0")
+    new = e.filter("vendor_id % 10 = 0").withColumn("vendor_id", F.col("vendor_id") + 1_000_000)
+    out = S.upsert_vectors(e, twice(again, 1).unionByName(twice(again, 2)).unionByName(twice(new, 2)))
+    fresh = F.when((F.col("vendor_id") % 3 == 0) & (F.col("vendor_id") < 1_000_000) | (F.col("vendor_id") >= 1_000_000), "new").otherwise("old")
+    return out.select("vendor_id", fresh.alias("version"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))

@@ -77,7 +77,7 @@ def q_synthetic_invoices(spark, sf):
 
 @query("q_products_fold")
 def q_products_fold(spark, sf):
-    lines = D.lines(spark, sf).groupBy("l_suppkey", "invoice_id").agg(F.array_sort(F.collect_list(F.substring("description", 1, 40))).alias("p"))
+    lines = D.lines(spark, sf).groupBy("l_suppkey", "invoice_id").agg(F.array_sort(F.collect_list("description")).alias("p"))
     per = lines.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("invoice_id", "p"))).alias("x"))
     return per.select(F.col("l_suppkey").alias("vendor_id"), F.array_join(N.products_fold(F.transform("x", lambda s: s["p"])), "|").alias("products"))
 
@@ -105,13 +105,17 @@ def q_extract(spark, sf):
     return e.select(F.col("id").cast("long").alias("id"), v("invoice_number").alias("invoice_number"), v("currency").alias("currency"), v("total_amount").alias("total"))
 
 
-@query("q_bbox_grounding", "SELECT doc_id, '0,0,' || (10 * least(3, n)) || ',10' AS box FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents WHERE text NOT LIKE '%  %') WHERE n >= 3")
+_WORD_KEY = "lower(regexp_replace(coalesce(w[{i}], ''), '\\s+', '', 'g'))"
+_LAST_WORD = " ".join(f"WHEN {_WORD_KEY.format(i=i)} <> '' THEN {i}" for i in (3, 2, 1))
+
+
+@query("q_bbox_grounding", f"SELECT doc_id, '0,0,' || (10 * j) || ',10' AS box FROM (SELECT doc_id, CASE {_LAST_WORD} END AS j FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
 def q_bbox_grounding(spark, sf):
     from leafmill.operators.confidence import grounding_box
 
-    d = table(spark, sf, "documents").filter("text not like '%  %'").withColumn("w", F.slice(F.split("text", " "), 1, 3)).filter(F.size(F.split("text", " ")) >= 3)
     word = lambda t, i: F.struct(t.alias("text"), F.array(10.0 * i, F.lit(0.0), 10.0 * i + 10, F.lit(10.0)).alias("bbox"), F.lit(0).alias("page"), F.lit(1.0).alias("confidence"))
-    pages = F.array(F.struct(F.lit(0).alias("page_num"), F.lit("").alias("text"), F.transform("w", word).alias("words")))
-    box = grounding_box(F.array_join("w", " "), F.col("pages"))
-    out = d.select("doc_id", "w", pages.alias("pages")).select("doc_id", box["bbox"].alias("b"))
+    words = F.split("text", " ")
+    pages = F.array(F.struct(F.lit(0).alias("page_num"), F.lit("").alias("text"), F.transform(words, word).alias("words")))
+    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(words, 1, 3), " ").alias("said"), pages.alias("pages"))
+    out = d.select("doc_id", grounding_box(F.col("said"), F.col("pages"))["bbox"].alias("b"))
     return out.select("doc_id", F.array_join(F.transform("b", lambda x: x.cast("int").cast("string")), ",").alias("box"))

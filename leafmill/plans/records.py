@@ -273,10 +273,10 @@ def q_legacy_review(spark, sf):
     return C.legacy_scores(D.records(spark, sf)).select("id", F.array_join("legacy_reasons", "; ").alias("reasons"))
 
 
-@query("q_review_merge", with_views(f"SELECT id, needs_review OR {_OVERALL} < 0.75 AS needs_review FROM rec WHERE abs({_OVERALL} - 0.75) > 0.000001"))
+@query("q_review_merge", with_views(f"SELECT id, needs_review OR CAST({_OVERALL} AS DECIMAL(9,6)) < 0.75 AS needs_review FROM rec"))
 def q_review_merge(spark, sf):
-    scored = C.score(D.records(spark, sf)).withColumns({"review_reasons": F.array().cast("array<string>"), "math_errors": F.array().cast("array<string>")})
-    return C.merge_review(scored).filter(F.abs(F.round("overall", 6) - 0.75) > 0.000001).select("id", "needs_review")
+    scored = C.score(D.records(spark, sf)).withColumns({"review_reasons": F.array().cast("array<string>"), "math_errors": F.array().cast("array<string>"), "low_confidence": F.round("overall", 6).cast("decimal(9,6)") < F.lit("0.75").cast("decimal(9,6)")})
+    return C.merge_review(scored).select("id", "needs_review")
 
 
 # Entities and vendor memory.
@@ -299,14 +299,14 @@ def q_resolve_vendors(spark, sf):
     return N.resolve_vendors(rec, v).select("workspace_id", "name", F.col("vendor_id").cast("string").alias("vendor_id"), "how")
 
 
-_VECTORS = "(SELECT vec_id, embedding::DOUBLE[] AS e, vec_id % 5 AS ws FROM embeddings)"
+_VECTORS = "(SELECT vec_id, embedding::DOUBLE[] AS e, vec_id // 7 % 5 AS ws FROM embeddings)"
 
 
-@query("q_vector_top1", f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, struct_pack(s := round(list_cosine_similarity(a.e, b.e), 9), o := -b.vec_id)) AS vendor_id, round(max(list_cosine_similarity(a.e, b.e)), 6) AS score FROM {_VECTORS} a JOIN {_VECTORS} b ON a.ws = b.ws AND a.vec_id <> b.vec_id AND b.vec_id % 2 = 1 WHERE a.vec_id % 100 = 0 GROUP BY 1 HAVING max(list_cosine_similarity(a.e, b.e)) >= 0.1")
+@query("q_vector_top1", f"SELECT a.vec_id AS query_id, arg_max(b.vec_id, struct_pack(s := round(list_cosine_similarity(a.e, b.e), 9), o := -b.vec_id)) AS vendor_id, round(max(list_cosine_similarity(a.e, b.e)), 6) AS score FROM {_VECTORS} a JOIN {_VECTORS} b ON a.ws = b.ws AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1 HAVING max(list_cosine_similarity(a.e, b.e)) >= 0.1")
 def q_vector_top1(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("workspace_id", F.col("vec_id") % 5)
+    e = table(spark, sf, "embeddings").withColumn("workspace_id", F.expr("vec_id div 7 % 5"))
     q = e.filter("vec_id % 100 = 0").select("workspace_id", F.col("vec_id").alias("query_id"), "embedding")
-    found = vector_top1(q, e.filter("vec_id % 2 = 1").select("workspace_id", F.col("vec_id").alias("vendor_id"), "embedding"), 0.1)
+    found = vector_top1(q, e.select("workspace_id", F.col("vec_id").alias("vendor_id"), "embedding"), 0.1, but_itself=True)
     return found.select("query_id", "vendor_id", F.round("score", 6).alias("score"))
 
 
@@ -325,7 +325,10 @@ def q_vendor_memory_first(spark, sf):
     return N.vendor_memory(memory_events(spark, sf)).select("workspace_id", "vendor_id", m["invoice_count"].alias("invoice_count"), m["preferred_currency"].alias("preferred_currency"), m["preferred_payment_terms"].alias("preferred_terms"), m["tax_id"].alias("tax_id"), F.size(m["historical_invoice_numbers"]).alias("n_numbers"))
 
 
-@query("q_vendor_memory_ema", f"WITH RECURSIVE {Q.VIEWS}, {_EVENTS}, f AS (SELECT workspace_id, vendor_id, n, round(CAST(0.2 * confidence + 0.8 * confidence AS DECIMAL(18,9)), 3)::DOUBLE AS ema, CASE WHEN has_order THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM ev WHERE n = 1 UNION ALL SELECT ev.workspace_id, ev.vendor_id, ev.n, round(CAST(0.2 * ev.confidence + 0.8 * CASE WHEN f.ema = 0 THEN ev.confidence ELSE f.ema END AS DECIMAL(18,9)), 3)::DOUBLE, round(CAST((f.rate * (ev.n - 1) + CASE WHEN ev.has_order THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / ev.n AS DECIMAL(18,9)), 3)::DOUBLE FROM f JOIN ev ON ev.workspace_id = f.workspace_id AND ev.vendor_id = f.vendor_id AND ev.n = f.n + 1) SELECT workspace_id, vendor_id, CAST(arg_max(ema, n) AS DECIMAL(9,3)) AS ema, CAST(arg_max(rate, n) AS DECIMAL(9,3)) AS rate FROM f GROUP BY 1, 2")
+_FOLD = "f AS (SELECT workspace_id, vendor_id, n, round(CAST(0.2 * confidence + 0.8 * confidence AS DECIMAL(18,9)), 3)::DOUBLE AS ema, CASE WHEN has_order THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM ev WHERE n = 1 UNION ALL SELECT ev.workspace_id, ev.vendor_id, ev.n, round(CAST(0.2 * ev.confidence + 0.8 * CASE WHEN f.ema = 0 THEN ev.confidence ELSE f.ema END AS DECIMAL(18,9)), 3)::DOUBLE, round(CAST((f.rate * (ev.n - 1) + CASE WHEN ev.has_order THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / ev.n AS DECIMAL(18,9)), 3)::DOUBLE FROM f JOIN ev ON ev.workspace_id = f.workspace_id AND ev.vendor_id = f.vendor_id AND ev.n = f.n + 1)"
+
+
+@query("q_vendor_memory_ema", f"WITH RECURSIVE {Q.VIEWS}, {_EVENTS}, {_FOLD} SELECT workspace_id, vendor_id, CAST(arg_max(ema, n) AS DECIMAL(9,3)) AS ema, CAST(arg_max(rate, n) AS DECIMAL(9,3)) AS rate FROM f GROUP BY 1, 2")
 def q_vendor_memory_ema(spark, sf):
     m = F.col("memory")
     return N.vendor_memory(memory_events(spark, sf)).select("workspace_id", "vendor_id", m["avg_confidence"].cast("decimal(9,3)").alias("ema"), m["rate_purchase_order"].cast("decimal(9,3)").alias("rate"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from leafmill.functions.plan import shared_folder
 from leafmill.plans.registry import query
-from leafmill.plans.records import _EVENTS, memory_events
+from leafmill.plans.records import _EVENTS, _FOLD, memory_events
 from leafmill.plans.sql import VIEWS
 from leafmill.sources.domain import table
 from leafmill.streaming import streams as S
@@ -20,7 +18,7 @@ def _events(spark, sf):
 
 @query("q_stream_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DECIMAL(28,4)) AS total FROM events GROUP BY 1, 2")
 def q_stream_tumbling(spark, sf):
-    out = S.run_once(S.tumbling_counts(_events(spark, sf), "ts", "1 day", ["event_type"]), f"t_{uuid.uuid4().hex}")
+    out = S.run_once(S.tumbling_counts(_events(spark, sf), "ts", "1 day", ["event_type"]), ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
@@ -37,17 +35,20 @@ def q_sessions(spark, sf):
 
 @query("q_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
-    keyed = _events(spark, sf).withColumn("h", F.sha2(F.concat_ws("|", "user_id", "event_type"), 256)).select("h", "user_id", "event_type")
-    return S.run_once(S.first_seen(keyed, "h"), f"d_{uuid.uuid4().hex}", "append").select("user_id", "event_type")
+    # Hashes are forgotten after a time beyond the span of the events, so that the state has a bound.
+    keyed = _events(spark, sf).withColumns({"h": F.sha2(F.concat_ws("|", "user_id", "event_type"), 256), "_t": F.col("ts").cast("timestamp")}).select("h", "user_id", "event_type", "_t")
+    return S.run_once(S.first_seen(keyed, "h", "_t", "3660 days"), ["user_id", "event_type"], "append").select("user_id", "event_type")
 
 
-@query("q_stream_memory", f"WITH {VIEWS}, {_EVENTS} SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) AS preferred_currency, CAST(least(500, count(DISTINCT number)) AS INTEGER) AS n_numbers FROM ev GROUP BY 1, 2")
+@query("q_stream_memory", f"WITH RECURSIVE {VIEWS}, {_EVENTS}, {_FOLD}, e AS (SELECT workspace_id, vendor_id, arg_max(ema, n) AS ema, arg_max(rate, n) AS rate FROM f GROUP BY 1, 2), a AS (SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) FILTER (WHERE currency IS NOT NULL) AS preferred_currency, arg_min(terms, ord) FILTER (WHERE terms IS NOT NULL) AS preferred_terms, arg_min(tax_id, ord) FILTER (WHERE tax_id IS NOT NULL) AS tax_id, CAST(count(DISTINCT tax_id) AS INTEGER) AS n_tax_ids, CAST(least(500, count(DISTINCT number)) AS INTEGER) AS n_numbers FROM ev GROUP BY 1, 2) SELECT a.*, CAST(ema AS DECIMAL(9,3)) AS ema, CAST(rate AS DECIMAL(9,3)) AS rate FROM a JOIN e USING (workspace_id, vendor_id)")
 def q_stream_memory(spark, sf):
     folder = shared_folder(spark, "memory_events")
-    events = memory_events(spark, sf).select("workspace_id", "vendor_id", "ord", "number", "currency", "confidence")
+    events = memory_events(spark, sf)
     events.write.parquet(folder)
-    out = S.run_once(S.memory_stream(S.event_stream(spark, folder, events.schema, 10_000)), f"m_{uuid.uuid4().hex}")
-    return out.select("workspace_id", "vendor_id", "invoice_count", "preferred_currency", "n_numbers")
+    out = S.run_once(S.memory_stream(S.event_stream(spark, folder, events.schema, 10_000)), ["workspace_id", "vendor_id"])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out.select("workspace_id", "vendor_id", "invoice_count", "preferred_currency", F.col("preferred_payment_terms").alias("preferred_terms"), "tax_id", F.size("tax_ids").alias("n_tax_ids"), F.size("historical_invoice_numbers").alias("n_numbers"), F.col("avg_confidence").cast("decimal(9,3)").alias("ema"), F.col("rate_purchase_order").cast("decimal(9,3)").alias("rate"))
 
 
 @query("q_memory_batch_counts", f"WITH {VIEWS}, {_EVENTS} SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) AS preferred_currency FROM ev GROUP BY 1, 2")

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from leafmill.functions.plan import shared_folder
+from leafmill.operators.vendors import EVENT, MEMORY, MEMORY_NAMES, NO_MEMORY, remember
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -40,38 +44,42 @@ def first_seen(stream: DataFrame, hash_col: str, time_col: str | None = None, de
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([hash_col]) if time_col else stream.dropDuplicates([hash_col])
 
 
-MEMORY_OUT = "workspace_id string, vendor_id long, invoice_count int, avg_confidence double, preferred_currency string, n_numbers int"
-_STATE = "invoice_count int, avg_confidence double, preferred_currency string, numbers array<string>"
+MEMORY_OUT = f"workspace_id string, vendor_id long, {MEMORY}"
 
 
 def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold a vendor's new invoices into its state, in their order."""
-    n, average, currency, numbers = state.get if state.exists else (0, None, None, [])
-    numbers = list(numbers)
+    memory = tuple(state.get) if state.exists else NO_MEMORY
+    memory = tuple(list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in memory)
     rows = pd.concat(list(batches)).sort_values("ord")
-    for number, money, confidence in zip(rows["number"], rows["currency"], rows["confidence"]):
-        n += 1
-        average = round(0.2 * confidence + 0.8 * (average or confidence), 3)
-        currency = currency or money
-        if number is not None and number not in numbers:
-            numbers = [*numbers, number][-500:]
-    state.update((n, average, currency, numbers))
-    yield pd.DataFrame([(key[0], key[1], n, average, currency, len(numbers))], columns=[c.split()[0] for c in MEMORY_OUT.split(", ")])
+    for event in rows[list(EVENT)].itertuples(index=False):
+        memory = remember(memory, event)
+    state.update(memory)
+    yield pd.DataFrame([(*key, *memory)], columns=["workspace_id", "vendor_id", *MEMORY_NAMES])
 
 
 def memory_stream(invoices: DataFrame) -> DataFrame:
-    """Vendor memory after each micro-batch: (workspace_id, vendor_id) with ord, number, currency and confidence."""
-    return invoices.groupBy("workspace_id", "vendor_id").applyInPandasWithState(_remember, MEMORY_OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def run_once(stream: DataFrame, name: str, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
-    """Process all that is there into an in-memory table and return it."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Vendor memory after each micro-batch: (workspace_id, vendor_id) with ord and the columns of ``EVENT``."""
+    return invoices.groupBy("workspace_id", "vendor_id").applyInPandasWithState(_remember, MEMORY_OUT, MEMORY, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Process all that is there and return the latest row of each of ``keys``.
+
+    Each micro-batch writes its rows below a folder of its own, which a repeat of the batch replaces; rows,
+    state and progress lie in a new folder that all executors share.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, "stream")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{folder}/progress").start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys], F.lit(0).alias("_")), "batch").alias("r"))
+    return latest.select(*keys, *[F.col("r").getField(c).alias(c) for c in stream.columns if c not in keys])
 
 
 def upsert_sink(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Rules, confidence, grounding, memory, ingestion, extraction and streams on small rows."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -113,15 +114,82 @@ def test_ingest_and_extract(spark, tmp_path):
 def test_streamed_memory_equals_the_fold(spark, tmp_path):
     from leafmill.streaming import streams
 
-    rows = [("w", k, i, f"N{i % 3}", "USD", (i % 10) / 10 + 0.05) for i in range(30) for k in (1, 2)]
-    schema = "workspace_id string, vendor_id long, ord int, number string, currency string, confidence double"
+    rows = [("w", k, i, f"N{i % 3}" if i % 5 else None, f"T{i % 2}" if i % 4 else None, "USD" if i > 2 else None, "Net 30", (i % 10) / 10 + 0.05, i % 3 == 0, i % 7 == 0) for i in range(30) for k in (1, 2)]
+    schema = "workspace_id string, vendor_id long, ord int, number string, tax_id string, currency string, terms string, confidence double, has_lines boolean, has_order boolean"
     df = spark.createDataFrame(rows, schema)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = streams.memory_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    got = {r["vendor_id"]: (r["invoice_count"], r["avg_confidence"], r["n_numbers"]) for r in streams.run_once(stream, "memory_test").collect()}
-    events = df.withColumns({"tax_id": F.lit(None).cast("string"), "terms": F.lit(None).cast("string"), "has_lines": F.lit(True), "has_order": F.lit(True)})
-    want = {r["vendor_id"]: (r["memory"]["invoice_count"], r["memory"]["avg_confidence"], len(r["memory"]["historical_invoice_numbers"])) for r in N.vendor_memory(events).collect()}
+    for k in range(3):  # files in the order of the invoices, one for each micro-batch
+        df.filter(f"ord between {10 * k} and {10 * k + 9}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.memory_stream(streams.event_stream(spark, str(tmp_path / "in"), df.schema, 1))
+    got = {r["vendor_id"]: tuple(r[c] for c in N.MEMORY_NAMES) for r in streams.run_once(stream, ["workspace_id", "vendor_id"]).collect()}
+    want = {r["vendor_id"]: tuple(r["memory"]) for r in N.vendor_memory(df).collect()}
+    assert got == want and want[1][0] == 30 and want[1][2] == ["N1", "N2", "N0"] and want[1][5] == "USD"
+
+
+def test_memory_of_many_vendors(spark):
+    rng = random.Random(3)
+    rows = [("w", rng.randint(1, 40), i, f"N{rng.randint(0, 9)}", None, rng.choice([None, "EUR", "USD"]), None, rng.random(), rng.random() < 0.5, None) for i in range(800)]
+    schema = "workspace_id string, vendor_id int, ord int, number string, tax_id string, currency string, terms string, confidence double, has_lines boolean, has_order boolean"
+    want = {}
+    for w, v, _, *event in rows:
+        want[v] = N.remember(want.get(v, N.NO_MEMORY), event)
+    got = {r["vendor_id"]: tuple(r["memory"]) for r in N.vendor_memory(spark.createDataFrame(rows, schema).repartition(5)).collect()}
     assert got == want
+    assert N.vendor_memory(spark.createDataFrame(rows, schema).limit(0)).count() == 0
+
+
+def test_similar_names_lose_nothing(spark):
+    from leafmill.functions.similarity import similar_names, token_sort_score
+
+    rng = random.Random(8)
+    base = ["ACME Trading Ltd", "24 ACME Trading Ltd", "Acme", " Acme", "aaaaaaaa", "aaaaaaaaa", "a", "b", "", "  ", "Müller GmbH", "GmbH Müller", "x\xa0y z"] + ["".join(rng.choices("abcde ", k=rng.randint(1, 14))) for _ in range(120)] + [" ".join(rng.choices(["north", "south", "supply", "trading", "co", "ltd"], k=rng.randint(1, 5))) for _ in range(80)]
+    names = sorted(set(base))
+    left = spark.createDataFrame([("w", n) for n in names], "workspace_id string, name string")
+    got = {(r["name"], r["other"]): r["score"] for r in similar_names(left, left.withColumnRenamed("name", "other")).collect()}
+    want = {(a, b): s for a in names for b in names if (s := token_sort_score(a, b)) >= 90}
+    assert got == want
+
+
+def test_new_names_lead_in_arrival_order(spark):
+    from leafmill.functions.similarity import token_sort_score
+
+    rng = random.Random(9)
+    words = ["ACME", "Trading", "Ltd", "24", "North", "Supply", "Inc"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(2, 6))) + rng.choice(["", "", "s", "."]) for _ in range(150)})
+    rng.shuffle(names)
+    rows = [("w", n, i // 2) for i, n in enumerate(names)]
+    leaders, want = [], {}
+    for _, n, i in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[n] = next((x for x in leaders if token_sort_score(x, n) >= 90), n)
+        leaders += [n] if want[n] == n else []
+    got = {}
+    for r in N.lead_new_names(spark.createDataFrame(rows, "workspace_id string, name string, arrival int")).collect():
+        got.setdefault(r["vendor_id"], set()).add(r["name"])
+    groups = {}
+    for n, x in want.items():
+        groups.setdefault(x, set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values())) and len(leaders) < len(names)
+
+
+def test_products_fold_against_counting(spark):
+    from collections import Counter
+
+    rng = random.Random(4)
+    lists = [[f"product {'long ' * 10}{rng.randint(0, 40)}" for _ in range(rng.randint(0, 15))] for _ in range(20)]
+    kept: list = []
+    for new in lists:
+        kept = [p for p, _ in Counter([*kept, *new]).most_common(20)]
+    got = spark.createDataFrame([(lists,)], "p array<array<string>>").select(N.products_fold(F.col("p")).alias("k")).first()["k"]
+    assert got == kept
+
+
+def test_character_references(spark):
+    import html
+
+    from leafmill.functions.text import strip_tags
+
+    texts = ["<b>caf&eacute;</b> &#8217;&#xe9; &mdash; &hellip; &amp;lt; &nosuch; &lt;i&gt;", "no ref", None, "&copy &notit; &#0; &#x110000;"]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(strip_tags(F.col("t")).alias("t")).collect()]
+    assert got == [None if t is None else html.unescape(__import__("re").sub("<[^>]+>", " ", t)) for t in texts]
 
 
 def test_metrics(spark):
