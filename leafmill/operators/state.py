@@ -13,6 +13,9 @@ PURGE_ORDER = ("invoice_fields", "line_items", "invoices", "audit_log", "reviewe
 TENANT_TABLES = ("documents", "vendors", "vendor_templates", "invoices", "audit_log", "reviewer_feedback", "batches", "export_history")
 
 
+BATCH = ["workspace_id", "batch_id"]
+
+
 def document_status(errors: Column, needs_review: Column) -> Column:
     """A fatal error fails the document, else a review is pending, else it is complete."""
     return F.when(F.exists(errors, lambda e: e["fatal"]), "failed").when(F.coalesce(needs_review, F.lit(False)), "needs_review").otherwise("complete")
@@ -163,15 +166,15 @@ def admit(requests: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
 def batch_counters(documents: DataFrame, batches: DataFrame) -> DataFrame:
     """Completed, failed, skipped and pending of each batch, and its mean confidence."""
     n = lambda *s: F.count_if(F.col("status").isin(*s)).alias(s[0])
-    done = documents.groupBy("batch_id").agg(n("complete", "needs_review"), n("failed"), n("skipped"), F.avg("confidence").cast("decimal(4,3)").alias("avg_confidence"))
-    out = batches.join(done, "batch_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("complete", "failed", "skipped")})
+    done = documents.groupBy(*BATCH).agg(n("complete", "needs_review"), n("failed"), n("skipped"), F.avg("confidence").cast("decimal(4,3)").alias("avg_confidence"))
+    out = batches.join(done, BATCH, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("complete", "failed", "skipped")})
     return out.withColumnRenamed("complete", "completed").withColumn("pending", F.greatest(F.lit(0), F.col("total") - F.col("completed") - F.col("failed") - F.col("skipped")))
 
 
 def retry_counters(batches: DataFrame, retried: DataFrame) -> DataFrame:
-    """``retried``: (batch_id, ok) of documents tried again."""
-    ok = retried.groupBy("batch_id").agg(F.count_if("ok").alias("_ok"))
-    out = batches.join(ok, "batch_id", "left").withColumn("_ok", F.coalesce("_ok", F.lit(0)))
+    """``retried``: (workspace_id, batch_id, ok) of documents tried again."""
+    ok = retried.groupBy(*BATCH).agg(F.count_if("ok").alias("_ok"))
+    out = batches.join(ok, BATCH, "left").withColumn("_ok", F.coalesce("_ok", F.lit(0)))
     return out.withColumns({"completed": F.col("completed") + F.col("_ok"), "failed": F.greatest(F.lit(0), F.col("failed") - F.col("_ok"))}).drop("_ok")
 
 

@@ -128,21 +128,21 @@ def q_trial(spark, sf):
     return asked.select(F.col("request_id").alias("id"), "admitted")
 
 
-_COUNTERS = "SELECT b.workspace_id, b.batch_id, count(*) FILTER (WHERE status IN ('complete', 'needs_review')) AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, greatest(0, any_value(b.total) - count(*) FILTER (WHERE status IN ('complete', 'needs_review', 'failed'))) AS pending FROM bat b JOIN docs d ON b.batch_id = d.batch_id AND b.workspace_id = d.workspace_id WHERE b.workspace_id = 'ws2' GROUP BY 1, 2"
+_COUNTERS = "SELECT b.workspace_id, b.batch_id, count(*) FILTER (WHERE status IN ('complete', 'needs_review')) AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, greatest(0, any_value(b.total) - count(*) FILTER (WHERE status IN ('complete', 'needs_review', 'failed'))) AS pending FROM bat b JOIN docs d ON b.batch_id = d.batch_id AND b.workspace_id = d.workspace_id GROUP BY 1, 2"
 
 
 @query("q_batch_counters", with_views(_COUNTERS))
 def q_batch_counters(spark, sf):
-    d = D.documents(spark, sf).filter("workspace_id = 'ws2'").withColumn("confidence", F.lit(0.5))
-    return S.batch_counters(d, D.batches(spark, sf).filter("workspace_id = 'ws2'")).select("workspace_id", "batch_id", "completed", "failed", "pending")
+    d = D.documents(spark, sf).withColumn("confidence", F.lit(0.5))
+    return S.batch_counters(d, D.batches(spark, sf)).select("workspace_id", "batch_id", "completed", "failed", "pending")
 
 
-@query("q_retry", with_views(f"SELECT c.batch_id, completed + (SELECT count(*) FROM docs d WHERE d.workspace_id = 'ws2' AND d.status = 'failed' AND d.batch_id = c.batch_id AND substr(d.id, 1, 1) < '8') AS completed, greatest(0, failed - (SELECT count(*) FROM docs d WHERE d.workspace_id = 'ws2' AND d.status = 'failed' AND d.batch_id = c.batch_id AND substr(d.id, 1, 1) < '8')) AS failed FROM ({_COUNTERS}) c"))
+@query("q_retry", with_views(f"SELECT c.workspace_id, c.batch_id, completed + (SELECT count(*) FROM docs d WHERE d.workspace_id = c.workspace_id AND d.status = 'failed' AND d.batch_id = c.batch_id AND substr(d.id, 1, 1) < '8') AS completed, greatest(0, failed - (SELECT count(*) FROM docs d WHERE d.workspace_id = c.workspace_id AND d.status = 'failed' AND d.batch_id = c.batch_id AND substr(d.id, 1, 1) < '8')) AS failed FROM ({_COUNTERS}) c"))
 def q_retry(spark, sf):
-    d = D.documents(spark, sf).filter("workspace_id = 'ws2'").withColumn("confidence", F.lit(0.5))
-    b = S.batch_counters(d, D.batches(spark, sf).filter("workspace_id = 'ws2'"))
-    again = d.filter("status = 'failed'").select("batch_id", (F.substring("id", 1, 1) < "8").alias("ok"))
-    return S.retry_counters(b, again).select("batch_id", "completed", "failed")
+    d = D.documents(spark, sf).withColumn("confidence", F.lit(0.5))
+    b = S.batch_counters(d, D.batches(spark, sf))
+    again = d.filter("status = 'failed'").select("workspace_id", "batch_id", (F.substring("id", 1, 1) < "8").alias("ok"))
+    return S.retry_counters(b, again).select("workspace_id", "batch_id", "completed", "failed")
 
 
 @query("q_projects", with_views("SELECT batch_id, CASE WHEN batch_id = 2 THEN 'Renamed' ELSE name END AS name, batch_id IN (3, 5, 10, 15) OR (is_archived AND batch_id <> 0) AS is_archived FROM bat WHERE workspace_id = 'ws1' AND batch_id <> 0 UNION ALL SELECT 1000, 'Batch 4 (Copy)', false"))
