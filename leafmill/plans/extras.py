@@ -10,7 +10,7 @@ from leafmill.operators import reports as R
 from leafmill.operators import vendors as N
 from leafmill.operators.extraction import extract
 from leafmill.plans.registry import query
-from leafmill.plans.sql import with_views
+from leafmill.plans.sql import VIEWS, with_views
 from leafmill.sources import domain as D
 from leafmill.sources.domain import table
 from leafmill.sources.seeds import SYNTHETIC, seed_vendors, synthetic_invoices
@@ -75,7 +75,12 @@ def q_synthetic_invoices(spark, sf):
     return synthetic_invoices(spark).select("vendor_name", "invoice_number", "subtotal", "tax_amount", "total_amount")
 
 
-@query("q_products_fold")
+# The kept list with the new one: distinct products by falling count, then by first place, twenty at most.
+_KEEP = "list_transform(list_sort(list_transform(list_filter({b}, lambda x, i: list_position({b}, x) = i), lambda x: {{'n': -len(list_filter({b}, lambda y: y = x)), 'i': list_position({b}, x), 'p': x}}))[1:20], lambda s: s.p)"
+_BOUGHT = "per AS (SELECT l_suppkey AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY invoice_id) AS n, list_sort(list(description)) AS p FROM lin GROUP BY l_suppkey, invoice_id)"
+
+
+@query("q_products_fold", f"WITH RECURSIVE {VIEWS}, {_BOUGHT}, kept AS (SELECT v, n, {_KEEP.format(b='p')} AS k FROM per WHERE n = 1 UNION ALL SELECT t.v, t.n, {_KEEP.format(b='t.b')} FROM (SELECT per.v, per.n, kept.k || per.p AS b FROM kept JOIN per ON per.v = kept.v AND per.n = kept.n + 1) t) SELECT v AS vendor_id, array_to_string(arg_max(k, n), '|') AS products FROM kept GROUP BY 1")
 def q_products_fold(spark, sf):
     lines = D.lines(spark, sf).groupBy("l_suppkey", "invoice_id").agg(F.array_sort(F.collect_list("description")).alias("p"))
     per = lines.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("invoice_id", "p"))).alias("x"))

@@ -268,7 +268,25 @@ def q_canonicalize(spark, sf):
     return c.select("id", F.col("c.invoice_date").cast("string").alias("invoice_date"), F.col("c.due_date").cast("string").alias("due_date"), "c.currency", "c.total_amount")
 
 
-@query("q_legacy_review")
+_MATH = f"(CASE WHEN sub IS NULL OR tax IS NULL OR tot IS NULL OR tot = 0 THEN NULL ELSE {_GAP} * 100 <= abs(tot) END)"
+
+
+def _legacy_sql(k: int, f: str, v: str) -> str:
+    conf = Q.confidence(k, v)
+    raised = {
+        "invoice_date": f"CASE WHEN TRY_CAST({v} AS DATE) IS NOT NULL THEN least(1.0::DOUBLE, {conf} + 0.1::DOUBLE) ELSE {conf} END",
+        "currency": f"CASE WHEN currency IN ('USD', 'EUR', 'GBP') THEN least(1.0::DOUBLE, {conf} + 0.1::DOUBLE) ELSE {conf} END",
+        "total_amount": f"CASE WHEN {_MATH} THEN least(1.0::DOUBLE, {conf} + 0.2::DOUBLE) WHEN NOT {_MATH} THEN least(0.5::DOUBLE, {conf}) ELSE {conf} END",
+        "vendor_name": f"CASE WHEN vendor_matched THEN least(1.0::DOUBLE, {conf} + 0.1::DOUBLE) ELSE {conf} END",
+    }.get(f, conf)
+    capped = f"CASE WHEN NOT {_BLANK(v)} AND NOT contains({_KEY.format(x='raw_text')}, {_KEY.format(x=v)}) AND ({raised}) > 0.5 THEN 0.5::DOUBLE ELSE ({raised}) END"
+    return f"CASE WHEN ({capped}) < 0.75 THEN '{f}: confidence ' || format('{{:.2f}}', {capped}) || ' < 0.75' END"
+
+
+_LEGACY = [_legacy_sql(k, f, v) for name in C.KEY_FIELDS for k, (f, v) in Q.FIELD_VALUES if f == name]
+
+
+@query("q_legacy_review", with_views(f"SELECT id, concat_ws('; ', {', '.join(_LEGACY)}) AS reasons FROM rec"))
 def q_legacy_review(spark, sf):
     return C.legacy_scores(D.records(spark, sf)).select("id", F.array_join("legacy_reasons", "; ").alias("reasons"))
 
