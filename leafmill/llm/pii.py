@@ -6,16 +6,16 @@ e-mail in lower case.  The corpus then tells which other terms give an entity c
 to either side) discloses PMI(c; t) / IC(c) of it, where IC(c) = log N / n(c) and PMI(c; t) =
 log N n(c, t) / (n(c) n(t)): 1 for a term that never occurs without the entity, 0 for an independent one.
 Terms at ``generalise`` or above are found wherever they occur and replaced by their class, at ``remove``
-or above by nothing.  Only pairs in at least ``min_support`` distinct texts count, as a pair seen once
-tells nothing, and only those whose log-likelihood ratio (G) is significant at ``alpha`` when all pairs of the
+or above by nothing.  Counts are of documents, copies included: who searches the corpus for the term finds
+them all.  Only pairs in at least ``min_support`` documents count, as a pair seen once tells nothing, and only
+those whose log-likelihood ratio (G) is significant at ``alpha`` when all pairs of the
 corpus are tested (Bonferroni), so that chance companions do not count, however many pairs there are.
 
 Counts cover all documents.  Terms that disclose are broadcast while they are few
 (``max_broadcast``) and shuffled beyond that; so are the documents' spans.
 
 Defined results: a null or empty text has no spans; spans of different kinds may overlap, a term's span
-does not overlap a pattern's; copies count as one text in the support, and every row is judged by
-itself; an empty table gives an empty result; columns of the input named like a result column are
+does not overlap a pattern's; every row is a document of its own, copies and null ids too; an empty table gives an empty result; columns of the input named like a result column are
 replaced.
 """
 
@@ -131,10 +131,10 @@ def _g(both: Column, a: Column, b: Column, n: Column) -> Column:
 
 
 def disclosing_terms(found: DataFrame, words: DataFrame, n_docs: int, params: PiiParams) -> DataFrame:
-    """(term, disclosure) above the lower threshold.  ``found``: place, hash, entity and the text near it."""
-    near = found.select("entity", "place", "hash", F.explode(_words(F.col("near"), params.min_length)).alias("term"))
-    every = cut(near.groupBy("entity", "term").agg(F.countDistinct("place").alias("n_both"), F.countDistinct("hash").alias("support")))
-    pairs = every.filter(F.col("support") >= params.min_support)
+    """(term, disclosure) above the lower threshold.  ``found``: place, entity and the text near it."""
+    near = found.select("entity", "place", F.explode(_words(F.col("near"), params.min_length)).alias("term"))
+    every = cut(near.groupBy("entity", "term").agg(F.countDistinct("place").alias("n_both")))
+    pairs = every.filter(F.col("n_both") >= params.min_support)
     critical = NormalDist().inv_cdf(1 - params.alpha / max(1, every.count()) / 2) ** 2
     entities = found.groupBy("entity").agg(F.countDistinct("place").alias("n_entity"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
@@ -155,8 +155,8 @@ def find_personal_data(docs: DataFrame, params: PiiParams = PiiParams(), text_co
     """``docs`` with ``base`` and ``terms``: spans of the patterns, and of the terms that give them away with their disclosure."""
     inside, kept, names = hidden(docs, "base", "terms")
     placed = with_place(inside).withColumn("_text", F.coalesce(F.col(names[text_col]), F.lit("")))
-    spans = cut(placed.select("_place", F.xxhash64("_text").alias("hash"), base_spans(F.col("_text")).alias("base"), "_text").withColumn("around", F.transform("base", lambda s: F.concat_ws(" ", F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] - params.context + 1).cast("int"), F.least(s["start"], F.lit(params.context)).cast("int")), F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(params.context))))).drop("_text").filter(F.size("base") > 0))
-    found = spans.select(F.col("_place").alias("place"), "hash", F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", "hash", entity_of(F.col("s.base.kind"), F.col("s.base.value")).alias("entity"), F.col("s.around").alias("near"))
+    spans = cut(placed.select("_place", base_spans(F.col("_text")).alias("base"), "_text").withColumn("around", F.transform("base", lambda s: F.concat_ws(" ", F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] - params.context + 1).cast("int"), F.least(s["start"], F.lit(params.context)).cast("int")), F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(params.context))))).drop("_text").filter(F.size("base") > 0))
+    found = spans.select(F.col("_place").alias("place"), F.explode(F.arrays_zip("base", "around")).alias("s")).select("place", entity_of(F.col("s.base.kind"), F.col("s.base.value")).alias("entity"), F.col("s.around").alias("near"))
     words = placed.select("_place", F.explode(_words(F.col("_text"), params.min_length)).alias("term"))
     flagged = cut(disclosing_terms(found, words, docs.count(), params))
     holding = cut(words.join(_small(flagged, params), "term").groupBy("_place").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_scores")))

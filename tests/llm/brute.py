@@ -148,7 +148,7 @@ def disclosing(texts, context=60, alpha=0.01, generalise=0.9, min_support=2):
         return (kind, ".".join(str(int(x)) for x in v.split("."))) if kind == "ip" else (kind, re.sub("[^0-9]", "", v))
 
     n = len(texts)
-    pair, owner, term, support = Counter(), Counter(), Counter(), {}
+    pair, owner, term = Counter(), Counter(), Counter()
     for t in texts:
         term.update(terms(t))
         near = {}
@@ -158,14 +158,13 @@ def disclosing(texts, context=60, alpha=0.01, generalise=0.9, min_support=2):
             owner[e] += 1
             for w in ws:
                 pair[e, w] += 1
-                support.setdefault((e, w), set()).add(t)
     critical = NormalDist().inv_cdf(1 - alpha / max(1, len(pair)) / 2) ** 2
     f = lambda x: x * math.log(x) if x > 0 else 0.0
     out = {}
     for (e, w), k in pair.items():
         a, b = owner[e], term[w]
         g = 2 * (f(k) + f(a - k) + f(b - k) + f(n - a - b + k) - f(a) - f(n - a) - f(b) - f(n - b) + f(n))
-        if b and len(support[e, w]) >= min_support and g >= critical and a < n:
+        if b and k >= min_support and g >= critical and a < n:
             share = math.log(n * k / (a * b)) / math.log(n / a)
             if share >= generalise:
                 out[w] = max(share, out.get(w, 0))
