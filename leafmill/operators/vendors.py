@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -147,6 +148,35 @@ def products_fold(products: Column, n: int = MAX_PRODUCTS) -> Column:
     return F.aggregate(products, F.array().cast("array<string>"), step)
 
 
+def products_by_order(lines: DataFrame, n: int = MAX_PRODUCTS) -> DataFrame:
+    """(vendor_id, products): ``products_fold`` over each vendor's invoices in the order of ``ord``.
+
+    ``lines``: vendor_id, ord, product.  A vendor's lines come sorted from the shuffle; the kept list and one
+    invoice's lines are held.
+    """
+    kind = lines.schema["vendor_id"].dataType.simpleString()
+
+    def fold(batches):
+        owner, kept, order, new = None, [], None, []
+        settle = lambda: [p for p, _ in Counter([*kept, *new]).most_common(n)]
+        for b in batches:
+            out = []
+            for vendor, at, product in b.itertuples(index=False):
+                if vendor != owner or at != order:
+                    kept, new, order = settle(), [], at
+                    if vendor != owner:
+                        if owner is not None:
+                            out.append((owner, kept))
+                        owner, kept = vendor, []
+                new.append(product)
+            yield pd.DataFrame(out, columns=["vendor_id", "products"])
+        if owner is not None:
+            yield pd.DataFrame([(owner, settle())], columns=["vendor_id", "products"])
+
+    dealt = lines.select("vendor_id", "ord", "product").filter("vendor_id is not null and ord is not null and product is not null")
+    return dealt.repartition("vendor_id").sortWithinPartitions("vendor_id", "ord", "product").mapInPandas(fold, f"vendor_id {kind}, products array<string>")
+
+
 def boost(records: DataFrame, vendors: DataFrame) -> DataFrame:
     """Raises or lowers confidences of ``extracted`` by the vendor's memory; adds ``boost_reasons``.
 

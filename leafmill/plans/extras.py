@@ -82,9 +82,8 @@ _BOUGHT = "per AS (SELECT l_suppkey AS v, row_number() OVER (PARTITION BY l_supp
 
 @query("q_products_fold", f"WITH RECURSIVE {VIEWS}, {_BOUGHT}, kept AS (SELECT v, n, {_KEEP.format(b='p')} AS k FROM per WHERE n = 1 UNION ALL SELECT t.v, t.n, {_KEEP.format(b='t.b')} FROM (SELECT per.v, per.n, kept.k || per.p AS b FROM kept JOIN per ON per.v = kept.v AND per.n = kept.n + 1) t) SELECT v AS vendor_id, array_to_string(arg_max(k, n), '|') AS products FROM kept GROUP BY 1")
 def q_products_fold(spark, sf):
-    lines = D.lines(spark, sf).groupBy("l_suppkey", "invoice_id").agg(F.array_sort(F.collect_list("description")).alias("p"))
-    per = lines.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("invoice_id", "p"))).alias("x"))
-    return per.select(F.col("l_suppkey").alias("vendor_id"), F.array_join(N.products_fold(F.transform("x", lambda s: s["p"])), "|").alias("products"))
+    lines = D.lines(spark, sf).select(F.col("l_suppkey").alias("vendor_id"), F.col("invoice_id").alias("ord"), F.col("description").alias("product"))
+    return N.products_by_order(lines).select("vendor_id", F.array_join("products", "|").alias("products"))
 
 
 @query("q_file_filter", with_views("SELECT filename, file_size_bytes, min(id) AS id FROM docs WHERE file_size_bytes <= 5000 GROUP BY 1, 2"))

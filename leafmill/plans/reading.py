@@ -187,8 +187,10 @@ def q_export_json(spark, sf):
 
 @query("q_vendor_last_numbers", with_views("SELECT vendor_id, string_agg(invoice_number, ',' ORDER BY id) AS numbers FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY id DESC) AS n FROM inv WHERE vendor_id IS NOT NULL) WHERE n <= 5 GROUP BY 1"))
 def q_vendor_last_numbers(spark, sf):
-    all_ = D.invoices(spark, sf).filter("vendor_id is not null").groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("id", "invoice_number"))).alias("x"))
-    return all_.select("vendor_id", F.array_join(F.transform(last_of(F.col("x"), 5), lambda s: s["invoice_number"]), ",").alias("numbers"))
+    last = Window.partitionBy("vendor_id").orderBy(F.desc("id"))
+    few = D.invoices(spark, sf).filter("vendor_id is not null").select("vendor_id", "id", "invoice_number", F.row_number().over(last).alias("n")).filter("n <= 5")
+    kept = few.groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("id", "invoice_number"))).alias("x"))
+    return kept.select("vendor_id", F.array_join(F.transform(last_of(F.col("x"), 5), lambda s: s["invoice_number"]), ",").alias("numbers"))
 
 
 @query("q_tenant_counts", with_views("SELECT i.workspace_id, n_invoices, n_batches FROM (SELECT workspace_id, count(*) AS n_invoices FROM inv GROUP BY 1) i JOIN (SELECT workspace_id, count(*) AS n_batches FROM bat GROUP BY 1) b ON i.workspace_id = b.workspace_id"))

@@ -3,6 +3,8 @@
 import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from leafmill.operators import confidence as C
@@ -180,6 +182,13 @@ def test_products_fold_against_counting(spark):
         kept = [p for p, _ in Counter([*kept, *new]).most_common(20)]
     got = spark.createDataFrame([(lists,)], "p array<array<string>>").select(N.products_fold(F.col("p")).alias("k")).first()["k"]
     assert got == kept
+    rows = [(v, i, p) for v in (1, 2) for i, new in enumerate(lists) for p in new]
+    rng.shuffle(rows)
+    kept = []
+    for new in lists:
+        kept = [p for p, _ in Counter([*kept, *sorted(new)]).most_common(20)]
+    got = {r["vendor_id"]: r["products"] for r in N.products_by_order(spark.createDataFrame(rows, "vendor_id int, ord int, product string").repartition(4)).collect()}
+    assert got == {1: kept, 2: kept}
 
 
 def test_character_references(spark):
@@ -211,3 +220,68 @@ def test_bundle_and_purge(spark, tmp_path):
     left = write_bundle(tables, str(tmp_path / "bundle"), "ws1")
     assert spark.read.json(str(tmp_path / "bundle/json")).count() == n and left["invoices"].filter("workspace_id = 'ws1'").count() == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "bundle/invoices")).count() == n and len(left["line_items"].columns) == len(tables["line_items"].columns)
+
+
+def test_readers_in_turn_and_what_is_new(spark):
+    from leafmill.sources import files as S
+
+    def engine(score, text):
+        return lambda content, mime: [{"text": text, "words": [{"text": text, "confidence": score, "bbox": [0.0, 0.0, 1.0, 1.0], "page": 0}]}]
+
+    def broken(content, mime):
+        raise ValueError("no engine")
+
+    read = lambda *e: S.cascade(*e)(b"", "image/png")[0]["text"]
+    assert read(engine(0.39, "a"), engine(0.4, "b"), engine(0.9, "c")) == "b" and read(engine(0.1, "a"), engine(0.2, "b")) == "b"
+    assert read(broken, engine(0.1, "b")) == "b" and S.cascade()(b"", "") == []
+    with pytest.raises(ValueError):
+        read(engine(0.1, "a"), broken)
+    files = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string")
+    done = spark.createDataFrame([("a", "complete", None), ("b", "complete", ["e"]), ("c", "failed", None)], "id string, status string, errors array<string>")
+    assert sorted(r["id"] for r in S.unseen(files, done).collect()) == ["b", "c", "d"] and S.unseen(files, done, force=True).count() == 4
+    page = lambda n: [{"text": "x" * n}]
+    pages = spark.createDataFrame([(page(50),), (page(49),), ([],)], "pages array<struct<text:string>>")
+    assert [r["k"] for r in pages.select(S.classify_pages(F.col("pages")).alias("k")).collect()] == ["text_pdf", "scanned_pdf", "scanned_pdf"]
+
+
+def test_mail_attachments():
+    from email.message import EmailMessage
+
+    from leafmill.sources.mail import MailReader, attachments
+
+    m = EmailMessage()
+    m["Subject"], m["From"], m["Message-ID"] = "Bills", "a@example.com", "<1@x>"
+    m.set_content("see attached")
+    m.add_attachment(b"%PDF-1", maintype="application", subtype="pdf", filename="bill.pdf")
+    m.add_attachment(b"zip", maintype="application", subtype="zip", filename="no.zip")
+    m.add_attachment(b"%PDF-2", maintype="application", subtype="pdf")
+    found = list(attachments(m.as_bytes()))
+    assert [(f[1], f[3][:11], f[4], f[5]) for f in found] == [("Bills", "bill.pdf", "application/pdf", b"%PDF-1"), ("Bills", "attachment_", "application/pdf", b"%PDF-2")]
+    reader = MailReader({"enabled": "true", "preset": "gmail"})
+    assert (reader.host, reader.port) == ("imap.gmail.com", 993)
+    with pytest.raises(ValueError):
+        MailReader({})
+
+
+def test_answers_and_latest_templates(spark):
+    from leafmill.functions.text import fenced_json
+    from leafmill.sources.sinks import observed
+
+    said = ['Here:\n```json\n{"a": 1}\n```', '```\n{"b": 2}```', '{"c": 3}']
+    assert [r["j"] for r in spark.createDataFrame([(t,) for t in said], "t string").select(fenced_json(F.col("t")).alias("j")).collect()] == ['{"a": 1}', '{"b": 2}', '{"c": 3}']
+    t = spark.createDataFrame([("w", 1, 1, "old"), ("w", 1, 3, "new"), ("w", 2, 1, "only")], "workspace_id string, vendor_id int, version int, fingerprint string")
+    assert sorted(r["fingerprint"] for r in N.latest_templates(t).collect()) == ["new", "only"]
+    df, counters = observed(spark.createDataFrame([("failed",), ("complete",), ("needs_review",), ("failed",)], "status string"), "seen")
+    df.collect()
+    assert counters.get == {"rows": 4, "failed": 2, "needs_review": 1}
+
+
+def test_upsert_sink(spark, tmp_path):
+    from leafmill.streaming.streams import event_stream, upsert_sink
+
+    spark.createDataFrame([(i,) for i in range(10)], "i int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    for _ in range(2):  # the second run finds nothing new
+        stream = event_stream(spark, str(tmp_path / "in"), "i int")
+        upsert_sink(stream, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "progress")).awaitTermination()
+    assert seen == [(0, 10)]
