@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bound the bytes of a batch that goes to Python, so that a worker's memory does not depend on how long texts are.
 
     Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session where it is larger.
