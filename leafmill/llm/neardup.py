@@ -185,6 +185,9 @@ def components(edges: DataFrame) -> DataFrame:
         moved = left.join(of("u"), "u").join(of("v"), "v").filter("u_to <> v_to")
         left = cut(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct())
         steps.append(step)
+        del nearest, moved
+        # Spark removes the shuffle files of finished rounds once the driver has forgotten their plans.
+        left.sparkSession.sparkContext._jvm.System.gc()
     if not steps:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
     # Back through the rounds, each with more nodes than the one after it.
