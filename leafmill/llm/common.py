@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a longest run without space, tab, line feed, vertical tab, form feed or carriage return.
@@ -102,3 +102,22 @@ def cut(df: DataFrame) -> DataFrame:
 def spans_text(spans: Column) -> Column:
     """``kind:start:end`` of an array<struct<kind,start,end>>, comma-joined in its order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def ranked(df: DataFrame, groups: list[str], order: list[str], tmp: Scratch, name: str) -> DataFrame:
+    """``df`` with ``_rank``, its row's number (from 0) in its group by ``order`` (nulls first), and ``_total``, the group's rows.
+
+    A sort by ranges deals the rows of a large group to many tasks; each task numbers its own, and the rows of
+    earlier tasks are added, so that no group is in one task.  The result reads a table of ``tmp``.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    rows = tmp.table(name, placed.withColumn("_part", F.shiftright("_id", 33)))
+    runs = rows.groupBy("_part", *groups).agg(F.min("_id").alias("_from"), F.count("*").alias("_n"))
+    over = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(over))
+    runs = runs.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_from", "_before", "_total")
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(runs, same).select(*df.columns, (F.col("_id") - F.col("_from") + F.col("_before")).alias("_rank"), "_total")

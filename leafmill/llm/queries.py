@@ -161,3 +161,70 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _crc_sql(number: str) -> str:
+    """CRC-32 of the decimal digits of a number, in SQL: eight shifts for each byte."""
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda d: ascii(d)::UBIGINT)"
+    shifts = "list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {digits}), lambda c, b: {shifts}))"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(fields)})"
+
+
+_OP11_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + 1)")} AS bad, {_crc_sql("doc_id")} % 7 = 0 AS hit FROM documents),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS width FROM d),
+n(tree, lev, pos, h, width) AS (SELECT tree, 0, pos, leaf, width FROM l
+  UNION ALL SELECT tree, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (width + 1) // 2 FROM n WHERE width > 1 GROUP BY tree, lev, pos // 2, width),
+s AS MATERIALIZED (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS width FROM n WHERE width = 1),
+u(lev, pos, h, width) AS (SELECT 0, pos, h, width FROM s
+  UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (width + 1) // 2 FROM u WHERE width > 1 GROUP BY lev, pos // 2, width),
+c(doc_id, leaf, tree, lev, pos, width, f, proof) AS (SELECT doc_id, leaf, tree, 0, pos, width, CASE WHEN hit THEN bad ELSE leaf END, '' FROM l
+  UNION ALL SELECT c.doc_id, c.leaf, c.tree, c.lev + 1, c.pos // 2, (c.width + 1) // 2, sha256(CASE WHEN c.pos % 2 = 0 THEN c.f || coalesce(n.h, '') ELSE n.h || c.f END), c.proof || coalesce(n.h, '')
+  FROM c LEFT JOIN n ON n.tree = c.tree AND n.lev = c.lev AND n.pos = xor(c.pos, 1) WHERE c.width > 1),
+e(doc_id, leaf, subroot, lev, pos, width, f, proof) AS (SELECT c.doc_id, c.leaf, s.h, 0, s.pos, s.width, c.f, c.proof FROM c JOIN s ON s.tree = c.tree WHERE c.width = 1
+  UNION ALL SELECT e.doc_id, e.leaf, e.subroot, e.lev + 1, e.pos // 2, (e.width + 1) // 2, sha256(CASE WHEN e.pos % 2 = 0 THEN e.f || coalesce(u.h, '') ELSE u.h || e.f END), e.proof || coalesce(u.h, '')
+  FROM e LEFT JOIN u ON u.lev = e.lev AND u.pos = xor(e.pos, 1) WHERE e.width > 1)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM e, (SELECT h FROM u WHERE width = 1) r WHERE e.width = 1
+"""
+
+
+@query("op11_merkle_slot_pivot", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.merkle import manifest, proof_digest
+
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = manifest(docs, tampered={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+_OP13_SQL = f"""
+WITH t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id AS c, conv_id - conv_id % 5 AS b, {_crc_sql("conv_id")} % 9 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c, i, 0 AS part, role, text FROM c JOIN t ON t.conv_id = b AND i <= h UNION ALL SELECT c, i, 1, role, text FROM c JOIN t ON t.conv_id = c AND i > h),
+q AS (SELECT c.c, coalesce(list(sha256(strlen(role) || ':' || role || text) ORDER BY part, i) FILTER (i IS NOT NULL), []) AS s, coalesce(list(strlen(text) ORDER BY part, i) FILTER (i IS NOT NULL), []) AS w FROM c LEFT JOIN r ON r.c = c.c GROUP BY c.c),
+m AS (SELECT c, d, len(s) AS n, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS w, sha256(array_to_string(s[1:d], '')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(s[1:d - 1], '')) END AS up FROM q, unnest(range(len(s) + 1)) AS x(d)),
+v AS MATERIALIZED (SELECT k, d, up, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * min(w) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM m GROUP BY k, d, up),
+kids AS (SELECT up, count(*) AS n FROM v WHERE up IS NOT NULL GROUP BY up),
+pairs AS (SELECT DISTINCT a.k AS above, b.k AS below FROM m a JOIN m b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT above, sum(v.saved)::BIGINT AS saved, count(*) FILTER (kids.n IS NULL) AS leaves FROM pairs JOIN v ON v.k = below LEFT JOIN kids ON kids.up = v.k GROUP BY above)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(kids.n, 0) AS n_children, sums.leaves AS n_leaves, sums.saved AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v LEFT JOIN v p ON p.k = v.up LEFT JOIN kids ON kids.up = v.k JOIN sums ON sums.above = v.k
+"""
+
+
+@query("op13_prefix_trie_blocks", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.common import Scratch
+    from leafmill.llm.prefixtrie import numbered_turns, prefix_trie, rebased
+
+    tmp = Scratch(spark)
+    turns = numbered_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), tmp)
+    conv = F.col("conv")
+    convs, rebuilt = rebased(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9)
+    return prefix_trie(convs, rebuilt, tmp=tmp)
