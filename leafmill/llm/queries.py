@@ -228,3 +228,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv")
     convs, rebuilt = rebased(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9)
     return prefix_trie(convs, rebuilt, tmp=tmp)
+
+
+@query("op12_jaccard_pivot_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.setjoin import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
