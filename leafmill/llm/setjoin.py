@@ -53,11 +53,14 @@ class JoinParams:
     #: Hundredths: texts link when 100 * intersection >= percent * union.
     percent: int = 80
     #: Texts, and shingles of them together, that one task compares.
-    dense: int = 1000
+    dense: int = 2000
     dense_shingles: int = 2_000_000
     #: Pivots that a larger region takes in a round, and shingles of them together.
-    pivots: int = 16
+    pivots: int = 256
     pivot_shingles: int = 1_000_000
+    #: Texts of a larger region that are compared with its pivots at once, and shingles of them together.
+    block: int = 250
+    block_shingles: int = 250_000
     seed: int = 42
 
 
@@ -221,7 +224,8 @@ def _rank(round_: int):
 
 
 def _compared(crowded: DataFrame, sets: DataFrame, round_: int, params: JoinParams) -> DataFrame:
-    """``crowded`` (region, node, root) with the nodes of its region's pivots and the text's distance to each."""
+    """``crowded`` (region, node, root, m, t) but for its regions' pivots, with ``linked``, the pivots it links with,
+    and ``cells``: that of the nearest pivot, those whose windows the text is in, and -1 if it is far from all pivots."""
     slot = F.pmod(F.xxhash64(F.lit(-1 - round_), F.col("node")), F.lit(params.pivots))
     # Texts of roots with few members first: once compared with all of the region they are done with.
     weight = crowded.groupBy("region", "root").agg(F.count("*").alias("same"))
@@ -229,32 +233,44 @@ def _compared(crowded: DataFrame, sets: DataFrame, round_: int, params: JoinPara
     pivots = led.join(sets, "node").groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "names"))).alias("ahead"))
     room = F.expr(f"aggregate(ahead, struct(cast(0 as long) as t, cast(0 as int) as k), (s, x) -> struct(s.t + octet_length(x.names) div 8 as t, if(s.t + octet_length(x.names) div 8 <= {params.pivot_shingles}, s.k + 1, s.k) as k)).k")
     pivots = pivots.select("region", F.slice("ahead", 1, F.greatest(room, F.lit(1))).alias("ahead"))
+    blocks = F.greatest(F.ceil(F.col("m") / params.block), F.ceil(F.col("t") / params.block_shingles))
+    members = crowded.join(sets.select("node", "names"), "node").groupBy("region", F.pmod(F.xxhash64("node", F.lit(round_)), blocks).alias("part")).agg(F.collect_list(F.struct("node", "root", "names")).alias("members"))
+    reach = 1 - params.percent / 100 + 1e-9
 
-    @F.pandas_udf("array<struct<d:double,holds:boolean>>")
-    def distances(names: pd.Series, ahead: pd.Series) -> pd.Series:
+    def compare(batches):
+        for batch in batches:
+            for region, members, ahead in zip(*(batch.column(k) for k in range(3))):
+                m, a = members.values, ahead.values
+                node, root = (m.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                pivot = a.field(0).to_numpy(zero_copy_only=False)
+                own, of = ([np.frombuffer(x.as_buffer(), np.uint64) for x in f] for f in (m.field(2), a.field(1)))
+                n, k = (np.array([len(x) for x in y], np.int64) for y in (own, of))
+                flat = np.concatenate(own)
+                both = np.stack([overlaps(x, flat, np.cumsum(n) - n, n) for x in of], axis=1)
+                d = 1 - both / (n[:, None] + k - both)
+                holds = _linked(n[:, None], k, both, params)
+                home = d.min(axis=1)
+                inside = (d < 1) & (d <= home[:, None] + 2 * reach)
+                for i in np.flatnonzero(~np.isin(node, pivot)):
+                    cells = np.flatnonzero(inside[i]).tolist() + [-1] * bool(home[i] >= 1 - reach)
+                    yield region.as_py(), int(node[i]), int(root[i]), pivot[holds[i]].tolist(), cells
+                # A pivot's own links to other pivots; it has no further cell.
+                for i in np.flatnonzero(np.isin(node, pivot)):
+                    yield region.as_py(), int(node[i]), int(root[i]), pivot[holds[i] & (pivot != node[i])].tolist(), []
+
+    schema = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("linked", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
+
+    def rows(batches):
         out = []
-        for x, group in zip(names, ahead):
-            own = np.frombuffer(x, np.uint64)
-            others = [np.frombuffer(y["names"], np.uint64) for y in group]
-            n = np.array([len(y) for y in others], np.int64)
-            both = overlaps(own, np.concatenate(others), np.cumsum(n) - n, n)
-            holds = _linked(len(own), n, both, params)
-            out.append([{"d": d, "holds": h} for d, h in zip((1 - both / (len(own) + n - both)).tolist(), holds.tolist())])
-        return pd.Series(out, dtype=object)
-
-    near = crowded.join(sets, "node").join(pivots, "region").select("region", "node", "root", "ahead", distances("names", "ahead").alias("d"))
-    return near.select("region", "node", "root", F.transform("ahead", lambda a: a["node"]).alias("pivots"), F.transform("d", lambda d: d["d"]).alias("d"), F.transform("d", lambda d: d["holds"]).alias("holds"))
+        for row in compare(batches):
+            out.append(row)
+            if len(out) == 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-
-def _cells(near: DataFrame, params: JoinParams) -> DataFrame:
-    """(region, cell, node, root): every text's cell and those whose windows it is in; the cell of texts far from all pivots is -1."""
-    reach = 1 - params.percent / 100 + 1e-9
-    home = F.array_min("d")
-    numbered = F.transform("d", lambda d, i: F.struct(d.alias("d"), i.cast("long").alias("i")))
-    inside = F.transform(F.filter(numbered, lambda x: (x["d"] < 1) & (x["d"] <= home + 2 * reach)), lambda x: x["i"])
-    far = F.when(home >= 1 - reach, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))
-    left = near.filter(~F.array_contains("pivots", F.col("node")))
-    return left.select("region", "node", "root", F.explode(F.concat(inside, far)).alias("cell"))
+    return members.join(pivots, "region").select("region", "members", "ahead").mapInArrow(rows, "region long, node long, root long, linked array<long>, cells array<int>")
 
 
 def _relabelled(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -287,16 +303,17 @@ def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str,
         links.append(tmp.table(f"links{round_}", _joined(regions, params).distinct()))
         if large.filter(crowded).isEmpty():
             break
-        near = tmp.table(f"near{round_}", _compared(work.join(large.filter(crowded).select("region"), "region"), sets, round_, params))
-        close = near.select("node", F.explode(F.arrays_zip("pivots", "holds")).alias("x")).filter("x.holds and node <> x.pivots")
-        links.append(tmp.table(f"close{round_}", close.select(F.least("node", "x.pivots").alias("u"), F.greatest("node", "x.pivots").alias("v")).distinct()))
-        groups = components(_union(links))
-        cells = tmp.table(f"cells{round_}", _relabelled(_cells(near, params), groups))
-        # Regions that their windows do not part stay whole.
-        parted = cells.groupBy("region").agg((F.count("*") <= 2 * F.countDistinct("node")).alias("parts"))
-        cells = cells.join(parted, "region")
-        whole = cells.filter("not parts").select("region", "node", "root").distinct()
-        work = tmp.table(f"work{round_}", cells.filter("parts").select(F.xxhash64("region", "cell", F.lit(round_)).alias("region"), "node", "root").union(whole))
+        near = tmp.table(f"near{round_}", _compared(work.join(large.filter(crowded).select("region", "m", "t"), "region"), sets, round_, params))
+        close = near.select(F.col("node"), F.explode("linked").alias("v"))
+        links.append(tmp.table(f"close{round_}", close.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()))
+        groups = tmp.table(f"groups{round_}", components(_union(links)))
+        # Pivots are done with.  Regions that their windows do not part stay whole.
+        left = _relabelled(near.filter(F.size("cells") > 0), groups)
+        parted = left.groupBy("region").agg((F.sum(F.size("cells")) <= 2 * F.count("*")).alias("parts"))
+        left = left.join(parted, "region")
+        cells = left.filter("parts").select("region", "node", "root", F.explode("cells").alias("cell"))
+        whole = left.filter("not parts").select("region", "node", "root")
+        work = tmp.table(f"work{round_}", cells.select(F.xxhash64("region", "cell", F.lit(round_)).alias("region"), "node", "root").union(whole))
         round_ += 1
     return components(_union(links))
 
