@@ -31,6 +31,7 @@ of a component are null; an empty table gives an empty result; further columns s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE_WORD, Scratch, bounded_batches, hidden, lower_ascii, with_place
+from leafmill.llm.common import Scratch, bounded_batches, hidden, with_place
 from leafmill.llm.neardup import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Counters of the sketch.
-SKETCH = 1 << 18
+SKETCH_BITS = 20
+SKETCH = 1 << SKETCH_BITS
+#: Counters that tasks send and sum together.
+_CHUNK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -76,14 +80,21 @@ class _Names(dict):
     def __init__(self, seed: int):
         self.seed = seed
 
-    def __missing__(self, word: str) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word, self.seed)
         return out
 
 
+@lru_cache(1)
+def _names(seed: int) -> _Names:
+    """One for all batches of a worker."""
+    return _Names(seed)
+
+
 def shingle_set(text: str | None, names: _Names, words_each: int) -> np.ndarray:
     """Sorted 64-bit names of the distinct shingles of a text."""
-    words = SPACE_WORD.findall(lower_ascii(text)) if isinstance(text, str) else []
+    # Of bytes, only A-Z become lower case, and words end at a space and at 09 to 0D only.
+    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
     if not words:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
@@ -95,7 +106,7 @@ def shingle_set(text: str | None, names: _Names, words_each: int) -> np.ndarray:
 
 
 def _sets(texts: pd.Series, params: JoinParams):
-    names = _Names(params.seed)
+    names = _names(params.seed)
     for text in texts:
         if len(names) > 500_000:
             names.clear()
@@ -103,7 +114,7 @@ def _sets(texts: pd.Series, params: JoinParams):
 
 
 def _slot(names: np.ndarray) -> np.ndarray:
-    return (names >> np.uint64(46)).astype(np.int64)
+    return (names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def shingle_sketch(docs: DataFrame, text_col: str, params: JoinParams) -> np.ndarray:
@@ -121,14 +132,20 @@ def shingle_sketch(docs: DataFrame, text_col: str, params: JoinParams) -> np.nda
                     waiting, n = [], 0
             if waiting:
                 total += np.bincount(np.concatenate(waiting), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at, "n": total[at]})
+        yield pd.DataFrame({"chunk": range(SKETCH // _CHUNK), "counts": [c.astype(np.uint32).tobytes() for c in total.reshape(-1, _CHUNK)]})
 
-    found = docs.select(text_col).mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(SKETCH, np.int64)
-    rows = found.toPandas()  # one number for each counter at most
-    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, counts in zip(b["chunk"].tolist(), b["counts"]):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        yield pd.DataFrame({"chunk": list(sums), "counts": [c.tobytes() for c in sums.values()]})
+
+    found = docs.select(text_col).mapInPandas(count, "chunk long, counts binary").repartition(SKETCH // _CHUNK, "chunk").mapInPandas(add, "chunk long, counts binary")
+    out = np.zeros((SKETCH // _CHUNK, _CHUNK), np.int64)
+    for chunk, counts in found.collect():  # as many numbers as the sketch has, whatever the table
+        out[chunk] = np.frombuffer(counts, np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
 def signature(names: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
@@ -279,18 +296,26 @@ def _relabelled(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str, params: JoinParams) -> DataFrame:
     """(node, root) of all sets that link, from ``rows`` (place, n, name, keys) of ``docs``; a set's node is the place of its first row."""
-    firsts = tmp.table("firsts", rows.filter("n > 0").groupBy("name").agg(F.min("place").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    firsts = rows.filter("n > 0").groupBy("name").agg(F.min("place").alias("node"), F.first("keys").alias("keys"))
     keyed = firsts.select(F.explode("keys").alias("key"), "node")
-    rank = F.struct(F.xxhash64("node").alias("rank"), "node")
-    shared = keyed.groupBy("key").agg(F.min(rank)["node"].alias("region"), F.count("*").alias("m")).filter("m > 1").select("key", "region")
+    # The pivot that a shingle nominates is its holder that comes first in the table, in no order that the texts know.
+    shared = keyed.groupBy("key").agg(F.min("node").alias("region"), F.max("node").alias("last")).filter("region < last").select("key", "region")
     members = tmp.table("members", keyed.join(shared, "key").select("region", "node").distinct())
-    ends = members.select("node").distinct()
+    sizes = tmp.table("sizes", rows.select(F.col("place").alias("node"), "n").join(members.select("node").distinct(), "node"))
+    del firsts, keyed, shared
+    tmp.drop("rows")
+    # Regions of texts that are all too unlike in size to link, but for those of more than two, go at once.
+    alike = members.join(sizes, "node").groupBy("region").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    alike = alike.filter(f"m > 2 or 100 * low >= {params.percent} * high").select("region")
+    members = tmp.table("regions", members.join(alike, "region"))
+    ends = members.select("node").distinct().join(sizes, "node")
 
     @F.pandas_udf("binary")
     def named(texts: pd.Series) -> pd.Series:
         return pd.Series([s.tobytes() for s in _sets(texts, params)], dtype=object)
 
-    sets = tmp.table("sets", docs.select(F.col("_place").alias("node"), text_col).join(ends, "node").join(firsts.select("node", "n"), "node").select("node", "n", named(F.col(text_col)).alias("names")))
+    sets = tmp.table("sets", docs.select(F.col("_place").alias("node"), text_col).join(ends, "node").select("node", "n", named(F.col(text_col)).alias("names")))
+    tmp.drop("members", "sizes")
     # A pivot is a member of its own region.
     work, links, groups, round_ = members.withColumn("root", F.col("node")), [], None, 0
     while True:
@@ -334,7 +359,9 @@ def jaccard_join(docs: DataFrame, params: JoinParams = JoinParams(), id_col: str
     placed, text, id_ = with_place(inside), names[text_col], names[id_col]
     order = spark.sparkContext.broadcast(shingle_sketch(placed, text, params))
     rows = tmp.table("rows", placed.select(F.col("_place").alias("place"), F.col(id_).alias("id"), _described(placed, text, order, params).alias("d")).select("place", "id", "d.*"))
+    few = tmp.table("few", rows.select("place", "id", "n", "name"))
     groups = similar_sets(placed, rows, tmp, text, params)
+    rows = few
     of_name = rows.filter("n > 0").groupBy("name").agg(F.min("place").alias("node"), F.min("id").alias("first"))
     named = tmp.table("named", of_name.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = named.groupBy("root").agg(F.min("first").alias("smallest"))
