@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.patterns import IndexParams, least_pattern
 from leafmill.functions.plan import cut
 from leafmill.functions.similarity import COSINE_THRESHOLD, FUZZY_THRESHOLD, fuzzy_matches, similar_names, vector_top1
 from leafmill.functions.text import blank, normalize_terms, quoted
+from leafmill.functions.vectors import with_embedding
 
 # Fixed values.
 CURRENCY_BOOST, TERMS_BOOST, HISTORY_BOOST, DUPLICATE_PENALTY = 0.10, 0.08, 0.05, 0.20
@@ -27,9 +29,17 @@ def candidates(vendors: DataFrame) -> DataFrame:
     return each.select("workspace_id", "vendor_id", "display", F.struct("vendor_id", "_k").alias("position"))
 
 
-def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = FUZZY_THRESHOLD, embed: Callable[[Column], Column] | None = None, vectors: DataFrame | None = None, cosine_threshold: float = COSINE_THRESHOLD) -> DataFrame:
+def vendor_vectors(vendors: DataFrame) -> DataFrame:
+    """(workspace_id, vendor_id, embedding) of every vendor's name."""
+    return with_embedding(vendors.select("workspace_id", "vendor_id", "canonical_name"), F.col("canonical_name")).select("workspace_id", "vendor_id", "embedding")
+
+
+def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = FUZZY_THRESHOLD, search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(workspace_id, name, vendor_id, how, score) for each distinct name: ``fuzzy``, ``vector`` or ``new``.
 
+    ``search`` finds the nearest vectors of (workspace_id, query_id, embedding), such as ``indexed_top1`` or ``vector_top1`` with
+    vectors of their own; by default all names of vendors are searched exactly.
+
     A new vendor's id comes from its tenant and name.  New names that match one another share the id of
     the one that arrived first (``arrival``); a blank name resolves to nothing.
     """
@@ -37,11 +47,11 @@ def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = F
     fuzzy = fuzzy_matches(names, candidates(vendors), threshold)
     found = fuzzy.select("workspace_id", "name", F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("fuzzy").alias("how"), "score")
     rest = names.join(fuzzy.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
-    if embed is not None and vectors is not None:
-        near = vector_top1(rest.select("workspace_id", F.col("name").alias("query_id"), embed(F.col("name")).alias("embedding")), vectors, cosine_threshold)
-        near = near.select("workspace_id", F.col("query_id").alias("name"), F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("vector").alias("how"), (F.col("score") * 100).alias("score"))
-        found = found.unionByName(near)
-        rest = rest.join(near.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
+    find = search or (lambda asked: vector_top1(asked, vendor_vectors(vendors), COSINE_THRESHOLD))
+    near = cut(find(with_embedding(rest, F.col("name")).filter("embedding is not null").select("workspace_id", F.col("name").alias("query_id"), "embedding")))
+    near = near.select("workspace_id", F.col("query_id").alias("name"), F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("vector").alias("how"), (F.col("score") * 100).alias("score"))
+    found = found.unionByName(near)
+    rest = rest.join(near.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
     return found.unionByName(lead_new_names(rest, threshold))
 
 
@@ -86,9 +96,12 @@ NO_MEMORY = (0, None, [], [], None, None, None, 0.0, 0.0)
 
 
 def remember(memory: tuple, event: tuple) -> tuple:
-    """A vendor's memory after one more invoice; every step rounds to three places, so that the order of the invoices counts."""
+    """A vendor's memory after one more invoice; every step rounds to three places, so that the order of the invoices counts.
+
+    Empty strings are no values: they are neither remembered nor preferred.
+    """
     n, average, numbers, tax_ids, tax_id, currency, terms, lines, orders = memory
-    number, its_tax, its_currency, its_terms, confidence, has_lines, has_order = (None if x is None or x != x else x for x in event)
+    number, its_tax, its_currency, its_terms, confidence, has_lines, has_order = (None if x is None or x != x or x == "" else x for x in event)
     n += 1
     rate = lambda r, b: three(float(bool(b)) if n <= 1 else (r * (n - 1) + float(bool(b))) / n)
     if confidence is not None:
@@ -226,17 +239,19 @@ def latest_templates(templates: DataFrame) -> DataFrame:
     return templates.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def match_templates(docs: DataFrame, templates: DataFrame) -> DataFrame:
+def match_templates(docs: DataFrame, templates: DataFrame, params: IndexParams = IndexParams()) -> DataFrame:
     """Adds ``template_id`` and ``fingerprint``: the active template with the smallest id whose fingerprint the text holds.
 
-    The active templates of a tenant travel with each of its documents as one array, so their sizes must
-    fit a row: they are a few lines of a vendor each.
+    All templates of all tenants are searched for at once (``functions.patterns``); case does not count.
     """
-    active = templates.filter("is_active and fingerprint is not null")
-    lists = active.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("template_id", "fingerprint"))).alias("_t"))
-    low = F.lower(F.col("raw_text"))
-    hit = F.get(F.filter("_t", lambda t: F.contains(F.col("_low"), F.lower(t["fingerprint"]))), F.lit(0))
-    return docs.withColumn("_low", low).join(lists, "workspace_id", "left").withColumn("_h", hit).withColumns({"template_id": F.col("_h.template_id"), "fingerprint": F.col("_h.fingerprint")}).drop("_low", "_t", "_h")
+    active = templates.filter("is_active and fingerprint is not null and workspace_id is not null")
+    kind = templates.schema["template_id"].dataType.simpleString()
+    patterns = active.select(F.col("workspace_id").alias("group"), F.lower("fingerprint").alias("pattern"), F.col("template_id").cast("long").alias("value"))
+    docs = docs.drop("template_id", "fingerprint")
+    found = least_pattern(docs, F.col("workspace_id"), F.lower("raw_text"), patterns, "_h", params)
+    said = active.groupBy("workspace_id", F.col("template_id").cast("long").alias("_id"), F.lower("fingerprint").alias("_p")).agg(F.min("fingerprint").alias("fingerprint"))
+    found = found.withColumns({"_id": F.col("_h.value"), "_p": F.col("_h.pattern")}).join(said, ["workspace_id", "_id", "_p"], "left")
+    return found.select(*[F.col(c) for c in docs.columns], F.col("_id").cast(kind).alias("template_id"), "fingerprint")
 
 
 def apply_template(raw_text: Column, fingerprint: Column, hints: Column) -> Column:

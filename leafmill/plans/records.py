@@ -300,7 +300,27 @@ def q_review_merge(spark, sf):
 # Entities and vendor memory.
 
 
-@query("q_fuzzy_vendor")
+def _words(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two sorted names, row by row over the characters of ``a``."""
+    codes = lambda x: f"list_transform(range(1, length({x}) + 1), lambda i: [unicode(substr({x}, i::INTEGER, 1))::BIGINT])"
+    rows = f"list_prepend(list_transform(range(length({b}) + 1), lambda i: 0::BIGINT), {codes(a)})"
+    cell = f"list_append(acc, greatest(r[e[1] + 1], acc[len(acc)], CASE WHEN unicode(substr({b}, e[1]::INTEGER, 1)) = c[1] THEN r[e[1]] + 1 ELSE 0 END))"
+    return f"list_reduce({rows}, lambda r, c: list_reduce(list_transform(range(length({b}) + 1), lambda j: [j::BIGINT]), lambda acc, e: {cell}))[-1]"
+
+
+def _score(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+_CANDIDATES = f"cand AS MATERIALIZED (SELECT workspace_id, display, {_words('display')} AS d, min(pos) AS place, arg_max(vendor_id, pos) AS vendor_id FROM (SELECT workspace_id, vendor_id, unnest([canonical_name, canonical_name || ' Inc', 'V' || vendor_id]) AS display, vendor_id * 1000 + unnest(range(3)) AS pos FROM vend) WHERE display IS NOT NULL GROUP BY 1, 2)"
+_FUZZY = f"sc AS MATERIALIZED (SELECT n.workspace_id, n.name, c.vendor_id, c.place, {_score('n.w', 'c.d')} AS score FROM nm n JOIN cand c ON c.workspace_id = n.workspace_id AND least(length(n.w), length(c.d)) * 110 >= 90 * greatest(length(n.w), length(c.d)) WHERE n.w <> ''), fz AS MATERIALIZED (SELECT workspace_id, name, arg_min(vendor_id, struct_pack(s := -score, p := place)) AS vendor_id, max(score) AS score FROM sc WHERE score >= 90 GROUP BY 1, 2)"
+
+
+@query("q_fuzzy_vendor", with_views(f"SELECT workspace_id, name, vendor_id, round(score, 3) AS score FROM (WITH nm AS MATERIALIZED (SELECT *, {_words('name')} AS w FROM (SELECT DISTINCT workspace_id, CASE vendor_id % 3 WHEN 0 THEN canonical_name || 's' WHEN 1 THEN 'Inc ' || canonical_name ELSE 'Other ' || vendor_id END AS name FROM vend)), {_CANDIDATES}, {_FUZZY} SELECT * FROM fz)"))
 def q_fuzzy_vendor(spark, sf):
     v = D.vendors(spark, sf)
     k = F.col("vendor_id")
@@ -309,11 +329,33 @@ def q_fuzzy_vendor(spark, sf):
     return fuzzy_matches(names, N.candidates(v)).select("workspace_id", "name", "vendor_id", F.round("score", 3).alias("score"))
 
 
-@query("q_resolve_vendors")
+def _embedding(x: str, dim: int = 128) -> str:
+    """Vector of a name's hashed 3-grams, in SQL."""
+    marked = f"('^' || lower(trim({x})) || '$')"
+    hashes = f"list_transform(range(1, length({marked}) - 1), lambda i: ('0x' || substr(md5(substr({marked}, i::INTEGER, 3)), 1, 8))::BIGINT)"
+    place = f"list_transform({hashes}, lambda h: CASE WHEN h % {dim} = d THEN CASE WHEN (h // {dim}) % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END)"
+    return f"list_transform(range({dim}), lambda d: list_sum({place})::DOUBLE)"
+
+
+_COSINE = "list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e)))"
+_RESOLVE = f"""SELECT workspace_id, name, vendor_id, how FROM (WITH RECURSIVE nm AS MATERIALIZED (SELECT workspace_id, name, min(vendor_id) AS arrival, {_words('name')} AS w FROM (SELECT *, CASE vendor_id % 5 WHEN 0 THEN 'Neu ' || vendor_id % 7 || ' Handel' WHEN 1 THEN canonical_name || ' ' || canonical_name ELSE canonical_name END AS name FROM vend) GROUP BY 1, 2),
+{_CANDIDATES}, {_FUZZY},
+q AS MATERIALIZED (SELECT *, {_embedding('name')} AS e FROM nm WHERE NOT EXISTS (SELECT 1 FROM fz WHERE fz.workspace_id = nm.workspace_id AND fz.name = nm.name)),
+v AS MATERIALIZED (SELECT workspace_id, vendor_id, {_embedding('canonical_name')} AS e FROM vend),
+vz AS MATERIALIZED (SELECT q.workspace_id, q.name, arg_min(v.vendor_id, struct_pack(s := -({_COSINE}), v := v.vendor_id)) AS vendor_id, max({_COSINE}) AS score FROM q JOIN v USING (workspace_id) GROUP BY 1, 2 HAVING max({_COSINE}) >= 0.85),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY arrival, name) AS n FROM q WHERE NOT EXISTS (SELECT 1 FROM vz WHERE vz.workspace_id = q.workspace_id AND vz.name = q.name)),
+l AS (SELECT workspace_id, n, name, name AS leader, [struct_pack(name := name, w := w)] AS leaders FROM o WHERE n = 1
+  UNION ALL SELECT workspace_id, n, name, coalesce(led[1].name, name), CASE WHEN len(led) > 0 THEN leaders ELSE list_append(leaders, struct_pack(name := name, w := w)) END FROM (SELECT o.workspace_id, o.n, o.name, o.w, l.leaders, list_filter(l.leaders, lambda x: {_score('x.w', 'o.w')} >= 90) AS led FROM l JOIN o ON o.workspace_id = l.workspace_id AND o.n = l.n + 1))
+SELECT workspace_id, name, vendor_id::VARCHAR AS vendor_id, 'fuzzy' AS how FROM fz UNION ALL SELECT workspace_id, name, vendor_id::VARCHAR, 'vector' FROM vz UNION ALL SELECT workspace_id, name, substr(sha256(workspace_id || '|' || leader), 1, 32), 'new' FROM l)"""
+
+
+@query("q_resolve_vendors", with_views(_RESOLVE))
 def q_resolve_vendors(spark, sf):
     v = D.vendors(spark, sf)
     k = F.col("vendor_id")
-    rec = v.select("workspace_id", F.when(k % 5 == 0, F.concat(F.lit("Neu "), (k % 7).cast("string"), F.lit(" Handel"))).otherwise(F.col("canonical_name")).alias("name"), k.alias("arrival"))
+    # Known names, names written twice that only the vectors know, and new names that are like one another.
+    name = F.when(k % 5 == 0, F.concat(F.lit("Neu "), (k % 7).cast("string"), F.lit(" Handel"))).when(k % 5 == 1, F.concat_ws(" ", "canonical_name", "canonical_name")).otherwise(F.col("canonical_name"))
+    rec = v.select("workspace_id", name.alias("name"), k.alias("arrival"))
     return N.resolve_vendors(rec, v).select("workspace_id", "name", F.col("vendor_id").cast("string").alias("vendor_id"), "how")
 
 
@@ -375,6 +417,17 @@ def q_template_match(spark, sf):
     return N.match_templates(d, t).select("doc_id", "template_id")
 
 
+_FINGERPRINT = "array_to_string(string_split(text, ' ')[2:4], ' ')"
+
+
+@query("q_template_index", f"SELECT d.doc_id, min(t.doc_id) AS template_id FROM documents d LEFT JOIN (SELECT doc_id, lang, lower({_FINGERPRINT}) AS fp FROM documents WHERE doc_id % 10 <> 0) t ON t.lang = d.lang AND contains(lower(d.text), t.fp) GROUP BY d.doc_id")
+def q_template_index(spark, sf):
+    """As many templates as documents, in a tenant for each language: all are searched for at once."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("workspace_id"), F.col("text").alias("raw_text"))
+    t = d.select("workspace_id", F.col("doc_id").alias("template_id"), F.array_join(F.slice(F.split("raw_text", " "), 2, 3), " ").alias("fingerprint"), (F.col("doc_id") % 10 != 0).alias("is_active"))
+    return N.match_templates(d, t).select("doc_id", "template_id")
+
+
 @query("q_template_learn", with_views("SELECT workspace_id, vendor_id, 1 AS version, arg_min(vendor_name, id) AS fingerprint, arg_min(n_lines, id) AS n_lines FROM inv WHERE vendor_id IS NOT NULL AND NOT needs_review AND vendor_id % 10 <> 0 GROUP BY 1, 2"))
 def q_template_learn(spark, sf):
     i = D.invoices(spark, sf)
