@@ -5,9 +5,11 @@ texts to a third one, a pivot, bounds their own.  Two texts link within ``1 - si
 
 Pivots: most texts are at distance 1 from any text at hand, so pivots taken from the table at large would tell
 nothing, and every window would hold all texts.  Pivots are nominated instead.  Of two texts that link, each has
-four fifths of its shingles in common with the other; among the rarest fifth of its shingles (by one order for
-all texts) and one more, they share at least one.  Each such shingle nominates the holder of the smallest rank,
-and a text enters the region of every pivot that its shingles nominate: two texts that link meet in one region.
+four fifths of its shingles in common with the other; among the rarest quarter of its shingles (by one order for
+all texts), its signature, they share a twentieth.  Each such shingle nominates its first holder as a pivot, and a
+text enters the region of every pivot that its shingles nominate: two texts that link meet in one region.  Texts
+that share less of their signature with all others together leave, as do those that no text of their region can
+equal in size.
 
 Regions: a text's distance to its region's pivot is exact.  In a small region texts are ordered by it and a text
 is compared only with those inside its window (triangle inequality, and size) that it is not yet linked to
@@ -37,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Scratch, bounded_batches, hidden, with_place
@@ -49,6 +51,8 @@ SKETCH_BITS = 20
 SKETCH = 1 << SKETCH_BITS
 #: Counters that tasks send and sum together.
 _CHUNK = 1 << 16
+#: A signature has one shingle in so many more than it needs to share a single one.
+SPARE = 20
 
 
 @dataclass(frozen=True)
@@ -148,10 +152,19 @@ def shingle_sketch(docs: DataFrame, text_col: str, params: JoinParams) -> np.nda
     return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
+def shared_at_least(n: Column, percent: int) -> Column:
+    """How many shingles of its signature a set of ``n`` has in common with the signature of any set that it links with.
+
+    All but ``n - percent * n / 100`` of the shingles are common, so the common ones among the rarest are that many fewer;
+    the smallest partner counts.
+    """
+    return F.floor(F.floor(n * percent / 100) / SPARE) + 1
+
+
 def signature(names: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, as many that a set that links with it has one of them."""
+    """The rarest shingles of a set, as many that a set of its size that links with it has ``shared_at_least`` of them."""
     n = len(names)
-    few = n - -(-percent * n // 100) + 1
+    few = n - -(-percent * n // 100) + n // SPARE + 1
     if few >= n:
         return names
     rank = np.lexsort((names, order[_slot(names)]))
@@ -300,15 +313,20 @@ def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str,
     keyed = firsts.select(F.explode("keys").alias("key"), "node")
     # The pivot that a shingle nominates is its holder that comes first in the table, in no order that the texts know.
     shared = keyed.groupBy("key").agg(F.min("node").alias("region"), F.max("node").alias("last")).filter("region < last").select("key", "region")
-    members = tmp.table("members", keyed.join(shared, "key").select("region", "node").distinct())
-    sizes = tmp.table("sizes", rows.select(F.col("place").alias("node"), "n").join(members.select("node").distinct(), "node"))
-    del firsts, keyed, shared
+    members = tmp.table("members", keyed.join(shared, "key").groupBy("region", "node").agg(F.count("*").alias("keys")))
+    # A text that shares too few of its signature links with no other.
+    sums = members.groupBy("node").agg(F.sum("keys").alias("keys"))
+    sized = rows.select(F.col("place").alias("node"), "n").join(sums, "node").filter(F.col("keys") >= shared_at_least(F.col("n"), params.percent))
+    # Sizes in bands, of which a text can link with its own and the two beside it only.
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / params.percent)) + 1e-9).cast("int")
+    sizes = tmp.table("sizes", sized.select("node", "n", band.alias("band")))
+    del firsts, keyed, shared, sums, sized
     tmp.drop("rows")
-    # Regions of texts that are all too unlike in size to link, but for those of more than two, go at once.
-    alike = members.join(sizes, "node").groupBy("region").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
-    alike = alike.filter(f"m > 2 or 100 * low >= {params.percent} * high").select("region")
-    members = tmp.table("regions", members.join(alike, "region"))
-    ends = members.select("node").distinct().join(sizes, "node")
+    held = members.join(sizes, "node").select("region", "node", "band")
+    counts = held.groupBy("region", "band").agg(F.count("*").alias("m"))
+    near = counts.select("region", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), "m").groupBy("region", "band").agg(F.sum("m").alias("m"))
+    members = tmp.table("regions", held.join(near.filter("m > 1"), ["region", "band"]).select("region", "node"))
+    ends = members.select("node").distinct().join(sizes.select("node", "n"), "node")
 
     @F.pandas_udf("binary")
     def named(texts: pd.Series) -> pd.Series:
