@@ -77,7 +77,7 @@ def nearest_cells(embedding: Column, centroids: np.ndarray, n: int) -> Column:
 
 def indexed_vectors(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``vectors`` (workspace_id, vendor_id, embedding) with their ``cell``; written partitioned by it, a search reads only its cells."""
-    return vectors.filter("embedding is not null").withColumn("cell", nearest_cells(F.col("embedding"), centroids, 1)[0])
+    return vectors.filter("embedding is not null").withColumn("cell", F.explode(nearest_cells(F.col("embedding"), centroids, 1)))
 
 
 def indexed_top1(queries: DataFrame, index: DataFrame, centroids: np.ndarray, threshold: float = COSINE_THRESHOLD, probes: int | None = IndexParams.probes, but_itself: bool = False) -> DataFrame:

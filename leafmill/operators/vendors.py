@@ -161,6 +161,11 @@ def products_fold(products: Column, n: int = MAX_PRODUCTS) -> Column:
     return F.aggregate(products, F.array().cast("array<string>"), step)
 
 
+def keep_products(kept: list[str], new: list[str], n: int = MAX_PRODUCTS) -> list[str]:
+    """The kept list after one more invoice: the most frequent of both, of equal ones the first."""
+    return [p for p, _ in Counter([*kept, *new]).most_common(n)]
+
+
 def products_by_order(lines: DataFrame, n: int = MAX_PRODUCTS) -> DataFrame:
     """(vendor_id, products): ``products_fold`` over each vendor's invoices in the order of ``ord``.
 
@@ -171,7 +176,7 @@ def products_by_order(lines: DataFrame, n: int = MAX_PRODUCTS) -> DataFrame:
 
     def fold(batches):
         owner, kept, order, new = None, [], None, []
-        settle = lambda: [p for p, _ in Counter([*kept, *new]).most_common(n)]
+        settle = lambda: keep_products(kept, new, n)
         for b in batches:
             out = []
             for vendor, at, product in b.itertuples(index=False):

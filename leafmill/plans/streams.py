@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.plan import shared_folder
+from leafmill.functions.plan import remove_folder, shared_folder
+from leafmill.plans.extras import _KEEP
 from leafmill.plans.registry import query
 from leafmill.plans.records import _EVENTS, _FOLD, memory_events
 from leafmill.plans.sql import VIEWS
+from leafmill.sources import domain as D
 from leafmill.sources.domain import table
 from leafmill.streaming import streams as S
+from leafmill.streaming.ordered import STORE, ordered_memory
 
 
 def _events(spark, sf):
@@ -44,13 +47,32 @@ def q_stream_dedup(spark, sf):
 def q_stream_memory(spark, sf):
     folder = shared_folder(spark, "memory_events")
     events = memory_events(spark, sf)
-    events.write.parquet(folder)
-    out = S.run_once(S.memory_stream(S.event_stream(spark, folder, events.schema, 10_000)), ["workspace_id", "vendor_id"])
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        events.write.parquet(folder)
+        out = S.run_once(S.memory_stream(S.event_stream(spark, folder, events.schema, 10_000)), ["workspace_id", "vendor_id"])
+    finally:
+        remove_folder(spark, folder)
     return out.select("workspace_id", "vendor_id", "invoice_count", "preferred_currency", F.col("preferred_payment_terms").alias("preferred_terms"), "tax_id", F.size("tax_ids").alias("n_tax_ids"), F.size("historical_invoice_numbers").alias("n_numbers"), F.col("avg_confidence").cast("decimal(9,3)").alias("ema"), F.col("rate_purchase_order").cast("decimal(9,3)").alias("rate"))
 
 
+_KEPT = f"per AS (SELECT ev.workspace_id, ev.vendor_id, ev.n, coalesce(list_sort(list(description) FILTER (description IS NOT NULL)), []) AS p FROM ev LEFT JOIN lin ON lin.invoice_id = ev.ord GROUP BY ALL), kept AS (SELECT workspace_id, vendor_id, n, {_KEEP.format(b='p')} AS k FROM per WHERE n = 1 UNION ALL SELECT t.workspace_id, t.vendor_id, t.n, {_KEEP.format(b='t.b')} FROM (SELECT per.workspace_id, per.vendor_id, per.n, kept.k || per.p AS b FROM kept JOIN per ON per.workspace_id = kept.workspace_id AND per.vendor_id = kept.vendor_id AND per.n = kept.n + 1) t)"
+
+
+@query("q_stream_memory_ordered", f"WITH RECURSIVE {VIEWS}, {_EVENTS}, {_FOLD}, {_KEPT}, e AS (SELECT workspace_id, vendor_id, arg_max(ema, n) AS ema, arg_max(rate, n) AS rate, CAST(max(n) AS INTEGER) AS invoice_count FROM f GROUP BY 1, 2), k AS (SELECT workspace_id, vendor_id, array_to_string(arg_max(k, n), '|') AS products FROM kept GROUP BY 1, 2) SELECT e.workspace_id, e.vendor_id, invoice_count, products, CAST(ema AS DECIMAL(9,3)) AS ema, CAST(rate AS DECIMAL(9,3)) AS rate FROM e JOIN k USING (workspace_id, vendor_id)")
+def q_stream_memory_ordered(spark, sf):
+    """The invoices lie in files dealt by a hash, a file a micro-batch: most come before earlier ones."""
+    bought = D.lines(spark, sf).groupBy(F.col("invoice_id").alias("ord")).agg(F.sort_array(F.collect_list("description")).alias("products"))
+    events = memory_events(spark, sf).join(bought, "ord", "left").withColumn("at", F.timestamp_millis(F.col("ord") + 10**12))
+    folder = shared_folder(spark, "memory_events")
+    try:
+        events.repartition(4, F.xxhash64("ord")).write.parquet(folder)
+        stream = S.event_stream(spark, folder, events.schema, 1)
+        out = S.run_once(ordered_memory(stream, "30 days"), ["workspace_id", "vendor_id"], conf=STORE)
+    finally:
+        remove_folder(spark, folder)
+    return out.select("workspace_id", "vendor_id", "invoice_count", F.array_join("products", "|").alias("products"), F.col("avg_confidence").cast("decimal(9,3)").alias("ema"), F.col("rate_purchase_order").cast("decimal(9,3)").alias("rate"))
+
+
 @query("q_memory_batch_counts", f"WITH {VIEWS}, {_EVENTS} SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) AS preferred_currency FROM ev GROUP BY 1, 2")
 def q_memory_batch_counts(spark, sf):
     e = memory_events(spark, sf)

