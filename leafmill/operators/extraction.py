@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.plan import once
 from leafmill.functions.text import blank, coerce_field, fenced_json
 from leafmill.operators.schemas import FIELDS
 
@@ -62,11 +63,17 @@ def fallback(*providers: Provider) -> Provider:
     return ask
 
 
-def parse_answer(answer: Column) -> Column:
-    """A record of an answer, whether plain JSON or in a fenced block; null if it is neither."""
-    body = fenced_json(answer)
-    ok = F.coalesce(F.startswith(F.ltrim(body), F.lit("{")), F.lit(False)) & F.schema_of_variant(F.try_parse_json(body)).isNotNull()
-    return F.when(ok, F.struct(*[coerce_field(body, f).alias(f) for f in FIELDS]))
+def whole_json(body: Column) -> Column:
+    """The JSON object of an answer; of one that is cut off, up to its last whole member; else null."""
+    holds = lambda x: F.coalesce(F.startswith(F.ltrim(x), F.lit("{")), F.lit(False)) & F.try_parse_json(x).isNotNull()
+    closed = F.concat(F.regexp_extract(body, r"(?s)^(.*\})[^}]*$", 1), F.lit("}"))
+    return F.when(holds(body), body).when(holds(closed), closed)
+
+
+def parse_answers(df: DataFrame, answer: Column, name: str = "extracted") -> DataFrame:
+    """``df`` with the record of an answer, whether plain JSON, in a fenced block or cut off at its end; null if it is none of these."""
+    read = once(df, {"_body": whole_json(fenced_json(answer))})
+    return read.withColumn(name, F.when(F.col("_body").isNotNull(), F.struct(*[coerce_field(F.col("_body"), f).alias(f) for f in FIELDS]))).drop("_body")
 
 
 def extract(docs: DataFrame, provider: Provider = read_labels) -> DataFrame:
@@ -85,6 +92,6 @@ def extract(docs: DataFrame, provider: Provider = read_labels) -> DataFrame:
             yield pd.DataFrame({"id": b["id"], "answer": answers, "extract_error": errors})
 
     asked = docs.filter(~blank(F.col("raw_text"))).select("id", "raw_text").mapInPandas(ask, "id string, answer string, extract_error string")
-    out = docs.join(asked, "id", "left").withColumn("extracted", parse_answer(F.col("answer")))
+    out = parse_answers(docs.join(asked, "id", "left"), F.col("answer"))
     bad = F.col("answer").isNotNull() & F.col("extracted").isNull()
     return out.withColumn("extract_error", F.when(blank(F.col("raw_text")), "empty text").when(bad, "the answer is not JSON").otherwise(F.col("extract_error"))).drop("answer")
