@@ -138,18 +138,54 @@ def shingle_sketch(docs: DataFrame, text_col: str, params: JoinParams) -> np.nda
                 total += np.bincount(np.concatenate(waiting), minlength=SKETCH)
         yield pd.DataFrame({"chunk": range(SKETCH // _CHUNK), "counts": [c.astype(np.uint32).tobytes() for c in total.reshape(-1, _CHUNK)]})
 
-    def add(batches):
+    out = _gathered(docs.select(text_col).mapInPandas(count, "chunk long, counts binary"), np.uint32, np.add)
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _gathered(parts: DataFrame, dtype, unite) -> np.ndarray:
+    """Arrays of fixed size, one of each task in chunks (chunk, counts), united in tasks and brought to the driver."""
+
+    def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, counts in zip(b["chunk"].tolist(), b["counts"]):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+                more = np.frombuffer(counts, dtype).astype(np.int64)
+                sums[chunk] = unite(sums[chunk], more) if chunk in sums else more
         yield pd.DataFrame({"chunk": list(sums), "counts": [c.tobytes() for c in sums.values()]})
 
-    found = docs.select(text_col).mapInPandas(count, "chunk long, counts binary").repartition(SKETCH // _CHUNK, "chunk").mapInPandas(add, "chunk long, counts binary")
-    out = np.zeros((SKETCH // _CHUNK, _CHUNK), np.int64)
-    for chunk, counts in found.collect():  # as many numbers as the sketch has, whatever the table
+    chunks = SKETCH // _CHUNK
+    out = np.zeros((chunks, _CHUNK), np.int64)
+    for chunk, counts in parts.repartition(chunks, "chunk").mapInPandas(merge, "chunk long, counts binary").collect():  # of fixed size
         out[chunk] = np.frombuffer(counts, np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+    return out.ravel()
+
+
+def _bits(nodes: np.ndarray) -> np.ndarray:
+    """Places of numbers in a filter of 32 bits for each counter of a sketch: four for each number."""
+    h = _mixed(nodes.astype(np.int64).view(np.uint64) * _MIX)
+    step = _mixed(h) | np.uint64(1)
+    return np.stack([(h + np.uint64(k) * step) >> np.uint64(64 - SKETCH_BITS - 5) for k in range(4)]).astype(np.int64)
+
+
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of all numbers ``node``.
+
+    It spares others the way; where it is full, as of a very large table, it passes all, and the join after it decides.
+    """
+
+    def build(batches):
+        bits = np.zeros(SKETCH, np.uint32)
+        for b in batches:
+            at = _bits(b["node"].to_numpy(np.int64)).ravel()
+            np.bitwise_or.at(bits, at >> 5, (np.uint32(1) << (at & 31).astype(np.uint32)))
+        yield pd.DataFrame({"chunk": range(SKETCH // _CHUNK), "counts": [c.tobytes() for c in bits.reshape(-1, _CHUNK)]})
+
+    return _gathered(nodes.mapInPandas(build, "chunk long, counts binary"), np.uint32, np.bitwise_or).astype(np.uint32)
+
+
+def _passes(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = _bits(nodes)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).all(axis=0)
 
 
 def shared_at_least(n: Column, percent: int) -> Column:
@@ -326,14 +362,17 @@ def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str,
     counts = held.groupBy("region", "band").agg(F.count("*").alias("m"))
     near = counts.select("region", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), "m").groupBy("region", "band").agg(F.sum("m").alias("m"))
     members = tmp.table("regions", held.join(near.filter("m > 1"), ["region", "band"]).select("region", "node"))
-    ends = members.select("node").distinct().join(sizes.select("node", "n"), "node")
+    ends = tmp.table("ends", members.select("node").distinct().join(sizes.select("node", "n"), "node"))
+    wanted = docs.sparkSession.sparkContext.broadcast(node_filter(ends.select("node")))
 
-    @F.pandas_udf("binary")
-    def named(texts: pd.Series) -> pd.Series:
-        return pd.Series([s.tobytes() for s in _sets(texts, params)], dtype=object)
+    def named(batches):
+        for b in batches:
+            b = b[_passes(wanted.value, b["_place"].to_numpy(np.int64))]
+            yield pd.DataFrame({"node": b["_place"], "names": [s.tobytes() for s in _sets(b[text_col], params)]})
 
-    sets = tmp.table("sets", docs.select(F.col("_place").alias("node"), text_col).join(ends, "node").select("node", "n", named(F.col(text_col)).alias("names")))
-    tmp.drop("members", "sizes")
+    # Sets are made where the texts lie, so that no text travels.
+    sets = tmp.table("sets", docs.select("_place", text_col).mapInPandas(named, "node long, names binary").join(ends, "node").select("node", "n", "names"))
+    tmp.drop("members", "sizes", "ends")
     # A pivot is a member of its own region.
     work, links, groups, round_ = members.withColumn("root", F.col("node")), [], None, 0
     while True:
