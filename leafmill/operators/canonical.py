@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.amounts import money, parse_amount
+from leafmill.functions.dates import free_date
 from leafmill.functions.text import normalize_currency, parse_date
 
 
 def canonical_values(extracted: Column) -> Column:
     """Dates, currency and amounts of a record."""
     v = lambda f: extracted[f]["value"]
+    day = lambda text: F.coalesce(parse_date(text), free_date(text))
     return F.struct(
-        parse_date(v("invoice_date")).alias("invoice_date"),
-        parse_date(v("due_date")).alias("due_date"),
+        day(v("invoice_date")).alias("invoice_date"),
+        day(v("due_date")).alias("due_date"),
         normalize_currency(v("currency")).alias("currency"),
         money(parse_amount(v("subtotal"))).alias("subtotal"),
         money(parse_amount(v("tax_amount"))).alias("tax_amount"),

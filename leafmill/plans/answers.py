@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.functions.dates import free_date
 from leafmill.operators import lineitems as L
 from leafmill.operators import vendors as N
 from leafmill.operators.extraction import parse_answers
@@ -106,3 +107,33 @@ def q_unseen(spark, sf):
     d = D.documents(spark, sf)
     known = d.withColumn("errors", F.when(F.col("file_size_bytes") % 2 == 1, F.array(F.lit("failed once"))))
     return unseen(d.select("id"), known).select("id")
+
+
+_NAMES = {
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "en": "January February March April May June July August September October November December",
+}
+
+
+@query("q_free_dates", "SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 8 = 5 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE) AS day FROM orders")
+def q_free_dates(spark, sf):
+    """The orders' days, written in eight ways and read again."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"))
+    d, k = F.col("d"), F.col("id") % 8
+    month = lambda lang: F.element_at(F.array(*[F.lit(n) for n in _NAMES[lang].split()]), F.month(d))
+    n, y = F.dayofmonth(d).cast("string"), F.year(d).cast("string")
+    ending = F.when(n.isin("1", "21", "31"), "st").when(n.isin("2", "22"), "nd").when(n.isin("3", "23"), "rd").otherwise("th")
+    today = F.lit("2010-01-01").cast("date")
+    said = (
+        F.when(k == 0, F.concat(n, F.lit(". "), month("de"), F.lit(" "), y))
+        .when(k == 1, F.concat(F.lit("le "), n, F.when(n == "1", "er").otherwise(""), F.lit(" "), month("fr"), F.lit(" "), y))
+        .when(k == 2, F.concat(n, F.lit(" de "), month("es"), F.lit(" de "), y))
+        .when(k == 3, F.concat(F.date_format(d, "EEEE"), F.lit(", "), month("en"), F.lit(" "), n, ending, F.lit(", "), y, F.lit(" 10:30 pm")))
+        .when(k == 4, F.date_format(d, "yyyyMMdd"))
+        .when(k == 5, F.concat(month("en"), F.lit(" "), y))
+        .when(k == 6, F.date_format(d, "d/M/yy"))
+        .otherwise(F.concat(F.datediff(today, d).cast("string"), F.lit(" days ago")))
+    )
+    return o.select("id", free_date(said, today, day_first=k == 6).alias("day"))
