@@ -128,13 +128,13 @@ def q_trial(spark, sf):
     return asked.select(F.col("request_id").alias("id"), "admitted")
 
 
-_COUNTERS = "SELECT b.workspace_id, b.batch_id, count(*) FILTER (WHERE status IN ('complete', 'needs_review')) AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, greatest(0, any_value(b.total) - count(*) FILTER (WHERE status IN ('complete', 'needs_review', 'failed'))) AS pending FROM bat b JOIN docs d ON b.batch_id = d.batch_id AND b.workspace_id = d.workspace_id GROUP BY 1, 2"
+_COUNTERS = "SELECT b.workspace_id, b.batch_id, CAST(CAST(sum(CAST(file_size_bytes % 101 AS DECIMAL(18,4)) / 100) / count(*) AS DECIMAL(18,6)) AS DECIMAL(4,3)) AS avg_confidence, count(*) FILTER (WHERE status IN ('complete', 'needs_review')) AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, greatest(0, any_value(b.total) - count(*) FILTER (WHERE status IN ('complete', 'needs_review', 'failed'))) AS pending FROM bat b JOIN docs d ON b.batch_id = d.batch_id AND b.workspace_id = d.workspace_id GROUP BY 1, 2"
 
 
 @query("q_batch_counters", with_views(_COUNTERS))
 def q_batch_counters(spark, sf):
-    d = D.documents(spark, sf).withColumn("confidence", F.lit(0.5))
-    return S.batch_counters(d, D.batches(spark, sf)).select("workspace_id", "batch_id", "completed", "failed", "pending")
+    d = D.documents(spark, sf).withColumn("confidence", (F.col("file_size_bytes") % 101).cast("decimal(18,4)") / 100)
+    return S.batch_counters(d, D.batches(spark, sf)).select("workspace_id", "batch_id", "completed", "failed", "pending", "avg_confidence")
 
 
 @query("q_retry", with_views(f"SELECT c.workspace_id, c.batch_id, completed + (SELECT count(*) FROM docs d WHERE d.workspace_id = c.workspace_id AND d.status = 'failed' AND d.batch_id = c.batch_id AND substr(d.id, 1, 1) < '8') AS completed, greatest(0, failed - (SELECT count(*) FROM docs d WHERE d.workspace_id = c.workspace_id AND d.status = 'failed' AND d.batch_id = c.batch_id AND substr(d.id, 1, 1) < '8')) AS failed FROM ({_COUNTERS}) c"))

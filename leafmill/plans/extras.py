@@ -13,7 +13,7 @@ from leafmill.plans.registry import query
 from leafmill.plans.sql import VIEWS, with_views
 from leafmill.sources import domain as D
 from leafmill.sources.domain import table
-from leafmill.sources.seeds import SYNTHETIC, seed_vendors, synthetic_invoices
+from leafmill.sources.seeds import SEED_VENDORS, SYNTHETIC, seed_vendors, synthetic_for
 from leafmill.sources.sinks import notices
 
 
@@ -61,18 +61,27 @@ def q_display_amount(spark, sf):
     return D.invoices(spark, sf).select("id", display_amount(F.col("total_amount").cast("decimal(18,2)"), symbol).alias("shown"))
 
 
-@query("q_seed_vendors", "SELECT * FROM (VALUES ('Beta Inc', 2), ('Gamma Services LLC', 2), ('Delta Solutions', 2), ('Epsilon Tech', 2)) t(canonical_name, n_aliases)")
+_SEED_NAMES = ", ".join(f"('{n}', {len(a)})" for n, a, _, _ in SEED_VENDORS)
+_SEED_KNOWN = "CASE vendor_id % 7 WHEN 0 THEN 'Acme Corp' WHEN 1 THEN 'Delta Solutions' ELSE canonical_name END"
+
+
+@query("q_seed_vendors", with_views(f"SELECT w.workspace_id, s.name AS canonical_name, s.n AS n_aliases FROM (SELECT DISTINCT workspace_id FROM vend) w CROSS JOIN (VALUES {_SEED_NAMES}) s(name, n) WHERE NOT EXISTS (SELECT 1 FROM vend v WHERE v.workspace_id = w.workspace_id AND v.vendor_id % 3 = 0 AND {_SEED_KNOWN} = s.name)"))
 def q_seed_vendors(spark, sf):
-    known = spark.createDataFrame([("w", "Acme Corp"), ("x", "Beta Inc")], "workspace_id string, canonical_name string")
-    return seed_vendors(spark, "w", known).select("canonical_name", F.size("aliases").alias("n_aliases"))
+    """Tenants of whom some have vendors of the seed already."""
+    k = F.col("vendor_id") % 7
+    v = D.vendors(spark, sf)
+    known = v.filter("vendor_id % 3 = 0").select("workspace_id", F.when(k == 0, "Acme Corp").when(k == 1, "Delta Solutions").otherwise(F.col("canonical_name")).alias("canonical_name"))
+    return seed_vendors(v, known).select("workspace_id", "canonical_name", F.size("aliases").cast("int").alias("n_aliases"))
 
 
-_SYNTHETIC_SQL = " UNION ALL ".join(f"SELECT '{v}' AS vendor_name, '{n}' AS invoice_number, CAST({' + '.join(f'{q} * {p!r}' for q, p in li)} AS DECIMAL(18,2)) AS subtotal, {r!r} AS rate" for v, n, _, r, li in SYNTHETIC)
+_SYNTHETIC_SQL = " UNION ALL ".join(f"SELECT c_custkey AS buyer_id, '{v}' AS vendor_name, '{n}' AS invoice_number, CAST({' + '.join(f'{q} * (1 + c_custkey % 5) * {p!r}' for q, p in li)} AS DECIMAL(18,2)) AS subtotal, {r!r} AS rate FROM customer" for v, n, _, r, li in SYNTHETIC)
 
 
-@query("q_synthetic_invoices", f"SELECT vendor_name, invoice_number, subtotal, CAST(subtotal * rate AS DECIMAL(18,2)) AS tax_amount, CAST(subtotal + CAST(subtotal * rate AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS total_amount FROM ({_SYNTHETIC_SQL})")
+@query("q_synthetic_invoices", f"SELECT buyer_id, vendor_name, invoice_number, subtotal, CAST(subtotal * rate AS DECIMAL(18,2)) AS tax_amount, CAST(subtotal + CAST(subtotal * rate AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS total_amount FROM ({_SYNTHETIC_SQL})")
 def q_synthetic_invoices(spark, sf):
-    return synthetic_invoices(spark).select("vendor_name", "invoice_number", "subtotal", "tax_amount", "total_amount")
+    """The synthetic invoices for every customer, in a size of its own."""
+    buyers = table(spark, sf, "customer").select(F.col("c_custkey").alias("buyer_id"), (1 + F.col("c_custkey") % 5).cast("double").alias("scale"))
+    return synthetic_for(buyers).select("buyer_id", "vendor_name", "invoice_number", "subtotal", "tax_amount", "total_amount")
 
 
 # The kept list with the new one: distinct products by falling count, then by first place, twenty at most.

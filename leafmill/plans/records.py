@@ -400,9 +400,9 @@ def q_vendor_memory_products(spark, sf):
     return N.top_products(lines).select("vendor_id", "product", "n", "rank")
 
 
-@query("q_boost", f"WITH {Q.VIEWS}, m AS (SELECT vendor_id, arg_min(currency, id) AS cur, arg_min(payment_terms, id) FILTER (WHERE payment_terms IS NOT NULL) AS terms FROM inv WHERE vendor_id IS NOT NULL AND id % 2 = 0 GROUP BY 1), h AS (SELECT DISTINCT vendor_id, invoice_number FROM inv WHERE id % 2 = 0) SELECT id, round(least(1.0, {Q.confidence(11, 'currency')} + CASE WHEN currency = cur THEN 0.1 ELSE 0 END), 4)::DOUBLE AS currency, round(least(1.0, {Q.confidence(12, 'payment_terms')} + CASE WHEN payment_terms = terms THEN 0.08 ELSE 0 END), 4)::DOUBLE AS terms, round(greatest(0.0, {Q.confidence(0, 'v_number')} - CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.vendor_id = rec.vendor_id AND h.invoice_number = rec.v_number) THEN 0.2 ELSE 0 END), 4)::DOUBLE AS number FROM rec LEFT JOIN m USING (vendor_id)")
+@query("q_boost", f"WITH {Q.VIEWS}, m AS (SELECT vendor_id, arg_min(currency, id) AS cur, arg_min(payment_terms, id) FILTER (WHERE payment_terms IS NOT NULL) AS terms FROM inv WHERE vendor_id IS NOT NULL GROUP BY 1), h AS (SELECT DISTINCT vendor_id, invoice_number FROM inv) SELECT id, round(least(1.0, {Q.confidence(11, 'currency')} + CASE WHEN currency = cur THEN 0.1 ELSE 0 END), 4)::DOUBLE AS currency, round(least(1.0, {Q.confidence(12, 'payment_terms')} + CASE WHEN payment_terms = terms THEN 0.08 ELSE 0 END), 4)::DOUBLE AS terms, round(greatest(0.0, {Q.confidence(0, 'v_number')} - CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.vendor_id = rec.vendor_id AND h.invoice_number = rec.v_number) THEN 0.2 ELSE 0 END), 4)::DOUBLE AS number FROM rec LEFT JOIN m USING (vendor_id)")
 def q_boost(spark, sf):
-    i = D.invoices(spark, sf).filter("vendor_id is not null and id % 2 = 0")
+    i = D.invoices(spark, sf).filter("vendor_id is not null")
     v = i.groupBy("vendor_id").agg(F.min_by("currency", "id").alias("preferred_currency"), F.min_by("payment_terms", F.when(F.col("payment_terms").isNotNull(), F.col("id"))).alias("preferred_payment_terms"), F.collect_set("invoice_number").alias("historical_invoice_numbers"))
     v = v.withColumns({"canonical_name": F.lit("x"), "avg_confidence": F.lit(None).cast("double"), "invoice_count": F.lit(0)})
     b = N.boost(D.records(spark, sf), v)

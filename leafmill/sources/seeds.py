@@ -15,11 +15,12 @@ SEED_VENDORS = (
 )
 
 
-def seed_vendors(spark: SparkSession, workspace: str, existing: DataFrame | None = None) -> DataFrame:
-    """Seed vendors of a tenant that are not there yet by name."""
-    rows = spark.createDataFrame(list(SEED_VENDORS), "canonical_name string, aliases array<string>, address string, tax_id string")
-    out = rows.select(F.sha2(F.concat_ws("|", F.lit(workspace), "canonical_name"), 256).alias("vendor_id"), F.lit(workspace).alias("workspace_id"), "*", F.lit("active").alias("status"))
-    return out if existing is None else out.join(existing.filter(F.col("workspace_id") == workspace).select("canonical_name"), "canonical_name", "left_anti").select(*out.columns)
+def seed_vendors(workspaces: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The seed vendors of each tenant (``workspace_id``) that are not there yet by name (``existing``: workspace_id, canonical_name)."""
+    rows = F.array(*[F.struct(F.lit(n).alias("canonical_name"), F.array(*map(F.lit, a)).alias("aliases"), F.lit(d).alias("address"), F.lit(t).cast("string").alias("tax_id")) for n, a, d, t in SEED_VENDORS])
+    each = workspaces.select("workspace_id").distinct().select("workspace_id", F.inline(rows))
+    out = each.select(F.sha2(F.concat_ws("|", "workspace_id", "canonical_name"), 256).alias("vendor_id"), "workspace_id", "canonical_name", "aliases", "address", "tax_id", F.lit("active").alias("status"))
+    return out if existing is None else out.join(existing.select("workspace_id", "canonical_name"), ["workspace_id", "canonical_name"], "left_anti").select(*out.columns)
 
 
 #: vendor, number, currency, tax rate, lines (quantity, unit price) of each invoice. Fixed values.
@@ -39,10 +40,23 @@ SYNTHETIC = (
 )
 
 
-def synthetic_invoices(spark: SparkSession) -> DataFrame:
-    """Invoices with lines, subtotal, tax and total."""
-    rows = [(v, n, c, r, [{"quantity": float(q), "unit_price": p} for q, p in li]) for v, n, c, r, li in SYNTHETIC]
-    df = spark.createDataFrame(rows, "vendor_name string, invoice_number string, currency string, tax_rate double, line_items array<struct<quantity:double,unit_price:double>>")
+def summed_invoices(invoices: DataFrame) -> DataFrame:
+    """Subtotal, tax and total of invoices with ``line_items`` (quantity, unit_price) and ``tax_rate``."""
     sub = F.aggregate("line_items", F.lit(0.0), lambda s, i: s + i["quantity"] * i["unit_price"])
-    df = df.withColumn("subtotal", sub.cast("decimal(18,2)"))
+    df = invoices.withColumn("subtotal", sub.cast("decimal(18,2)"))
     return df.withColumn("tax_amount", (F.col("subtotal") * F.col("tax_rate")).cast("decimal(18,2)")).withColumn("total_amount", (F.col("subtotal") + F.col("tax_amount")).cast("decimal(18,2)"))
+
+
+def synthetic_invoices(spark: SparkSession) -> DataFrame:
+    """The synthetic invoices of the seed."""
+    rows = [(v, n, c, r, [{"quantity": float(q), "unit_price": p} for q, p in li]) for v, n, c, r, li in SYNTHETIC]
+    return summed_invoices(spark.createDataFrame(rows, "vendor_name string, invoice_number string, currency string, tax_rate double, line_items array<struct<quantity:double,unit_price:double>>"))
+
+
+def synthetic_for(buyers: DataFrame) -> DataFrame:
+    """The synthetic invoices for each buyer (``buyer_id`` and ``scale``): its quantities are ``scale`` times those of the seed."""
+    items = lambda li: F.array(*[F.struct(F.lit(float(q)).alias("quantity"), F.lit(p).alias("unit_price")) for q, p in li])
+    rows = F.array(*[F.struct(F.lit(v).alias("vendor_name"), F.lit(n).alias("invoice_number"), F.lit(c).alias("currency"), F.lit(r).alias("tax_rate"), items(li).alias("seed")) for v, n, c, r, li in SYNTHETIC])
+    each = buyers.select("buyer_id", "scale", F.inline(rows))
+    scaled = F.transform("seed", lambda i: F.struct((i["quantity"] * F.col("scale")).alias("quantity"), i["unit_price"].alias("unit_price")))
+    return summed_invoices(each.withColumn("line_items", scaled).drop("seed"))
