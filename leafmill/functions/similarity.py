@@ -68,29 +68,36 @@ def similar_names(left: DataFrame, right: DataFrame, threshold: float = FUZZY_TH
     whose score reaches ``threshold``.
 
     Names of such a score share all but a few pairs of neighbouring characters, so they share one among
-    their rarest few, by which they meet: nothing is lost.  Names too short or too uniform for that meet the
-    others by length band.
+    their rarest few of the tenant, by which they meet: nothing is lost.  Names too short or too uniform for that meet
+    the others by length band.  Of those that meet, only names that share enough pairs of characters are scored.
     """
     ratio = threshold / (200.0 - threshold)
     a, b = _measured(left, "name", threshold), _measured(right, "other", threshold)
-    held = a.select(F.explode("grams").alias("gram")).union(b.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count("*").alias("held"))
+    place = ["workspace_id", "gram"]
+    each = lambda df: df.select("workspace_id", F.explode("grams").alias("gram"))
+    held = each(a).union(each(b)).groupBy(*place).agg(F.count("*").alias("held"))
 
-    def rarest(df: DataFrame, name: str, size: str) -> DataFrame:
-        spread = df.select("workspace_id", name, "n", "lack", F.explode("grams").alias("gram")).join(held, "gram")
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        spread = df.select("workspace_id", name, "lack", F.explode("grams").alias("gram")).join(held, place)
         few = F.slice(F.array_sort(F.collect_list(F.struct("held", "gram"))), F.lit(1), F.first("lack") + 1)
-        listed = spread.groupBy("workspace_id", name, F.col("n").alias(size)).agg(few.alias("few"))
-        return listed.select("workspace_id", name, size, F.explode("few.gram").alias("gram"))
+        return spread.groupBy("workspace_id", name).agg(few.alias("few")).select("workspace_id", name, F.explode("few.gram").alias("gram"))
+
+    def sized(df: DataFrame, name: str, size: str) -> DataFrame:
+        return df.select("workspace_id", name, F.col("n").alias(size), F.col("grams").alias(f"{name}_grams"), F.col("lack").alias(f"{name}_lack"))
 
-    fits = F.least("n", "m") >= ratio * F.greatest("n", "m")
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1 / ratio))).cast("int")
     near = lambda df: df.withColumn("band", F.explode(F.array(*[band + d for d in (-1, 0, 1)])))
     odd = F.size("grams") <= F.col("lack")
     names = ["workspace_id", "name", "other"]
-    met = rarest(a, "name", "n").join(rarest(b, "other", "m"), ["workspace_id", "gram"]).filter(fits).select(*names)
+    met = rarest(a, "name").join(rarest(b, "other"), place).select(*names)
     for x, y in ((a.filter(odd), b), (a, b.filter(odd))):
-        others = y.withColumn("band", band).select("workspace_id", "other", F.col("n").alias("m"), "band")
-        met = met.union(near(x).join(others, ["workspace_id", "band"]).filter(fits).select(*names))
-    return met.distinct().withColumn("score", token_sort_ratio(F.col("name"), F.col("other"))).filter(F.col("score") >= threshold)
+        others = y.withColumn("band", band).select("workspace_id", "other", "band")
+        met = met.union(near(x).join(others, ["workspace_id", "band"]).select(*names))
+    pairs = met.distinct().join(sized(a, "name", "n"), ["workspace_id", "name"]).join(sized(b, "other", "m"), ["workspace_id", "other"])
+    shared = F.size(F.array_intersect("name_grams", "other_grams"))
+    enough = shared >= F.greatest(F.size("name_grams") - F.col("name_lack"), F.size("other_grams") - F.col("other_lack"))
+    pairs = pairs.filter((F.least("n", "m") >= ratio * F.greatest("n", "m")) & enough).select(*names)
+    return pairs.withColumn("score", token_sort_ratio(F.col("name"), F.col("other"))).filter(F.col("score") >= threshold)
 
 
 def fuzzy_matches(names: DataFrame, candidates: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:

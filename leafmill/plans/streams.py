@@ -13,6 +13,7 @@ from leafmill.sources import domain as D
 from leafmill.sources.domain import table
 from leafmill.streaming import streams as S
 from leafmill.streaming.ordered import STORE, ordered_memory
+from leafmill.streaming.progress import batch_progress
 
 
 def _events(spark, sf):
@@ -77,3 +78,15 @@ def q_stream_memory_ordered(spark, sf):
 def q_memory_batch_counts(spark, sf):
     e = memory_events(spark, sf)
     return e.groupBy("workspace_id", "vendor_id").agg(F.count("*").cast("int").alias("invoice_count"), F.min_by("currency", "ord").alias("preferred_currency"))
+
+
+@query("q_batch_progress", f"WITH {VIEWS} SELECT workspace_id, batch_id, count(*) AS seen, count(*) FILTER (WHERE status <> 'processing') AS done, count(*) FILTER (WHERE status = 'failed') AS failed FROM docs GROUP BY 1, 2")
+def q_batch_progress(spark, sf):
+    """The documents come in files, one a micro-batch; the last row of a batch of documents counts all of it."""
+    docs = D.documents(spark, sf).select("workspace_id", "batch_id", "id", "status")
+    folder = shared_folder(spark, "batch_documents")
+    try:
+        docs.repartition(4, F.xxhash64("id")).write.parquet(folder)
+        return S.run_once(batch_progress(S.event_stream(spark, folder, docs.schema, 1)), ["workspace_id", "batch_id"])
+    finally:
+        remove_folder(spark, folder)
