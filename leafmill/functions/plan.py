@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,19 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     built on expressions grows without bound; it does not copy what a generator gives.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[str], folder: str) -> DataFrame:
+    """``df`` with ``_rank``, each row's number (from 0) in its group by ``order``; reads a table that it writes to ``folder``.
+
+    Rows are sorted by ranges and numbered where they lie, then those of earlier tasks are added: no group is in one task.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_part", F.shiftright("_id", 33))
+    dealt.write.parquet(folder)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(folder)
+    runs = rows.groupBy("_part", *groups).agg(F.min("_id").alias("_from"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_part", *groups, "_from", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(runs, ["_part", *groups]).select(*df.columns, (F.col("_id") - F.col("_from") + F.col("_before")).alias("_rank"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.patterns import IndexParams, least_pattern
-from leafmill.functions.plan import cut
+from leafmill.functions.plan import cut, numbered, remove_folder, shared_folder
 from leafmill.functions.similarity import COSINE_THRESHOLD, FUZZY_THRESHOLD, fuzzy_matches, similar_names, vector_top1
 from leafmill.functions.text import blank, normalize_terms, quoted
 from leafmill.functions.vectors import with_embedding
@@ -142,6 +142,68 @@ def vendor_memory(events: DataFrame) -> DataFrame:
     return folded.select("workspace_id", "vendor_id", F.struct(*MEMORY_NAMES).alias("memory"))
 
 
+def vendor_memory_chained(events: DataFrame, chunk_rows: int = 100_000) -> DataFrame:
+    """The same memory as ``vendor_memory``, a vendor's invoices in chunks that pass its memory on from one to the next.
+
+    Every step depends on the one before, so a vendor's chunks follow one another; but a task holds one chunk, the chunks
+    of all vendors with the same number run side by side, and what is lost is a chunk and not a vendor.
+    """
+    spark = events.sparkSession
+    folder, key = shared_folder(spark, "memory_chunks"), ["workspace_id", "vendor_id"]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*key).schema)
+    held = f"struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in MEMORY.split(', '))}>"
+
+    def fold(batches):
+        owner, memory = None, NO_MEMORY
+        told = lambda: [(*owner, dict(zip(MEMORY_NAMES, memory)))] if owner is not None else []
+        for b in batches:
+            out = []
+            for workspace, vendor, _, before, *event in b.itertuples(index=False):
+                if (workspace, vendor) != owner:
+                    out += told()
+                    owner, memory = (workspace, vendor), NO_MEMORY
+                if before is not None:
+                    memory = tuple(list(x) if hasattr(x, "tolist") and getattr(x, "ndim", 0) else x for x in (before[c] for c in MEMORY_NAMES))
+                else:
+                    memory = remember(memory, event)
+            yield pd.DataFrame(out, columns=[*key, "memory"])
+        yield pd.DataFrame(told(), columns=[*key, "memory"])
+
+    try:
+        few = events.filter("workspace_id is not null and vendor_id is not null").select(*key, "ord", *EVENT)
+        rows = numbered(few, key, ["ord", *EVENT], f"{folder}/rows").withColumn("chunk", F.floor(F.col("_rank") / chunk_rows))
+        rows.write.partitionBy("chunk").parquet(f"{folder}/chunks")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
+        last = rows.agg(F.max("chunk")).first()[0]
+        out = spark.createDataFrame([], f"{types}, memory {held}")
+        for chunk in range(0 if last is None else last + 1):
+            here = rows.filter(F.col("chunk") == chunk).select(*key, "_rank", F.lit(None).cast(held).alias("memory"), *EVENT)
+            go_on = out.join(here.select(*key).distinct(), key, "left_semi").select(*key, F.lit(-1).cast("long").alias("_rank"), "memory", *[F.lit(None).cast(here.schema[c].dataType).alias(c) for c in EVENT])
+            folded = here.union(go_on).repartition(*key).sortWithinPartitions(*key, "_rank").mapInPandas(fold, f"{types}, memory {held}")
+            folded.write.parquet(f"{folder}/memory_{chunk}")
+            new = spark.read.schema(folded.schema).parquet(f"{folder}/memory_{chunk}")
+            out = new.unionByName(out.join(new.select(*key), key, "left_anti"))
+        return cut(out)
+    finally:
+        remove_folder(spark, folder)
+
+
+def key_confidence(extracted: Column) -> Column:
+    """Mean confidence of the number, vendor, total and currency of a record."""
+    return sum((extracted[f]["confidence"] for f in ("invoice_number", "vendor_name", "total_amount", "currency")), F.lit(0.0)) / 4
+
+
+def memory_events(records: DataFrame) -> DataFrame:
+    """What a vendor's memory takes from ``records`` (workspace_id, vendor_id, ord, extracted, canonicalized)."""
+    e, c = F.col("extracted"), F.col("canonicalized")
+    lines = F.coalesce(F.size(e["line_items"]), F.lit(0)) + F.coalesce(F.size(e["rich_line_items"]), F.lit(0)) > 0
+    order = F.coalesce(e["purchase_order"]["value"] != "", F.lit(False))
+    return records.filter("vendor_id is not null").select(
+        "workspace_id", "vendor_id", "ord", e["invoice_number"]["value"].alias("number"), e["vendor_tax_id"]["value"].alias("tax_id"), c["currency"].alias("currency"),
+        e["payment_terms"]["value"].alias("terms"), key_confidence(e).alias("confidence"), lines.alias("has_lines"), order.alias("has_order"),
+    )
+
+
 def top_products(lines: DataFrame, n: int = MAX_PRODUCTS) -> DataFrame:
     """The most frequent products of each vendor; ties go to the one seen first."""
     counted = lines.groupBy("vendor_id", "product").agg(F.count("*").alias("n"), F.min("ord").alias("first"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions.dates import free_date
+from leafmill.functions.text import normalize_currency
 from leafmill.operators import lineitems as L
 from leafmill.operators import vendors as N
 from leafmill.operators.extraction import parse_answers
 from leafmill.operators.providers import ModelRetired, Service, ask_in_order
 from leafmill.operators.schemas import LINE
-from leafmill.plans.records import _LINES, _OK, items
+from leafmill.plans.records import _FOLD, _LINES, _OK, items
 from leafmill.plans.registry import query
-from leafmill.plans.sql import with_views
+from leafmill.plans.sql import FIELD_VALUES, VIEWS, confidence, with_views
 from leafmill.sources import domain as D
 from leafmill.sources.domain import table
 from leafmill.sources.files import classify_pages, unseen
@@ -137,3 +138,16 @@ def q_free_dates(spark, sf):
         .otherwise(F.concat(F.datediff(today, d).cast("string"), F.lit(" days ago")))
     )
     return o.select("id", free_date(said, today, day_first=k == 6).alias("day"))
+
+
+_RECORDED = f"ev AS (SELECT workspace_id, vendor_id, id AS ord, v_number AS number, CASE WHEN id % 2 = 0 THEN '12-3456789' END AS tax_id, CASE currency WHEN '$' THEN 'USD' ELSE currency END AS currency, payment_terms AS terms, (0.0::DOUBLE + {' + '.join(confidence(k, v) for k, (f, v) in FIELD_VALUES if f in ('invoice_number', 'vendor_name', 'total_amount', 'currency'))}) / 4 AS confidence, row_number() OVER (PARTITION BY workspace_id, vendor_id ORDER BY id) AS n, purchase_order IS NOT NULL AS has_order FROM rec WHERE vendor_id IS NOT NULL)"
+
+
+@query("q_vendor_memory_records", f"WITH RECURSIVE {VIEWS}, {_RECORDED}, {_FOLD}, a AS (SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) AS preferred_currency, arg_min(terms, ord) FILTER (WHERE terms IS NOT NULL) AS preferred_terms, max(tax_id) AS tax_id, CAST(count(DISTINCT number) AS INTEGER) AS n_numbers FROM ev GROUP BY 1, 2) SELECT a.*, CAST(ema AS DECIMAL(9,3)) AS ema, CAST(rate AS DECIMAL(9,3)) AS rate FROM a JOIN (SELECT workspace_id, vendor_id, arg_max(ema, n) AS ema, arg_max(rate, n) AS rate FROM f GROUP BY 1, 2) USING (workspace_id, vendor_id)")
+def q_vendor_memory_records(spark, sf):
+    """Memory from the records themselves, by chunks."""
+    r = D.records(spark, sf).withColumnRenamed("id", "ord")
+    events = N.memory_events(r.withColumn("canonicalized", F.struct(normalize_currency(F.col("extracted.currency.value")).alias("currency"))))
+    m = F.col("memory")
+    out = N.vendor_memory_chained(events, 500)
+    return out.select("workspace_id", "vendor_id", m["invoice_count"].alias("invoice_count"), m["preferred_currency"].alias("preferred_currency"), m["preferred_payment_terms"].alias("preferred_terms"), m["tax_id"].alias("tax_id"), F.size(m["historical_invoice_numbers"]).alias("n_numbers"), m["avg_confidence"].cast("decimal(9,3)").alias("ema"), m["rate_purchase_order"].cast("decimal(9,3)").alias("rate"))

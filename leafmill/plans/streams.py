@@ -39,9 +39,9 @@ def q_sessions(spark, sf):
 
 @query("q_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedup(spark, sf):
-    # Hashes are forgotten after a time beyond the span of the events, so that the state has a bound.
+    # Hashes are forgotten a month after they were first seen, which is the span of the events.
     keyed = _events(spark, sf).withColumns({"h": F.sha2(F.concat_ws("|", "user_id", "event_type"), 256), "_t": F.col("ts").cast("timestamp")}).select("h", "user_id", "event_type", "_t")
-    return S.run_once(S.first_seen(keyed, "h", "_t", "3660 days"), ["user_id", "event_type"], "append").select("user_id", "event_type")
+    return S.run_once(S.first_seen(keyed, "h", "_t", "31 days"), ["user_id", "event_type"], "append").select("user_id", "event_type")
 
 
 @query("q_stream_memory", f"WITH RECURSIVE {VIEWS}, {_EVENTS}, {_FOLD}, e AS (SELECT workspace_id, vendor_id, arg_max(ema, n) AS ema, arg_max(rate, n) AS rate FROM f GROUP BY 1, 2), a AS (SELECT workspace_id, vendor_id, CAST(count(*) AS INTEGER) AS invoice_count, arg_min(currency, ord) FILTER (WHERE currency IS NOT NULL) AS preferred_currency, arg_min(terms, ord) FILTER (WHERE terms IS NOT NULL) AS preferred_terms, arg_min(tax_id, ord) FILTER (WHERE tax_id IS NOT NULL) AS tax_id, CAST(count(DISTINCT tax_id) AS INTEGER) AS n_tax_ids, CAST(least(500, count(DISTINCT number)) AS INTEGER) AS n_numbers FROM ev GROUP BY 1, 2) SELECT a.*, CAST(ema AS DECIMAL(9,3)) AS ema, CAST(rate AS DECIMAL(9,3)) AS rate FROM a JOIN e USING (workspace_id, vendor_id)")

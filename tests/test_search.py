@@ -88,3 +88,14 @@ def test_memory_passes_over_empty_strings(spark):
     for r in rows:
         memory = remember(memory, r[3:])
     assert tuple(m) == memory
+
+
+def test_memory_by_chunks_is_the_same(spark):
+    from leafmill.operators.vendors import vendor_memory, vendor_memory_chained
+
+    rng = random.Random(11)
+    rows = [("w" if rng.random() < 0.9 else None, rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(200), rng.choice(["", None, f"N{i % 40}"]), rng.choice([None, "", "T1", "T2"]), rng.choice(["EUR", "", None]), rng.choice([None, "30"]), rng.choice([None, rng.random()]), rng.random() < 0.5, rng.choice([True, False, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "workspace_id string, vendor_id int, ord int, number string, tax_id string, currency string, terms string, confidence double, has_lines boolean, has_order boolean").repartition(3)
+    want = sorted(map(repr, vendor_memory(df).collect()))
+    assert sorted(map(repr, vendor_memory_chained(df, 17).select("workspace_id", "vendor_id", "memory").collect())) == want
+    assert vendor_memory_chained(df.limit(0)).count() == 0
