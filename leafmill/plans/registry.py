@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from leafmill.plans import answers, changing, extras, reading, records, streams  # noqa: F401
+    from leafmill.plans import answers, changing, extras, incoming, reading, records, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
