@@ -230,7 +230,17 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(convs, rebuilt, tmp=tmp)
 
 
-@query("op12_jaccard_pivot_join")
+_OP12_SQL = """
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM t, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS x(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT p.u, p.v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2) p JOIN n x ON x.doc_id = p.u JOIN n y ON y.doc_id = p.v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.doc_id)
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.root), t.doc_id) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN r ON r.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
+@query("op12_jaccard_pivot_join", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.setjoin import jaccard_join
 

@@ -113,7 +113,7 @@ def test_jaccard_join(spark):
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(20, 150))] for _ in range(12)]
     hot = [rng.choice(vocabulary) for _ in range(100)]
     passage = " ".join(rng.choice(vocabulary) for _ in range(60))
-    texts = [near_copies(rng, b, 4) for b in base for _ in range(4)] + [near_copies(rng, hot, 6) for _ in range(60)]
+    texts = [near_copies(rng, b, 4) for b in base for _ in range(4)] + [near_copies(rng, hot, 6) for _ in range(40)]
     texts += [passage + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(20)]
     # Distances of exactly a fifth, on both sides of it.
     line = [f"k{i}" for i in range(104)]
@@ -123,7 +123,7 @@ def test_jaccard_join(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, text string, n_shingles string, _place string").repartition(3)
     want = sorted(map(repr, plain_join(rows)))
-    for p in (JoinParams(), JoinParams(dense=6, pivots=4, block=7), JoinParams(dense=40, dense_shingles=600, pivot_shingles=200)):
+    for p in (JoinParams(), JoinParams(dense=16, pivots=10, block=7), JoinParams(dense=30, dense_shingles=2500, pivot_shingles=900)):
         got = jaccard_join(df, p)
         assert got.columns == ["doc_id", "text", "_place", "n_shingles", "component_id"]
         assert sorted(repr(tuple(r)) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
@@ -137,7 +137,7 @@ def test_jaccard_join_other_threshold(spark):
     base = [[f"w{rng.randrange(200)}" for _ in range(30)] for _ in range(5)]
     rows = [(i, near_copies(rng, rng.choice(base), 6)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard_join(df, JoinParams(words_each=2, percent=60, dense=5, pivots=3)).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard_join(df, JoinParams(words_each=2, percent=60, dense=15, pivots=8)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(plain_join(rows, 2, 60))
 
 
