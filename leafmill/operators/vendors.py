@@ -44,7 +44,8 @@ def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = F
     the one that arrived first (``arrival``); a blank name resolves to nothing.
     """
     names = records.filter(~blank(F.col("name"))).groupBy("workspace_id", "name").agg(F.min("arrival").alias("arrival"))
-    fuzzy = fuzzy_matches(names, candidates(vendors), threshold)
+    # Each stage is computed once, as what it finds is both a result and left out of the next one.
+    fuzzy = cut(fuzzy_matches(names, candidates(vendors), threshold))
     found = fuzzy.select("workspace_id", "name", F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("fuzzy").alias("how"), "score")
     rest = names.join(fuzzy.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
     find = search or (lambda asked: vector_top1(asked, vendor_vectors(vendors), COSINE_THRESHOLD))
@@ -52,7 +53,7 @@ def resolve_vendors(records: DataFrame, vendors: DataFrame, threshold: float = F
     near = near.select("workspace_id", F.col("query_id").alias("name"), F.col("vendor_id").cast("string").alias("vendor_id"), F.lit("vector").alias("how"), (F.col("score") * 100).alias("score"))
     found = found.unionByName(near)
     rest = rest.join(near.select("workspace_id", "name"), ["workspace_id", "name"], "left_anti")
-    return found.unionByName(lead_new_names(rest, threshold))
+    return found.unionByName(lead_new_names(cut(rest), threshold))
 
 
 def lead_new_names(names: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
