@@ -5,8 +5,8 @@ States whose outgoing frequencies are statistically compatible (Hoeffding bound,
 into a probabilistic automaton (ALERGIA).  In every long run of credential characters the automata start
 wherever they accept the four characters of a mark; a substring that ends
 before a separator or with the run is scored by its log-likelihood a character over that of a background
-model of ordinary text.  Above ``min_score`` it may be a secret; of those that overlap, the ones whose
-likelihoods over the background's have the greatest sum are taken.
+model of ordinary text.  Above ``min_score`` a character it may be a secret; of those that overlap, the ones that
+exceed it most, together, are taken, in one pass over the run.
 Fixed patterns for assignments, access keys and hexadecimal runs find their spans besides.
 
 The labelled rows are bounded: ``max_labelled`` a format are used, chosen by hash; the automata are small
@@ -25,6 +25,7 @@ import re
 import string
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +59,9 @@ def symbol(c: str) -> str:
     return "a" if "a" <= c <= "f" else "g" if "g" <= c <= "z" else "A" if "A" <= c <= "F" else "G" if "G" <= c <= "Z" else "0" if c.isdigit() else c
 
 
+_SYMBOLS = {ord(c): symbol(c) for c in string.ascii_letters + string.digits}
+
+
 class Automaton:
     """A probabilistic deterministic automaton inferred by state merging."""
 
@@ -139,6 +143,8 @@ class Grammars:
     tables: dict
     background: dict
     params: GrammarParams
+    #: Length of the longest labelled credential of each format.
+    longest: dict
 
     def score(self, text: str) -> tuple[str, float]:
         """The likeliest format and its log-likelihood a character over the background's."""
@@ -155,47 +161,83 @@ class Grammars:
                 best = (name, total)
         return best[0], (best[1] - ordinary) / (len(text) + 1)
 
-    def _from(self, run: str, syms: list[str], ordinary: list[float], at: int) -> list[tuple[str, int, float]]:
-        """Format, end and log-likelihood over the background's of every credential that can start at ``at`` of a run."""
-        floor, out = math.log(self.params.floor), []
-        first = self.background.get(("", syms[at]), floor)
+    @cached_property
+    def _alphabets(self) -> dict[str, set[str]]:
+        """Symbols that each format holds behind its mark."""
+        return {name: {c for state in table for c in state if len(c) == 1} for name, table in self.tables.items()}
+
+    @cached_property
+    def _states(self) -> tuple[list[dict], list[str], list[int]]:
+        """The states of all automata, numbered through, with the format of each and the numbers of the first ones."""
+        states, owner, firsts = [], [], []
         for name, table in self.tables.items():
-            q, total, missed, ends = 0, 0.0, False, []
-            for i in range(at, len(run)):
-                c = "=" + run[i] if i < at + MARK else syms[i]
-                if i < at + MARK and c not in table[q]:
-                    break
-                missed |= c not in table[q]
-                q, p = table[q].get(c, (q, floor))
-                total += p - (first if i == at else ordinary[i])
-                # Two symbols unheard of, and nothing to make up for them.
-                if total < 2 * floor:
-                    break
-                n = i + 1 - at
-                if n >= MIN_LENGTH and (i + 1 == len(run) or run[i + 1] in SEPARATORS):
-                    whole = total + table[q].get("", (q, floor))[1] - self.background.get((syms[i], ""), floor)
-                    if whole >= self.params.min_score * (n + 1):
-                        # A separator that the format can hold does not end it: no tail may stay in the text.
-                        ends = [*(ends if missed else ()), (name, i + 1, whole)]
-            out += ends
-        return out
+            firsts.append(len(states))
+            states += [{c: (firsts[-1] + q, p) for c, (q, p) in state.items()} for state in table]
+            owner += [name] * len(table)
+        return states, owner, firsts
 
     def find(self, run: str) -> list[tuple[str, int, int]]:
-        """(format, start, end) of the credentials in a run of their characters: those apart from each other whose sum is greatest."""
-        floor, syms = math.log(self.params.floor), [symbol(c) for c in run]
-        ordinary = [self.background.get(p, floor) for p in zip(["", *syms], syms)]
-        best, taken = [0.0] * (len(run) + 1), {}
-        for at in range(len(run) - MIN_LENGTH, -1, -1):
-            best[at] = best[at + 1]
-            for name, end, gain in self._from(run, syms, ordinary, at):
-                if gain + best[end] > best[at]:
-                    best[at], taken[at] = gain + best[end], (name, end)
-        out, at = [], 0
-        while at < len(run):
-            if at in taken:
-                out.append((taken[at][0], at, taken[at][1]))
-            at = taken[at][1] if at in taken else at + 1
-        return out
+        """(format, start, end) of the credentials in a run of their characters: those apart from each other that exceed the least score most, together.
+
+        One pass from left to right.  ``live`` holds a start for each state and length (lengths of
+        ``MIN_LENGTH`` and more are one): all that follows counts the same for two starts in one state, so the
+        better one stands for both, and a character costs no more than the automata have states.
+        """
+        floor, least = math.log(self.params.floor), self.params.min_score
+        syms, size = run.translate(_SYMBOLS), len(run)
+        background, (states, owner, firsts) = self.background, self._states
+        marks = {c[1] for q in firsts for c in states[q] if len(c) == 2}
+        best, taken, live, before = [0.0] * (size + 1), {}, {}, ""
+        for i, (char, sym) in enumerate(zip(run, syms)):
+            ordinary = background.get((before, sym), floor)
+            before = sym
+            moved, last = {}, i + 1 == size or run[i + 1] in SEPARATORS
+            for (q, n), (value, total, at) in live.items():
+                seen = states[q].get(sym if n >= MARK else "=" + char)
+                if seen:
+                    q, p = seen
+                elif n < MARK:
+                    continue
+                else:
+                    p = floor
+                total += p - ordinary
+                # Two symbols unheard of, and nothing to make up for them.
+                if total < 2 * floor:
+                    continue
+                value += p - ordinary - least
+                to = (q, n + 1 if n < MIN_LENGTH else n)
+                if to not in moved or value > moved[to][0]:
+                    moved[to] = value, total, at
+            if char in marks and i + MIN_LENGTH <= size:
+                first = background.get(("", sym), floor)
+                for q in firsts:
+                    seen = states[q].get("=" + char)
+                    if seen:
+                        gain = seen[1] - first
+                        moved[seen[0], 1] = best[i] + gain - least, gain, i
+            live, best[i + 1] = moved, best[i]
+            if last and live:
+                done = background.get((sym, ""), floor) + least
+                for (q, n), (value, _, at) in live.items():
+                    if n == MIN_LENGTH and value - done + states[q].get("", (q, floor))[1] > best[i + 1]:
+                        best[i + 1], taken[i + 1] = value - done + states[q].get("", (q, floor))[1], (owner[q], at)
+        out, end = [], size
+        while end:
+            if end in taken:
+                out.append((*taken[end], end))
+            end = taken[end][1] if end in taken else end - 1
+        out.reverse()
+        return [(name, at, self._tail(name, run, syms, at, end, nxt)) for (name, at, end), nxt in zip(out, [*(x[1] for x in out[1:]), size])]
+
+    def _tail(self, name: str, run: str, syms: str, at: int, end: int, stop: int) -> int:
+        """The end of a credential found up to ``end``: a separator that the format can hold does not end it
+        while it is no longer than the longest labelled one, so that no tail may stay in the text."""
+        alphabet, stop, far = self._alphabets[name], min(stop, at + self.longest.get(name, 0)), end
+        while far < stop and syms[far] in alphabet:
+            far += 1
+            if far == len(run) or run[far] in SEPARATORS:
+                end = far
+        return end
 
 
 def _path(text: str) -> list[str]:
@@ -210,7 +252,7 @@ FORMATS = {
     "gitlab": ("glpat-", (_URL, (20,))),
     "google": ("AIza", (_URL, (35,))),
     "slack": ("xoxb- xoxp-", (_DIGITS, (10, 11, 12, 13)), "-", (_DIGITS, (10, 11, 12, 13)), "-", (_ALNUM, (24, 32))),
-    "stripe": ("sk_live_ rk_live_", (_ALNUM, (24, 32))),
+    "stripe": ("sk_live_ rk_live_ sk_test_ rk_test_", (_ALNUM, (24, 32))),
     "npm": ("npm_", (_ALNUM, (36,))),
     "jwt": ("eyJhb eyJ0e", (_URL, (15, 31, 60)), ".eyJ", (_URL, (30, 60, 120)), ".", (_URL, (43,))),
     "access": ("AKIA ASIA", (string.ascii_uppercase + "234567", (16,))),
@@ -267,7 +309,7 @@ def learn_grammars(labelled: list[tuple[str, str]] | DataFrame | None = None, pa
     for (a, _), n in pairs.items():
         starts[a] += n
     background = {p: math.log(n / starts[p[0]]) for p, n in pairs.items()}
-    return Grammars({k: Automaton([_path(t) for t in v[: params.max_labelled]], params.alpha).table() for k, v in sorted(samples.items())}, background, params)
+    return Grammars({k: Automaton([_path(t) for t in v[: params.max_labelled]], params.alpha).table() for k, v in sorted(samples.items())}, background, params, {k: max(map(len, v)) for k, v in samples.items()})
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

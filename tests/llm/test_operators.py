@@ -193,6 +193,78 @@ def test_credentials_inside_runs():
     assert wrong <= 5
 
 
+def plain_credentials(g, run):
+    """The choice of ``Grammars.find`` before tails are added, by trying every start."""
+    import math
+
+    from leafmill.llm.credentials import MARK, MIN_LENGTH, SEPARATORS, _path, symbol
+
+    floor, syms, least = math.log(g.params.floor), [symbol(c) for c in run], g.params.min_score
+    best, taken = [0.0] * (len(run) + 1), {}
+    for at in range(len(run) - 1, -1, -1):
+        best[at] = best[at + 1]
+        for name, table in g.tables.items():
+            q, total, path = 0, 0.0, _path(run[at:])
+            for n, c in enumerate(path, 1):
+                i = at + n - 1
+                if n <= MARK and c not in table[q]:
+                    break
+                q, p = table[q].get(c, (q, floor))
+                total += p - g.background.get((syms[i - 1] if n > 1 else "", syms[i]), floor)
+                if total < 2 * floor:
+                    break
+                if n >= MIN_LENGTH and (i + 1 == len(run) or run[i + 1] in SEPARATORS):
+                    gain = total + table[q].get("", (q, floor))[1] - g.background.get((syms[i], ""), floor) - least * (n + 1)
+                    if gain + best[i + 1] > best[at]:
+                        best[at], taken[at] = gain + best[i + 1], (name, at, i + 1)
+    out, at = [], 0
+    while at < len(run):
+        if at in taken:
+            out.append(taken[at])
+        at = taken[at][2] if at in taken else at + 1
+    return out
+
+
+def test_credentials_in_one_pass(monkeypatch):
+    import random
+    import time
+
+    from leafmill.llm.credentials import SEPARATORS, Grammars, find_spans, labelled_credentials, learn_grammars, redact
+
+    g, rng = learn_grammars(), random.Random(5)
+    keys = [t for _, t in labelled_credentials(seed=55, each=20)]
+    start = time.time()
+    for mark in ("eyJhb", "eyJhb-", "xoxb-1234567890-"):
+        g.find(mark * (200_000 // len(mark)))
+    assert time.time() - start < 20  # a quadratic search takes half an hour
+    key_ = ("AIzaSy" + "Ab1-" * 9)[:39]
+    assert find_spans(f"key {key_} x", g) == [("format_google", 4, 43)] and redact(f"{key_}/path", g) == "<secret>/path"
+    # All starts, without the tails: the same choice.
+    monkeypatch.setattr(Grammars, "_tail", lambda self, name, run, syms, at, end, stop: end)
+    for _ in range(60):
+        run = "".join(rng.choice(keys)[: rng.randint(5, 200)] + rng.choice([*SEPARATORS, "", "eyJhb", "sk_"]) for _ in range(rng.randint(1, 4)))
+        assert g.find(run) == plain_credentials(g, run), run
+
+
+def test_html_deep_nesting():
+    import time
+
+    from leafmill.llm.htmltext import flatten, parse
+
+    start = time.time()
+    for page in ("<div>" * 100_000 + "</section>" * 100_000, "<dt><dl>" + "<div>" * 30_000 + "<dt></dt>" * 30_000, "<ul><li>" * 30_000):
+        assert len(flatten(parse(page + "end"))) >= 60_001
+    assert time.time() - start < 30
+
+
+def test_chat_ties_by_text(spark):
+    from leafmill.llm.chat import format_chats, read_turns, text_parts
+
+    rows = [(1, 0, "user", t) for t in ("<a", "<|x", "<\\|", None, "")]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("content", text_parts(F.col("text")))).select(read_turns(F.col("formatted")).alias("t")).first()
+    assert [t["text"] for t in got["t"]] == sorted(t or "" for *_, t in rows)
+
+
 def test_html():
     from leafmill.llm.htmltext import flatten, parse
 
