@@ -66,6 +66,8 @@ def parse(html: str) -> Node:
     at, size, now, buffer, in_head = 0, len(html), root, [], False
     in_link, link_chars = None, 0
     unclosed: set[str] = set()
+    # The open elements from the root down, and for each tag their places in that path.
+    path, opened = [root], {}
 
     def flush() -> None:
         nonlocal link_chars
@@ -88,14 +90,14 @@ def parse(html: str) -> Node:
     def close(names: set, scope: set) -> None:
         """Close the nearest open element of ``names`` that no element of ``scope`` encloses."""
         nonlocal now
-        n = now
-        while n is not root and n.tag not in names:
-            if n.tag in scope:
-                return
-            n = n.parent
-        if n is not root:
-            flush()
-            now = n.parent
+        at = max((opened[t][-1] for t in names if opened.get(t)), default=0)
+        if not at or at < len(path) - 1 and any(opened[t][-1] > at for t in scope if opened.get(t)):
+            return
+        flush()
+        for n in path[at:]:
+            opened[n.tag].pop()
+        del path[at:]
+        now = path[-1]
 
     def end_of(tag: str, at: int) -> int:
         """Where an element of this kind that opens before ``at`` ends; ``at`` if it has no end of its own."""
@@ -168,6 +170,8 @@ def parse(html: str) -> Node:
                     child = Node(tag, now, tokens)
                     now.children.append(child)
                     now = child
+                    opened.setdefault(tag, []).append(len(path))
+                    path.append(child)
         elif tag == "a":
             in_link = None if shut else now
         elif tag == "br":
