@@ -79,7 +79,7 @@ def format_chats(turns: DataFrame, params: ChatParams = ChatParams(), conv_col:
     t = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), parts.alias("parts"))
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))
     t = t.select("conv", "turn", "role", "parts", head.alias("head"), _body(F.col("parts")).alias("body"))
-    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "role", "body")
+    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "role", unescape(F.col("body")), "body")
     size = F.length("head") + F.length("body") + len(END)
     t = t.select("*", F.row_number().over(order).alias("n"), F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
     start = F.col("at") + F.length("head")
