@@ -36,6 +36,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code (23, 12, 7); a fixed value.
 GENERATOR = 0xC75
 MAX_DISTANCE = 2
+#: Rows that fill a partition of the contracted graph.
+ROWS_EACH = 50_000
 #: Fingerprints that may be called hot.
 MAX_HOT = 1000
 
@@ -168,6 +170,11 @@ def links(fps: DataFrame, dense: int = 64) -> DataFrame:
     return few.union(stars.select("u", F.explode("fps").alias("v"))).filter("u <> v").distinct()
 
 
+def packed(df: DataFrame, rows: int, each: int = ROWS_EACH) -> DataFrame:
+    """``df``, known to have ``rows`` at most, in no more partitions than these fill: few rows in many files cost disk, not time."""
+    return df.coalesce(max(1, -(-rows // each))) if rows < each * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): the smallest node that it is connected to.
 
@@ -176,26 +183,29 @@ def components(edges: DataFrame) -> DataFrame:
     share of the nodes goes in each round whatever the graph's shape, so that the rounds grow with the
     logarithm of the number of nodes.
     """
-    left, steps = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), []
-    while not left.isEmpty():
+    edges = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left, steps = cut(edges), []
+    while links := left.count():
+        # Each link has two ends at most, and the links of one round bound those of the next.
         rank = lambda c, k=len(steps): F.struct(F.xxhash64(F.lit(k), c).alias("h"), c.alias("x"))
+        left = packed(left, links)
         nearest = left.union(left.select("v", "u")).groupBy("u").agg(F.min(rank(F.col("v"))).alias("m"))
-        step = cut(nearest.select(F.col("u").alias("node"), F.least(rank(F.col("u")), "m")["x"].alias("to")))
+        step = cut(packed(nearest.select(F.col("u").alias("node"), F.least(rank(F.col("u")), "m")["x"].alias("to")), 2 * links))
         of = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
         moved = left.join(of("u"), "u").join(of("v"), "v").filter("u_to <> v_to")
-        left = cut(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct())
-        steps.append(step)
+        left = cut(packed(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct(), links))
+        steps.append((step, 2 * links))
         del nearest, moved
         # Spark removes the shuffle files of finished rounds once the driver has forgotten their plans.
         left.sparkSession.sparkContext._jvm.System.gc()
     if not steps:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
     # Back through the rounds, each with more nodes than the one after it.
-    ends = steps.pop()
-    for step in reversed(steps):
-        ends = cut(step.join(ends.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+    ends, most = steps.pop()
+    for step, most in reversed(steps):
+        ends = cut(packed(step.join(ends.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to")), most))
     smallest = ends.groupBy("to").agg(F.min("node").alias("root"))
-    return cut(ends.join(smallest, "to").select("node", "root"))
+    return cut(packed(ends.join(smallest, "to").select("node", "root"), most))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), dense: int = 64) -> DataFrame:
