@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.amounts import parse_amount
-from leafmill.functions.plan import once
+from leafmill.functions.plan import bound, once
 from leafmill.functions.text import blank, ground_key, is_known_currency, parse_date
 from leafmill.operators.schemas import FIELDS, LOW_CONFIDENCE
 
@@ -75,8 +75,16 @@ def ground(records: DataFrame, with_boxes: bool = True) -> DataFrame:
 
 def math_checks_out(get: Callable[[str], Column]) -> Column:
     """True or false; null if an amount is missing or the total is zero."""
-    s, t, total = (parse_amount(get(f)) for f in ("subtotal", "tax_amount", "total_amount"))
-    return F.when(s.isNotNull() & t.isNotNull() & total.isNotNull() & (total != 0), F.abs(s + t - total) * 100 <= F.abs(total))
+    def holds(x: Column) -> Column:
+        s, t, total = x["s"], x["t"], x["total"]
+        return F.when(s.isNotNull() & t.isNotNull() & total.isNotNull() & (total != 0), F.abs(s + t - total) * 100 <= F.abs(total))
+
+    return bound(_sums(get), holds)
+
+
+def _sums(get: Callable[[str], Column]) -> Column:
+    """The amounts s, t and total of a record."""
+    return F.struct(*[parse_amount(get(f)).alias(a) for a, f in (("s", "subtotal"), ("t", "tax_amount"), ("total", "total_amount"))])
 
 
 # Signals.
@@ -123,9 +131,12 @@ def _vendor() -> Column:
 
 @signal("math", 0.15)
 def _math() -> Column:
-    s, t, total = (parse_amount(_value(f)) for f in ("subtotal", "tax_amount", "total_amount"))
-    gap = F.abs(s + t - total)
-    return F.when(s.isNull() | t.isNull() | total.isNull(), 0.5).when(gap == 0, 1.0).when(gap * 100 <= F.abs(total), 0.8).otherwise(0.3)
+    def near(x: Column) -> Column:
+        s, t, total = x["s"], x["t"], x["total"]
+        gap = F.abs(s + t - total)
+        return F.when(s.isNull() | t.isNull() | total.isNull(), 0.5).when(gap == 0, 1.0).when(gap * 100 <= F.abs(total), 0.8).otherwise(0.3)
+
+    return bound(_sums(_value), near)
 
 
 @signal("completeness", 0.10)
@@ -168,7 +179,7 @@ def breakdown_map(signals: Column, overall: Column) -> Column:
 
 def legacy_scores(records: DataFrame) -> DataFrame:
     """Heuristic raises, then the grounding cap, on ``extracted``; adds ``legacy_reasons``."""
-    math = math_checks_out(_value)
+    records, math = once(records, {"_math": math_checks_out(_value)}), F.col("_math")
 
     def raised(name: str) -> Column:
         f = F.col(f"extracted.{name}")
@@ -189,7 +200,7 @@ def legacy_scores(records: DataFrame) -> DataFrame:
         e = e.withField(name, raised(name))
     out = ground(records.withColumn("extracted", e), with_boxes=False)
     reason = lambda n: F.when(F.col(f"extracted.{n}.confidence") < LOW_CONFIDENCE, F.format_string(f"{n}: confidence %.2f < {LOW_CONFIDENCE}", F.col(f"extracted.{n}.confidence")))
-    return out.withColumn("legacy_reasons", F.array_compact(F.array(*[reason(n) for n in KEY_FIELDS])))
+    return out.withColumn("legacy_reasons", F.array_compact(F.array(*[reason(n) for n in KEY_FIELDS]))).drop("_math")
 
 
 def merge_review(records: DataFrame) -> DataFrame:

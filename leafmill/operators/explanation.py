@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.plan import once
+from leafmill.functions.plan import bound, once
 from leafmill.functions.text import ground_key, is_known_currency, parse_date
 from leafmill.operators.confidence import GROUNDING_CAP, KEY_FIELDS, math_checks_out
 from leafmill.operators.schemas import FIELDS
@@ -27,10 +27,14 @@ def explain_field(name: str, original: Column, final: Column, haystack: Column,
     """One field's struct: values, confidences, grounded, signals and summary."""
     value, conf = original["value"], original["confidence"]
     there, text = F.coalesce(value != "", F.lit(False)), F.coalesce(value, F.lit("None"))
-    found = F.coalesce((ground_key(value) != "") & F.contains(haystack, ground_key(value)), F.lit(False))
-    grounded = F.when((haystack != "") & there, found)
+    found = bound(ground_key(value), lambda key: F.coalesce((key != "") & F.contains(haystack, key), F.lit(False)))
+
+    def with_grounded(grounded: Column) -> Column:
+        return bound(signals_of(grounded), lambda after: told(grounded, after))
+
     cap = F.least(F.lit(0.0), GROUNDING_CAP - conf)
     signals = []
+    word = lambda gap: F.when(gap > 0, "boosted").otherwise("penalised")
     if name in ("invoice_date", "due_date"):
         signals.append(F.when(there & parse_date(value).isNotNull(), _signal("date_parseable", _said("'", text, "' is a valid parseable date (+0.10)."), 0.10, "heuristic")))
     if name == "currency":
@@ -43,32 +47,43 @@ def explain_field(name: str, original: Column, final: Column, haystack: Column,
         signals.append(F.when(matched, _signal("vendor_matched", "Vendor matched an existing canonical record (+0.10).", 0.10, "heuristic")))
     lost = _signal("not_grounded_in_source", _said("Value '", text, f"' was not found in the source text — possible hallucination. Confidence capped at {GROUNDING_CAP}."), cap, "grounding")
     seen = _signal("grounded_in_source", _said("Value '", text, "' was found verbatim in the source text."), 0.0, "grounding")
-    signals.append(F.when(grounded, seen).when(~grounded & (conf > GROUNDING_CAP), lost))
     base = _signal("llm_base", _said("LLM reported '", text, F.format_string("' with confidence %.2f.", conf)), 0.0, "llm_base")
-    after = F.array_compact(F.array(*[s.cast(SIGNAL) for s in signals]))
-    if history:
-        gap = final["confidence"] - conf - F.aggregate(after, F.lit(0.0), lambda a, s: a + s["delta"])
-        word = F.when(gap > 0, "boosted").otherwise("penalised")
-        extra = _signal("vendor_intelligence", _said("Vendor history ", word, F.format_string(" this field by %+.2f.", gap)), F.round(gap, 4), "vendor_intelligence")
-        shows = (F.abs(final["confidence"] - conf) > 1e-6) & (F.abs(gap) > 0.01)
-        after = F.when(shows, F.array_append(after, extra.cast(SIGNAL))).otherwise(after)
-    labels = F.array_join(F.filter(F.transform(after, lambda s: s["label"]), lambda s: s != "grounded_in_source"), ", ")
-    c = F.format_string("%.2f", final["confidence"])
-    summary = (
-        F.when(labels == "", _said("Score unchanged at ", c, "."))
-        .when(final["confidence"] >= HIGH, _said("High confidence (", c, "). Signals: ", labels, "."))
-        .when(final["confidence"] >= MODERATE, _said("Moderate confidence (", c, "). Signals: ", labels, "."))
-        .otherwise(_said("Low confidence (", c, ") — review required. Signals: ", labels, "."))
-    )
-    return F.struct(
-        F.lit(name).alias("field_name"),
-        value.alias("llm_value"),
-        F.round(conf, 4).alias("llm_confidence"),
-        F.round(final["confidence"], 4).alias("final_confidence"),
-        grounded.alias("grounded"),
-        F.concat(F.array(base.cast(SIGNAL)), after).alias("signals"),
-        summary.alias("summary"),
-    )
+
+    def signals_of(grounded: Column) -> Column:
+        placed = F.when(grounded, seen).when(~grounded & (conf > GROUNDING_CAP), lost)
+        after = F.array_compact(F.array(*[s.cast(SIGNAL) for s in (*signals, placed)]))
+        return bound(after, with_history) if history else after
+
+    def with_history(after: Column) -> Column:
+        def added(gap: Column) -> Column:
+            extra = _signal("vendor_intelligence", _said("Vendor history ", word(gap), F.format_string(" this field by %+.2f.", gap)), F.round(gap, 4), "vendor_intelligence")
+            shows = (F.abs(final["confidence"] - conf) > 1e-6) & (F.abs(gap) > 0.01)
+            return F.when(shows, F.array_append(after, extra.cast(SIGNAL))).otherwise(after)
+
+        return bound(final["confidence"] - conf - F.aggregate(after, F.lit(0.0), lambda a, s: a + s["delta"]), added)
+
+    def told(grounded: Column, after: Column) -> Column:
+        labels = F.array_join(F.filter(F.transform(after, lambda s: s["label"]), lambda s: s != "grounded_in_source"), ", ")
+        return F.struct(
+            F.lit(name).alias("field_name"),
+            value.alias("llm_value"),
+            F.round(conf, 4).alias("llm_confidence"),
+            F.round(final["confidence"], 4).alias("final_confidence"),
+            grounded.alias("grounded"),
+            F.concat(F.array(base.cast(SIGNAL)), after).alias("signals"),
+            bound(labels, summary).alias("summary"),
+        )
+
+    def summary(labels: Column) -> Column:
+        c = F.format_string("%.2f", final["confidence"])
+        return (
+            F.when(labels == "", _said("Score unchanged at ", c, "."))
+            .when(final["confidence"] >= HIGH, _said("High confidence (", c, "). Signals: ", labels, "."))
+            .when(final["confidence"] >= MODERATE, _said("Moderate confidence (", c, "). Signals: ", labels, "."))
+            .otherwise(_said("Low confidence (", c, ") — review required. Signals: ", labels, "."))
+        )
+
+    return bound(F.when((haystack != "") & there, found), with_grounded)
 
 
 def explain(records: DataFrame, original_col: str = "original", final_col: str = "extracted", history: bool = False) -> DataFrame:

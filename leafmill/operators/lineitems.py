@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.amounts import parse_decimal
+from leafmill.functions.plan import bound
 from leafmill.functions.text import classify_row_type, quoted
 from leafmill.operators.schemas import CELL, RICH_LINE, ROW_TYPES
 
@@ -33,23 +34,29 @@ def rich_items(extracted: Column, pages: Column) -> Column:
 
 def row_type(item: Column) -> Column:
     """Given types stay, except item and unknown, which the description decides."""
-    given = F.when(item["row_type"].isin(*ROW_TYPES), item["row_type"]).otherwise("unknown")
-    return F.when(given.isin("item", "unknown"), classify_row_type(item["description"]["value"])).otherwise(given)
+    given = item["row_type"]
+    return F.when(given.isin(*[k for k in ROW_TYPES if k not in ("item", "unknown")]), given).otherwise(classify_row_type(item["description"]["value"]))
 
 
 def math_holds(quantity: Column, price: Column, total: Column) -> Column:
     """Whether quantity times price is the total, within 0.05 or 1 %; null if one cannot be read."""
-    q, p, t = (parse_decimal(x) for x in (quantity, price, total))
-    product = (q * p).cast("decimal(38,10)")
-    gap = F.abs(product - F.abs(t))
-    return F.when(q.isNull() | p.isNull() | t.isNull(), F.lit(None).cast("boolean")).otherwise((gap <= F.lit(TOLERANCE).cast("decimal(4,2)")) | ((product != 0) & (gap < F.abs(product) * F.lit("0.01").cast("decimal(3,2)"))))
+    def holds(x: Column) -> Column:
+        product, t = x["product"], x["t"]
+        gap = F.abs(product - F.abs(t))
+        near = (gap <= F.lit(TOLERANCE).cast("decimal(4,2)")) | ((product != 0) & (gap < F.abs(product) * F.lit("0.01").cast("decimal(3,2)")))
+        return F.when(x["q"].isNull() | x["p"].isNull() | t.isNull(), F.lit(None).cast("boolean")).otherwise(near)
+
+    read = F.struct(*[parse_decimal(x).alias(a) for a, x in (("q", quantity), ("p", price), ("t", total))])
+    return bound(bound(read, lambda x: F.struct(x["q"].alias("q"), x["p"].alias("p"), x["t"].alias("t"), (x["q"] * x["p"]).cast("decimal(38,10)").alias("product"))), holds)
 
 
 def check_rows(items: Column) -> Column:
     """Items with their row type and arithmetic; only items and unknown rows are checked."""
 
     def one(i: Column) -> Column:
-        kind = row_type(i)
+        return bound(row_type(i), lambda kind: with_kind(i, kind))
+
+    def with_kind(i: Column, kind: Column) -> Column:
         ok = F.when(kind.isin("item", "unknown"), math_holds(i["quantity"]["value"], i["unit_price"]["value"], i["total"]["value"]))
         return i.withField("row_type", kind).withField("math_valid", ok)
 

@@ -10,3 +10,24 @@ def test_references_without_semicolon_stay(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [r["t"] for r in df.select("i", strip_tags(F.col("t"), closed_only=True).alias("t")).orderBy("i").collect()]
     assert got == [" fine &amp ", "&lt; '\xa0&copy", "&nosuch; &ampx;", None]
+
+
+def test_amounts_are_read_once(spark):
+    """An expression copied to each of its uses grows beyond what can be compiled; the rules then took hours on large tables."""
+    from leafmill.operators import rules as V
+    from leafmill.operators.explanation import explain
+    from leafmill.sources import domain as D
+
+    sf, key = "/root/testdata/sf0.001", "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    try:
+        r = D.records(spark, sf).withColumns({"duplicate_of": F.lit(None).cast("string"), "original": F.col("extracted")})
+        for df in (V.validate(r), explain(r)):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("[^0-9.,-]") == 3
+            assert plan.count("format_number(") <= 15
+    finally:
+        spark.conf.set(key, before)
+    names = [x["rule_name"] for x in V.validate(r).select(F.explode("validation_report.results").alias("x")).limit(14).select("x.rule_name").collect()]
+    assert names == list(V.RULES)
