@@ -31,3 +31,25 @@ def test_amounts_are_read_once(spark):
         spark.conf.set(key, before)
     names = [x["rule_name"] for x in V.validate(r).select(F.explode("validation_report.results").alias("x")).limit(14).select("x.rule_name").collect()]
     assert names == list(V.RULES)
+
+
+def test_nearest_vectors_equal_a_join(spark):
+    """Copies tie, ids are ordered as numbers, sizes differ, some vectors have no length; the join of all pairs took hours."""
+    import random
+
+    from leafmill.functions.similarity import cosine, vector_top1
+
+    rng = random.Random(3)
+    some = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(40)] + [[0.0] * 6, [1.0, 2.0], None]
+    rows = [(f"w{i % 2}", 2**53 + 3 * i + 1, some[rng.randrange(len(some))]) for i in range(400)]
+    v = spark.createDataFrame(rows, "workspace_id string, vendor_id long, embedding array<float>")
+    q = v.filter("vendor_id % 4 = 0").select("workspace_id", F.col("vendor_id").alias("query_id"), "embedding")
+    for itself in (False, True):
+        pairs = q.withColumnRenamed("embedding", "q").join(v, "workspace_id").withColumn("score", cosine(F.col("q"), F.col("embedding"))).filter("score is not null")
+        pairs = pairs.filter("query_id <> vendor_id") if itself else pairs
+        best = pairs.groupBy("workspace_id", "query_id").agg(F.min(F.struct((-F.col("score")).alias("o"), "vendor_id", "score")).alias("b"))
+        want = {tuple(r) for r in best.select("workspace_id", "query_id", "b.vendor_id", "b.score").filter("score >= 0.2").collect()}
+        got = {tuple(r) for r in vector_top1(q, v, 0.2, blocks=3, but_itself=itself, queries_each=20).collect()}
+        assert got == want and len(want) > 50
+    plan = vector_top1(q, v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Join" not in plan
