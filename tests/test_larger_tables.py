@@ -53,3 +53,24 @@ def test_nearest_vectors_equal_a_join(spark):
         assert got == want and len(want) > 50
     plan = vector_top1(q, v)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "Join" not in plan
+
+
+def test_names_of_unfit_lengths_do_not_meet(spark):
+    """Short codes and long names share pairs of digits only; before, all that shared one were shuffled as pairs."""
+    from leafmill.functions.similarity import fuzzy_matches, similar_names, token_sort_score
+
+    names = [f"Other {i}" for i in range(100, 160)] + [f"Supplier#{i:09d}s" for i in range(20)] + [f"Inc Supplier#{i:09d}" for i in range(9)] + ["V 7", " ", "Supplier#00000001"]
+    shown = [f"Supplier#{i:09d}" for i in range(25)] + [f"Supplier#{i:09d} Inc" for i in range(25)] + [f"V{i}" for i in range(100, 160)]
+    n = spark.createDataFrame([("w", x) for x in names], "workspace_id string, name string")
+    c = spark.createDataFrame([("w", i, x, i) for i, x in enumerate(shown)], "workspace_id string, vendor_id int, display string, position int")
+    got = {r["name"]: (r["vendor_id"], r["score"]) for r in fuzzy_matches(n, c).collect()}
+    want = {}
+    for x in names:
+        score, i = min((-token_sort_score(x, y), i) for i, y in enumerate(shown))
+        if x.strip() and -score >= 90:
+            want[x] = (i, -score)
+    assert got == want and len(want) > 25
+    pairs = similar_names(n, c.select("workspace_id", F.col("display").alias("other")))
+    assert {(r["name"], r["other"]) for r in pairs.collect()} == {(x, y) for x in names for y in shown if token_sort_score(x, y) >= 90}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert any("gram#" in line and "band#" in line for line in plan.splitlines() if "Join Inner" in line)
