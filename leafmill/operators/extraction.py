@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.plan import once
+from leafmill.functions.plan import bound, once
 from leafmill.functions.text import blank, coerce_field, fenced_json
 from leafmill.operators.schemas import FIELDS
 
@@ -66,8 +66,8 @@ def fallback(*providers: Provider) -> Provider:
 def whole_json(body: Column) -> Column:
     """The JSON object of an answer; of one that is cut off, up to its last whole member; else null."""
     holds = lambda x: F.coalesce(F.startswith(F.ltrim(x), F.lit("{")), F.lit(False)) & F.try_parse_json(x).isNotNull()
-    closed = F.concat(F.regexp_extract(body, r"(?s)^(.*\})[^}]*$", 1), F.lit("}"))
-    return F.when(holds(body), body).when(holds(closed), closed)
+    closed = lambda x: F.concat(F.regexp_extract(x, r"(?s)^(.*\})[^}]*$", 1), F.lit("}"))
+    return bound(body, lambda b: F.when(holds(b), b).otherwise(bound(closed(b), lambda c: F.when(holds(c), c))))
 
 
 def parse_answers(df: DataFrame, answer: Column, name: str = "extracted") -> DataFrame:

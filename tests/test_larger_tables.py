@@ -74,3 +74,21 @@ def test_names_of_unfit_lengths_do_not_meet(spark):
     assert {(r["name"], r["other"]) for r in pairs.collect()} == {(x, y) for x in names for y in shown if token_sort_score(x, y) >= 90}
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert any("gram#" in line and "band#" in line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_answers_are_parsed_once(spark):
+    from leafmill.operators.extraction import parse_answers
+    from leafmill.operators.schemas import FIELDS
+
+    df = spark.createDataFrame([('{"currency": {"value": "EUR", "confidence": 0.5}, "invoice_number": "7", "due_date": null}',), ('{"currency": {"value": "EUR"}, "due',), ("no",), (None,)], "answer string")
+    key = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    try:
+        out = parse_answers(df, F.col("answer"))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("get_json_object(") == plan.count("from_json(") == len(FIELDS)
+    got = [None if r["e"] is None else (r["e"]["currency"]["value"], r["e"]["currency"]["confidence"], r["e"]["invoice_number"]["value"], r["e"]["due_date"]["confidence"]) for r in out.select(F.col("extracted").alias("e")).collect()]
+    assert got == [("EUR", 0.5, "7", 0.0), ("EUR", 0.0, None, 0.0), None, None]
