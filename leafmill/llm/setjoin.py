@@ -32,6 +32,7 @@ of a component are null; an empty table gives an empty result; further columns s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -343,8 +344,12 @@ def _relabelled(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.drop("root").join(groups.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).drop("_n")
 
 
-def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str, params: JoinParams) -> DataFrame:
-    """(node, root) of all sets that link, from ``rows`` (place, n, name, keys) of ``docs``; a set's node is the place of its first row."""
+def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str, params: JoinParams, known: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of all sets that link, from ``rows`` (place, n, name, keys) of ``docs``; a set's node is the place of its first row.
+
+    ``known`` gives links (u, v) found by other means among the sets (node, n, names) that may link; what they connect is
+    not compared again.
+    """
     firsts = rows.filter("n > 0").groupBy("name").agg(F.min("place").alias("node"), F.first("keys").alias("keys"))
     keyed = firsts.select(F.explode("keys").alias("key"), "node")
     # The pivot that a shingle nominates is its holder that comes first in the table, in no order that the texts know.
@@ -375,6 +380,10 @@ def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str,
     tmp.drop("members", "sizes", "ends")
     # A pivot is a member of its own region.
     work, links, groups, round_ = members.withColumn("root", F.col("node")), [], None, 0
+    if known is not None:
+        first = groups = tmp.table("groups", components(known(sets)))
+        links.append(groups.select(F.col("root").alias("u"), F.col("node").alias("v")))
+        work = tmp.table("work", _relabelled(work, groups).select("region", "node", "root"))
     while True:
         large = work.join(sets.select("node", "n"), "node").groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("t"), F.min("root").alias("low"), F.max("root").alias("high"))
         large = tmp.table(f"large{round_}", large.filter("m > 1 and low <> high"))
@@ -397,7 +406,16 @@ def similar_sets(docs: DataFrame, rows: DataFrame, tmp: Scratch, text_col: str,
         whole = left.filter("not parts").select("region", "node", "root")
         work = tmp.table(f"work{round_}", cells.select(F.xxhash64("region", "cell", F.lit(round_)).alias("region"), "node", "root").union(whole))
         round_ += 1
-    return components(_union(links))
+    return components(_union(links)) if known is None else merged(first, _union(links[1:]))
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of ``groups`` with the links added; only the groups that links touch are gone through again."""
+    for c in ("u", "v"):
+        links = links.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")), c, "left")
+    more = components(links.select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")))
+    moved = groups.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(more.join(groups, "node", "left_anti").select("node", "root"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -1,18 +1,20 @@
-"""Near-duplicates by shared word shingles: Golay-code keys of a wide SimHash, verified on the shingles.
+"""Near-duplicates by shared word shingles: Golay-code keys of a wide SimHash, completed by an exact join of the sets.
 
-Two texts are similar if their sets of ``words_each``-word shingles have a Jaccard similarity of
-``similarity`` or more.  The 128-bit SimHash of such a set differs in about a seventh of its bits between two
+Two texts are similar if their sets of ``words_each``-word shingles have a Jaccard similarity of ``percent``
+hundredths or more.  The 128-bit SimHash of such a set differs in about a seventh of its bits between two
 texts at 0.8.  The sums behind the bits are cut into five segments of 23, and each is decoded softly, a sum
-counting by its size, to the indices of its ``codes`` nearest Golay codewords.  By pigeonhole the errors of a
-similar pair are few in some segments: texts meet under a key of 36 bits for every three segments.  Of the
-pairs at 0.8 seven of eight meet, at 0.85 and above 96 % and more, and unlike texts hardly ever do.
+counting by its size, to the indices of its ``codes`` nearest Golay codewords.  Texts meet under keys of 36 bits,
+of three segments each: near copies mostly do, unlike texts hardly ever.
 
 Links of a key are a minimum spanning forest of its members by fingerprint distance, up to ``radius``: a pair
-that it leaves out is joined by a chain of links that are no longer.  Links are verified on the shingle sets;
-texts found to be of one group are not linked again by later keys.
+that it leaves out is joined by a chain of links that are no longer.  The nearest few links of each text are
+verified on the shingle sets.  So large groups of near copies are known before sets are compared.
 
-Scale: equal texts collapse first.  Keys are made and met in passes, so that only a part of them lies on disk
-at once, and keys whose members are of one group already go by their count.  The members of a key with more
+No key finds all similar pairs, so the rest comes from the exact join of sets (``setjoin``): texts share rare
+shingles, and those of different groups so far are compared.  Every pair that is similar ends in one group.
+
+Scale: equal sets collapse first, and only texts that share enough rare shingles with others have keys.  Keys
+whose members are of one group already go by their count.  The members of a key with more
 than ``dense`` are compared with some of them, the leaders, spread over the cluster by a join; those near a
 leader link to it, the rest goes into the next round with more leaders, until no more than ``dense`` are left,
 which are linked as above.
@@ -35,13 +37,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACE_WORD, Scratch, bounded_batches, hidden, lower_ascii, with_place
-from leafmill.llm.neardup import codewords, components, packed
+from leafmill.llm.common import Scratch, bounded_batches, hidden, with_place
+from leafmill.llm.neardup import codewords
+from leafmill.llm.setjoin import _MIX, JoinParams, _linked, _mixed, _sets, shingle_sketch, signature, similar_sets
 
 SEGMENTS = 5
 TRIPLES = tuple(combinations(range(SEGMENTS), 3))
-#: Numbers of the triples whose keys meet in each pass; the first one finds the large groups.
-PASSES = ((0,), (1, 2, 3, 4), (5, 6, 7, 8, 9))
 MAX_TASKS = 20_000
 MEMBER = ("node", "h1", "h2", "n", "root")
 
@@ -49,7 +50,8 @@ MEMBER = ("node", "h1", "h2", "n", "root")
 @dataclass(frozen=True)
 class ShingleParams:
     words_each: int = 5
-    similarity: float = 0.8
+    #: Hundredths: texts are similar when 100 * intersection >= percent * union.
+    percent: int = 80
     #: Bits of 128; three standard deviations beyond the mean at a similarity of 0.8.
     radius: int = 31
     dense: int = 4096
@@ -57,16 +59,16 @@ class ShingleParams:
     leaders: int = 64
     #: Codewords of a segment: each key of three segments is made of one of each.
     codes: int = 3
+    #: Numbers of the triples of segments that make keys.
+    triples: tuple[int, ...] = (0,)
+    #: Links of a text that are verified, the nearest first.
+    nearest: int = 4
     #: Texts whose keys one task makes.
     texts_each: int = 5_000
     seed: int = 42
 
-
-def shingles(text: str | None, words_each: int) -> list[str]:
-    words = SPACE_WORD.findall(lower_ascii(text)) if isinstance(text, str) else []
-    if len(words) < words_each:
-        return [" ".join(words)] if words else []
-    return list(map(" ".join, zip(*(words[i:] for i in range(words_each)))))
+    def join(self) -> JoinParams:
+        return JoinParams(words_each=self.words_each, percent=self.percent, seed=self.seed)
 
 
 @lru_cache(1)
@@ -88,32 +90,28 @@ def nearest_codewords(sums: np.ndarray, codes: int) -> np.ndarray:
     return out
 
 
-def simhash128(grams: list[str], seed: int) -> tuple[np.ndarray, int, bytes]:
-    """The 128 sums of a set of shingles, its size, and a name of the sequence."""
-    whole, digest = xxhash.xxh3_128(seed=seed), xxhash.xxh3_128_digest
-    whole.update("\n".join(grams))
-    unlike = list({digest(g, seed) for g in grams})
+def simhash_sums(names: np.ndarray) -> np.ndarray:
+    """The 128 sums of a set of shingles, told by their 64-bit names."""
     ones = np.zeros(128, np.int64)
-    for at in range(0, len(unlike), 1 << 15):
-        ones += np.unpackbits(np.frombuffer(b"".join(unlike[at : at + (1 << 15)]), np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    return 2 * ones - len(unlike), len(unlike), whole.digest()
-
+    for at in range(0, len(names), 1 << 15):
+        some = names[at : at + (1 << 15)]
+        ones += np.unpackbits(np.stack([some, _mixed(some + _MIX)], axis=1).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return 2 * ones - len(names)
 
-def fingerprints(texts: list[str | None], params: ShingleParams) -> pd.DataFrame:
-    each = [simhash128(shingles(t, params.words_each), params.seed) for t in texts]
-    sums = np.array([s for s, _, _ in each], np.int64).reshape(-1, 128)
-    h = np.packbits(sums > 0, axis=1).view("<i8").reshape(-1, 2)
-    codes = nearest_codewords(sums[:, : 23 * SEGMENTS].reshape(-1, 23), params.codes).reshape(len(sums), SEGMENTS * params.codes)
-    return pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "n": [n for _, n, _ in each], "codes": [c.tobytes() for c in codes], "name": [x for _, _, x in each]})
 
+def described(text: Column, order, params: ShingleParams) -> Column:
+    """Struct of n (shingles), name and keys (the signature) of the set of a text, h1, h2 and codes (of the segments)."""
+    of = params.join()
 
-def fingerprint(text: Column, params: ShingleParams) -> Column:
-    """Struct of h1, h2, n (shingles), codes (of the segments) and name."""
-
-    @F.pandas_udf("struct<h1:long,h2:long,n:int,codes:binary,name:binary>")
+    @F.pandas_udf("struct<n:long,name:binary,keys:array<long>,h1:long,h2:long,codes:binary>")
     def of_texts(texts: pd.Series) -> pd.DataFrame:
-        few = [fingerprints(list(texts.iloc[at : at + 500]), params) for at in range(0, len(texts), 500)]
-        return pd.concat(few, ignore_index=True) if few else fingerprints([], params)
+        out, sums = [], np.zeros((len(texts), 128), np.int64)
+        for i, s in enumerate(_sets(texts, of)):
+            out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s, order.value, of.percent).view(np.int64)))
+            sums[i] = simhash_sums(s)
+        h = np.packbits(sums > 0, axis=1).view("<i8").reshape(-1, 2)
+        codes = nearest_codewords(sums[:, : 23 * SEGMENTS].reshape(-1, 23), params.codes).reshape(len(sums), SEGMENTS * params.codes)
+        return pd.DataFrame(out, columns=["n", "name", "keys"]).assign(h1=h[:, 0], h2=h[:, 1], codes=[c.tobytes() for c in codes])
 
     return of_texts(text)
 
@@ -127,7 +125,7 @@ def triple_keys(codes: np.ndarray, triple: int) -> np.ndarray:
 def _distance(a: tuple, b: tuple, params: ShingleParams) -> np.ndarray:
     """Fingerprint distance; beyond the radius where the sizes rule the similarity out."""
     d = np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1])
-    return np.where(np.minimum(a[2], b[2]) >= params.similarity * np.maximum(a[2], b[2]), d, 999)
+    return np.where(100 * np.minimum(a[2], b[2]) >= params.percent * np.maximum(a[2], b[2]), d, 999)
 
 
 def _spanning(h1: np.ndarray, h2: np.ndarray, n: np.ndarray, root: np.ndarray, params: ShingleParams) -> list[tuple[int, int, int]]:
@@ -177,7 +175,7 @@ def _forests(sizes: np.ndarray, h1: np.ndarray, h2: np.ndarray, n: np.ndarray, r
     return cols[:, 0], cols[:, 1], cols[:, 2]
 
 
-def _linked(groups: DataFrame, params: ShingleParams) -> DataFrame:
+def _forest_links(groups: DataFrame, params: ShingleParams) -> DataFrame:
     """Links (u, v, d) inside each array ``members`` of structs."""
 
     def link(batches):
@@ -198,7 +196,7 @@ def _near_leaders(crowded: DataFrame, leaders: int, params: ShingleParams) -> Da
     first = crowded.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(rank.alias("rank"), *MEMBER)).alias("l"))
     ahead = first.groupBy("key").agg(F.collect_list("l").alias("ahead"))
     d = lambda x: (F.bit_count(F.col("h1").bitwiseXOR(x["h1"])) + F.bit_count(F.col("h2").bitwiseXOR(x["h2"]))).alias("d")
-    like = lambda x: F.least(F.col("n"), x["n"]) >= params.similarity * F.greatest(F.col("n"), x["n"])
+    like = lambda x: 100 * F.least(F.col("n"), x["n"]) >= params.percent * F.greatest(F.col("n"), x["n"])
     # Leaders link to those of a smaller rank, so that two of them do not link to each other only.
     others = F.filter("ahead", lambda x: (x["node"] != F.col("node")) & like(x) & (~F.col("leads") | (x["rank"] < rank)))
     joined = crowded.join(ahead, "key").withColumn("leads", F.exists("ahead", lambda x: x["node"] == F.col("node")))
@@ -245,87 +243,64 @@ def candidate_links(nodes: DataFrame, triples: tuple[int, ...], tasks: int, tmp:
     for group in groups:
         # Grouped by a hash of the key: the joins above stay free to split a large key.
         members = group.groupBy(F.xxhash64("key", F.lit(1)).alias("k")).agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
-        parts.append(_linked(members, params))
+        parts.append(_forest_links(members, params))
     links = parts[0]
     for more in parts[1:]:
         links = links.unionByName(more)
-    out = tmp.table(f"links{step}", links.distinct())
+    out = tmp.table(f"found{step}", links.distinct())
     del mixed, ends, one, shared, count, large, groups, parts, links
     tmp.drop(*[f"mixed{triple}" for triple in triples], f"shared{step}", f"crowded{step}")
     return out
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two sets, each the sorted 64-bit names of its shingles."""
+def alike(a: Column, b: Column, params: ShingleParams) -> Column:
+    """Whether two sets, each the sorted 64-bit names of its shingles, are similar."""
+    of = params.join()
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("boolean")
     def of_sets(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            p, q = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / max(1, len(p) + len(q) - both))
-        return pd.Series(out, dtype=float)
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out.append(bool(_linked(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True)), of)))
+        return pd.Series(out, dtype=bool)
 
     return of_sets(a, b)
 
 
-def merged_groups(groups: DataFrame | None, links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
-    """(node, root) of ``groups`` with the links added; only the groups that links touch are gone through again."""
-    if groups is None:
-        return components(links)
-    for c in ("u", "v"):
-        links = links.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")), c, "left")
-    more = components(links.select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")))
-    moved = groups.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    new = more.join(groups, "node", "left_anti").select("node", "root")
-    return tmp.table(name, packed(moved.unionByName(new), groups.count() + more.count()))
+def simhash_links(rows: DataFrame, sets: DataFrame, tmp: Scratch, params: ShingleParams) -> DataFrame:
+    """Links (u, v) of similar texts among ``sets`` (node, n, names) that the keys of their fingerprints in ``rows`` find."""
+    marks = rows.select(F.col("place").alias("node"), "h1", "h2", "codes")
+    nodes = tmp.table("nodes", marks.join(sets.select("node", "n"), "node").withColumn("root", F.col("node")))
+    # A text makes many keys: more tasks than the rows themselves ask for.
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, nodes.count() // params.texts_each))
+    links = candidate_links(nodes, params.triples, tasks, tmp, params)
+    ways = links.select(F.col("u").alias("at"), "u", "v", "d").union(links.select("v", "u", "v", "d"))
+    slot = F.pmod(F.xxhash64("u", "v"), F.lit(params.nearest))
+    chosen = ways.groupBy("at", slot.alias("slot")).agg(F.min(F.struct("d", "u", "v")).alias("l")).select("l.u", "l.v").distinct()
+    a, b = (sets.select(F.col("node").alias(c), F.col("names").alias(f"of_{c}")) for c in ("u", "v"))
+    out = tmp.table("similar", chosen.join(a, "u").join(b, "v").filter(alike(F.col("of_u"), F.col("of_v"), params)).select("u", "v"))
+    del marks, nodes, links, ways, chosen, a, b
+    tmp.drop("nodes", "found" + "_".join(map(str, params.triples)))
+    return out
 
 
-def similar_groups(docs: DataFrame, tmp: Scratch, params: ShingleParams = ShingleParams(), id_col: str = "doc_id", text_col: str = "text", place_col: str = "_place") -> DataFrame:
-    """(place, root): for every distinct text the place of its first row, and that of the first row of its group.
+def similar_groups(docs: DataFrame, tmp: Scratch, params: ShingleParams = ShingleParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, root, best): for every distinct set the place of its first row, that of the first row of its group, and the
+    row of the set that is to be kept.
 
     The result reads tables of ``tmp``.
     """
-    bounded_batches(docs.sparkSession)
-
-    @F.pandas_udf("binary")
-    def names(texts: pd.Series) -> pd.Series:
-        one = xxhash.xxh3_64_intdigest
-        return pd.Series([np.unique(np.array([one(g, params.seed) for g in shingles(t, params.words_each)], np.uint64)).view(np.int64).tobytes() for t in texts], dtype=object)
-
-    rows = docs.select(F.col(place_col).alias("place"), F.col(id_col).alias("id"), fingerprint(F.col(text_col), params).alias("f")).select("place", "id", "f.*")
+    spark, of = docs.sparkSession, params.join()
+    bounded_batches(spark)
+    order = spark.sparkContext.broadcast(shingle_sketch(docs, text_col, of))
+    whole = docs.select(F.col("_place").alias("place"), F.col(id_col).alias("id"), described(F.col(text_col), order, params).alias("d")).select("place", "id", "d.*")
+    rows = tmp.table("rows", whole)
+    # What is needed once the keys of the sets, the most of a row, are done with.
+    few = tmp.table("few", rows.drop("keys"))
+    groups = similar_sets(docs, rows, tmp, text_col, of, lambda sets: simhash_links(few, sets, tmp, params))
     rank = F.struct(F.col("id").isNull().alias("nameless"), "id", "place")
-    firsts = tmp.table("firsts", rows.groupBy("name").agg(F.min(rank).alias("best"), *[F.first(c).alias(c) for c in ("h1", "h2", "n", "codes")]).select(F.col("best.place").alias("node"), "h1", "h2", "n", "codes", "best"))
-    some, groups = firsts.filter("n > 0").select("node", "h1", "h2", "n", "codes"), None
-    # A text makes many keys: more tasks than the rows themselves ask for.
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, firsts.count() // params.texts_each))
-    for number, triples in enumerate(PASSES):
-        nodes = some.withColumn("root", F.col("node")) if groups is None else some.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        nodes = tmp.table(f"nodes{number}", nodes)
-        untested = candidate_links(nodes, triples, tasks, tmp, params)
-        ends = untested.select(F.col("u").alias(place_col)).union(untested.select("v")).distinct()
-        sets = tmp.table(f"sets{number}", docs.select(place_col, text_col).join(ends, place_col).select(F.col(place_col).alias("node"), names(F.col(text_col)).alias("grams")))
-        # At first the nearest few links of each text, then all that still lie between two groups.
-        for step, each in enumerate((4, None) if number == 0 else (None,)):
-            chosen = untested
-            if each:
-                ways = untested.select(F.col("u").alias("at"), "u", "v", "d").union(untested.select("v", "u", "v", "d"))
-                slot = F.pmod(F.xxhash64("u", "v"), F.lit(each))
-                chosen = ways.groupBy("at", slot.alias("slot")).agg(F.min(F.struct("d", "u", "v")).alias("l")).select("l.u", "l.v", "l.d").distinct()
-            a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("u", "v"))
-            similar = chosen.join(a, "u").join(b, "v").withColumn("similarity", jaccard(F.col("of_u"), F.col("of_v")))
-            tested = tmp.table(f"tested{number}_{step}", similar.select("u", "v", (F.col("similarity") >= params.similarity).alias("holds")))
-            groups = merged_groups(groups, tested.filter("holds").select("u", "v"), tmp, f"groups{number}_{step}")
-            tmp.drop()
-            if each:
-                left = untested.join(tested, ["u", "v"], "left_anti")
-                for c in ("u", "v"):
-                    left = left.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")), c, "left")
-                apart = F.coalesce("of_u", "u") != F.coalesce("of_v", "v")
-                untested = tmp.table(f"untested{step}", left.filter(apart).select("u", "v", "d"))
-        del nodes, untested, ends, sets, chosen, a, b, similar
-        tmp.drop(f"nodes{number}", f"sets{number}", "links" + "_".join(map(str, triples)))
+    firsts = few.groupBy("name").agg(F.min("place").alias("node"), F.min(rank).alias("best"))
     return firsts.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
 
 

@@ -72,6 +72,27 @@ def test_keep_one_similar(spark):
     assert keep_one_similar(docs.limit(0)).count() == 0 and keep_one_similar(docs).columns == docs.columns
 
 
+def test_no_similar_pair_is_left_out(spark):
+    from leafmill.llm.shingles import keep_one_similar
+
+    rng, texts = random.Random(11), []
+    for _ in range(150):
+        words = text(rng, 204).split()
+        texts.append(" ".join(words))
+        # 200 shingles, of which 22 change: 178 / 222, or 0.802.
+        copy = list(words)
+        for at in (20, 70, 120, 170, 202):
+            copy[at] = "changed"
+        texts.append(" ".join(copy))
+    sets = [brute.shingle_set(t) for t in texts]
+    assert all(0.8 <= brute.jaccard(a, b) < 0.82 for a, b in zip(sets[::2], sets[1::2]))
+    rng.shuffle(texts)
+    sets = [brute.shingle_set(t) for t in texts]
+    groups = brute.joined(len(texts), lambda i, j: brute.jaccard(sets[i], sets[j]) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3).cache()
+    assert sorted(r["doc_id"] for r in keep_one_similar(docs).collect()) == sorted(set(groups))
+
+
 def test_forests_span_what_lies_within_the_radius():
     import numpy as np
 
