@@ -47,6 +47,8 @@ from leafmill.llm.common import Scratch, bounded_batches, hidden, with_place
 from leafmill.llm.neardup import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Names that a worker remembers; workers outlive an operator, and what they hold counts beside the next one.
+MAX_NAMES = 50_000
 #: Counters of the sketch.
 SKETCH_BITS = 20
 SKETCH = 1 << SKETCH_BITS
@@ -113,7 +115,7 @@ def shingle_set(text: str | None, names: _Names, words_each: int) -> np.ndarray:
 def _sets(texts: pd.Series, params: JoinParams):
     names = _names(params.seed)
     for text in texts:
-        if len(names) > 500_000:
+        if len(names) > MAX_NAMES:
             names.clear()
         yield shingle_set(text, names, params.words_each)
 
