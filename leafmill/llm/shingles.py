@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import Scratch, bounded_batches, hidden, with_place
 from leafmill.llm.neardup import codewords
-from leafmill.llm.setjoin import _MIX, JoinParams, _linked, _mixed, _sets, shingle_sketch, signature, similar_sets
+from leafmill.llm.setjoin import _MIX, JoinParams, _linked, _mixed, _passes, _sets, node_filter, shingle_sketch, signature, similar_sets
 
 SEGMENTS = 5
 TRIPLES = tuple(combinations(range(SEGMENTS), 3))
@@ -313,4 +313,13 @@ def keep_one_similar(docs: DataFrame, params: ShingleParams = ShingleParams()) -
     kept = tmp.table("kept", groups.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.place").alias("_place")))
     del groups
     tmp.keep("kept")
-    return placed.join(kept, "_place", "left_semi").select(*back)
+    # Fewer rows go than stay, and a filter of fixed size tells most that stay: their texts do not travel.
+    gone = tmp.table("gone", placed.select("_place").join(kept, "_place", "left_anti"))
+    marks = docs.sparkSession.sparkContext.broadcast(node_filter(gone.select(F.col("_place").alias("node"))))
+
+    @F.pandas_udf("boolean")
+    def may_go(place: pd.Series) -> pd.Series:
+        return pd.Series(_passes(marks.value, place.to_numpy(np.int64)))
+
+    stay, rest = placed.filter(~may_go("_place")), placed.filter(may_go("_place")).join(gone, "_place", "left_anti")
+    return stay.select(*back).unionByName(rest.select(*back))

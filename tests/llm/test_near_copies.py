@@ -129,3 +129,24 @@ def test_soft_decoding():
     signs = ((words[:, None] >> np.arange(23)) & 1) * 2.0 - 1
     for row, got in zip(sums, nearest_codewords(sums, 3)):
         assert got.tolist() == np.argsort(-(signs @ row))[:3].tolist()
+
+
+def test_texts_that_stay_do_not_travel(spark, monkeypatch):
+    """Beyond the size that Spark broadcasts, the join that ends near-dedup dealt all texts anew."""
+    import numpy as np
+
+    from leafmill.llm import shingles
+    from leafmill.llm.setjoin import SKETCH
+
+    rng = random.Random(12)
+    texts = [text(rng, 60) for _ in range(40)]
+    texts += texts[:10] + [texts[11] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3).cache()
+    for full in (False, True):
+        if full:
+            # A filter that is full passes all: the join decides.
+            monkeypatch.setattr(shingles, "node_filter", lambda nodes: np.full(SKETCH, 0xFFFFFFFF, np.uint32))
+        out = shingles.keep_one_similar(docs)
+        stay, rest = (p.toString() for p in (out._jdf.queryExecution().optimizedPlan().children().apply(i) for i in (0, 1)))
+        assert "Join" not in stay and "Join LeftAnti" in rest
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(40))
