@@ -13,7 +13,7 @@ from leafmill.plans.sql import with_views
 from leafmill.sources import domain as D
 from leafmill.sources.bundle import finish_session, read_bundle
 from leafmill.sources.domain import table
-from leafmill.sources.files import cascade, classify_mime, mime_type, read_pages, scan
+from leafmill.sources.files import cascade, classify_mime, mime_type, put_files, read_pages, scan
 from leafmill.sources.sinks import observed
 
 
@@ -21,9 +21,9 @@ from leafmill.sources.sinks import observed
 def q_ingest(spark, sf):
     """A file for each vendor, found again by the scan of the folder."""
     folder = shared_folder(spark, "incoming")
-    v = D.vendors(spark, sf).select("vendor_id", F.concat_ws("\n", "canonical_name", "workspace_id").alias("value"))
+    v = D.vendors(spark, sf).select(F.concat(F.col("vendor_id").cast("string"), F.lit(".txt")).alias("name"), F.concat_ws("\n", "canonical_name", "workspace_id", F.lit("")).alias("content"))
     try:
-        v.write.partitionBy("vendor_id").text(folder)
+        put_files(v, folder)
         found = scan(spark, folder, "ws", "*.txt")
         return cut(found.select("id", "mime_type", "document_type", "status", "length"))
     finally:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.schemas import ERROR, PAGE
+from leafmill.sources.bundle import _fs
 
 # Fixed values.
 ALLOWED_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/jpg", "image/tiff", "image/x-tiff", "message/rfc822", "application/vnd.ms-outlook", "text/html", "text/plain")
@@ -49,6 +50,27 @@ def classify_pages(pages: Column) -> Column:
     return F.when((F.size(pages) > 0) & (total >= CHARS_PER_PAGE * F.size(pages)), "text_pdf").otherwise("scanned_pdf")
 
 
+def put_files(files: DataFrame, path: str, each: int = 250) -> None:
+    """Write (name, content) as files below ``path``, in folders of about ``each``, a task a folder or a few.
+
+    Names are told apart by the caller; a file that is written again, by a task that is repeated, replaces itself.
+    """
+    folders = max(1, -(-files.count() // each))
+
+    def put(rows: Iterator) -> None:
+        fs, root = _fs(path)
+        made = set()
+        for folder, name, content in rows:
+            if folder not in made:
+                fs.create_dir(f"{root}/{folder}", recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(f"{root}/{folder}/{name}") as out:
+                out.write(bytes(content or b""))
+
+    folder = F.pmod(F.xxhash64("name"), F.lit(folders)).alias("folder")
+    files.select(folder, "name", F.col("content").cast("binary").alias("content")).repartition(folders, "folder").foreachPartition(put)
+
+
 def scan(spark: SparkSession, path: str, workspace: str, glob: str | None = None) -> DataFrame:
     """Files below ``path`` with their tenant, type and content id; ``status`` is processing, rejected or skipped."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

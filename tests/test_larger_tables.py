@@ -92,3 +92,18 @@ def test_answers_are_parsed_once(spark):
     assert plan.count("get_json_object(") == plan.count("from_json(") == len(FIELDS)
     got = [None if r["e"] is None else (r["e"]["currency"]["value"], r["e"]["currency"]["confidence"], r["e"]["invoice_number"]["value"], r["e"]["due_date"]["confidence"]) for r in out.select(F.col("extracted").alias("e")).collect()]
     assert got == [("EUR", 0.5, "7", 0.0), ("EUR", 0.0, None, 0.0), None, None]
+
+
+def test_many_files_are_written_by_many_tasks(spark, tmp_path):
+    """One task wrote a folder for each file: 34 ms a file, and a task of the scan for each."""
+    import os
+
+    from leafmill.sources.files import put_files, scan
+
+    rows = [(f"{i}.txt", f"höhe {i}\n".encode()) for i in range(90)]
+    folder = str(tmp_path / "in")
+    put_files(spark.createDataFrame(rows, "name string, content binary").coalesce(1), folder, each=10)
+    lie = [(d, f) for d, _, files in os.walk(folder) for f in files]
+    assert sorted(f for _, f in lie) == sorted(n for n, _ in rows) and 4 < len({d for d, _ in lie}) <= 9
+    got = {r["filename"]: bytes(r["content"]) for r in scan(spark, folder, "ws", "*.txt").collect()}
+    assert got == dict(rows)
