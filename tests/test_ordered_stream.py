@@ -35,3 +35,34 @@ def test_late_rows_across_batches(spark, tmp_path):
         assert got[v]["products"] == products and got[v]["preferred_currency"] == memory[5] and got[v]["rate_purchase_order"] == memory[8]
     assert len(got) == 3 and 0 < max(r["waiting"] for r in got.values()) <= 80
     assert len(EVENT) == 7
+
+
+def test_a_key_asks_the_store_twice():
+    """Each call is a round trip: six for each vendor and micro-batch, and a frame of its own, were most of the time."""
+    from leafmill.streaming.ordered import OrderedMemory
+
+    calls, held = [], {}
+
+    class Store:
+        get = lambda self: calls.append("get") or held.get("v")
+        update = lambda self, v: calls.append("update") or held.update(v=v)
+
+    class Handle:
+        getValueState = lambda self, *a: Store()
+        registerTimer = lambda self, at: calls.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    p = OrderedMemory()
+    p.init(Handle())
+    row = lambda n: {"_ms": n, "ord": n, **dict.fromkeys(EVENT), "confidence": n / 10, "products": None}
+    seen = [next(p.handleInputRows(("w", 1), iter([row(n)]), Now(2))) for n in (5, 7, 4, 1)]
+    assert calls == ["get", 5, "update", "get", "update", "get", 4, "update", "get", "update"]
+    assert [(r["invoice_count"], r["waiting"]) for r in seen] == [(1, 1), (2, 2), (3, 3), (4, 3)]
+    last = next(p.handleExpiredTimer(("w", 1), Now(6), None))
+    memory = NO_MEMORY
+    for n in (1, 4, 5, 7):
+        memory = remember(memory, (None, None, None, None, n / 10, None, None))
+    assert calls[-3:] == ["get", 7, "update"] and last["waiting"] == 1 and last["avg_confidence"] == memory[1] == seen[-1]["avg_confidence"]
