@@ -51,8 +51,9 @@ def _remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     """Fold a vendor's new invoices into its state, in their order."""
     memory = tuple(state.get) if state.exists else NO_MEMORY
     memory = tuple(list(x) if isinstance(x, (list, tuple)) or hasattr(x, "tolist") else x for x in memory)
-    rows = pd.concat(list(batches)).sort_values("ord")
-    for event in rows[list(EVENT)].itertuples(index=False):
+    # A vendor has few invoices in a micro-batch, mostly: columns as lists, as a frame of each costs more than its rows.
+    rows = [r for b in batches for r in zip(*(b[c].tolist() for c in ("ord", *EVENT)))]
+    for _, *event in sorted(rows, key=lambda r: (True, 0) if r[0] is None or r[0] != r[0] else (False, r[0])):
         memory = remember(memory, event)
     state.update(memory)
     yield pd.DataFrame([(*key, *memory)], columns=["workspace_id", "vendor_id", *MEMORY_NAMES])

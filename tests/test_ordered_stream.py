@@ -66,3 +66,25 @@ def test_a_key_asks_the_store_twice():
     for n in (1, 4, 5, 7):
         memory = remember(memory, (None, None, None, None, n / 10, None, None))
     assert calls[-3:] == ["get", 7, "update"] and last["waiting"] == 1 and last["avg_confidence"] == memory[1] == seen[-1]["avg_confidence"]
+
+
+def test_a_vendors_rows_need_no_frame_of_their_own(monkeypatch):
+    """Joining and sorting a frame for each vendor took longer than folding its few invoices."""
+    import pandas as pd
+
+    from leafmill.operators.vendors import MEMORY_NAMES
+    from leafmill.streaming import streams
+
+    class State:
+        exists, kept = False, None
+        update = lambda self, m: setattr(self, "kept", m)
+
+    rows = [(n, f"N{n}", None, ("EUR", None)[n % 2], None, (n * 7 % 10) / 10, n % 2 == 0, False) for n in (4, 1, 3, 2)]
+    b = [pd.DataFrame(part, columns=["ord", *EVENT]) for part in (rows[:3], rows[3:])]
+    monkeypatch.setattr(streams.pd, "concat", None)
+    state = State()
+    out = next(streams._remember(("w", 1), iter(b), state))
+    memory = NO_MEMORY
+    for _, *event in sorted(rows):
+        memory = remember(memory, event)
+    assert state.kept == memory and out[list(MEMORY_NAMES)].iloc[0]["invoice_count"] == 4
