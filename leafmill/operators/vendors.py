@@ -314,12 +314,10 @@ def match_templates(docs: DataFrame, templates: DataFrame, params: IndexParams =
     """
     active = templates.filter("is_active and fingerprint is not null and workspace_id is not null")
     kind = templates.schema["template_id"].dataType.simpleString()
-    patterns = active.select(F.col("workspace_id").alias("group"), F.lower("fingerprint").alias("pattern"), F.col("template_id").cast("long").alias("value"))
+    patterns = active.select(F.col("workspace_id").alias("group"), F.lower("fingerprint").alias("pattern"), F.col("template_id").cast("long").alias("value"), F.col("fingerprint").alias("shown"))
     docs = docs.drop("template_id", "fingerprint")
     found = least_pattern(docs, F.col("workspace_id"), F.lower("raw_text"), patterns, "_h", params)
-    said = active.groupBy("workspace_id", F.col("template_id").cast("long").alias("_id"), F.lower("fingerprint").alias("_p")).agg(F.min("fingerprint").alias("fingerprint"))
-    found = found.withColumns({"_id": F.col("_h.value"), "_p": F.col("_h.pattern")}).join(said, ["workspace_id", "_id", "_p"], "left")
-    return found.select(*[F.col(c) for c in docs.columns], F.col("_id").cast(kind).alias("template_id"), "fingerprint")
+    return found.select(*[F.col(c) for c in docs.columns], F.col("_h.value").cast(kind).alias("template_id"), F.col("_h.shown").alias("fingerprint"))
 
 
 def apply_template(raw_text: Column, fingerprint: Column, hints: Column) -> Column:

@@ -107,3 +107,20 @@ def test_many_files_are_written_by_many_tasks(spark, tmp_path):
     assert sorted(f for _, f in lie) == sorted(n for n, _ in rows) and 4 < len({d for d, _ in lie}) <= 9
     got = {r["filename"]: bytes(r["content"]) for r in scan(spark, folder, "ws", "*.txt").collect()}
     assert got == dict(rows)
+
+
+def test_dealt_texts_and_blocks_have_tasks_of_their_own(spark):
+    """All blocks and parts went to a fixed number of tasks, and whole texts were shuffled again as keys: what a task read grew with the square of the input."""
+    import re
+
+    from leafmill.functions.patterns import IndexParams, least_pattern
+
+    d = spark.createDataFrame([("w", f"text {i} of {i * 7}") for i in range(300)], "g string, t string")
+    p = spark.createDataFrame([("w", f"of {i * 7}", i, None) for i in range(300)], "group string, pattern string, value long, shown string")
+    out = least_pattern(d, F.col("g"), F.col("t"), p, "h", IndexParams(broadcast_chars=0, block_chars=500, texts_each=30))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    meetings = 10 * -(-sum(len(f"of {i * 7}") + 1 for i in range(300)) // 500)
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(group[^,]*, block[^,]*, part[^,]*, (\d+)\)", plan)) == 2 * meetings
+    assert not re.search(r"hashpartitioning\([^)]*text#", plan)
+    got = {r["t"]: r["h"]["value"] for r in out.collect()}
+    assert got == {f"text {i} of {i * 7}": min(k for k in range(300) if f"of {i * 7}".startswith(f"of {k * 7}")) for i in range(300)}
