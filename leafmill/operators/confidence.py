@@ -31,29 +31,47 @@ def grounding_cap(field: Column, haystack: Column) -> Column:
 def grounding_box(value: Column, pages: Column) -> Column:
     """struct<page,bbox> of the words that hold the value: on the first page with it, from the first start
     with a window of up to 14 words that contains it."""
-    needle = ground_key(value)
 
-    def boxes(p: Column) -> Column:
+    def boxes(p: Column, needle: Column) -> Column:
         # The keys are bound to a variable, so that they are made once a page.
-        every = F.array(F.transform(p["words"], lambda w: ground_key(w["text"])))
-        return F.get(F.transform(every, lambda keys: with_keys(p, keys)), F.lit(0))
+        return bound(F.transform(p["words"], lambda w: ground_key(w["text"])), lambda keys: with_keys(p, keys, needle))
+
+    def with_keys(p: Column, keys: Column, needle: Column) -> Column:
+        n = F.size(p["words"])
+
+        def holds(i: Column, words: Column) -> Column:
+            return F.contains(F.array_join(F.slice(keys, i + 1, words), ""), needle)
 
-    def with_keys(p: Column, keys: Column) -> Column:
         def from_start(i: Column) -> Column:
-            ends = F.sequence(i + 1, F.least(i + WINDOW, F.size(p["words"])))
-            hit = F.filter(ends, lambda j: F.contains(F.array_join(F.slice(keys, i + 1, j - i), ""), needle))
+            hit = F.filter(F.sequence(i + 1, F.least(i + WINDOW, n)), lambda j: holds(i, j - i))
             words = F.filter(F.slice(p["words"], i + 1, F.get(hit, F.lit(0)) - i), lambda w: w["bbox"].isNotNull())
-            side = lambda k, f: f(F.transform(words, lambda w: w["bbox"][k]))
-            box = F.array(side(0, F.array_min), side(1, F.array_min), side(2, F.array_max), side(3, F.array_max))
-            return F.when((F.size(hit) > 0) & (F.size(words) > 0), box)
+            return bound(F.struct(hit.alias("hit"), words.alias("words")), box)
+
+        def box(x: Column) -> Column:
+            side = lambda k, f: f(F.transform(x["words"], lambda w: w["bbox"][k]))
+            around = F.array(side(0, F.array_min), side(1, F.array_min), side(2, F.array_max), side(3, F.array_max))
+            return F.when((F.size(x["hit"]) > 0) & (F.size(x["words"]) > 0), around)
+
+        def from_first(first: Column) -> Column:
+            # Starts before ``first`` are too far from the first place of the value; most pages need no other one.
+            others = F.filter(F.sequence(first + 1, n - 1), lambda i: holds(i, F.lit(WINDOW)))
+            later = F.get(F.filter(F.transform(others, from_start), lambda b: b.isNotNull()), F.lit(0))
+            return F.coalesce(from_start(first), F.when(first + 1 < n, later))
+
+        def with_end(end: Column) -> Column:
+            size = lambda k: F.coalesce(F.length(k), F.lit(0))
+            step = lambda s, k: F.struct((s["chars"] + size(k)).alias("chars"), (s["word"] + F.when(s["chars"] + size(k) < end, 1).otherwise(0)).alias("word"))
+            last = F.aggregate(keys, F.struct(F.lit(0).alias("chars"), F.lit(0).alias("word")), step, lambda s: s["word"])
+            return F.struct(p["page_num"].alias("page"), bound(F.greatest(last - (WINDOW - 1), F.lit(0)), from_first).alias("bbox"))
+
+        # The characters up to the end of the value where it first is.
+        return bound(F.instr(F.array_join(keys, ""), needle), lambda at: F.when((n > 0) & (at > 0), with_end(at - 1 + F.length(needle))))
 
-        starts = F.sequence(F.lit(0), F.size(p["words"]) - 1)
-        found = F.filter(F.transform(starts, from_start), lambda b: b.isNotNull())
-        there = (F.size(p["words"]) > 0) & F.contains(F.array_join(keys, ""), needle)
-        return F.when(there, F.struct(p["page_num"].alias("page"), F.get(found, F.lit(0)).alias("bbox")))
+    def with_needle(needle: Column) -> Column:
+        found = F.filter(F.transform(pages, lambda p: boxes(p, needle)), lambda b: b.isNotNull() & b["bbox"].isNotNull())
+        return F.get(found, F.lit(0))
 
-    found = F.filter(F.transform(pages, boxes), lambda b: b.isNotNull() & b["bbox"].isNotNull())
-    return F.when(~blank(value), F.get(found, F.lit(0)))
+    return F.when(~blank(value), bound(ground_key(value), with_needle))
 
 
 def ground(records: DataFrame, with_boxes: bool = True) -> DataFrame:

@@ -124,3 +124,34 @@ def test_dealt_texts_and_blocks_have_tasks_of_their_own(spark):
     assert not re.search(r"hashpartitioning\([^)]*text#", plan)
     got = {r["t"]: r["h"]["value"] for r in out.collect()}
     assert got == {f"text {i} of {i * 7}": min(k for k in range(300) if f"of {i * 7}".startswith(f"of {k * 7}")) for i in range(300)}
+
+
+def test_boxes_equal_all_starts_and_windows(spark):
+    """The key of the value was made anew for every start and window of a page: a row took time by the square of its words."""
+    import random
+
+    from leafmill.operators.confidence import WINDOW, grounding_box
+
+    def plain(value, pages):
+        key = lambda t: "".join((t or "").split()).lower()
+        for page, words in pages or [] if value and value.strip() else []:
+            for i in range(len(words)):
+                end = next((j for j in range(i + 1, min(i + WINDOW, len(words)) + 1) if key(value) in "".join(key(t) for t, _ in words[i:j])), None)
+                boxes = [b for _, b in words[i:end] if b is not None] if end else []
+                if boxes:
+                    return page, [min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)]
+        return None
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["a", "b", "A b", "ab", "ba", "", " ", None, "É", "x" * 9])
+    box = lambda: None if rng.random() < 0.3 else [float(rng.randrange(50)) for _ in range(4)]
+    page = lambda: [(word(), box()) for _ in range(rng.choice([0, 1, 2, 5, 20, 60]))]
+    value = lambda: rng.choice([None, " ", "".join(w or "" for w in (word() for _ in range(rng.choice([1, 2, 3, 6, 20])))), "ab" * 3, "bxxxxxxxxxa"])
+    rows = [(i, value(), None if rng.random() < 0.02 else [(k, page()) for k in range(rng.randint(0, 3))]) for i in range(600)]
+    data = [(i, v, ps and [(k, [(t, b, k, 1.0) for t, b in ws]) for k, ws in ps]) for i, v, ps in rows]
+    df = spark.createDataFrame(data, "i int, v string, pages array<struct<page_num:int,words:array<struct<text:string,bbox:array<double>,page:int,confidence:double>>>>")
+    got = {r["i"]: r["b"] and (r["b"]["page"], r["b"]["bbox"]) for r in df.select("i", grounding_box(F.col("v"), F.col("pages")).alias("b")).collect()}
+    assert got == {i: plain(v, ps) for i, v, ps in rows} and sum(x is not None for x in got.values()) > 60
+    # Once for the blank value, once for its key and once for the words' keys.
+    plan = df.select(grounding_box(F.col("v"), F.col("pages")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3
