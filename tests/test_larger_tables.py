@@ -155,3 +155,15 @@ def test_boxes_equal_all_starts_and_windows(spark):
     # Once for the blank value, once for its key and once for the words' keys.
     plan = df.select(grounding_box(F.col("v"), F.col("pages")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 3
+
+
+def test_matched_templates_need_no_join(spark):
+    """Every row met its template's fingerprint by a join on the template: rows of one template, or of none, went to one task."""
+    from leafmill.operators.vendors import match_templates
+
+    t = spark.createDataFrame([("w", 1, "Apache", True), ("w", 2, "MIT", True), ("w", 1, "apache", True)], "workspace_id string, template_id int, fingerprint string, is_active boolean")
+    d = spark.createDataFrame([("w", "the apache license"), ("w", "mit"), ("w", "none"), (None, "mit")], "workspace_id string, raw_text string")
+    out = match_templates(d, t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["template_id"], r["fingerprint"]) for r in out.collect()] == [(1, "Apache"), (2, "MIT"), (None, None), (None, None)]
