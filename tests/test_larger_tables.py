@@ -167,3 +167,18 @@ def test_matched_templates_need_no_join(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(r["template_id"], r["fingerprint"]) for r in out.collect()] == [(1, "Apache"), (2, "MIT"), (None, None), (None, None)]
+
+
+def test_texts_for_patterns_come_in_bounded_batches(spark):
+    """Batches were bounded by their rows only, so a worker's memory grew with the texts."""
+    from leafmill.operators.vendors import match_templates
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        t = spark.createDataFrame([("w", 1, "x", True)], "workspace_id string, template_id int, fingerprint string, is_active boolean")
+        match_templates(spark.createDataFrame([("w", "x")], "workspace_id string, raw_text string"), t)
+        assert int(spark.conf.get(key)) <= 2 << 20
+    finally:
+        spark.conf.set(key, before)
