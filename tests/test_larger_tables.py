@@ -182,3 +182,21 @@ def test_texts_for_patterns_come_in_bounded_batches(spark):
         assert int(spark.conf.get(key)) <= 2 << 20
     finally:
         spark.conf.set(key, before)
+
+
+def test_lines_of_an_invoice_meet_once(spark):
+    """A window numbered the lines and whole rich items travelled; each line went through a regular expression for each kind."""
+    from leafmill.functions.text import ROW_PATTERNS, classify_row_type
+    from leafmill.plans.records import items
+
+    plan = items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("collect_list(") == 1
+    said = ["", None, "Widget", "grand\ttotal", "Sub total", "TVA 20%", "taſe", "Envío", "ENVÍO", "less", "lesson", "page 7", "page x", "total\x0bdue", "total\x1cdue", "total\xa0due", "montant ht", "a_tax", "tax-free", "port", "airport", "net\x85amount", "Kless", "discount́"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    slow = F.when(F.coalesce("t", F.lit("")) == "", "unknown")
+    for kind, pattern in ROW_PATTERNS:
+        slow = slow.when(F.col("t").rlike(rf"(?iU)\b({pattern})\b"), kind)
+    got = df.select(classify_row_type(F.col("t")).alias("a"), slow.otherwise("item").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and len({r["a"] for r in got}) == 8
+    plan = df.select(classify_row_type(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("octet_length(") < plan.index("(?iU)")
