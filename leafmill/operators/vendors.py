@@ -85,7 +85,10 @@ def lead_new_names(names: DataFrame, threshold: float = FUZZY_THRESHOLD) -> Data
 
 
 def three(x: float) -> float:
-    """Rounded to three places, half up, of the decimal that the double stands for."""
+    """Rounded to three places, half up, of the decimal that the double stands for (to nine places first)."""
+    # Decimals cost the most of a fold; only what lies near the middle of two results needs them.
+    if 0 <= x < 1e6 and abs((part := x * 1000) - (low := int(part)) - 0.5) > 1e-4:
+        return (low + (part - low > 0.5)) / 1000
     return float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP).quantize(Decimal("1e-3"), ROUND_HALF_UP))
 
 
@@ -226,7 +229,9 @@ def products_fold(products: Column, n: int = MAX_PRODUCTS) -> Column:
 
 def keep_products(kept: list[str], new: list[str], n: int = MAX_PRODUCTS) -> list[str]:
     """The kept list after one more invoice: the most frequent of both, of equal ones the first."""
-    return [p for p, _ in Counter([*kept, *new]).most_common(n)]
+    both = [*kept, *new]
+    counts = Counter(both)
+    return both[:n] if len(counts) == len(both) else sorted(counts, key=counts.get, reverse=True)[:n]
 
 
 def products_by_order(lines: DataFrame, n: int = MAX_PRODUCTS) -> DataFrame:

@@ -61,14 +61,18 @@ _KEPT = f"per AS (SELECT ev.workspace_id, ev.vendor_id, ev.n, coalesce(list_sort
 
 @query("q_stream_memory_ordered", f"WITH RECURSIVE {VIEWS}, {_EVENTS}, {_FOLD}, {_KEPT}, e AS (SELECT workspace_id, vendor_id, arg_max(ema, n) AS ema, arg_max(rate, n) AS rate, CAST(max(n) AS INTEGER) AS invoice_count FROM f GROUP BY 1, 2), k AS (SELECT workspace_id, vendor_id, array_to_string(arg_max(k, n), '|') AS products FROM kept GROUP BY 1, 2) SELECT e.workspace_id, e.vendor_id, invoice_count, products, CAST(ema AS DECIMAL(9,3)) AS ema, CAST(rate AS DECIMAL(9,3)) AS rate FROM e JOIN k USING (workspace_id, vendor_id)")
 def q_stream_memory_ordered(spark, sf):
-    """The invoices lie in files dealt by a hash, a file a micro-batch: most come before earlier ones."""
+    """The invoices lie in files dealt by a hash, eight a micro-batch: most come before earlier ones.
+
+    A key of the state has 16 vendors' numbers, which are up to 80 vendors as each tenant has its own.
+    """
     bought = D.lines(spark, sf).groupBy(F.col("invoice_id").alias("ord")).agg(F.sort_array(F.collect_list("description")).alias("products"))
     events = memory_events(spark, sf).join(bought, "ord", "left").withColumn("at", F.timestamp_millis(F.col("ord") + 10**12))
+    buckets = max(256, table(spark, sf, "supplier").count() // 16)
     folder = shared_folder(spark, "memory_events")
     try:
-        events.repartition(4, F.xxhash64("ord")).write.parquet(folder)
-        stream = S.event_stream(spark, folder, events.schema, 1)
-        out = S.run_once(ordered_memory(stream, "30 days"), ["workspace_id", "vendor_id"], conf=STORE)
+        events.repartition(32, F.xxhash64("ord")).write.parquet(folder)
+        stream = S.event_stream(spark, folder, events.schema, 8)
+        out = S.run_once(ordered_memory(stream, "30 days", buckets), ["workspace_id", "vendor_id"], conf=STORE)
     finally:
         remove_folder(spark, folder)
     return out.select("workspace_id", "vendor_id", "invoice_count", F.array_join("products", "|").alias("products"), F.col("avg_confidence").cast("decimal(9,3)").alias("ema"), F.col("rate_purchase_order").cast("decimal(9,3)").alias("rate"))
