@@ -85,7 +85,7 @@ def q_finish_session(spark, sf):
     contents = tables["documents"].select("workspace_id", "id", F.col("filename").cast("binary").alias("content"))
     folder = shared_folder(spark, "bundle")
     try:
-        left = finish_session(tables, folder, "ws1", contents)
+        left = finish_session(tables, folder, "ws1", contents, lambda ids: positioned(D.lines(spark, sf, ids)))
         out = left["invoices"].agg(F.lit("left").alias("part"), F.count("*").alias("n"))
         for part in ("json", "invoices", "lines", "bytes"):
             out = out.unionByName(read_bundle(spark, folder, part).agg(F.lit(part).alias("part"), F.count("*").alias("n")))

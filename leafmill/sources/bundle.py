@@ -8,10 +8,12 @@ tasks end by themselves, goes with a later bundle once it is a day old.
 
 from __future__ import annotations
 
+import gzip
 import json
 import posixpath
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import TaskContext
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from leafmill.functions.plan import remove_folder, shared_folder, written
+
 MANIFEST, DAY = "manifest.json", 86_400
 #: Rows of a bundle: which of its parts, under which name there, and what it holds.
 SCHEMA = "part string, name string, body binary"
@@ -47,17 +51,18 @@ class BundleWriter(DataSourceWriter):
         fs, root = _fs(self.path)
         context = TaskContext.get()
         own = f"{context.partitionId():05d}-{context.taskAttemptId()}"
-        streams, files = {}, {}
+        streams, files, opened = {}, {}, []
         try:
             for part, name, body in iterator:
                 if part not in streams:
-                    where = f"{part}/{own}.jsonl"
+                    where = f"{part}/{own}.jsonl.gz"
                     fs.create_dir(posixpath.dirname(f"{self._staging(root)}/{where}"), recursive=True)
-                    streams[part], files[part] = fs.open_output_stream(f"{self._staging(root)}/{where}"), [part, where, 0]
+                    opened.append(fs.open_output_stream(f"{self._staging(root)}/{where}", compression=None))
+                    streams[part], files[part] = gzip.GzipFile(fileobj=opened[-1], mode="wb", compresslevel=1, mtime=0), [part, where, 0]
                 streams[part].write((json.dumps({"name": name, "body": bytes(body or b"").hex() if part == "bytes" else bytes(body or b"").decode()}) + "\n").encode())
                 files[part][2] += 1
         finally:
-            for s in streams.values():
+            for s in (*streams.values(), *opened):
                 s.close()
         return Written([tuple(f) for f in files.values()])
 
@@ -141,24 +146,39 @@ def load_bytes(spark: SparkSession, path: str, workspace: str, ids: list[str]) -
     return wanted.groupBy("id").agg(F.first("content").alias("content"))
 
 
-def bundle_rows(tables: dict[str, DataFrame], workspace: str, contents: DataFrame | None = None) -> DataFrame:
-    """Rows of a tenant's bundle: its invoices as JSON, its sheets row by row, and its files' bytes."""
+def bundle_rows(tables: dict[str, DataFrame], workspace: str, contents: DataFrame | None = None, lines_of: Callable[[DataFrame], DataFrame] | None = None, step: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
+    """Rows of a tenant's bundle: its invoices as JSON, its sheets row by row, and its files' bytes.
+
+    ``lines_of`` gives the line items of some invoices (invoice_id), which otherwise are picked from all; ``step`` may write
+    a table of that name that later ones need.
+    """
     from leafmill.operators.reports import export_invoices, export_json, export_lines, tenant
 
-    own = tenant(tables["invoices"], workspace)
+    own = step("own", tenant(tables["invoices"], workspace))
+    ids = own.select(F.col("id").alias("invoice_id"))
+    lines = lines_of(ids) if lines_of else tables["line_items"].join(ids, "invoice_id", "left_semi")
     sheet = lambda df, part: df.select(F.lit(part).alias("part"), F.xxhash64(*df.columns).cast("string").alias("name"), F.to_json(F.struct(*df.columns)).cast("binary").alias("body"))
-    rows = export_json(own, tables["line_items"]).select(F.lit("json").alias("part"), F.lit("invoice").alias("name"), F.col("json").cast("binary").alias("body"))
-    rows = rows.union(sheet(export_invoices(own, tables["documents"], tables["vendors"]), "invoices")).union(sheet(export_lines(own, tables["vendors"], tables["line_items"]), "lines"))
+    rows = step("sheet", sheet(export_invoices(own, tables["documents"], tables["vendors"]), "invoices"))
+    rows = rows.union(export_json(own, lines).select(F.lit("json").alias("part"), F.lit("invoice").alias("name"), F.col("json").cast("binary").alias("body")))
+    rows = rows.union(sheet(export_lines(own, tables["vendors"], lines), "lines"))
     if contents is not None:
         rows = rows.union(contents.filter(F.col("workspace_id") == workspace).select(F.lit("bytes").alias("part"), F.concat_ws("/", "workspace_id", "id").alias("name"), F.col("content").alias("body")))
     return rows
 
 
-def finish_session(tables: dict[str, DataFrame], path: str, workspace: str, contents: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Publish a tenant's bundle, then give the tables without the tenant; a failure raises and nothing is purged."""
+def finish_session(tables: dict[str, DataFrame], path: str, workspace: str, contents: DataFrame | None = None, lines_of: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Publish a tenant's bundle, then give the tables without the tenant; a failure raises and nothing is purged.
+
+    The tenant's invoices and their sheet are written on the way, so that the disk holds the shuffle files of one step at a time.
+    """
     from leafmill.operators.state import purge
 
     spark = tables["invoices"].sparkSession
     spark.dataSource.register(BundleSink)
-    bundle_rows(tables, workspace, contents).write.format("leafmill_bundle").mode("append").option("path", path).save()
+    folder = shared_folder(spark, "session")
+    try:
+        rows = bundle_rows(tables, workspace, contents, lines_of, lambda name, df: written(df, f"{folder}/{name}"))
+        rows.write.format("leafmill_bundle").mode("append").option("path", path).save()
+    finally:
+        remove_folder(spark, folder)
     return purge(tables, spark.createDataFrame([(workspace,)], "workspace_id string"))

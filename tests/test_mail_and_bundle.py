@@ -120,3 +120,47 @@ def test_session_is_purged_after_its_bundle(spark, tmp_path):
     assert n > 0 and left["invoices"].filter("workspace_id = 'ws1'").count() == 0 and left["invoices"].count() == t["invoices"].count() - n
     assert all(json.loads(r["body"]) for r in read_bundle(spark, path, "json").collect()) and read_bundle(spark, path, "json").count() == n
     assert read_bundle(spark, path, "bytes").count() == n and read_bundle(spark, path, "invoices").count() == n
+
+
+def test_bundle_takes_little_room(spark, tmp_path, monkeypatch):
+    """Its texts lay as they are, and the lines of all tenants were shuffled with theirs, beside the files of all other steps."""
+    import gzip
+    import re
+
+    from leafmill.operators.reports import export_invoices, export_json, export_lines, tenant
+    from leafmill.plans.reading import positioned
+    from leafmill.sources import bundle as B
+    from leafmill.sources import domain as D
+
+    sf = "/root/testdata/sf0.001"
+    # A column without a type, as those that nothing has filled yet.
+    t = {"invoices": D.invoices(spark, sf).withColumn("validation_report", F.lit(None)), "documents": D.documents(spark, sf), "vendors": D.vendors(spark, sf), "line_items": positioned(D.lines(spark, sf))}
+    contents = t["documents"].select("workspace_id", "id", F.col("filename").cast("binary").alias("content"))
+    own = tenant(t["invoices"], "ws1")
+    want = {
+        "json": sorted(r["json"] for r in export_json(own, t["line_items"]).collect()),
+        "invoices": sorted(r["j"] for r in export_invoices(own, t["documents"], t["vendors"]).select(F.to_json(F.struct("*")).alias("j")).collect()),
+        "lines": sorted(r["j"] for r in export_lines(own, t["vendors"], t["line_items"]).select(F.to_json(F.struct("*")).alias("j")).collect()),
+    }
+    steps = []
+    monkeypatch.setattr(B, "shared_folder", lambda spark, name: steps.append(f"{tmp_path}/{name}") or steps[-1])
+    monkeypatch.setattr(B, "written", lambda df, folder, write=B.written: steps.append(folder) or write(df, folder))
+    for k, lines_of in enumerate((None, lambda ids: positioned(D.lines(spark, sf, ids)))):
+        path = str(tmp_path / f"bundle{k}")
+        B.finish_session(t, path, "ws1", contents, lines_of)
+        for part, texts in want.items():
+            assert sorted(r["body"] for r in B.read_bundle(spark, path, part).collect()) == texts and texts
+        for f in B.read_manifest(path)["files"]:
+            with gzip.open(f"{path}/{f['file']}") as lines:
+                assert sum(1 for _ in lines) == f["rows"]
+    session = f"{tmp_path}/session"
+    assert steps == [session, f"{session}/own", f"{session}/sheet"] * 2 and not os.path.exists(session)
+    # Lines of others leave before their texts are made, and so before any shuffle but that by the invoice.
+    plan = D.lines(spark, sf, own.select(F.col("id").alias("invoice_id")))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda what: min(re.search(r"[A-Z]", line).start() for line in plan if what in line)
+    assert depth("Join LeftSemi") > depth("Join Inner") > depth("coalesce(")
+    # After a failure nothing is left but what was published.
+    bad = F.udf(lambda x: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        B.finish_session(t, path, "ws1", contents.withColumn("id", bad("id")), None)
+    assert not os.path.exists(session) and B.read_bundle(spark, path, "json").count() == len(want["json"])
