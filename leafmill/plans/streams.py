@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.plan import remove_folder, shared_folder
+from leafmill.functions.plan import remove_folder, shared_folder, written
 from leafmill.plans.extras import _KEEP
 from leafmill.plans.registry import query
 from leafmill.plans.records import _EVENTS, _FOLD, memory_events
@@ -70,7 +70,7 @@ def q_stream_memory_ordered(spark, sf):
     buckets = max(256, table(spark, sf, "supplier").count() // 16)
     folder = shared_folder(spark, "memory_events")
     try:
-        events.repartition(32, F.xxhash64("ord")).write.parquet(folder)
+        written(events.repartition(32, F.xxhash64("ord")), folder)
         stream = S.event_stream(spark, folder, events.schema, 8)
         out = S.run_once(ordered_memory(stream, "30 days", buckets), ["workspace_id", "vendor_id"], conf=STORE)
     finally:

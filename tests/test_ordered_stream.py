@@ -160,3 +160,13 @@ def test_rounding_and_products_without_decimals_and_heaps():
     for _ in range(300):
         kept, new = [rng.sample(range(30), rng.randint(0, 20)), rng.choices(range(30), k=rng.randint(0, 8))]
         assert keep_products(kept, new) == [p for p, _ in Counter([*kept, *new]).most_common(20)]
+
+
+def test_the_stream_begins_without_the_events_shuffle_files(spark, monkeypatch):
+    """Those of the joins behind the events lay on the disk as long as the stream ran."""
+    from leafmill.plans import registry, streams
+
+    steps = []
+    monkeypatch.setattr(streams, "written", lambda df, folder, write=streams.written: steps.append("written") or write(df, folder))
+    monkeypatch.setattr(streams.S, "run_once", lambda *a, run=streams.S.run_once, **k: steps.append("stream") or run(*a, **k))
+    assert registry.queries()["q_stream_memory_ordered"](spark, "/root/testdata/sf0.001").count() > 0 and steps == ["written", "stream"]
